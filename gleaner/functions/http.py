@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gleaner.functions.once import with_once
+
 HEADERS_TYPE = "array<struct<name:string,value:string>>"
 LATIN = "ISO-8859-1"
 BLANK_LINE = "\r\n\r\n"
@@ -41,9 +43,11 @@ def with_http(df: DataFrame, url: str = "url", payload: str = "payload") -> Data
     # byte-wise search: the payload is not decoded to find the end of the head
     head_bytes = F.substring_index(as_text, BLANK_LINE, 1)
     head = F.when(is_web & as_text.contains(BLANK_LINE), _latin(head_bytes.cast("binary")))
-    df = df.withColumn("_head", head)
+    df = with_once(df, "_head", head)
     sound = F.col("_head").rlike(STATUS_LINE) & ~F.col("_head").rlike(BAD_HEADER_LINE)
-    status = F.regexp_extract("_head", STATUS_LINE, 1).try_cast("int")
+    status = F.when(sound, F.regexp_extract("_head", STATUS_LINE, 1).try_cast("int"))
+    df = with_once(df, "_status", status)
+    sound = F.col("_status").isNotNull()
     # the head has one byte per character
     body = F.substring(data, F.length("_head") + len(BLANK_LINE) + 1, F.octet_length(data))
     lines = F.split(F.regexp_replace("_head", r"\r?\n[ \t]+", " "), r"\r?\n")
@@ -55,8 +59,8 @@ def with_http(df: DataFrame, url: str = "url", payload: str = "payload") -> Data
         ),
     )
     return df.select(
-        *[c for c in df.columns if c != "_head"],
-        F.coalesce(F.when(sound, status), F.lit(UNPARSED)).alias("http_status"),
+        *[c for c in df.columns if c not in ("_head", "_status")],
+        F.coalesce("_status", F.lit(UNPARSED)).alias("http_status"),
         F.when(sound, headers).cast(HEADERS_TYPE).alias("http_headers"),
         F.when(sound, body).alias("body"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 
 MAX_NAME_LENGTH = 253
@@ -59,7 +60,7 @@ def last_label(name: Column) -> Column:
 
 def with_host(df: DataFrame, url: str = "url") -> DataFrame:
     """Add ``host``."""
-    return df.withColumn("host", url_host(F.col(url)))
+    return with_once(df, "host", url_host(F.col(url)))
 
 
 def with_domains(
@@ -69,10 +70,6 @@ def with_domains(
     strict: bool = False,
 ) -> DataFrame:
     """Add ``host``, ``host_domain`` (the site) and ``domain_id`` (its last label)."""
-    return (
-        with_host(df, url)
-        .withColumn("_name", dns_name(F.col("host")))
-        .withColumn("host_domain", site_of(F.col("_name"), rules, strict))
-        .withColumn("domain_id", last_label(F.col("host_domain")))
-        .drop("_name")
-    )
+    df = with_once(with_host(df, url), "_name", dns_name(F.col("host")))
+    df = with_once(df, "host_domain", site_of(F.col("_name"), rules, strict))
+    return df.withColumn("domain_id", last_label(F.col("host_domain"))).drop("_name")

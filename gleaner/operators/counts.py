@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import is_malformed, with_domains
 
@@ -44,7 +45,7 @@ def with_status(
     The tests run in this order: URL, host, domain, JSON, ``http_result``.
     """
     df = with_domains(metadata, rules=rules, strict=strict)
-    df = df.withColumn("_j", json_fields(F.col("json"), "http_result string"))
+    df = with_once(df, "_j", json_fields(F.col("json"), "http_result string"))
     result = F.col("_j.http_result")
     # a field holding JSON null is present but no number; only such rows are parsed again
     absent = F.coalesce(

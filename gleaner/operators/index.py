@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import with_domains
 from gleaner.operators.counts import is_object, json_fields
@@ -32,7 +33,7 @@ def arc_lookup_index(
     without any of the four archive fields are dropped; the HTTP result plays no part.
     """
     df = with_domains(metadata, rules=rules, strict=strict)
-    df = df.withColumn("_j", json_fields(F.col("json"), ARCHIVE_FIELDS))
+    df = with_once(df, "_j", json_fields(F.col("json"), ARCHIVE_FIELDS))
     info = F.col("_j")["archiveInfo"]
     df = df.select(
         "domain_id",

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import with_once
 from gleaner.sources.records import without_prefix
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -120,7 +121,7 @@ def parse_header(df: DataFrame, line: str = "header") -> DataFrame:
 
     time = F.try_to_timestamp(F.concat(field(3), F.lit("+0000")), F.lit("yyyyMMddHHmmssXX"))
     sound = F.col(line).rlike(HEADER_LINE) & time.isNotNull() & (field(5).try_cast("int") >= 0)
-    df = df.withColumn("header_ok", F.coalesce(sound, F.lit(False)))
+    df = with_once(df, "header_ok", F.coalesce(sound, F.lit(False)))
 
     def kept(value, name):
         return F.when(F.col("header_ok"), value).alias(name)
