@@ -24,12 +24,18 @@ def is_malformed(url: Column) -> Column:
 
 
 def dns_name(host: Column) -> Column:
-    """The host as a lower-case domain name; null for addresses and over-long names."""
-    name = F.regexp_replace(F.lower(host), r"\.$", "")
-    too_long = (F.length(name) > MAX_LABEL_LENGTH) & (
-        (F.length(name) > MAX_NAME_LENGTH) | name.rlike(r"[^.]{%d}" % (MAX_LABEL_LENGTH + 1))
+    """The host in lower case, without the dot that may end it."""
+    return F.rtrim(F.lower(host), F.lit("."))
+
+
+def is_site_name(name: Column) -> Column:
+    """False for addresses (the last label starts with a digit, or brackets) and over-long names."""
+    lead = F.substring(_tail(name, 1), 1, 1)
+    long_label = name.rlike(r"[^.]{%d}" % (MAX_LABEL_LENGTH + 1))
+    too_long = (F.length(name) > MAX_NAME_LENGTH) | long_label
+    return ~(lead.between("0", "9") | name.startswith("[")) & (
+        (F.octet_length(name) <= MAX_LABEL_LENGTH) | ~too_long
     )
-    return F.when(~(too_long | name.rlike(r"(^|\.)[0-9][^.]*$|[\[:]")), name)
 
 
 def _tail(name: Column, labels: int) -> Column:
@@ -37,12 +43,12 @@ def _tail(name: Column, labels: int) -> Column:
 
 
 def site_of(name: Column, rules: SuffixRules = SHIPPED_RULES, strict: bool = False) -> Column:
-    """Public suffix plus one label of a domain name; null where there is no such label.
+    """Public suffix plus one label of a domain name; null where there is no such name.
 
     A suffix without a rule counts as one label, or gives null if ``strict``.
     Each candidate tail is looked up in a literal hash set, so no join is needed.
     """
-    site = F.when(name.isNull(), F.lit(None).cast("string"))
+    site = F.when(~F.coalesce(is_site_name(name), F.lit(False)), F.lit(None).cast("string"))
     for k in range(rules.depth, 0, -1):
         one_more = F.nullif(_tail(name, k + 1), _tail(name, k))
         if k in rules.exact:
@@ -70,6 +76,6 @@ def with_domains(
     strict: bool = False,
 ) -> DataFrame:
     """Add ``host``, ``host_domain`` (the site) and ``domain_id`` (its last label)."""
-    df = with_once(with_host(df, url), "_name", dns_name(F.col("host")))
+    df = with_host(df, url).withColumn("_name", dns_name(F.col("host")))
     df = with_once(df, "host_domain", site_of(F.col("_name"), rules, strict))
     return df.withColumn("domain_id", last_label(F.col("host_domain"))).drop("_name")

@@ -45,7 +45,8 @@ def with_status(
     The tests run in this order: URL, host, domain, JSON, ``http_result``.
     """
     df = with_domains(metadata, rules=rules, strict=strict)
-    df = with_once(df, "_j", json_fields(F.col("json"), "http_result string"))
+    json = F.when(F.col("host_domain").isNotNull(), F.col("json"))
+    df = with_once(df, "_j", json_fields(json, "http_result string"))
     result = F.col("_j.http_result")
     # a field holding JSON null is present but no number; only such rows are parsed again
     absent = F.coalesce(
@@ -59,7 +60,7 @@ def with_status(
         .when(F.col("host_domain").isNull(), "INVALID_DOMAIN")
         .when(~is_object(F.col("json"), F.col("_j")), "EXCEPTIONS")
         .when(result.isNull(), F.when(absent, "MISSING_HTTPCODE").otherwise("EXCEPTIONS"))
-        .when(http_code(result) == HTTP_OK, "HTTP_SUCCESS")
+        .when((result == str(HTTP_OK)) | (http_code(result) == HTTP_OK), "HTTP_SUCCESS")
         .when(http_code(result).isNotNull(), "HTTP_FAIL")
         .otherwise("EXCEPTIONS")
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.joins import BROADCAST_BYTES, join_list
+from gleaner.operators.joins import BROADCAST_BYTES, join_list, measured_bytes
+from gleaner.session import cut_lineage
 
 DIE_SIDES = 6
 BUCKET_DIGITS = 3  # hex digits of the order key: 4096 buckets per domain
@@ -59,50 +60,68 @@ def accepted_by_die(url: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint") % DIE_SIDES == 0
 
 
-def stratified_sample(
-    rows: DataFrame, stat: DataFrame, sample_size: int, seed: int = 0, dice: bool = False
-) -> DataFrame:
-    """``domain_id, url``: per domain the first rows by order key, up to the domain's quota.
+def _open_buckets(urls: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``domain_id, _bucket, _room``: buckets of the order key that the quota still reaches.
 
-    With ``dice`` only URLs accepted by the die are eligible, which under-fills.
-
-    No task ever holds a whole domain.  Equal rows are counted, not carried; counts
-    per (domain, leading digits of the order key) tell where the quota runs out; later
-    buckets are left out, and ranks are only taken inside a bucket.
+    A domain has at most 4096 buckets, so the window holds no more rows than that.
     """
-    urls = rows.dropna(subset=["domain_id", "url"])
-    if dice:
-        urls = urls.where(accepted_by_die(F.col("url"), seed))
-    urls = (
-        urls.groupBy("domain_id", "url")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("_order", order_key(F.col("url"), seed))
-        .withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    )
-    # at most 4096 rows per domain from here to the window
-    buckets = urls.groupBy("domain_id", "_bucket").agg(F.sum("copies").alias("_size"))
+    sizes = urls.groupBy("domain_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
         Window.partitionBy("domain_id")
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    quotas = sample_quota(stat, sample_size).select("domain_id", "quota")
-    open_buckets = (
-        buckets.join(quotas, "domain_id")
-        .withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-        .withColumn("_room", F.col("quota") - F.col("_before"))
+    return (
+        sizes.join(quotas, "domain_id")
+        .withColumn("_room", F.col("quota") - F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
         .where("_room > 0")
         .select("domain_id", "_bucket", "_room")
     )
+
+
+def _counted(urls: DataFrame, *extra: str) -> DataFrame:
+    keys = ["domain_id", "_bucket", "_order", "url", *extra]
+    return urls.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def stratified_sample(
+    rows: DataFrame,
+    stat: DataFrame,
+    sample_size: int,
+    seed: int = 0,
+    dice: bool = False,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``domain_id, url``: per domain the first rows by order key, up to the domain's quota.
+
+    With ``dice`` only URLs accepted by the die are eligible, which under-fills.
+
+    No task ever holds a whole domain.  Counts per (domain, leading digits of the order
+    key) tell in which bucket the quota runs out; they are stored, measured and broadcast,
+    so that rows beyond the quota are dropped before any shuffle.  Of the rest, equal rows
+    are counted rather than carried, and ranks are taken inside one bucket.
+    """
+    urls = rows.where("domain_id IS NOT NULL AND url IS NOT NULL").select("domain_id", "url")
+    if dice:
+        urls = urls.where(accepted_by_die(F.col("url"), seed))
+    urls = urls.withColumn("_order", order_key(F.col("url"), seed))
+    urls = urls.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
+    quotas = sample_quota(stat, sample_size).select("domain_id", "quota")
+    reached = cut_lineage(_open_buckets(urls, quotas))
+    on = ["domain_id", "_bucket"]
+    if measured_bytes(reached) <= max_bytes:
+        chosen = _counted(urls.join(F.broadcast(reached), on), "_room")
+    else:
+        # counted first: a URL that fills a bucket by its copies is one row in the join
+        chosen = _counted(urls).join(reached, on)
     in_bucket = (
-        Window.partitionBy("domain_id", "_bucket")
+        Window.partitionBy(*on)
         .orderBy("_order", "url")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     used = F.coalesce(F.sum("copies").over(in_bucket), F.lit(0))
     taken = (
-        urls.join(open_buckets, ["domain_id", "_bucket"])
-        .withColumn("take", F.least(F.col("copies"), F.col("_room") - used))
+        chosen.withColumn("take", F.least(F.col("copies"), F.col("_room") - used))
         .where("take > 0")
         .select("domain_id", "url", "take")
     )
