@@ -602,8 +602,11 @@ def oracle_sql() -> dict[str, str]:
             WHERE arc_path IN (SELECT '{fx.ARCHIVE_BASE}' || arc_file FROM wanted
                                WHERE arc_file LIKE '%\\_1.arc.gz' ESCAPE '\\')""",
         "filter_html_size": f"""
-            SELECT url, 'text/html' AS content_type, octet_length(encode(html)) AS content_length
-            FROM pages WHERE page_id % 10 <> 0 AND octet_length(encode(html)) < {HTML_LIMIT}""",
+            SELECT * FROM (
+              SELECT url, octet_length(encode(html)) AS content_length,
+                CASE WHEN page_id % 10 = 0 THEN 'text/plain' ELSE 'text/html' END AS content_type
+              FROM pages) AS typed
+            WHERE contains(content_type, 'html') AND content_length < {HTML_LIMIT}""",
         "pages_for_hosts": f"""WITH {_records_sql()}
             SELECT url, md5(html) AS html_md5 FROM arc
             WHERE has_html AND regexp_matches(url, '[.]example[.](com|org)([/:?#]|$)')""",

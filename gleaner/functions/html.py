@@ -40,7 +40,8 @@ class _Selector(HTMLParser):
     def __init__(self, wanted: Mapping[str, tuple[str, str]]):
         super().__init__(convert_charrefs=True)
         self.wanted = wanted
-        self.stack: list[tuple[str, list[tuple[str, list[str]]]]] = []
+        self.stack: list[tuple[str, int]] = []  # open tags, each with the texts it opened
+        self.open: list[list[str]] = []
         self.found: dict[str, list[list[str]]] = {name: [] for name in wanted}
 
     def handle_starttag(self, tag, attrs):
@@ -51,16 +52,19 @@ class _Selector(HTMLParser):
         if tag in BLOCK_TAGS or tag == "br":
             self._add(" ")
         value = next((v for k, v in attrs if k == "class"), None)
-        opened = []
+        opened = 0
         if value is not None:
             value = value.strip().lower()
             for name, (wanted_tag, wanted_class) in self.wanted.items():
                 if tag == wanted_tag and value == wanted_class:
                     pieces: list[str] = []
                     self.found[name].append(pieces)
-                    opened.append(pieces)
+                    self.open.append(pieces)
+                    opened += 1
         if tag not in VOID_TAGS:
             self.stack.append((tag, opened))
+        elif opened:
+            del self.open[-opened:]
 
     def handle_startendtag(self, tag, attrs):
         # the slash means nothing on HTML elements that have content
@@ -69,23 +73,28 @@ class _Selector(HTMLParser):
     def handle_endtag(self, tag):
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                del self.stack[depth:]
+                self._close(depth)
                 return
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][0] in ("script", "style")):
+        if self.open and self.stack[-1][0] not in ("script", "style"):
             self._add(data)
 
     def _add(self, data):
-        for _, opened in self.stack:
-            for pieces in opened:
-                pieces.append(data)
+        for pieces in self.open:
+            pieces.append(data)
+
+    def _close(self, depth):
+        ended = sum(opened for _, opened in self.stack[depth:])
+        if ended:
+            del self.open[-ended:]
+        del self.stack[depth:]
 
     def _end_implied(self, kinds, containers):
         for depth in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[depth][0]
             if tag in kinds:
-                del self.stack[depth:]
+                self._close(depth)
                 return
             if tag in containers:
                 return

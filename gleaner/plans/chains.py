@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.operators.index import arc_lookup_index, sample_arc_files
 from gleaner.operators.keywords import (
@@ -27,6 +27,7 @@ from gleaner.operators.profiles import (
 )
 from gleaner.operators.sampling import stratified_sample
 from gleaner.session import cut_lineage
+from gleaner.sources.archives import readable, scan_listed_arc
 
 SOCIAL_SITES = (LINKEDIN, VIADEO, XING)
 
@@ -62,10 +63,29 @@ def vacancy_stages(
     return VacancyStages(candidates, counts, sample, archives)
 
 
+def _wanted(stages: VacancyStages) -> DataFrame:
+    return cut_lineage(stages.archives.select("arc_path", "url").distinct())
+
+
 def vacancy_html(records: DataFrame, stages: VacancyStages, pairwise: bool = True) -> DataFrame:
-    """``url, html`` of the sampled vacancy pages."""
-    wanted = cut_lineage(stages.archives.select("arc_path", "url").distinct())
-    return html_for_urls(records, wanted, pairwise)
+    """``url, html`` of the sampled vacancy pages among ``records``."""
+    return html_for_urls(records, _wanted(stages), pairwise)
+
+
+def vacancy_html_from_files(
+    spark: SparkSession,
+    root: str,
+    stages: VacancyStages,
+    prefix: str = "",
+    pairwise: bool = True,
+) -> DataFrame:
+    """The same from archive files below ``root``; only the listed files are opened.
+
+    ``prefix`` is what stands before the listed paths where the files are stored.
+    """
+    wanted = _wanted(stages)
+    records = scan_listed_arc(spark, root, wanted, prefix)
+    return html_for_urls(readable(records), wanted, pairwise)
 
 
 def social_profile_countries(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 TEXT_CLASS = "org.apache.hadoop.io.Text"
 MAX_LIST_ENTRIES = 100_000
@@ -26,15 +27,37 @@ def scan_seq(
     return spark.createDataFrame(rows, f"url string, {value} string")
 
 
-def scan_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated text without quoting; rows whose fields do not fit the schema are dropped."""
-    return (
-        spark.read.schema(schema)
-        .option("sep", "\t")
-        .option("quote", "")
-        .option("mode", "DROPMALFORMED")
-        .csv(path)
-    )
+def _tsv_fields(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Column, list]:
+    fields = StructType.fromDDL(schema).fields
+    parts = F.split("value", "\t")
+    columns = [F.get(parts, F.lit(i)).try_cast(f.dataType) for i, f in enumerate(fields)]
+    fits = F.size(parts) >= len(fields)
+    for field, column in zip(fields, columns, strict=True):
+        if field.dataType != StringType():
+            fits = fits & column.isNotNull()
+    named = [c.alias(f.name) for f, c in zip(fields, columns, strict=True)]
+    return spark.read.text(path), fits, named
+
+
+def scan_tsv(
+    spark: SparkSession, path: str, schema: str, strict: bool = False
+) -> DataFrame:
+    """Tab-separated text without quoting; further fields of a line are ignored.
+
+    Lines with too few fields or with text in a number column are left out
+    (see :func:`tsv_misfits`), or raise if ``strict``.
+    """
+    lines, fits, columns = _tsv_fields(spark, path, schema)
+    if strict:
+        error = F.raise_error(F.concat(F.lit("line does not fit the schema: "), "value"))
+        fits = F.when(fits, F.lit(True)).otherwise(error.cast("boolean"))
+    return lines.where(fits).select(*columns)
+
+
+def tsv_misfits(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines that :func:`scan_tsv` leaves out."""
+    lines, fits, _ = _tsv_fields(spark, path, schema)
+    return lines.where(~F.coalesce(fits, F.lit(False)))
 
 
 def first_files(

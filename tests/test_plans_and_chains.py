@@ -47,7 +47,12 @@ def test_registered_names():
         assert "pipeline" not in name and not name.startswith("op")
 
 
-def test_vacancy_stages_fit_together(spark, sf_dir):
+def with_base(stages):
+    archives = stages.archives.selectExpr("url", f"concat('{fx.ARCHIVE_BASE}', arc_path) AS arc_path")
+    return chains.VacancyStages(stages.candidates, stages.counts, stages.sample, archives)
+
+
+def test_vacancy_stages_fit_together(spark, sf_dir, tmp_path):
     texts = fx.texts(fx.table(spark, sf_dir, "documents"))
     meta = entry._documents(spark, sf_dir).selectExpr(
         f"{fx.TEXT_URL} AS url", f"{fx.METADATA_JSON.replace('page_id', 'doc_id')} AS json", "'m' AS meta_file"
@@ -59,6 +64,21 @@ def test_vacancy_stages_fit_together(spark, sf_dir):
     assert sum(r["n"] for r in stages.counts.collect()) == len(candidates)
     assert {r["url"] for r in stages.archives.collect()} <= set(sample)
 
+    # the archives as files: the whole job opens only the listed ones
+    rows = entry._documents(spark, sf_dir).selectExpr("doc_id AS page_id", f"{fx.TEXT_URL} AS url", "text AS html")
+    packed = fx.archives(fx.records(rows)).collect()
+    for r in packed:
+        file = tmp_path / r["arc_path"].removeprefix(fx.ARCHIVE_BASE)
+        file.parent.mkdir(parents=True, exist_ok=True)
+        with file.open("ab") as out:  # opening records inside a file are read as bad headers
+            out.write(r["content"])
+    unlisted = tmp_path / "unlisted.arc.gz"
+    unlisted.write_bytes(b"not an archive")
+    records = arc.readable(arc.parse_records(arc.split_members(fx.archives(fx.records(rows)))))
+    want = sorted(tuple(r) for r in chains.vacancy_html(records, with_base(stages)).collect())
+    found = chains.vacancy_html_from_files(spark, str(tmp_path), stages, f"file:{tmp_path}/")
+    assert sorted(tuple(r) for r in found.collect()) == want and want
+
 
 def test_row_wise_stages_accept_a_stream(spark, sf_dir, tmp_path):
     schema = fx.table(spark, sf_dir, "pages").schema

@@ -33,8 +33,12 @@ def test_tsv_keeps_quotes_and_drops_misfits(spark, tmp_path):
 
 def test_bad_counts_are_dropped(spark, tmp_path):
     path = tmp_path / "stat.tsv"
-    path.write_text("com\t5\norg\tmany\n")
-    assert got(src.scan_tsv(spark, str(path), "domain_id string, n long")) == [("com", 5)]
+    path.write_text("com\t5\norg\tmany\nnet\t7\tmore\n")
+    schema = "domain_id string, n long"
+    assert got(src.scan_tsv(spark, str(path), schema)) == [("com", 5), ("net", 7)]
+    assert got(src.tsv_misfits(spark, str(path), schema)) == [("org\tmany",)]
+    with pytest.raises(Exception, match="does not fit"):
+        src.scan_tsv(spark, str(path), schema, strict=True).collect()
 
 
 def test_tsv_sink_modes_and_layout(spark, tmp_path):
