@@ -63,7 +63,8 @@ def _records(spark, sf):
 
 def _profile_records(spark, sf):
     rows = fx.profile_records(_profiles(spark, sf))
-    return arc.parse_records(arc.split_members(fx.archives(rows)))
+    keep = arc.mentions(chains.SOCIAL_SITES)
+    return arc.parse_records(arc.split_members(fx.archives(rows), keep))
 
 
 def _indexed(spark, sf):

@@ -44,6 +44,9 @@ class _Selector(HTMLParser):
         self.open: list[list[str]] = []
         self.found: dict[str, list[list[str]]] = {name: [] for name in wanted}
 
+    def updatepos(self, i, j):
+        return j  # line numbers are of no use here
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
             self._end_implied({"p"}, {"table", "button", "object"})

@@ -27,9 +27,10 @@ from gleaner.operators.profiles import (
 )
 from gleaner.operators.sampling import stratified_sample
 from gleaner.session import cut_lineage
-from gleaner.sources.archives import readable, scan_listed_arc
+from gleaner.sources.archives import lists, mentions, readable, scan_arc, scan_listed_arc
 
 SOCIAL_SITES = (LINKEDIN, VIADEO, XING)
+MAX_LISTED_URLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -84,10 +85,20 @@ def vacancy_html_from_files(
     ``prefix`` is what stands before the listed paths where the files are stored.
     """
     wanted = _wanted(stages)
-    records = scan_listed_arc(spark, root, wanted, prefix)
+    urls = wanted.select("url").distinct().limit(MAX_LISTED_URLS + 1).collect()
+    # a list the tasks can hold also keeps other pages from leaving the unpacking
+    keep = lists(row["url"] for row in urls) if len(urls) <= MAX_LISTED_URLS else None
+    records = scan_listed_arc(spark, root, wanted, prefix, keep=keep)
     return html_for_urls(readable(records), wanted, pairwise)
 
 
+def social_records(
+    spark: SparkSession, paths: str | list[str], sites: Sequence[str] = SOCIAL_SITES
+) -> DataFrame:
+    """Readable archive records that may be pages of the sites, for the two jobs below."""
+    return readable(scan_arc(spark, paths, keep=mentions(sites)))
+
+
 def social_profile_countries(
     records: DataFrame, sites: Sequence[str] = SOCIAL_SITES
 ) -> DataFrame:

@@ -6,13 +6,14 @@ Python only inflates members and cuts off their first line; Spark does the rest.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.once import with_once
+from gleaner.operators.joins import join_list
 from gleaner.sources.records import without_prefix
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -24,26 +25,38 @@ MEMBER_SCHEMA = "arc_path string, arc_offset long, header string, rest binary"
 HEADER_LINE = r"^([^ ]*) ([^ ]*) ([0-9]{14}) ([^ ]*) ([+-]?[0-9]+) *$"
 MAX_LISTED_FILES = 100_000
 
+HeaderTest = Callable[[str], bool]
 
-def inflate_members(data: memoryview) -> Iterator[tuple[int, bytes | None]]:
+
+def inflate_members(
+    data: memoryview, keep: HeaderTest | None = None
+) -> Iterator[tuple[int, bytes | None]]:
     """(offset, content) per gzip member; content is None where one is damaged.
 
     The input is fed in slices, so the work stays linear in the file size.  After
-    damage the search goes on at the next gzip signature.
+    damage the search goes on at the next gzip signature.  Members whose first line
+    fails ``keep`` are passed over without holding their content.
     """
     start, size, damaged = 0, len(data), False
     while start < size:
-        inflater, parts, position = zlib.decompressobj(31), [], start
+        inflater, position = zlib.decompressobj(31), start
+        parts, tested, wanted = [], keep is None, True
         try:
             while position < size and not inflater.eof:
                 piece = data[position : position + FEED_BYTES]
-                parts.append(inflater.decompress(piece))
+                inflated = inflater.decompress(piece)
                 position += len(piece)
+                if wanted:
+                    parts.append(inflated)
+                if not tested and (b"\n" in inflated or inflater.eof):
+                    tested, wanted = True, keep(_cut_line(b"".join(parts))[0])
+                    parts = parts if wanted else []
             complete = inflater.eof
         except zlib.error:
             complete = False
         if complete:
-            yield start, b"".join(parts)
+            if wanted:
+                yield start, b"".join(parts)
             start, damaged = position - len(inflater.unused_data), False
             continue
         if not damaged:
@@ -52,6 +65,21 @@ def inflate_members(data: memoryview) -> Iterator[tuple[int, bytes | None]]:
         start = _next_signature(data, start + 1)
 
 
+def mentions(hosts: Iterable[str]) -> HeaderTest:
+    """Header test: the line holds one of the host names, in any letter case.
+
+    Coarser than a test of the site, so that one can follow.
+    """
+    names = [host.lower() for host in hosts]
+    return lambda line: any(name in line.lower() for name in names)
+
+
+def lists(urls: Iterable[str]) -> HeaderTest:
+    """Header test: the line's URL is one of these."""
+    wanted = frozenset(urls)
+    return lambda line: line.split(" ", 1)[0] in wanted
+
+
 def _next_signature(data: memoryview, start: int) -> int:
     step = 1 << 20
     while start < len(data):
@@ -62,12 +90,14 @@ def _next_signature(data: memoryview, start: int) -> int:
     return len(data)
 
 
-def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split_batches(
+    batches: Iterator[pa.RecordBatch], keep: HeaderTest | None
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths = batch.column(0)
         for row, content in enumerate(batch.column(1)):
             path, held, pending = paths[row].as_py(), 0, []
-            for offset, member in inflate_members(memoryview(content.as_buffer())):
+            for offset, member in inflate_members(memoryview(content.as_buffer()), keep):
                 if offset == 0:
                     continue  # the file's own header record
                 header, rest = (None, None) if member is None else _cut_line(member)
@@ -104,9 +134,14 @@ def archive_files(
     return files.select(without_prefix(F.col("path"), prefix).alias("arc_path"), "content")
 
 
-def split_members(files: DataFrame) -> DataFrame:
-    """``header`` line and ``rest`` of each gzip member after a file's first; null if damaged."""
-    return files.select("arc_path", "content").mapInArrow(_split_batches, MEMBER_SCHEMA)
+def split_members(files: DataFrame, keep: HeaderTest | None = None) -> DataFrame:
+    """``header`` line and ``rest`` of each gzip member after a file's first; null if damaged.
+
+    With ``keep`` the payloads of other members stay out of the exchange with Python.
+    """
+    return files.select("arc_path", "content").mapInArrow(
+        lambda batches: _split_batches(batches, keep), MEMBER_SCHEMA
+    )
 
 
 def parse_header(df: DataFrame, line: str = "header") -> DataFrame:
@@ -162,10 +197,17 @@ def readable(records: DataFrame) -> DataFrame:
 
 
 def scan_arc(
-    spark: SparkSession, paths: str | list[str], name_part: str = ".arc.gz", prefix: str = ""
+    spark: SparkSession,
+    paths: str | list[str],
+    name_part: str = ".arc.gz",
+    prefix: str = "",
+    keep: HeaderTest | None = None,
 ) -> DataFrame:
-    """All records of archive files, damaged ones included: see ``status``."""
-    return parse_records(split_members(archive_files(spark, paths, name_part, prefix)))
+    """All records of archive files, damaged ones included: see ``status``.
+
+    ``keep`` (:func:`mentions`, :func:`lists`) leaves out sound members by their header line.
+    """
+    return parse_records(split_members(archive_files(spark, paths, name_part, prefix), keep))
 
 
 def scan_listed_arc(
@@ -174,6 +216,7 @@ def scan_listed_arc(
     wanted: DataFrame,
     prefix: str = "",
     max_files: int = MAX_LISTED_FILES,
+    keep: HeaderTest | None = None,
 ) -> DataFrame:
     """Records of the archives named in ``wanted.arc_path``; other files are not opened.
 
@@ -184,6 +227,6 @@ def scan_listed_arc(
     if not head:
         return parse_records(spark.createDataFrame([], MEMBER_SCHEMA))
     if len(head) <= max_files:
-        return scan_arc(spark, [prefix + path for path in head], prefix=prefix)
-    files = archive_files(spark, root, prefix=prefix).join(listed, "arc_path", "left_semi")
-    return parse_records(split_members(files))
+        return scan_arc(spark, [prefix + path for path in head], prefix=prefix, keep=keep)
+    files = join_list(archive_files(spark, root, prefix=prefix), listed, ["arc_path"], "left_semi")
+    return parse_records(split_members(files, keep))

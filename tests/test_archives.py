@@ -123,6 +123,27 @@ def test_time_does_not_depend_on_the_session_zone(spark, folder):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_header_tests_leave_out_other_members(spark, folder, records):
+    prefix = f"file:{folder}/"
+    urls = {"http://a.com/latin", "http://b.org/1", "http://a.com/missing"}
+    by_url = arc.readable(arc.scan_arc(spark, str(folder), prefix=prefix, keep=arc.lists(urls)))
+    want = arc.readable(records).where(F.col("url").isin(list(urls)))
+    assert sorted(by_url.collect()) == sorted(want.collect())
+    by_host = arc.scan_arc(spark, str(folder), prefix=prefix, keep=arc.mentions(["B.org"]))
+    assert {r["url"] for r in arc.readable(by_host).collect()} == {"http://b.org/1"}
+    # damage is still reported
+    assert by_host.where("status = 'BAD_GZIP'").count() == 2
+
+
+def test_long_header_line_is_tested_whole():
+    import random
+
+    noise = random.Random(2).randbytes(200_000).hex()
+    data = OPENING + member(f"http://a.com/{noise}end", b"x")
+    kept = list(arc.inflate_members(memoryview(data), lambda line: "end 1.2.3.4" in line))
+    assert [o for o, _ in kept] == [len(OPENING)]
+
+
 def test_large_member_spans_feeds(spark):
     import random
 
