@@ -338,7 +338,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # profiles
         "html_select_text": _html_select_text,
         "profile_pages": lambda s, d: pages.profile_pages(_profiles(s, d)).select("url", "html"),
-        "profile_country": lambda s, d: profiles.profile_country(_profiles(s, d), ordered=True),
+        "profile_country": lambda s, d: profiles.profile_country(_profiles(s, d)),
         "profiles_in_countries": lambda s, d: profiles.profiles_in_countries(_profiles(s, d), COUNTRIES),
         # whole jobs
         "vacancy_archives": _vacancy_archives,

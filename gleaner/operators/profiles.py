@@ -11,6 +11,7 @@ from gleaner.functions.html import joined, select_texts
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import with_domains
 from gleaner.operators.pages import PROFILE_PATH
+from gleaner.session import cut_lineage
 
 # The sites, and the elements that hold a profile's fields.
 LINKEDIN, VIADEO, XING = "linkedin.com", "viadeo.com", "xing.com"
@@ -62,9 +63,11 @@ def profile_country(
     """``url, country`` per profile page; ``ordered`` sorts by URL.
 
     The country may be empty.  A professional-network page without a full name gives no row.
+    Rows are stored before they are sorted: a sort samples its input first, and would have
+    every page parsed twice.
     """
     df = _with_country(pages, rules, strict).select("url", "country")
-    return df.orderBy("url") if ordered else df
+    return cut_lineage(df).orderBy("url") if ordered else df
 
 
 def profiles_in_countries(

@@ -17,6 +17,7 @@ def local_session(cpus: str = "*", app: str = "gleaner", partitions: int = 8) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # call sites in error messages cost several calls per expression built
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()

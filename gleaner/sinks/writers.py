@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import cut_lineage
+
 
 def arranged(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """Rows clustered by ``keys`` into key-sorted files.
 
     Ranges, not hashes: give a fine-grained key last (``domain_id, url``) and the
-    rows of one frequent first key spread over several files.
+    rows of one frequent first key spread over several files.  Ranges are found by
+    sampling, so ``df`` is stored first and not computed twice.
     """
+    df = cut_lineage(df)
     columns = [F.col(k) for k in keys]
     spread = (
         df.repartitionByRange(num_partitions, *columns)

@@ -17,7 +17,7 @@ from gleaner.operators.joins import join_list
 from gleaner.sources.records import without_prefix
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
-FEED_BYTES = 1 << 16
+FEED_BYTES = 1 << 14
 FLUSH_BYTES = 1 << 23
 
 MEMBER_SCHEMA = "arc_path string, arc_offset long, header string, rest binary"

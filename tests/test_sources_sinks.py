@@ -50,7 +50,8 @@ def test_tsv_sink_modes_and_layout(spark, tmp_path):
     files = sorted((tmp_path / "out").glob("part-*"))
     assert len(files) == 4  # the frequent key is spread over files
     for file in files:
-        numbers = [(k, int(v)) for k, v in (line.split("\t") for line in file.read_text().split("\n") if line)]
+        lines = [line.split("\t") for line in file.read_text().split("\n") if line]
+        numbers = [(k, int(v)) for k, v in lines]
         assert numbers == sorted(numbers)
     writers.write_tsv(df, path, mode="overwrite", num_partitions=2)
     assert got(src.scan_tsv(spark, path, "d string, n int")) == got(df)
