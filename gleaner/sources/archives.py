@@ -129,8 +129,8 @@ def archive_files(
     Files are about 100 MB and cannot be split, so the scan gives each its own task;
     ``spark.sql.files.maxPartitionBytes`` bounds how many small ones share one.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{name_part}*")
-    files = reader.load(paths)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", f"*{name_part}*").load(paths)
     return files.select(without_prefix(F.col("path"), prefix).alias("arc_path"), "content")
 
 
@@ -217,12 +217,17 @@ def scan_listed_arc(
     prefix: str = "",
     max_files: int = MAX_LISTED_FILES,
     keep: HeaderTest | None = None,
+    skip_missing: bool = False,
 ) -> DataFrame:
     """Records of the archives named in ``wanted.arc_path``; other files are not opened.
 
-    A list too long for the driver leaves the pruning to a semi-join on the path.
+    A listed file that does not exist raises; with ``skip_missing`` the files below
+    ``root`` are listed first, and only those found are read.  A list too long for the
+    driver leaves the pruning to a semi-join on the path.
     """
     listed = wanted.select("arc_path").where("arc_path IS NOT NULL").distinct()
+    if skip_missing:
+        listed = join_list(_file_paths(spark, root, prefix), listed, ["arc_path"], "left_semi")
     head = [row["arc_path"] for row in listed.limit(max_files + 1).collect()]
     if not head:
         return parse_records(spark.createDataFrame([], MEMBER_SCHEMA))
@@ -230,3 +235,8 @@ def scan_listed_arc(
         return scan_arc(spark, [prefix + path for path in head], prefix=prefix, keep=keep)
     files = join_list(archive_files(spark, root, prefix=prefix), listed, ["arc_path"], "left_semi")
     return parse_records(split_members(files, keep))
+
+
+def _file_paths(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(without_prefix(F.col("path"), prefix).alias("arc_path"))

@@ -167,6 +167,15 @@ def test_listed_archives(spark, folder, max_files):
     assert [(r["arc_path"], r["url"]) for r in df.collect()] == [("two.arc.gz", "http://b.org/1")]
 
 
+def test_listed_archives_that_do_not_exist(spark, folder):
+    prefix = f"file:{folder}/"
+    wanted = spark.createDataFrame([("two.arc.gz",), ("gone.arc.gz",)], "arc_path string")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        arc.scan_listed_arc(spark, str(folder), wanted, prefix).collect()
+    df = arc.scan_listed_arc(spark, str(folder), wanted, prefix, skip_missing=True)
+    assert [r["url"] for r in df.collect()] == ["http://b.org/1"]
+
+
 def test_no_archives_listed(spark, folder):
     wanted = spark.createDataFrame([], "arc_path string")
     assert arc.scan_listed_arc(spark, str(folder), wanted).count() == 0
