@@ -104,6 +104,18 @@ def _scan_seq(spark, sf):
     return src.scan_seq(spark, path, "html").select("url", F.md5("html").alias("html_md5"))
 
 
+def _write_tsv(spark, sf):
+    path = _folder(spark)
+    writers.write_tsv(_indexed(spark, sf), path, num_partitions=2)
+    return spark.read.text(path)
+
+
+def _write_seq(spark, sf):
+    path = _folder(spark)
+    writers.write_seq(profiles.profile_country(_profiles(spark, sf)), path)
+    return src.scan_seq(spark, path, "country")
+
+
 def _write_pages(spark, sf):
     path = _folder(spark)
     writers.write_pages(_pages(spark, sf).select("url", "html"), path)
@@ -291,6 +303,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "with_source_file": lambda s, d: src.with_source_file(_pages(s, d)).select("url", "meta_file"),
         "scan_tsv": _scan_tsv,
         "scan_seq": _scan_seq,
+        "write_tsv": _write_tsv,
+        "write_seq": _write_seq,
         "write_pages": _write_pages,
         "scan_arc": _scan_arc,
         "scan_arc_status": _scan_status,
@@ -513,6 +527,9 @@ def oracle_sql() -> dict[str, str]:
         "with_source_file": "SELECT url, 'pages.parquet' AS meta_file FROM pages",
         "scan_tsv": f"WITH {_META} SELECT domain_id, url FROM dom",
         "scan_seq": "SELECT url, md5(html) AS html_md5 FROM pages",
+        "write_tsv": f"""WITH {_META}, {_INDEX}
+            SELECT concat_ws(chr(9), domain_id, url, meta_file, arc_file, arc_offset) AS value FROM idx""",
+        "write_seq": f"WITH {_PROFILES} SELECT url, country FROM located",
         "write_pages": "SELECT url, octet_length(encode(html)) AS n_bytes FROM pages",
         "scan_arc": f"""WITH {_records_sql()}
             SELECT arc_path, status,

@@ -19,12 +19,23 @@ def scan_pages(spark: SparkSession, path: str | list[str], name_part: str = "")
 
 
 def scan_seq(
-    spark: SparkSession, path: str, value: str = "value", name_part: str = ""
+    spark: SparkSession,
+    path: str,
+    value: str = "value",
+    name_part: str = "",
+    source_file: str = "",
 ) -> DataFrame:
-    """SequenceFile of (Text url, Text value) as two string columns."""
+    """SequenceFile of (Text url, Text value) as two string columns.
+
+    ``source_file`` names a further column for the name of the file each row came from.
+    """
     target = f"{path.rstrip('/')}/*{name_part}*" if name_part else path
     rows = spark.sparkContext.sequenceFile(target, TEXT_CLASS, TEXT_CLASS)
-    return spark.createDataFrame(rows, f"url string, {value} string")
+    df = spark.createDataFrame(rows, f"url string, {value} string")
+    if not source_file:
+        return df
+    # every partition is a part of one file, so the name holds for all its rows
+    return df.withColumn(source_file, F.substring_index(F.input_file_name(), "/", -1))
 
 
 def _tsv_fields(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Column, list]:

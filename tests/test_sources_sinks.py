@@ -24,6 +24,16 @@ def test_sequence_file_round_trip(spark, pages, tmp_path):
     assert got(src.scan_seq(spark, path, "html", "part-")) == got(pages)
 
 
+def test_sequence_files_know_their_names(spark, pages, tmp_path):
+    for i in range(5):
+        part = pages.withColumn("html", F.concat(F.lit(f"metadata-{i}:"), "url"))
+        writers.write_seq(part.coalesce(1), str(tmp_path / "parts" / str(i)))
+        (tmp_path / "parts" / str(i) / "part-00000").rename(tmp_path / f"metadata-{i}")
+    df = src.scan_seq(spark, str(tmp_path), "html", "metadata-", source_file="meta_file")
+    assert df.count() == 100
+    assert df.where("meta_file <> substring_index(html, ':', 1)").count() == 0
+
+
 def test_tsv_keeps_quotes_and_drops_misfits(spark, tmp_path):
     path = tmp_path / "t.tsv"
     path.write_text('com\thttp://a.com/"x"\nno tab\norg\thttp://b.org/,\n')
