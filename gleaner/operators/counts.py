@@ -13,23 +13,6 @@ HTTP_OK = 200
 STATUSES = (
     "INVALID_URIS", "INVALID_DOMAIN", "MISSING_HTTPCODE", "HTTP_SUCCESS", "HTTP_FAIL", "EXCEPTIONS",
 )
-_CORRUPT = "_corrupt"
-
-
-def json_fields(json: Column, schema: str) -> Column:
-    """Struct of text fields from one parse of the JSON; ``_corrupt`` is set if it is no object."""
-    return F.from_json(
-        json,
-        f"{schema}, {_CORRUPT} string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
-    )
-
-
-def is_object(json: Column, parsed: Column) -> Column:
-    """True if the JSON text was an object that could be parsed."""
-    return F.coalesce(
-        parsed[_CORRUPT].isNull() & F.ltrim(json).startswith("{"), F.lit(False)
-    )
 
 
 def http_code(value: Column) -> Column:
@@ -46,25 +29,23 @@ def with_status(
     """
     df = with_domains(metadata, rules=rules, strict=strict)
     json = F.when(F.col("host_domain").isNotNull(), F.col("json"))
-    df = with_once(df, "_j", json_fields(json, "http_result string"))
-    result = F.col("_j.http_result")
-    # a field holding JSON null is present but no number; only such rows are parsed again
-    absent = F.coalesce(
-        ~F.array_contains(F.json_object_keys("json"), "http_result"), F.lit(True)
-    )
+    df = with_once(df, "_result", F.get_json_object(json, "$.http_result"))
+    result = F.col("_result")
+    # null for text that is no JSON object; only rows without a result are parsed again
+    keys = F.json_object_keys("json")
+    absent = F.coalesce(~F.array_contains(keys, "http_result"), F.lit(False))
     status = (
         F.when(
             F.col("host").isNull(),
             F.when(is_malformed(F.col("url")), "EXCEPTIONS").otherwise("INVALID_URIS"),
         )
         .when(F.col("host_domain").isNull(), "INVALID_DOMAIN")
-        .when(~is_object(F.col("json"), F.col("_j")), "EXCEPTIONS")
         .when(result.isNull(), F.when(absent, "MISSING_HTTPCODE").otherwise("EXCEPTIONS"))
         .when((result == str(HTTP_OK)) | (http_code(result) == HTTP_OK), "HTTP_SUCCESS")
         .when(http_code(result).isNotNull(), "HTTP_FAIL")
         .otherwise("EXCEPTIONS")
     )
-    return df.withColumn("status", status).drop("_j")
+    return df.withColumn("status", status).drop("_result")
 
 
 def url_status_counts(metadata: DataFrame, **domains) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import with_domains
-from gleaner.operators.counts import is_object, json_fields
 from gleaner.operators.joins import BROADCAST_BYTES, join_list
 
 # The corpus's own field names, its misspelling included.
@@ -17,6 +16,23 @@ ARCHIVE_FIELDS = (
     "arcFileParition:string, arcFileOffset:string>"
 )
 ARCHIVE_SUFFIX = ".arc.gz"
+_CORRUPT = "_corrupt"
+
+
+def _json_fields(json: Column, schema: str) -> Column:
+    """Struct of text fields from one parse of the JSON; ``_corrupt`` is set if it is no object."""
+    return F.from_json(
+        json,
+        f"{schema}, {_CORRUPT} string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
+    )
+
+
+def _is_object(json: Column, parsed: Column) -> Column:
+    """True if the JSON text was an object that could be parsed."""
+    return F.coalesce(
+        parsed[_CORRUPT].isNull() & F.ltrim(json).startswith("{"), F.lit(False)
+    )
 
 
 def archive_name(segment: Column, date: Column, partition: Column) -> Column:
@@ -33,7 +49,7 @@ def arc_lookup_index(
     without any of the four archive fields are dropped; the HTTP result plays no part.
     """
     df = with_domains(metadata, rules=rules, strict=strict)
-    df = with_once(df, "_j", json_fields(F.col("json"), ARCHIVE_FIELDS))
+    df = with_once(df, "_j", _json_fields(F.col("json"), ARCHIVE_FIELDS))
     info = F.col("_j")["archiveInfo"]
     df = df.select(
         "domain_id",
@@ -42,7 +58,7 @@ def arc_lookup_index(
         archive_name(
             info["arcSourceSegmentId"], info["arcFileDate"], info["arcFileParition"]
         ).alias("arc_file"),
-        F.when(is_object(F.col("json"), F.col("_j")), info["arcFileOffset"])
+        F.when(_is_object(F.col("json"), F.col("_j")), info["arcFileOffset"])
         .try_cast("bigint")
         .alias("arc_offset"),
     )

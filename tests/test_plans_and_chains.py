@@ -22,7 +22,7 @@ def test_count_has_one_shuffle_after_partial_counts(page_table):
 
 def test_costly_columns_are_computed_once(page_table):
     text = plan(counts.count_urls_per_domain(fx.metadata(page_table)))
-    assert text.count("from_json") == 1
+    assert text.count("get_json_object") == 1
     assert text.count("ParseUrlEvaluator(null,HOST") == 1
 
 
