@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping
 from html.parser import HTMLParser
 
@@ -41,6 +42,7 @@ class _Selector(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.wanted = wanted
         self.stack: list[tuple[str, int]] = []  # open tags, each with the texts it opened
+        self.places: dict[str, list[int]] = defaultdict(list)  # stack positions by tag
         self.open: list[list[str]] = []
         self.found: dict[str, list[list[str]]] = {name: [] for name in wanted}
 
@@ -65,6 +67,7 @@ class _Selector(HTMLParser):
                     self.open.append(pieces)
                     opened += 1
         if tag not in VOID_TAGS:
+            self.places[tag].append(len(self.stack))
             self.stack.append((tag, opened))
         elif opened:
             del self.open[-opened:]
@@ -74,10 +77,19 @@ class _Selector(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                self._close(depth)
-                return
+        depth = self._last({tag})
+        if depth >= 0:
+            self._close(depth)
+
+    def parse_marked_section(self, i, report=1):
+        # CDATA holds text, any other marked section is a comment
+        if not self.rawdata.startswith("<![CDATA[", i):
+            return self.parse_bogus_comment(i)
+        end = self.rawdata.find("]]>", i)
+        if end < 0:
+            return -1
+        self.handle_data(self.rawdata[i + 9 : end])
+        return end + 3
 
     def handle_data(self, data):
         if self.open and self.stack[-1][0] not in ("script", "style"):
@@ -87,20 +99,20 @@ class _Selector(HTMLParser):
         for pieces in self.open:
             pieces.append(data)
 
+    def _last(self, tags):
+        return max((self.places[tag][-1] for tag in tags if self.places[tag]), default=-1)
+
     def _close(self, depth):
-        ended = sum(opened for _, opened in self.stack[depth:])
-        if ended:
-            del self.open[-ended:]
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, opened = self.stack.pop()
+            self.places[tag].pop()
+            if opened:
+                del self.open[-opened:]
 
     def _end_implied(self, kinds, containers):
-        for depth in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[depth][0]
-            if tag in kinds:
-                self._close(depth)
-                return
-            if tag in containers:
-                return
+        depth = self._last(kinds)
+        if depth > self._last(containers):
+            self._close(depth)
 
 
 def select_page(html: str, wanted: Mapping[str, tuple[str, str]]) -> dict[str, list[str]]:
@@ -120,16 +132,22 @@ def select_page(html: str, wanted: Mapping[str, tuple[str, str]]) -> dict[str, l
 def select_texts(html: Column, wanted: Mapping[str, tuple[str, str]]) -> Column:
     """Struct of text arrays, one per named (tag, class) selector; a page is parsed once.
 
-    The class attribute must equal the value as a whole, in any letter case.
+    The class attribute must equal the value as a whole, in any letter case.  The arrays
+    are null for a null page and for one that cannot be parsed.
     """
     chosen = {name: (tag.lower(), cls.strip().lower()) for name, (tag, cls) in wanted.items()}
     fields = [StructField(name, ArrayType(StringType())) for name in chosen]
 
+    nothing = dict.fromkeys(chosen)
+
+    def select_or_nothing(page):
+        try:
+            return nothing if page is None else select_page(page, chosen)
+        except Exception:  # one page that cannot be parsed must not end the job
+            return nothing
+
     def select_batch(pages: pd.Series) -> pd.DataFrame:
-        rows = [
-            {name: None for name in chosen} if page is None else select_page(page, chosen)
-            for page in pages
-        ]
+        rows = [select_or_nothing(page) for page in pages]
         return pd.DataFrame(rows, columns=list(chosen), dtype=object)
 
     # non-deterministic only in name: it keeps a filter on the result from running it twice

@@ -26,6 +26,8 @@ BAD_HEADER_LINE = r"\n(?![ \t])(?::|[^:\n]*(?:\n|$))"
 # Names of the charsets decoded inside the JVM.
 LATIN_NAMES = ["", "ISO-8859-1", "ISO8859-1", "ISO_8859-1", "LATIN1", "L1"]
 UTF8_NAMES = ["UTF-8", "UTF8"]
+# Python's own text codecs, which are no charsets of web pages.
+PYTHON_CODECS = {"idna", "punycode", "raw-unicode-escape", "undefined", "unicode-escape", "utf-7"}
 
 
 def _latin(data: Column) -> Column:
@@ -86,9 +88,11 @@ def _decode_other(body: pd.Series, charset: pd.Series) -> pd.Series:
             return None
         try:
             codec = codecs.lookup(name).name
-        except LookupError:
-            codec = "latin-1"
-        return bytes(data).decode(codec, "replace")
+            if codec not in PYTHON_CODECS:
+                return bytes(data).decode(codec, "replace")
+        except (LookupError, ValueError):
+            pass
+        return bytes(data).decode("latin-1")
 
     return pd.Series([decoded(d, n) for d, n in zip(body, charset, strict=True)], dtype=object)
 

@@ -48,7 +48,7 @@ def _with_country(pages: DataFrame, rules: SuffixRules, strict: bool) -> DataFra
     )
     named = F.exists(F.col("_t.full_name"), lambda t: t != "")
     return (
-        df.where((site != LINKEDIN) | named)
+        df.where(F.col("_t.full_name").isNotNull() & ((site != LINKEDIN) | named))
         .withColumn("country", country)
         .select("url", "html", "country")
     )

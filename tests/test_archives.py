@@ -31,6 +31,9 @@ MEMBERS = [
     ("cp1252", member("http://a.com/cp", response(b"text/html; charset=windows-1252", b"\x80")), "OK", "€"),
     ("quoted", member("http://a.com/q", response(b'text/html; charset="UTF-8"', "é".encode())), "OK", "é"),
     ("unknown", member("http://a.com/u", response(b"text/html; charset=nope", b"\xe9")), "OK", "é"),
+    ("codec", member("http://a.com/k", response(b"text/html; charset=base64", b"\xe9")), "OK", "é"),
+    ("escape", member("http://a.com/r", response(b"text/html; charset=unicode_escape", b"\\u41")), "OK", "\\u41"),
+    ("null name", member("http://a.com/o", response(b"text/html; charset=a\x00b", b"\xe9")), "OK", "é"),
     ("broken utf8", member("http://a.com/b", response(b"text/html; charset=utf-8", b"a\xffb")), "OK", "a�b"),
     ("no head", member("http://a.com/n", b"just text"), "OK", None),
     ("no colon", member("http://a.com/c", b"HTTP/1.0 200 OK\r\nbad\r\n\r\nx"), "OK", None),

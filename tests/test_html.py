@@ -21,6 +21,10 @@ PAGES = [
     ("<span class='country-name'> \n </span>", [""]),
     ("<span class='country-name'>a<img><hr>b", ["a b"]),
     ("</span></div><span class='country-name'>a</p>b</span>", ["ab"]),
+    ("<![foo[ x><span class='country-name'>a</span>", ["a"]),
+    ("<span class='country-name'>a<![CDATA[b<c]]></span>", ["ab<c"]),
+    ("<span class='country-name'>a<![CDATA[b", ["a<![CDATA[b"]),
+    ("<span class='country-name'>a<!bad x>b<?php y?>c</span>", ["abc"]),
     ("plain text", []),
     ("", []),
 ]
@@ -46,6 +50,25 @@ def test_implied_ends(tag, html, texts):
     assert select_page(html, {"x": (tag, "c")}) == {"x": texts}
 
 
+def test_any_markup_is_survived():
+    import random
+
+    rng = random.Random(3)
+    pieces = ["<", ">", "</", "<!", "<!--", "-->", "<![", "]]>", "<?", "&", "&#x", "'", '"', "=", " ", "p", "li",
+              "<span class='country-name'>", "</span>", "<script>", "</script>", "<td>", "<p>", "<ul>", "<br/>", "\0"]
+    for _ in range(3000):
+        select_page("".join(rng.choices(pieces, k=rng.randint(1, 25))) + "country-name", WANTED)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    page = "<p><table>" + "<i>" * 100_000 + "<div></b>" * 50_000 + "<span class=country-name>x"
+    start = time.time()
+    assert select_page(page, WANTED) == {"x": ["x"]}
+    assert time.time() - start < 30
+
+
 def test_column_form(spark):
     df = spark.createDataFrame([(h,) for h, _ in PAGES] + [(None,)], "html string")
     rows = df.select(select_text(F.col("html"), "span", "country-name").alias("t")).collect()
@@ -76,6 +99,7 @@ PROFILES = [
     ("http://xing.com/Profile/3", '<li class="country-name">a</li>', None),
     ("http://other.com/profile/1", '<li class="country-name">a</li>', None),
     ("mailto:x", NAME, None),
+    ("http://xing.com/profile/null", None, None),
 ]
 
 
