@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.text import matches, matches_text
 from gleaner.functions.urls import with_domains
@@ -24,16 +25,11 @@ def _with_matches(
         keywords = [k.lower() for k in keywords]
     df = with_domains(pages, rules=rules, strict=strict).where("domain_id IS NOT NULL")
     df = df.select("domain_id", "url", F.lower("text").alias("_text"))
-    return df.select("domain_id", "url", matches(F.col("_text"), keywords).alias("found"))
+    return with_once(df, "found", matches(F.col("_text"), keywords)).drop("_text")
 
 
 def _one_row_each(df: DataFrame) -> DataFrame:
-    # outer, then a test on the result: a filter on the array would compute it twice
-    return (
-        df.select("domain_id", "url", F.explode_outer("found").alias("m"))
-        .where("m IS NOT NULL")
-        .select("domain_id", "url", F.col("m.keyword"), F.col("m.freq"))
-    )
+    return df.select("domain_id", "url", F.inline("found"))
 
 
 def keyword_matches(
@@ -61,10 +57,8 @@ def keyword_matches_concat(
 
     Built inside the row, so it needs no grouping however often a URL occurs.
     """
-    df = _with_matches(pages, keywords, mode, rules, strict)
-    return df.select("domain_id", "url", matches_text(F.col("found")).alias("matches")).where(
-        "matches <> ''"
-    )
+    df = _with_matches(pages, keywords, mode, rules, strict).where(F.size("found") > 0)
+    return df.select("domain_id", "url", matches_text(F.col("found")).alias("matches"))
 
 
 def vacancy_candidates(
@@ -85,8 +79,7 @@ def vacancy_candidates(
         if len(set(keywords)) < min_keywords:
             df = df.where(F.lit(False))
         return _one_row_each(df)
-    enough = F.when(F.size("found") >= min_keywords, F.col("found"))
-    return _one_row_each(df.withColumn("found", enough))
+    return _one_row_each(df.where(F.size("found") >= min_keywords))
 
 
 def packed_key(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import with_once
 from gleaner.operators.joins import BROADCAST_BYTES, join_list, measured_bytes
 from gleaner.session import cut_lineage
 
@@ -104,7 +105,7 @@ def stratified_sample(
     urls = rows.where("domain_id IS NOT NULL AND url IS NOT NULL").select("domain_id", "url")
     if dice:
         urls = urls.where(accepted_by_die(F.col("url"), seed))
-    urls = urls.withColumn("_order", order_key(F.col("url"), seed))
+    urls = with_once(urls, "_order", order_key(F.col("url"), seed))
     urls = urls.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     quotas = sample_quota(stat, sample_size).select("domain_id", "quota")
     reached = cut_lineage(_open_buckets(urls, quotas))

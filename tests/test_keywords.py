@@ -99,10 +99,11 @@ def test_candidate_counts_skip_nulls(spark):
 
 
 def test_search_is_narrow(texts):
-    df = kw.vacancy_candidates(texts, KEYS)
-    assert exchanges(df) == 0 and "Join" not in plan(df)
-    # the scan for keywords appears once in the plan
-    assert plan(df).count("transform(") == 1
+    for search in (kw.keyword_matches, kw.vacancy_candidates, kw.keyword_matches_concat):
+        df = search(texts, KEYS)
+        assert exchanges(df) == 0 and "Join" not in plan(df)
+        # the scan for keywords appears once in the plan
+        assert plan(df).count("Contains(") == 1
 
 
 def test_distinct_counts_spread_a_frequent_domain(texts):
