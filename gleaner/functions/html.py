@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -32,7 +32,8 @@ IMPLIED_ENDS = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
 }
-ENCODED_CLASS = regex.compile(r"class\s*=\s*[^>]*&", regex.IGNORECASE)
+# Letters, digits and hyphens have no named character reference, only numbered ones.
+PLAIN_CLASS = re.compile(r"[a-z0-9-]*")
 
 
 class _Selector(HTMLParser):
@@ -117,8 +118,10 @@ class _Selector(HTMLParser):
 
 def select_page(html: str, wanted: Mapping[str, tuple[str, str]]) -> dict[str, list[str]]:
     """Normalised texts of the wanted elements of one page, in document order."""
+    classes = [cls for _, cls in wanted.values()]
     lowered = html.lower()
-    if not ENCODED_CLASS.search(html) and not any(c in lowered for _, c in wanted.values()):
+    encoded = "&#" if all(PLAIN_CLASS.fullmatch(c) for c in classes) else "&"
+    if encoded not in html and not any(c in lowered for c in classes):
         return {name: [] for name in wanted}
     parser = _Selector(wanted)
     parser.feed(html)

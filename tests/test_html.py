@@ -50,6 +50,10 @@ def test_implied_ends(tag, html, texts):
     assert select_page(html, {"x": (tag, "c")}) == {"x": texts}
 
 
+def test_classes_with_named_references():
+    assert select_page("<b class='a&lowbar;b'>x</b>", {"x": ("b", "a_b")}) == {"x": ["x"]}
+
+
 def test_any_markup_is_survived():
     import random
 
