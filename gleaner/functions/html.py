@@ -87,10 +87,32 @@ class _Selector(HTMLParser):
         if not self.rawdata.startswith("<![CDATA[", i):
             return self.parse_bogus_comment(i)
         end = self.rawdata.find("]]>", i)
-        if end < 0:
-            return -1
-        self.handle_data(self.rawdata[i + 9 : end])
-        return end + 3
+        self.handle_data(self.rawdata[i + 9 : end if end >= 0 else None])
+        return end + 3 if end >= 0 else len(self.rawdata)
+
+    # A page is fed whole, so markup without an end lasts to the end of the page.  Taken up
+    # again behind its first character, it would be searched once per such character.
+
+    def parse_comment(self, i, report=1):
+        return self._or_all(super().parse_comment(i, report))
+
+    def parse_bogus_comment(self, i, report=1):
+        return self._or_all(super().parse_bogus_comment(i, report))
+
+    def parse_pi(self, i):
+        return self._or_all(super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        return self._or_all(super().parse_html_declaration(i))
+
+    def parse_starttag(self, i):
+        return self._or_all(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._or_all(super().parse_endtag(i))
+
+    def _or_all(self, end):
+        return end if end >= 0 else len(self.rawdata)
 
     def handle_data(self, data):
         if self.open and self.stack[-1][0] not in ("script", "style"):
