@@ -93,3 +93,19 @@ def test_row_wise_stages_accept_a_stream(spark, sf_dir, tmp_path):
     )
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == fx.table(spark, sf_dir, "pages").count()
+
+
+def test_task_functions_need_no_package_on_the_workers(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gleaner.functions import html
+
+    file = tmp_path / "functions"
+    file.write_bytes(cloudpickle.dumps((arc._split_batches, arc.mentions(["a.b"]), html.select_page)))
+    code = f"import pickle, sys; pickle.load(open({str(file)!r}, 'rb')); assert 'gleaner' not in sys.modules"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
