@@ -73,8 +73,7 @@ def sample_arc_files(
     Repeated URLs multiply, and the sample's own domain is kept beside the index's.
     """
     chosen = sample.select(F.col("domain_id").alias("sample_domain_id"), "url")
-    spread_by = ["arc_file", "arc_offset", "meta_file"]
-    joined = join_list(index, chosen, ["url"], "inner", spread_by, max_bytes)
+    joined = join_list(index, chosen, ["url"], "inner", max_bytes)
     return joined.select(
         "domain_id", "url", "meta_file", "arc_file", "arc_offset", "sample_domain_id",
         F.concat(F.lit(base), F.col("arc_file")).alias("arc_path"),

@@ -1,8 +1,7 @@
 """Joins of a large table with a list.
 
-A list is broadcast only after its size has been measured.  A longer one is joined
-by a shuffle in which each key is spread over several tasks, so that one frequent
-key of the large side does not end in one of them.
+A list is broadcast only after its size has been measured.  A longer one is joined by a
+shuffle on the keys, in which adaptive execution splits the tasks of frequent keys.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 ROW_OVERHEAD = 32
-SPREAD = 16
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -29,34 +27,16 @@ def join_list(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    spread_by: Sequence[str] = (),
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``big`` joined with ``small`` on equal columns; ``how`` is inner or left_semi.
+    """``big`` joined with ``small`` on equal columns; ``how`` is inner, left or left_semi.
 
     ``small`` is read twice (measured, then joined): hand over a stored table or the
-    result of ``cut_lineage`` if it is costly.  ``spread_by`` names columns of ``big``
-    whose values differ between rows of one key; they pick the task in the shuffle.
+    result of ``cut_lineage`` if it is costly.
     """
     keys = list(on)
     if how == "left_semi":
         small = small.select(*keys).distinct()
     if measured_bytes(small) <= max_bytes:
         return big.join(F.broadcast(small), keys, how)
-    return spread_join(big, small, keys, how, spread_by)
-
-
-def spread_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] = (),
-) -> DataFrame:
-    """Shuffle join in which every key occupies up to ``SPREAD`` tasks."""
-    others = list(spread_by) or [c for c in big.columns if c not in keys]
-    part = F.pmod(F.xxhash64(*others), F.lit(SPREAD)) if others else F.lit(0).cast("bigint")
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))
-    left = big.withColumn("_part", part)
-    right = small.withColumn("_part", copies)
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    return big.join(small.hint("merge"), keys, how)

@@ -58,7 +58,7 @@ def archive_prune(
     """Rows from listed archives.  To skip the other files altogether, scan with
     ``sources.archives.scan_listed_arc``."""
     wanted = archives.where("arc_path IS NOT NULL")
-    return join_list(records, wanted, ["arc_path"], "left_semi", ["url", "arc_offset"], max_list_bytes)
+    return join_list(records, wanted, ["arc_path"], "left_semi", max_list_bytes)
 
 
 def html_for_urls(
@@ -74,15 +74,12 @@ def html_for_urls(
     in one column and its URL in the other, each on its own.
     """
     kept = filter_html_size(records, max_bytes)
-    spread_by = ["arc_offset"]
     if pairwise:
-        kept = join_list(
-            kept, wanted, ["arc_path", "url"], "left_semi", spread_by, max_list_bytes
-        )
+        kept = join_list(kept, wanted, ["arc_path", "url"], "left_semi", max_list_bytes)
     else:
         kept = archive_prune(kept, wanted, max_list_bytes)
         urls = wanted.where("url IS NOT NULL")
-        kept = join_list(kept, urls, ["url"], "left_semi", spread_by, max_list_bytes)
+        kept = join_list(kept, urls, ["url"], "left_semi", max_list_bytes)
     return arc_html(kept).select("url", "html")
 
 

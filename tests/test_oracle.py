@@ -3,7 +3,7 @@ from oracle import connect, duck_rows, spark_rows
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.core_queries(), entry.core_sql()
 
 
 @pytest.fixture(scope="module")
