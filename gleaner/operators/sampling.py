@@ -47,7 +47,7 @@ def stratum_filter(
     rows: DataFrame, stat: DataFrame, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Rows whose domain is in the statistic."""
-    return join_list(rows, stat, ["domain_id"], "left_semi", ["url"], max_bytes)
+    return join_list(rows, stat, ["domain_id"], "left_semi", max_bytes)
 
 
 def order_key(url: Column, seed: int) -> Column:
