@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import mixing
+from gleaner.llm import mixing, quality, token_orc
 from gleaner.llm.common import table
 
 
+def _op2(spark: SparkSession, sf: str) -> DataFrame:
+    return token_orc.tokenize_to_orc(table(spark, sf, "documents"))
+
+
+def _op5(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf, "documents")).drop("twin")
+
+
 def _op9(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -17,6 +25,8 @@ def _op9(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_orc_token_ids": _op2,
+        "op5_mcd_quality": _op5,
         "op9_sainte_lague_mix": _op9,
     }
 
