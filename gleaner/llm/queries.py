@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import mixing, quality, token_orc
+from gleaner.llm import decontaminate, mixing, quality, token_orc
 from gleaner.llm.common import table
 
 
@@ -14,6 +14,10 @@ def _op2(spark: SparkSession, sf: str) -> DataFrame:
     return token_orc.tokenize_to_orc(table(spark, sf, "documents"))
 
 
+def _op4(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def _op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf, "documents")).drop("twin")
 
@@ -26,6 +30,7 @@ def _op9(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_orc_token_ids": _op2,
+        "op4_minhash_containment": _op4,
         "op5_mcd_quality": _op5,
         "op9_sainte_lague_mix": _op9,
     }
@@ -33,5 +38,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_minhash_containment": decontaminate.LEAKS_SQL,
         "op9_sainte_lague_mix": mixing.mix_sql(),
     }
