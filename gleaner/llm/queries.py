@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, mixing, neardup, quality, repeats, token_orc
+from gleaner.llm import decontaminate, mixing, neardup, pii, quality, repeats, token_orc
 from gleaner.llm.common import table
 
 
@@ -26,6 +26,10 @@ def _op6(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf, "documents")).drop("kept")
 
 
+def _op7(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf, "documents"))
+
+
 def _op8(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), percent=85, width=3)
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_containment": _op4,
         "op5_mcd_quality": _op5,
         "op6_pfp_repeats": _op6,
+        "op7_weak_pii": _op7,
         "op8_hyperminhash_dedup": _op8,
         "op9_sainte_lague_mix": _op9,
     }
