@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, mixing, neardup, pii, quality, repeats, token_orc
+from gleaner.llm import decontaminate, mixing, neardup, pii, pseudo_likelihood, quality, repeats, token_orc
 from gleaner.llm.common import table
 
 
+def _op1(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf, "documents"))
+
+
 def _op2(spark: SparkSession, sf: str) -> DataFrame:
     return token_orc.tokenize_to_orc(table(spark, sf, "documents"))
 
@@ -41,6 +45,7 @@ def _op9(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_masked_pll": _op1,
         "op2_orc_token_ids": _op2,
         "op4_minhash_containment": _op4,
         "op5_mcd_quality": _op5,
