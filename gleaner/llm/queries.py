@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from gleaner.llm import decontaminate, mixing, neardup, pii, pseudo_likelihood, quality, repeats, token_orc
+from pyspark.sql import functions as F
+
+from gleaner.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    neardup,
+    pii,
+    pseudo_likelihood,
+    quality,
+    repeats,
+    revisits,
+    token_orc,
+)
 from gleaner.llm.common import table
 
 
@@ -18,6 +30,10 @@ def _op2(spark: SparkSession, sf: str) -> DataFrame:
     return token_orc.tokenize_to_orc(table(spark, sf, "documents"))
 
 
+def _op3(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(licenses.document_files(table(spark, sf, "documents")))
+
+
 def _op4(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -43,21 +59,30 @@ def _op9(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.page_captures(table(spark, sf, "pages")))
+    return found.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_masked_pll": _op1,
         "op2_orc_token_ids": _op2,
+        "op3_license_scan": _op3,
         "op4_minhash_containment": _op4,
         "op5_mcd_quality": _op5,
         "op6_pfp_repeats": _op6,
         "op7_weak_pii": _op7,
         "op8_hyperminhash_dedup": _op8,
         "op9_sainte_lague_mix": _op9,
+        "op10_revisit_resolution": _op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": licenses.scan_sql(),
         "op4_minhash_containment": decontaminate.LEAKS_SQL,
         "op9_sainte_lague_mix": mixing.mix_sql(),
+        "op10_revisit_resolution": revisits.CAPTURES_SQL,
     }
