@@ -36,7 +36,10 @@ from gleaner.session import store
 SPAN, GRAM = 400, 128
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text worked on at once; a longer text is worked in overlapping parts.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 19
+#: Bytes of distinct phrases that a task orders at once, whole triggers at a time; phrases of
+#: which a task remembers that it has handed on the bytes.
+HELD_BYTES, REMEMBERED = 1 << 20, 200_000
 #: Distinct phrases of one trigger beyond which its strings are dealt out one by one.
 HOT = 20_000
 
@@ -146,7 +149,7 @@ def parse(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
     def run(batches):
         powers = _powers(PART_BYTES + 2 * span)
-        for part in slices(batches):
+        for part in slices(batches, "text", 2 << 20):
             texts = [t.encode() for t in part.column(1).to_pylist()]
             found = _parse_batch(texts, powers, span, gram)
             lists = [_lists([f[i] for f in found], pa.int64() if i == 3 else pa.int32()) for i in range(4)]
@@ -167,7 +170,7 @@ def _phrases(texts: DataFrame, span: int) -> DataFrame:
         import xxhash
 
         seen: set[tuple] = set()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             out = [[] for _ in range(8)]
             for t1, t2, text, marks in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
@@ -177,7 +180,7 @@ def _phrases(texts: DataFrame, span: int) -> DataFrame:
                     digest = xxhash.xxh3_128_intdigest(phrase, seed=m["at"] - first)
                     c1, c2 = (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
                     known = (m["hash"], c1, c2)
-                    if len(seen) > 1_000_000:
+                    if len(seen) > REMEMBERED:
                         seen.clear()
                     row = (m["hash"], c1, c2, t1, t2, first, m["at"] - first, None if known in seen else phrase)
                     seen.add(known)
@@ -267,9 +270,9 @@ def _resolve(phrases: DataFrame, span: int) -> DataFrame:
                 names=["t1", "t2", "start", "end"],
             )
 
-        for part in slices(batches, "phrase"):
+        for part in slices(batches, "phrase", 2 << 20):
             for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if row[0] != current and held.bytes > PART_BYTES:
+                if row[0] != current and held.bytes > HELD_BYTES:
                     yield flushed()
                     held = _Dictionary(span)
                 current = row[0]
