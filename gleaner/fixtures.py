@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 ARCHIVE_BASE = "/data/public/crawl/segment/"
 KEYWORDS = ["the", "que", "und", "zzqx", "THE"]
 RECORDS_PER_ARCHIVE = 50
+OPENING = b"filedesc://archive 0.0.0.0 20120905000000 text/plain 0\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,7 +175,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.setdefault(row["arc_path"], []).append(
                 member(row["header"], row["payload"], row["damaged"])
             )
-        opening = gzip.compress(b"filedesc://archive 0.0.0.0 20120905000000 text/plain 0\n")
+        opening = gzip.compress(OPENING)
         for path, members in rows.items():
             for start in range(0, len(members), RECORDS_PER_ARCHIVE):
                 content = opening + b"".join(members[start : start + RECORDS_PER_ARCHIVE])
@@ -188,6 +189,32 @@ def archives(rows: DataFrame) -> DataFrame:
     )
 
 
+def archive_folder(rows: DataFrame, folder: str) -> None:
+    """The archives of :func:`records` as files below ``folder``, one per path, members by ``page_id``.
+
+    Every task writes whole files to the shared folder, under a name of its own first.
+    """
+
+    def write(pdf):
+        from pyarrow import fs
+
+        pdf = pdf.sort_values("page_id")
+        packed = pa.RecordBatch.from_pandas(pdf[["arc_path", "header", "payload", "damaged"]], preserve_index=False)
+        contents = [b["content"][0].as_py() for b in _pack(iter([packed]))]
+        opening = len(gzip.compress(OPENING))
+        content = contents[0] + b"".join(c[opening:] for c in contents[1:])
+        path = pdf["arc_path"].iloc[0]
+        target = folder.removeprefix("file://").removeprefix("file:") + path
+        system, name = fs.FileSystem.from_uri(target) if ":" in target.split("/")[0] else (fs.LocalFileSystem(), target)
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name, compression=None) as out:
+            out.write(content)
+        return pdf[["arc_path"]].head(1)
+
+    one = rows.select("page_id", "arc_path", "header", "payload", "damaged").groupBy("arc_path")
+    one.applyInPandas(write, "arc_path string").count()
+
+
 def profile_records(profile_pages: DataFrame) -> DataFrame:
     """Profile pages as archive records."""
     body = F.encode("html", "UTF-8")

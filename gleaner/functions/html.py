@@ -176,7 +176,15 @@ def select_texts(html: Column, wanted: Mapping[str, tuple[str, str]]) -> Column:
         return pd.DataFrame(rows, columns=list(chosen), dtype=object)
 
     # non-deterministic only in name: it keeps a filter on the result from running it twice
-    return F.pandas_udf(select_batch, StructType(fields)).asNondeterministic()(html)
+    parsed = F.pandas_udf(select_batch, StructType(fields)).asNondeterministic()
+    # a page without the class and without characters that could spell it is not for Python:
+    # it goes there as an empty one, which has the same elements, namely none
+    plain = all(PLAIN_CLASS.fullmatch(c) for _, c in chosen.values())
+    lowered = F.lower(html)
+    may_hold = F.contains(html, F.lit("&#" if plain else "&"))
+    for cls in sorted({c for _, c in chosen.values()}):
+        may_hold = may_hold | F.contains(lowered, F.lit(cls))
+    return parsed(F.when(may_hold, html).when(html.isNotNull(), F.lit("")))
 
 
 def select_text(html: Column, tag: str, cls: str) -> Column:

@@ -35,8 +35,12 @@ def join_list(
     result of ``cut_lineage`` if it is costly.
     """
     keys = list(on)
-    if how == "left_semi":
-        small = small.select(*keys).distinct()
-    if measured_bytes(small) <= max_bytes:
-        return big.join(F.broadcast(small), keys, how)
+    if how in ("left_semi", "left_anti"):
+        small = small.select(*keys)
+        distinct = small.distinct()
+    else:
+        distinct = small
+    if measured_bytes(distinct) <= max_bytes:
+        return big.join(F.broadcast(distinct), keys, how)
+    # not made distinct first: tasks of frequent keys are only split right behind a shuffle
     return big.join(small.hint("merge"), keys, how)

@@ -11,6 +11,7 @@ from gleaner.functions.http import is_html_response, with_html, with_http
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import with_domains
 from gleaner.operators.joins import BROADCAST_BYTES, join_list
+from gleaner.sources.records import plain_path
 
 MAX_HTML_BYTES = 5 * 1024 * 1024
 PROFILE_PATH = "/profile/"
@@ -32,33 +33,47 @@ def arc_html(records: DataFrame) -> DataFrame:
 
 def on_hosts(
     df: DataFrame,
-    hosts: Sequence[str],
+    hosts: Sequence[str] | DataFrame,
     rules: SuffixRules = SHIPPED_RULES,
     strict: bool = False,
 ) -> DataFrame:
-    """Rows whose site is exactly one of ``hosts``; the list is not folded or trimmed."""
-    return with_domains(df, rules=rules, strict=strict).where(F.col("host_domain").isin(list(hosts)))
+    """Rows whose site is exactly one of ``hosts``, a list or a table's first column; it is not
+    folded or trimmed.  Rows that have ``host_domain`` keep it."""
+    if "host_domain" not in df.columns:
+        df = with_domains(df, rules=rules, strict=strict)
+    if isinstance(hosts, DataFrame):
+        listed = hosts.select(F.col(hosts.columns[0]).alias("host_domain"))
+        return join_list(df, listed, ["host_domain"], "left_semi")
+    return df.where(F.col("host_domain").isin(list(hosts)))
 
 
 def pages_for_hosts(
     records: DataFrame,
-    hosts: Sequence[str],
+    hosts: Sequence[str] | DataFrame,
     max_bytes: int = MAX_HTML_BYTES,
     rules: SuffixRules = SHIPPED_RULES,
     strict: bool = False,
+    with_host: bool = False,
 ) -> DataFrame:
-    """``url, html`` of archive records on the given sites.  No shuffle; bodies are cut last."""
+    """``url, html`` (and ``host_domain``) of archive records on the given sites.
+
+    No shuffle for a list; bodies are cut last.
+    """
     kept = filter_html_size(on_hosts(records, hosts, rules, strict), max_bytes)
-    return arc_html(kept.where("url IS NOT NULL")).select("url", "html")
+    return arc_html(kept.where("url IS NOT NULL")).select("url", "html", *["host_domain"] * with_host)
+
+
+def _by_path(df: DataFrame) -> DataFrame:
+    return df.withColumn("_path", plain_path(F.col("arc_path")))
 
 
 def archive_prune(
     records: DataFrame, archives: DataFrame, max_list_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Rows from listed archives.  To skip the other files altogether, scan with
-    ``sources.archives.scan_listed_arc``."""
-    wanted = archives.where("arc_path IS NOT NULL")
-    return join_list(records, wanted, ["arc_path"], "left_semi", max_list_bytes)
+    """Rows from listed archives, whatever form either path has.  To skip the other files
+    altogether, scan with ``sources.archives.scan_listed_arc``."""
+    wanted = _by_path(archives.where("arc_path IS NOT NULL"))
+    return join_list(_by_path(records), wanted, ["_path"], "left_semi", max_list_bytes).drop("_path")
 
 
 def html_for_urls(
@@ -71,11 +86,13 @@ def html_for_urls(
     """``url, html`` of archive records listed in ``wanted (arc_path, url)``.
 
     Pairwise, a record must match path and URL of one row.  Otherwise its path must be
-    in one column and its URL in the other, each on its own.
+    in one column and its URL in the other, each on its own.  A list too long to broadcast
+    is joined by a shuffle that moves the records: then take them from ``scan_listed_arc``,
+    which has left other records behind.
     """
     kept = filter_html_size(records, max_bytes)
     if pairwise:
-        kept = join_list(kept, wanted, ["arc_path", "url"], "left_semi", max_list_bytes)
+        kept = join_list(_by_path(kept), _by_path(wanted), ["_path", "url"], "left_semi", max_list_bytes)
     else:
         kept = archive_prune(kept, wanted, max_list_bytes)
         urls = wanted.where("url IS NOT NULL")

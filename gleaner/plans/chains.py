@@ -17,20 +17,20 @@ from gleaner.operators.keywords import (
     candidate_urls,
     vacancy_candidates,
 )
-from gleaner.operators.pages import html_for_urls, pages_for_hosts
+from gleaner.operators.pages import html_for_urls, on_hosts, pages_for_hosts
 from gleaner.operators.profiles import (
     LINKEDIN,
     VIADEO,
     XING,
+    may_be_profile,
     profile_country,
     profiles_in_countries,
 )
 from gleaner.operators.sampling import stratified_sample
 from gleaner.session import cut_lineage
-from gleaner.sources.archives import lists, mentions, readable, scan_arc, scan_listed_arc
+from gleaner.sources.archives import mentions, readable, scan_arc, scan_listed_arc
 
 SOCIAL_SITES = (LINKEDIN, VIADEO, XING)
-MAX_LISTED_URLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,8 @@ def vacancy_html_from_files(
     ``prefix`` is what stands before the listed paths where the files are stored.
     """
     wanted = _wanted(stages)
-    urls = wanted.select("url").distinct().limit(MAX_LISTED_URLS + 1).collect()
-    # a list the tasks can hold also keeps other pages from leaving the unpacking
-    keep = lists(row["url"] for row in urls) if len(urls) <= MAX_LISTED_URLS else None
-    records = scan_listed_arc(spark, root, wanted, prefix, keep=keep)
+    listed = wanted if pairwise else wanted.select("arc_path")
+    records = scan_listed_arc(spark, root, listed, prefix)
     return html_for_urls(readable(records), wanted, pairwise)
 
 
@@ -99,15 +97,21 @@ def social_records(
     return readable(scan_arc(spark, paths, keep=mentions(sites)))
 
 
+def _social_pages(records: DataFrame, sites: Sequence[str]) -> DataFrame:
+    """Pages that site and address say are profiles; only those are decoded, and the site is kept."""
+    on_sites = on_hosts(records, sites).where(may_be_profile())
+    return pages_for_hosts(on_sites, sites, with_host=True)
+
+
 def social_profile_countries(
     records: DataFrame, sites: Sequence[str] = SOCIAL_SITES
 ) -> DataFrame:
     """``url, country`` of profile pages straight from archive records."""
-    return profile_country(pages_for_hosts(records, sites))
+    return profile_country(_social_pages(records, sites))
 
 
 def social_profiles_in(
-    records: DataFrame, countries: Sequence[str], sites: Sequence[str] = SOCIAL_SITES
+    records: DataFrame, countries: Sequence[str] | DataFrame, sites: Sequence[str] = SOCIAL_SITES
 ) -> DataFrame:
     """``url, html`` of profile pages of the given countries, from archive records."""
-    return profiles_in_countries(pages_for_hosts(records, sites), countries)
+    return profiles_in_countries(_social_pages(records, sites), countries)

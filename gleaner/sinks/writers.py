@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.session import cut_lineage
+from gleaner.sources.records import ESCAPES, NULL
 
 
 def arranged(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -27,9 +28,17 @@ def arranged(df: DataFrame, keys: Sequence[str], num_partitions: int | None = No
     return spread.sortWithinPartitions(*columns)
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    return df.select(F.concat_ws("\t", *fields).alias("value"))
+def _packed(df: DataFrame, escape: bool) -> DataFrame:
+    def field(name):
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        if escape:
+            for plain, written in ESCAPES:
+                value = F.replace(value, F.lit(plain), F.lit(written))
+            return F.when(F.col(name).isNull(), NULL).otherwise(value)
+        error = F.concat(F.lit(f"{name} holds a tab or line break, write with escape=True: "), value)
+        return F.when(value.rlike("[\t\n\r]"), F.raise_error(error).cast("string")).otherwise(value)
+
+    return df.select(F.concat_ws("\t", *[field(c) for c in df.columns]).alias("value"))
 
 
 def write_tsv(
@@ -38,13 +47,19 @@ def write_tsv(
     mode: str = "errorifexists",
     keys: Sequence[str] = (),
     num_partitions: int | None = None,
+    escape: bool = False,
 ) -> None:
-    """Uncompressed ``key \\t value`` lines.  Values with line breaks belong in Parquet."""
+    """Uncompressed ``key \\t value`` lines.
+
+    A value with a tab or line break raises; a null is written like an empty text.  With
+    ``escape`` such values are written with backslashes and a null as ``\\N``, which
+    ``scan_tsv(.., escaped=True)`` undoes.
+    """
     if keys:
         df = arranged(df, keys, num_partitions)
     elif num_partitions:
         df = df.repartition(num_partitions)
-    _packed(df).write.mode(mode).text(path)
+    _packed(df, escape).write.mode(mode).text(path)
 
 
 def write_pages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -53,7 +68,11 @@ def write_pages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_seq(df: DataFrame, path: str) -> None:
-    """Two string columns as a SequenceFile of (Text, Text), for readers outside Spark."""
+    """Two string columns as a SequenceFile of (Text, Text), for readers outside Spark.
+
+    Rows pass a Python worker one by one: this is for handing results over, once, and
+    never a stage inside a chain.
+    """
     key, value = df.columns
     df.select(F.col(key).cast("string"), F.col(value).cast("string")).rdd.map(
         tuple

@@ -5,6 +5,7 @@ Python only inflates members and cuts off their first line; Spark does the rest.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,17 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.once import with_once
-from gleaner.operators.joins import join_list
 from gleaner.sources.records import without_prefix
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 FEED_BYTES = 1 << 14
 FLUSH_BYTES = 1 << 23
+READ_BYTES = 1 << 16
+# an archive with places in several pieces of this size may be read by several tasks
+PIECE_BYTES = 64 << 20
+SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:"
 
 MEMBER_SCHEMA = "arc_path string, arc_offset long, header string, rest binary"
 # Fixed format: address, IP, time, content type and length, one blank between them.
 HEADER_LINE = r"^([^ ]*) ([^ ]*) ([0-9]{14}) ([^ ]*) ([+-]?[0-9]+) *$"
-MAX_LISTED_FILES = 100_000
 
 HeaderTest = Callable[[str], bool]
 
@@ -179,7 +182,8 @@ def parse_records(members: DataFrame) -> DataFrame:
     """
     df = parse_header(members)
     status = (
-        F.when(F.col("header").isNull(), "BAD_GZIP")
+        F.when(F.col("arc_offset").isNull(), "MISSING_FILE")
+        .when(F.col("header").isNull(), "BAD_GZIP")
         .when(~F.col("header_ok"), "BAD_HEADER")
         .when(F.octet_length("rest") < F.col("content_length"), "TRUNCATED")
         .otherwise("OK")
@@ -210,33 +214,119 @@ def scan_arc(
     return parse_records(split_members(archive_files(spark, paths, name_part, prefix), keep))
 
 
+def member_at(read: Callable[[int, int], bytes], offset: int) -> bytes | None:
+    """The gzip member that starts at ``offset``, or None if it is damaged.
+
+    ``read(position, size)`` is asked for no more than the member, up to ``READ_BYTES``.
+    """
+    inflater, parts, position = zlib.decompressobj(31), [], offset
+    try:
+        while not inflater.eof:
+            piece = read(position, READ_BYTES)
+            if not piece:
+                return None
+            parts.append(inflater.decompress(piece))
+            position += len(piece)
+    except zlib.error:
+        return None
+    return b"".join(parts)
+
+
+def _open(path: str, root: str, prefix: str):
+    """A listed file on the file system it names, or else on that of ``prefix`` or ``root``."""
+    from pyarrow import fs
+
+    if re.match(SCHEME, path):
+        target = path
+    elif prefix:
+        target = prefix + path
+    elif path.startswith("/"):
+        target = (re.match(f"{SCHEME}(//[^/]*)?", root) or re.match("", "")).group() + path
+    else:
+        target = f"{root.rstrip('/')}/{path}"
+    target = re.sub("^file:/*", "/", target)
+    system, name = (fs.LocalFileSystem(), target) if target.startswith("/") else fs.FileSystem.from_uri(target)
+    return system.open_input_file(name)
+
+
+def _read_listed(batches, root: str, prefix: str, skip_missing: bool, keep: HeaderTest | None, has_urls: bool, has_offsets: bool):
+    """Members of listed files; rows come ordered by file."""
+    current, urls, offsets = None, set(), []
+
+    def members():
+        try:
+            file = _open(current, root, prefix)
+        except FileNotFoundError:
+            if not skip_missing:
+                raise
+            yield (current, None, None, None)
+            return
+        test = keep
+        if has_urls and None not in urls:
+            listed = lists(urls)
+            test = listed if keep is None else lambda line: listed(line) and keep(line)
+        with file:
+            if has_offsets and None not in offsets:
+                for offset in sorted(set(offsets)):
+                    member = member_at(lambda at, n: file.read_at(min(n, file.size() - at), at) if at < file.size() else b"", offset)
+                    header, rest = (None, None) if member is None else _cut_line(member)
+                    if header is None or test is None or test(header):
+                        yield (current, offset, header, rest)
+                return
+            for offset, member in inflate_members(memoryview(file.read()), test):
+                if offset:
+                    yield (current, offset, *((None, None) if member is None else _cut_line(member)))
+
+    def flushed():
+        held, pending = 0, []
+        for row in members():
+            pending.append(row)
+            held += len(row[3] or b"")
+            if held > FLUSH_BYTES:
+                yield _as_batch(pending)
+                held, pending = 0, []
+        if pending:
+            yield _as_batch(pending)
+
+    for batch in batches:
+        for path, _, url, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if path != current or (has_offsets and len(offsets) > 10_000):
+                if current is not None:
+                    yield from flushed()
+                current, urls, offsets = path, set(), []
+            urls.add(url)
+            offsets.append(offset)
+    if current is not None:
+        yield from flushed()
+
+
 def scan_listed_arc(
     spark: SparkSession,
     root: str,
     wanted: DataFrame,
     prefix: str = "",
-    max_files: int = MAX_LISTED_FILES,
     keep: HeaderTest | None = None,
     skip_missing: bool = False,
 ) -> DataFrame:
     """Records of the archives named in ``wanted.arc_path``; other files are not opened.
 
-    A listed file that does not exist raises; with ``skip_missing`` the files below
-    ``root`` are listed first, and only those found are read.  A list too long for the
-    driver leaves the pruning to a semi-join on the path.
+    Only the list is shuffled: a task gets the rows of some archives and opens the files
+    itself, through Arrow's file systems.  A listed path may name its file system; else it
+    follows ``prefix``, or lies on the file system of ``root``, or below ``root`` if it has no
+    leading slash.  If ``wanted`` has ``url``, other records stay behind while unpacking; if it has
+    ``arc_offset``, only the members at these places are read.  A null in either column asks for
+    the whole of the file.  A listed file that does not exist raises, or with ``skip_missing``
+    gives one row with status MISSING_FILE, however long the list is.
     """
-    listed = wanted.select("arc_path").where("arc_path IS NOT NULL").distinct()
-    if skip_missing:
-        listed = join_list(_file_paths(spark, root, prefix), listed, ["arc_path"], "left_semi")
-    head = [row["arc_path"] for row in listed.limit(max_files + 1).collect()]
-    if not head:
-        return parse_records(spark.createDataFrame([], MEMBER_SCHEMA))
-    if len(head) <= max_files:
-        return scan_arc(spark, [prefix + path for path in head], prefix=prefix, keep=keep)
-    files = join_list(archive_files(spark, root, prefix=prefix), listed, ["arc_path"], "left_semi")
-    return parse_records(split_members(files, keep))
-
-
-def _file_paths(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(without_prefix(F.col("path"), prefix).alias("arc_path"))
+    has_urls, has_offsets = "url" in wanted.columns, "arc_offset" in wanted.columns
+    rows = wanted.where("arc_path IS NOT NULL").select(
+        "arc_path",
+        (F.floor(F.col("arc_offset") / PIECE_BYTES) if has_offsets else F.lit(0)).cast("bigint").alias("piece"),
+        (F.col("url") if has_urls else F.lit(None)).cast("string").alias("url"),
+        (F.col("arc_offset") if has_offsets else F.lit(None)).cast("bigint").alias("arc_offset"),
+    )
+    dealt = rows.distinct().repartition("arc_path", "piece").sortWithinPartitions("arc_path", "piece", "arc_offset")
+    members = dealt.mapInArrow(
+        lambda batches: _read_listed(batches, root, prefix, skip_missing, keep, has_urls, has_offsets), MEMBER_SCHEMA
+    )
+    return parse_records(members)

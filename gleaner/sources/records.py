@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 TEXT_CLASS = "org.apache.hadoop.io.Text"
-MAX_LIST_ENTRIES = 100_000
 
 
 def scan_pages(spark: SparkSession, path: str | list[str], name_part: str = "") -> DataFrame:
@@ -28,6 +27,8 @@ def scan_seq(
     """SequenceFile of (Text url, Text value) as two string columns.
 
     ``source_file`` names a further column for the name of the file each row came from.
+    Rows pass a Python worker one by one: convert such files to Parquet once
+    (``sinks.writers.write_pages``) and scan that from then on.
     """
     target = f"{path.rstrip('/')}/*{name_part}*" if name_part else path
     rows = spark.sparkContext.sequenceFile(target, TEXT_CLASS, TEXT_CLASS)
@@ -38,27 +39,46 @@ def scan_seq(
     return df.withColumn(source_file, F.substring_index(F.input_file_name(), "/", -1))
 
 
-def _tsv_fields(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Column, list]:
+#: What stands for what in escaped text, in the order of writing; and a null.  Every
+#: backslash starts one of these, so reading undoes them in the opposite order.
+ESCAPES = (("\\", "\\b"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+NULL = "\\N"
+
+
+def _unescaped(part: Column) -> Column:
+    value = part
+    for plain, written in reversed(ESCAPES):
+        value = F.replace(value, F.lit(written), F.lit(plain))
+    return F.when(part != NULL, value)
+
+
+def _tsv_fields(
+    spark: SparkSession, path: str, schema: str, escaped: bool = False
+) -> tuple[DataFrame, Column, list]:
     fields = StructType.fromDDL(schema).fields
     parts = F.split("value", "\t")
-    columns = [F.get(parts, F.lit(i)).try_cast(f.dataType) for i, f in enumerate(fields)]
+    texts = [F.get(parts, F.lit(i)) for i in range(len(fields))]
+    nulls = [t == NULL if escaped else F.lit(False) for t in texts]
+    columns = [(_unescaped(t) if escaped else t).try_cast(f.dataType) for t, f in zip(texts, fields, strict=True)]
     fits = F.size(parts) >= len(fields)
-    for field, column in zip(fields, columns, strict=True):
+    for field, column, null in zip(fields, columns, nulls, strict=True):
         if field.dataType != StringType():
-            fits = fits & column.isNotNull()
+            fits = fits & (column.isNotNull() | null)
     named = [c.alias(f.name) for f, c in zip(fields, columns, strict=True)]
     return spark.read.text(path), fits, named
 
 
 def scan_tsv(
-    spark: SparkSession, path: str, schema: str, strict: bool = False
+    spark: SparkSession, path: str, schema: str, strict: bool = False, escaped: bool = False
 ) -> DataFrame:
     """Tab-separated text without quoting; further fields of a line are ignored.
 
+    ``escaped`` reads what ``write_tsv(.., escape=True)`` wrote.
+
     Lines with too few fields or with text in a number column are left out
     (see :func:`tsv_misfits`), or raise if ``strict``.
     """
-    lines, fits, columns = _tsv_fields(spark, path, schema)
+    lines, fits, columns = _tsv_fields(spark, path, schema, escaped)
     if strict:
         error = F.raise_error(F.concat(F.lit("line does not fit the schema: "), "value"))
         fits = F.when(fits, F.lit(True)).otherwise(error.cast("boolean"))
@@ -89,18 +109,14 @@ def scan_first_files(
     return scan_pages(spark, first_files(spark, path, max_files, name_part))
 
 
-def read_list(
-    spark: SparkSession, path: str, max_entries: int = MAX_LIST_ENTRIES
-) -> list[str]:
-    """A side list, one value per line, as a parameter; longer lists raise.
+def read_list(spark: SparkSession, path: str, column: str = "value") -> DataFrame:
+    """A side list, one value per line, of any length: a table for the joins of ``operators.joins``."""
+    return spark.read.text(path).select(F.col("value").alias(column))
 
-    Lists of unbounded size stay DataFrames: ``spark.read.text(path)`` and the
-    joins of ``operators.joins``.
-    """
-    rows = spark.read.text(path).limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"{path} holds more than {max_entries} lines; join it as a DataFrame")
-    return [row["value"] for row in rows]
+
+def read_parameters(spark: SparkSession, path: str) -> list[str]:
+    """A side list that is a parameter of a job, such as keywords: it goes into every task."""
+    return [row["value"] for row in read_list(spark, path).collect()]
 
 
 def with_source_file(df: DataFrame, column: str = "meta_file") -> DataFrame:
@@ -109,9 +125,26 @@ def with_source_file(df: DataFrame, column: str = "meta_file") -> DataFrame:
 
 
 def with_source_path(df: DataFrame, column: str = "arc_path", prefix: str = "") -> DataFrame:
-    """Add the full path of each row's file, without the host ``prefix``."""
-    return df.withColumn(column, without_prefix(F.col("_metadata.file_path"), prefix))
+    """Add the full path of each row's file, without the host and ``prefix``."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.withColumn(column, without_prefix(path, prefix))
+
+
+SCHEME_AND_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def plain_path(path: Column) -> Column:
+    """A path as it is below its file system: no scheme, no host, one leading slash.
+
+    ``/d/x``, ``file:/d/x``, ``file:///d/x`` and ``hdfs://host:1/d/x`` all give ``/d/x``.
+    """
+    return F.regexp_replace(F.regexp_replace(path, SCHEME_AND_HOST, ""), "^/+", "/")
 
 
 def without_prefix(path: Column, prefix: str) -> Column:
-    return F.replace(path, F.lit(prefix), F.lit("")) if prefix else path
+    """The plain path without ``prefix``, in whatever form that is given, at its start."""
+    plain = plain_path(path)
+    if not prefix:
+        return plain
+    start = plain_path(F.lit(prefix))
+    return F.when(F.startswith(plain, start), F.substring(plain, F.length(start) + 1, F.length(plain))).otherwise(plain)

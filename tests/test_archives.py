@@ -162,21 +162,64 @@ def test_signature_found_across_search_steps():
     assert [o for o, m in arc.inflate_members(memoryview(data)) if m] == [len(gap)]
 
 
-@pytest.mark.parametrize("max_files", [10, 0])
-def test_listed_archives(spark, folder, max_files):
+def test_listed_archives(spark, folder):
     prefix = f"file:{folder}/"
     wanted = spark.createDataFrame([("two.arc.gz",), ("two.arc.gz",), (None,)], "arc_path string")
-    df = arc.scan_listed_arc(spark, str(folder), wanted, prefix, max_files=max_files)
+    df = arc.scan_listed_arc(spark, str(folder), wanted, prefix)
     assert [(r["arc_path"], r["url"]) for r in df.collect()] == [("two.arc.gz", "http://b.org/1")]
 
 
+@pytest.mark.parametrize("form", ["{}/two.arc.gz", "file:{}/two.arc.gz", "file://{}/two.arc.gz", "two.arc.gz"])
+def test_paths_of_any_form(spark, folder, form):
+    listed = form.format(folder)
+    wanted = spark.createDataFrame([(listed, "http://b.org/1"), (listed, "http://b.org/none")], "arc_path string, url string")
+    for root in (str(folder), f"file:{folder}", f"file://{folder}"):
+        found = arc.scan_listed_arc(spark, root, wanted)
+        assert [r["url"] for r in found.collect()] == ["http://b.org/1"]
+        assert [r["url"] for r in pages.html_for_urls(arc.readable(found), wanted).collect()] == ["http://b.org/1"]
+    if "/" in form:  # the records of a scan of everything, with the same list
+        records = arc.readable(arc.scan_arc(spark, str(folder)))
+        assert [r["url"] for r in pages.html_for_urls(records, wanted).collect()] == ["http://b.org/1"]
+        assert {r["url"] for r in pages.archive_prune(records, wanted).collect()} == {"http://b.org/1"}
+
+
 def test_listed_archives_that_do_not_exist(spark, folder):
     prefix = f"file:{folder}/"
-    wanted = spark.createDataFrame([("two.arc.gz",), ("gone.arc.gz",)], "arc_path string")
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        arc.scan_listed_arc(spark, str(folder), wanted, prefix).collect()
-    df = arc.scan_listed_arc(spark, str(folder), wanted, prefix, skip_missing=True)
-    assert [r["url"] for r in df.collect()] == ["http://b.org/1"]
+    for copies in (1, 300):  # the same at any length of the list
+        rows = [("two.arc.gz",)] + [(f"gone{k}.arc.gz",) for k in range(copies)]
+        wanted = spark.createDataFrame(rows, "arc_path string")
+        with pytest.raises(Exception, match="FileNotFoundError"):
+            arc.scan_listed_arc(spark, str(folder), wanted, prefix).collect()
+        df = arc.scan_listed_arc(spark, str(folder), wanted, prefix, skip_missing=True)
+        found = df.select("url", "status").collect()
+        assert [r["url"] for r in found if r["status"] == "OK"] == ["http://b.org/1"]
+        assert sum(r["status"] == "MISSING_FILE" for r in found) == copies
+
+
+def test_offsets_give_the_rows_of_a_whole_scan(spark, folder):
+    whole = arc.scan_arc(spark, str(folder)).select("arc_path", "arc_offset", "url", "status", "payload")
+    rows = {(r["arc_path"], r["arc_offset"]): tuple(r) for r in whole.collect() if r["status"] != "BAD_GZIP"}
+    wanted = spark.createDataFrame(list(rows), "arc_path string, arc_offset bigint")
+    found = arc.scan_listed_arc(spark, str(folder), wanted)
+    got = found.select("arc_path", "arc_offset", "url", "status", "payload").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows.values(), key=str)
+
+
+def test_a_member_costs_its_own_bytes():
+    import random
+
+    members = [gzip.compress(random.Random(k).randbytes(20_000), mtime=0) for k in range(200)]
+    data, read = b"".join(members), []
+
+    def reader(at, size):
+        read.append(len(data[at : at + size]))
+        return data[at : at + size]
+
+    offset = sum(map(len, members[:120]))
+    assert arc.member_at(reader, offset) == random.Random(120).randbytes(20_000)
+    assert sum(read) <= arc.READ_BYTES + 21_000 < len(data) / 40
+    assert arc.member_at(reader, 3) is None and arc.member_at(reader, len(data)) is None
+    assert arc.member_at(lambda at, n: data[: len(members[0]) - 5][at : at + n], 0) is None
 
 
 def test_no_archives_listed(spark, folder):

@@ -5,6 +5,7 @@ import __spark_entry__ as entry
 from gleaner import fixtures as fx
 from gleaner.functions.urls import with_domains
 from gleaner.operators import counts, pages
+from gleaner.operators.joins import join_list
 from gleaner.plans import chains
 from gleaner.sources import archives as arc
 
@@ -39,11 +40,43 @@ def test_small_url_list_is_broadcast(spark, page_table):
     assert "BroadcastHashJoin" in plan(df) and "LeftSemi" in plan(df)
     assert exchanges(df) <= 1  # only the list itself is made distinct
     longer = pages.html_for_urls(records, wanted, max_list_bytes=0)
-    assert "_part" in plan(longer)
+    assert "SortMergeJoin" in plan(longer) and "BroadcastHashJoin" not in plan(longer)
+
+
+def test_a_frequent_key_is_split_and_a_long_list_not_copied(spark):
+    names = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        big = spark.range(200_000).selectExpr("IF(id % 3 = 0, 'hot', cast(id AS string)) AS k", "md5(cast(id AS string)) AS v")
+        small = spark.range(3000).selectExpr("IF(id = 0, 'hot', cast(id AS string)) AS k")
+        df = join_list(big, small, ["k"], "left_semi", max_bytes=0)
+        assert df.count() == 66_667 + sum(1 for i in range(1, 3000) if i % 3)
+        df.collect()
+        assert "skewed" in plan(df) or "skew=true" in plan(df)
+        assert "Generate" not in plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_profile_pages_are_tested_before_they_are_decoded(spark, sf_dir):
+    records = entry._profile_records(spark, sf_dir)
+    text = plan(chains.social_profile_countries(records))
+    assert text.count("ParseUrlEvaluator(null,HOST") == 1
+    lines = text.splitlines()
+    decode = max(i for i, line in enumerate(lines) if "MapInArrow" not in line and "Contains(url" in line.replace("#", " ") or "/profile/" in line)
+    python = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+    assert python and decode > max(python)  # further down the tree
 
 
 def test_registered_names():
-    for name in entry.queries():
+    for name in entry.core_queries():
         assert "pipeline" not in name and not name.startswith("op")
 
 

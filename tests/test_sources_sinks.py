@@ -92,12 +92,36 @@ def test_name_filter_and_source_file(spark, pages, tmp_path):
     assert path.select("arc_path").first()[0].replace("file://", "").endswith(f"x/{name}")
 
 
-def test_lists_have_a_bound(spark, tmp_path):
+def test_lists_of_any_length(spark, tmp_path):
     path = tmp_path / "list.txt"
     path.write_text("a\n b\n\nC\n")
-    assert src.read_list(spark, str(path)) == ["a", " b", "", "C"]
-    with pytest.raises(ValueError, match="more than 3"):
-        src.read_list(spark, str(path), 3)
+    assert src.read_parameters(spark, str(path)) == ["a", " b", "", "C"]
+    assert sorted(r["host"] for r in src.read_list(spark, str(path), "host").collect()) == ["", " b", "C", "a"]
+
+
+ODD_TEXTS = [
+    (1, "a\tb\nc\rd"), (2, "\\n"), (3, "\\\n\\"), (4, None), (5, ""), (6, "\\N"), (7, "x\\\\ty\\"),
+    (8, "\\\\\\n\n\\r\r"), (None, "q"),
+]
+
+
+def test_tsv_keeps_every_value_or_raises(spark, tmp_path):
+    df = spark.createDataFrame(ODD_TEXTS, "k int, v string")
+    writers.write_tsv(df, str(tmp_path / "escaped"), escape=True)
+    got = src.scan_tsv(spark, str(tmp_path / "escaped"), "k int, v string", escaped=True)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(ODD_TEXTS, key=str)
+    with pytest.raises(Exception, match="tab or line break"):
+        writers.write_tsv(df, str(tmp_path / "plain"))
+
+
+def test_paths_have_one_form(spark):
+    forms = ["/d/x", "file:/d/x", "file:///d/x", "hdfs://host:1/d/x", "s3a://bucket/d/x", "//d/x", "rel/x", None]
+    df = spark.createDataFrame([(f,) for f in forms], "p string")
+    assert [r[0] for r in df.select(src.plain_path(F.col("p"))).collect()] == ["/d/x"] * 6 + ["rel/x", None]
+    for prefix in ("/d/", "file:///d/", "file:/d/", "hdfs://other/d/"):
+        assert [r[0] for r in df.select(src.without_prefix(F.col("p"), prefix)).collect()] == ["x"] * 6 + ["rel/x", None]
+    inside = spark.createDataFrame([("/a/d/x",)], "p string").select(src.without_prefix(F.col("p"), "/d/"))
+    assert inside.first()[0] == "/a/d/x"
 
 
 INFO = '{"archiveInfo": {"arcSourceSegmentId": %s, "arcFileDate": 2, "arcFileParition": "3", "arcFileOffset": 4}}'
