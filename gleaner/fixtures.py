@@ -68,6 +68,20 @@ def url_cases(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.expr(URL_CASE).alias("url"), F.expr(JSON_CASE).alias("json"))
 
 
+REGISTRY_SUFFIXES = (
+    "com.uy co.rs gob.es com.ec co.ma com.mt co.zw com.ar co.at com.au com.bo com.br com.cn com.co co.cr com.cy "
+    "com.do com.eg com.gh com.gr com.gt com.hk com.hn co.hu co.id co.il co.in co.jp co.ke co.kr com.kw com.lb com.lk "
+    "com.mx com.my com.ng com.ni co.nz com.om com.pa com.pe com.ph com.pk com.pl com.pt com.py co.th co.uk co.za any.ck"
+).split()
+
+
+def registry_hosts(pages: DataFrame) -> DataFrame:
+    """``url`` with a host below one registry or another, by ``page_id``."""
+    suffix = F.element_at(F.array(*[F.lit(s) for s in REGISTRY_SUFFIXES]), (F.col("page_id") % len(REGISTRY_SUFFIXES) + 1).cast("int"))
+    host = F.concat(F.lit("http://www.shop"), F.col("page_id").cast("string"), F.lit("."), suffix, F.lit("/p"))
+    return pages.select("page_id", host.alias("url"))
+
+
 TEXT_URL = "concat('http://www.', source, '.example.', lang, '/', doc_id)"
 
 

@@ -88,3 +88,22 @@ def test_null_and_empty_urls(spark):
     rows = df.select(is_malformed(F.col("url")).alias("bad")).collect()
     assert [r["bad"] for r in rows] == [True, False, False]
     assert with_domains(df).where("host IS NOT NULL").count() == 0
+
+
+SITES = """
+com.uy com.rs=  co.rs gob.es com.ec co.ma com.mt gov.it= co.zw com.ar co.at com.au com.bo com.br com.cn com.co
+co.cr com.cy com.do com.eg com.gh com.gr com.gt com.hk com.hn co.hu co.id co.il co.in co.jp co.ke co.kr com.kw
+com.lb com.lk com.mx com.my com.ng com.ni co.nz com.om com.pa com.pe com.ph com.pk com.pl com.pt com.py com.qa
+com.sa com.sg com.sv co.th com.tn com.tr com.tw co.tz com.ua co.ug co.uk com.ve com.vn co.za com.zm
+"""
+
+
+def test_sites_of_many_registries(spark):
+    suffixes = [x for x in SITES.split() if not x.endswith("=")]
+    assert len(suffixes) > 50
+    rows = [(f"http://www.shop.{x}/p", f"shop.{x}") for x in suffixes]
+    rows += [("http://a.b.any.ck/", "b.any.ck"), ("http://a.www.ck/", "www.ck"), ("http://a.b.np/", "a.b.np")]
+    rows += [("http://x.shop.com.rs/", "com.rs"), ("http://www.shop.gov.it/", "shop.gov.it")]
+    df = with_domains(spark.createDataFrame(rows, "url string, site string"))
+    wrong = [tuple(r) for r in df.where("NOT (host_domain <=> site)").select("url", "site", "host_domain").collect()]
+    assert wrong == []
