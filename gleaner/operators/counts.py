@@ -9,6 +9,7 @@ from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import is_malformed, with_domains
 
+# What the status counters of such jobs are called.
 HTTP_OK = 200
 STATUSES = (
     "INVALID_URIS", "INVALID_DOMAIN", "MISSING_HTTPCODE", "HTTP_SUCCESS", "HTTP_FAIL", "EXCEPTIONS",

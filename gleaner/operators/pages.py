@@ -13,6 +13,7 @@ from gleaner.functions.urls import with_domains
 from gleaner.operators.joins import BROADCAST_BYTES, join_list
 from gleaner.sources.records import plain_path
 
+# The usual size limit of a page, and the mark of profile addresses.
 MAX_HTML_BYTES = 5 * 1024 * 1024
 PROFILE_PATH = "/profile/"
 

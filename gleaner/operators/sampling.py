@@ -10,7 +10,9 @@ from gleaner.operators.joins import BROADCAST_BYTES, join_list, measured_bytes
 from gleaner.session import cut_lineage
 
 DIE_SIDES = 6
-BUCKET_DIGITS = 3  # hex digits of the order key: 4096 buckets per domain
+# hex digits of the order key that name a bucket: at least so many, and as many as keep the
+# buckets of the largest domain about this large; the sample does not depend on them
+LEAST_DIGITS, ROWS_PER_BUCKET = 3, 1_000_000
 COPIES_PER_ROW = 10_000
 
 
@@ -61,10 +63,18 @@ def accepted_by_die(url: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint") % DIE_SIDES == 0
 
 
+def bucket_digits(stat: DataFrame) -> int:
+    """Hex digits by the size of the largest domain."""
+    largest, digits = stat.agg(F.max("n").cast("bigint")).first()[0] or 0, LEAST_DIGITS
+    while largest > ROWS_PER_BUCKET * 16**digits:
+        digits += 1
+    return digits
+
+
 def _open_buckets(urls: DataFrame, quotas: DataFrame) -> DataFrame:
     """``domain_id, _bucket, _room``: buckets of the order key that the quota still reaches.
 
-    A domain has at most 4096 buckets, so the window holds no more rows than that.
+    The window holds a row per bucket of a domain, a millionth of the domain's rows or 4096.
     """
     sizes = urls.groupBy("domain_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
@@ -106,7 +116,7 @@ def stratified_sample(
     if dice:
         urls = urls.where(accepted_by_die(F.col("url"), seed))
     urls = with_once(urls, "_order", order_key(F.col("url"), seed))
-    urls = urls.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
+    urls = urls.withColumn("_bucket", F.substring("_order", 1, bucket_digits(stat)))
     quotas = sample_quota(stat, sample_size).select("domain_id", "quota")
     reached = cut_lineage(_open_buckets(urls, quotas))
     on = ["domain_id", "_bucket"]

@@ -68,7 +68,7 @@ def test_dice_against_brute_force(rows, stat):
 
 
 def test_coarse_buckets(rows, stat, monkeypatch):
-    monkeypatch.setattr(sm, "BUCKET_DIGITS", 1)
+    monkeypatch.setattr(sm, "LEAST_DIGITS", 1)
     assert got(sm.stratified_sample(rows, stat, 300)) == brute(ROWS, STAT, 300)
 
 
@@ -122,3 +122,15 @@ def test_measured_bytes(spark):
     df = spark.range(1000).select(F.lit("abcd").alias("x"))
     assert 4_000 < measured_bytes(df) < 100_000
     assert measured_bytes(df.where("false")) == 0
+
+
+def test_buckets_grow_with_the_largest_domain(spark, monkeypatch):
+    stat = spark.createDataFrame([("com", 10**11), ("de", None)], "domain_id string, n bigint")
+    assert sm.bucket_digits(stat) == 5
+    assert sm.bucket_digits(stat.where("n IS NULL")) == 3
+    monkeypatch.setattr(sm, "LEAST_DIGITS", 0)
+    monkeypatch.setattr(sm, "ROWS_PER_BUCKET", 1)
+    rows = spark.createDataFrame(ROWS, "domain_id string, url string")
+    counts = Counter(d for d, _ in ROWS)
+    found = sm.stratified_sample(rows, spark.createDataFrame(list(counts.items()), "domain_id string, n bigint"), 120)
+    assert sorted(map(tuple, found.collect())) == brute(ROWS, counts, 120)
