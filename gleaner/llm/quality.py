@@ -136,18 +136,17 @@ PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 def _with_inverse(params: DataFrame) -> DataFrame:
     """Columns ``m*`` (centre) and ``w*_*`` (rows of the inverse Cholesky factor) from ``m*, s*_*``."""
-    df = params
-    for i, j in PAIRS:
-        rest = F.col(f"s{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-        df = df.withColumn(f"l{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}_{j}"))
-    for i in range(DIMS):
-        for j in range(i, -1, -1):
-            if i == j:
-                value = 1 / F.col(f"l{i}_{i}")
-            else:
-                rest = sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0))
-                value = -rest / F.col(f"l{i}_{i}")
-            df = df.withColumn(f"w{i}_{j}", value)
+    df, total = params, lambda parts: sum(parts, F.lit(0.0))
+    for j in range(DIMS):  # each step takes all that its predecessors allow: plans stay short
+        rest = {i: F.col(f"s{i}_{j}") - total(F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)) for i in range(j, DIMS)}
+        df = df.withColumn(f"l{j}_{j}", F.sqrt(rest.pop(j)))
+        df = df.withColumns({f"l{i}_{j}": r / F.col(f"l{j}_{j}") for i, r in rest.items()}) if rest else df
+    df = df.withColumns({f"w{i}_{i}": 1 / F.col(f"l{i}_{i}") for i in range(DIMS)})
+    for d in range(1, DIMS):
+        df = df.withColumns({
+            f"w{i}_{i - d}": -total(F.col(f"l{i}_{k}") * F.col(f"w{k}_{i - d}") for k in range(i - d, i)) / F.col(f"l{i}_{i}")
+            for i in range(d, DIMS)
+        })
     names = ["group", *[f"m{i}" for i in range(DIMS)], *[f"w{i}_{j}" for i, j in PAIRS]]
     return store(df.select(*names), "params")
 
