@@ -2,7 +2,9 @@
 
 Each token is predicted from the ``REACH`` tokens on either side: a table per relative
 position, summed and squashed, then a softmax over classes of the vocabulary and one over
-the words of the class.  The score of a document is the sum of the log-probabilities of its tokens.
+the words of the class.  A word outside the vocabulary is predicted as one id for all of them, then byte
+by byte: ``Spelling`` counts the bytes after each two in all such words of the corpus.  The score of a
+document is the sum of the log-probabilities of its tokens, as whole words.
 
 The vocabulary is counted over the whole corpus.  Training masks every ``STRIDE``-th token of every
 document, another one each round: a task runs through its part of the corpus from the round's
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import only, slices
-from gleaner.llm.words import word_fingerprints
+from gleaner.llm.words import encoded_words, fingerprints, word_fingerprints
 from gleaner.session import store
 
 CLASSES, PER_CLASS = 32, 32
@@ -33,6 +35,8 @@ WIDTH, REACH = 32, 3
 STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 3, 1024, 0.1, 11
 BLOCKS = 8
 CHUNK = 1 << 15
+SYMBOLS = 257  # bytes, and one mark for the start and end of a word
+BACK_OFF = 4.0  # weight of the shorter context, in occurrences
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 
 
@@ -154,18 +158,100 @@ class Trainer:
         self.tokens += len(targets)
 
 
-def token_ids(texts: pa.Array, vocabulary: np.ndarray, ids: np.ndarray):
+def word_ids(words: list[str], vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.full(len(words), VOCABULARY - 1, np.int64)
+    prints = fingerprints(words)
+    at = np.minimum(np.searchsorted(vocabulary, prints), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == prints, ids[at], VOCABULARY - 1)
+
+
+def token_ids(words: list[str], indices: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, ids: np.ndarray):
     """Ids of all texts' tokens with ``REACH`` outside marks around each text; places of the
-    tokens in them; the texts' token offsets."""
-    prints, offsets = word_fingerprints(texts)
-    at = np.minimum(np.searchsorted(vocabulary, prints), max(len(vocabulary) - 1, 0))
-    known = vocabulary[at] == prints if len(vocabulary) else np.zeros(len(prints), bool)
-    mine = np.where(known, ids[at] if len(ids) else 0, VOCABULARY - 1)
+    tokens in them."""
+    mine = word_ids(words, vocabulary, ids)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    places = np.arange(len(prints)) + REACH * (2 * text + 1)
-    padded = np.full(len(prints) + 2 * REACH * (len(offsets) - 1), VOCABULARY, np.int64)
-    padded[places] = mine
-    return padded, places, offsets
+    places = np.arange(len(indices)) + REACH * (2 * text + 1)
+    padded = np.full(len(indices) + 2 * REACH * (len(offsets) - 1), VOCABULARY, np.int64)
+    padded[places] = mine[indices] if len(indices) else 0
+    return padded, places
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each symbol of each word, its end included, with the two before; and its word."""
+    raw = [w.encode() for w in words]
+    lengths = np.array([len(r) for r in raw], np.int64)
+    flat_bytes = np.frombuffer(b"".join(raw), np.uint8)
+    owner = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
+    padded = np.full(len(flat_bytes) + 3 * len(raw), SYMBOLS - 1, np.int32)
+    padded[np.arange(len(flat_bytes)) + 3 * owner.astype(np.int64) + 2] = flat_bytes
+    starts = np.cumsum(lengths + 3) - (lengths + 3)
+    target = np.ones(len(padded), bool)
+    target[starts] = target[starts + 1] = False
+    at = np.flatnonzero(target)
+    codes = (padded[at - 2] * SYMBOLS + padded[at - 1]) * SYMBOLS + padded[at]
+    return codes, np.repeat(np.arange(len(raw)), lengths + 1)
+
+
+def _parts(words: list[str], most: int = 20_000):
+    for begin in range(0, len(words), most):
+        yield begin, words[begin : begin + most]
+
+
+class Spelling:
+    """P(word | outside the vocabulary) byte by byte; each context backs off to the one a byte shorter."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.counts = codes[order].astype(np.int32), counts[order].astype(np.float64)
+        pairs = np.bincount(self.codes % SYMBOLS**2, self.counts, SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
+        self.contexts = np.bincount(self.codes // SYMBOLS, self.counts, SYMBOLS**2)
+        single = (pairs.sum(0) + 1) / (pairs.sum() + SYMBOLS)
+        self.shorter = ((pairs + BACK_OFF * single) / (pairs.sum(1, keepdims=True) + BACK_OFF)).ravel()
+
+    def symbol_probabilities(self, codes: np.ndarray) -> np.ndarray:
+        counts = np.zeros(len(codes))
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            counts = np.where(self.codes[at] == codes, self.counts[at], 0.0)
+        return (counts + BACK_OFF * self.shorter[codes % SYMBOLS**2]) / (self.contexts[codes // SYMBOLS] + BACK_OFF)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for begin, part in _parts(words):
+            codes, owner = trigrams(part)
+            out[begin : begin + len(part)] = np.bincount(owner, np.log(self.symbol_probabilities(codes)), len(part))
+        return out
+
+
+def _added(keys: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray):
+    both, where = np.unique(np.concatenate((keys, new)), return_inverse=True)
+    return both, np.bincount(where, weights=np.concatenate((counts, n)), minlength=len(both)).astype(np.int64)
+
+
+def spelling(docs: DataFrame, vocabulary: np.ndarray, ids: np.ndarray) -> Spelling:
+    """Counted over all words of ``docs`` outside the vocabulary, as often as they come."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, ids))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        known, numbers = shared.value
+        keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for part in slices(batches, "text"):
+            words, indices, _ = encoded_words(part.column(0))
+            times = np.bincount(indices, minlength=len(words))
+            rare = np.flatnonzero((word_ids(words, known, numbers) == VOCABULARY - 1) & (times > 0))
+            for begin, some in _parts([words[k] for k in rare]):
+                codes, owner = trigrams(some)
+                new, where = np.unique(codes, return_inverse=True)
+                n = np.bincount(where, weights=times[rare[begin : begin + len(some)]][owner], minlength=len(new))
+                keys, counts = _added(keys, counts, new, n)
+        for begin in range(0, len(keys), 100_000):
+            cut = slice(begin, begin + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].astype(np.int64)), pa.array(counts[cut])], names=["code", "n"])
+
+    counted = only(docs, "text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = counted.toArrow()
+    return Spelling(rows.column("code").to_numpy(), rows.column("n").to_numpy())
 
 
 def contexts(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -179,10 +265,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in slices(batches, "text"):
             prints, _ = word_fingerprints(part.column(0))
-            new, n = np.unique(prints, return_counts=True)
-            both, where = np.unique(np.concatenate((words, new)), return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate((counts, n)), minlength=len(both)).astype(np.int64)
-            words = both
+            words, counts = _added(words, counts, *np.unique(prints, return_counts=True))
             if len(words) > 2_000_000:  # hand on what has come together, so that memory is bounded
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
                 words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -247,7 +330,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int
             left: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = 0
             for part in slices(batches, "text"):
-                padded, places, offsets = token_ids(part.column(0), words, numbers)
+                distinct, indices, offsets = encoded_words(part.column(0))
+                padded, places = token_ids(distinct, indices, offsets, words, numbers)
                 within = np.arange(len(places)) - np.repeat(offsets[:-1], np.diff(offsets))
                 chosen = places[(within + 7 * number) % stride == 0]
                 for begin in range(0, len(chosen), BATCH):
@@ -279,20 +363,30 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int
     return vocabulary, ids, net
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of each row."""
+def score(docs: DataFrame, model, spelled: Spelling | None = None) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of each row.
+
+    Without ``spelled`` the score is that of the ids, all words outside the vocabulary being one.
+    """
     vocabulary, ids, net = model
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, ids, flat(net)))
+    counted = None if spelled is None else (spelled.codes, spelled.counts)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, ids, flat(net), counted))
 
     def run(batches):
-        words, numbers, vector = shared.value
-        trained = unflat(vector)
+        words, numbers, vector, counted = shared.value
+        trained, spelled = unflat(vector), None if counted is None else Spelling(*counted)
         for part in slices(batches):
-            padded, places, offsets = token_ids(part.column(1), words, numbers)
+            distinct, indices, offsets = encoded_words(part.column(1))
+            padded, places = token_ids(distinct, indices, offsets, words, numbers)
             logs = np.zeros(len(places) + 1)
             for begin in range(0, len(places), CHUNK):
                 some = places[begin : begin + CHUNK]
                 logs[begin : begin + len(some)] = log_probabilities(trained, contexts(padded, some), padded[some])
+            if spelled is not None and len(indices):
+                rare = np.flatnonzero(word_ids(distinct, words, numbers) == VOCABULARY - 1)
+                of_word = np.zeros(len(distinct))
+                of_word[rare] = spelled.log_probabilities([distinct[k] for k in rare])
+                logs[:-1] += of_word[indices]
             sizes = np.diff(offsets)
             sums = np.where(sizes > 0, np.add.reduceat(logs, offsets[:-1]), 0.0) if len(sizes) else np.zeros(0)
             mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
@@ -307,4 +401,5 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on ``docs`` and score them."""
-    return score(docs, train(docs))
+    model = train(docs)
+    return score(docs, model, spelling(docs, *model[:2]))

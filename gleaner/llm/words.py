@@ -18,26 +18,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of each word, A-Z lower-cased, of all texts in a row; and each text's offsets."""
-    import xxhash
-
+def encoded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, A-Z lower-cased; the place among them of each word of all texts in a
+    row; and each text's offsets."""
     lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     words = pc.ascii_split_whitespace(lowered)
     counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     encoded = pc.dictionary_encode(words.flatten())
     distinct = encoded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), dtype=np.uint64, count=len(distinct))
     indices = encoded.indices.to_numpy()
-    flat = hashes[indices] if len(indices) else np.zeros(0, np.uint64)
     owners = np.repeat(np.arange(len(counts)), counts)
     # splitting leaves empty words at the ends of a text
     empty = np.array([not w for w in distinct], dtype=bool)
     if empty.any() and len(indices):
         keep = ~empty[indices]
-        flat, owners = flat[keep], owners[keep]
-    offsets = np.searchsorted(owners, np.arange(len(counts) + 1))
-    return flat, offsets
+        indices, owners = indices[keep], owners[keep]
+    return distinct, indices, np.searchsorted(owners, np.arange(len(counts) + 1))
+
+
+def fingerprints(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+
+
+def word_fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint of each word, A-Z lower-cased, of all texts in a row; and each text's offsets."""
+    distinct, indices, offsets = encoded_words(texts)
+    hashes = fingerprints(distinct)
+    return hashes[indices] if len(indices) else np.zeros(0, np.uint64), offsets
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

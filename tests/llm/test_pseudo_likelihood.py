@@ -92,3 +92,27 @@ def test_odd_rows(odd, odd_rows, none, brute):
     assert scores[1].log_likelihood == 0 and scores[1].mean_log_likelihood is None
     assert scores[5].log_likelihood < 0
     assert pl.pseudo_likelihood(none).collect() == []
+
+
+def test_spelling_is_a_distribution_and_knows_its_words():
+    codes, _ = pl.trigrams(["banana", "bandana", "é"])
+    new, n = np.unique(codes, return_counts=True)
+    spelled = pl.Spelling(new, n)
+    for context in ("", "b", "an", "zq"):
+        before = [pl.SYMBOLS - 1] * 2 + list(context.encode())
+        code = (before[-2] * pl.SYMBOLS + before[-1]) * pl.SYMBOLS
+        assert abs(spelled.symbol_probabilities(code + np.arange(pl.SYMBOLS)).sum() - 1) < 1e-9
+    known, unknown = spelled.log_probabilities(["banana", "xkqjwv"])
+    assert known > unknown
+
+
+def test_gibberish_scores_below_prose(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    junk = [(-k - 1, " ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(80))) for k in range(30)]
+    both = docs.union(spark.createDataFrame(junk, "doc_id bigint, text string"))
+    scores = {r.doc_id: r.mean_log_likelihood for r in pl.pseudo_likelihood(both).where("n_tokens >= 50").collect()}
+    prose = np.array([s for d, s in scores.items() if d >= 0])
+    gibberish = np.array([scores[d] for d, _ in junk])
+    assert gibberish.max() < np.quantile(prose, 0.1)
