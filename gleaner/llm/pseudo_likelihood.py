@@ -6,8 +6,8 @@ the words of the class.  A word outside the vocabulary is predicted as one id fo
 by byte: ``Spelling`` counts the bytes after each two in all such words of the corpus.  The score of a
 document is the sum of the log-probabilities of its tokens, as whole words.
 
-The vocabulary is counted over the whole corpus.  Training masks every ``STRIDE``-th token of every
-document, another one each round: a task runs through its part of the corpus from the round's
+The vocabulary is counted over the whole corpus.  Training masks every token of every
+document once, a part of them each round: a task runs through its part of the corpus from the round's
 parameters, and the changes are averaged by tokens, in two levels of sums, before the next round.  Only
 parameters, whose number is fixed, reach the driver.
 
@@ -32,7 +32,7 @@ from gleaner.session import store
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS  # the last id stands for all other words
 WIDTH, REACH = 32, 3
-STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 3, 1024, 0.1, 11
+ROUNDS, BATCH, RATE, SEED = 3, 1024, 0.1, 11
 BLOCKS = 8
 CHUNK = 1 << 15
 SYMBOLS = 257  # bytes, and one mark for the start and end of a word
@@ -120,19 +120,24 @@ def gradients(net, context: np.ndarray, targets: np.ndarray):
     out["word_out"] = np.zeros_like(net["word_out"])
     out["word_bias"] = np.zeros_like(net["word_bias"])
     order, runs = _by_class(targets)
+    sorted_hidden, sorted_targets = hidden[order], targets[order]
+    words, back = np.empty((n, PER_CLASS), hidden.dtype), np.empty_like(hidden)
     for c, run in runs:
-        part = order[run]
-        d_word = -np.exp(_log_softmax(hidden[part] @ net["word_out"][c] + net["word_bias"][c]))
-        d_word[np.arange(len(part)), targets[part] % PER_CLASS] += 1
-        d_word /= n
-        d_hidden[part] += d_word @ net["word_out"][c].T
-        out["word_out"][c] = hidden[part].T @ d_word
-        out["word_bias"][c] = d_word.sum(0)
+        np.matmul(sorted_hidden[run], net["word_out"][c], out=words[run])
+    words += net["word_bias"][sorted_targets // PER_CLASS]
+    d_word = -np.exp(_log_softmax(words))
+    d_word[np.arange(n), sorted_targets % PER_CLASS] += 1
+    d_word /= n
+    for c, run in runs:
+        np.matmul(d_word[run], net["word_out"][c].T, out=back[run])
+        out["word_out"][c] = sorted_hidden[run].T @ d_word[run]
+        out["word_bias"][c] = d_word[run].sum(0)
+    d_hidden[order] += back
     d_hidden *= 1 - hidden * hidden
     out["bias"] = d_hidden.sum(0)
     tables = []
     for k in range(len(OFFSETS)):
-        by_id = np.argsort(context[:, k], kind="stable")
+        by_id = np.argsort(context[:, k].astype(np.int16), kind="stable")  # 16 bits: a radix sort
         ids = context[by_id, k]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         tables.append((ids[first], np.add.reduceat(d_hidden[by_id], first, axis=0)))
@@ -314,7 +319,13 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.select("part", "block", "w", "v").mapInArrow(run, "part bigint, block bigint, w double, v binary")
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int = SEED):
+def masked(offsets: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Which tokens round ``number`` trains on: over all rounds each token once."""
+    within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    return within % rounds == number
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED):
     """The vocabulary and the trained network."""
     spark = docs.sparkSession
     vocabulary, ids, counts = _vocabulary(docs)
@@ -332,8 +343,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, seed: int
             for part in slices(batches, "text"):
                 distinct, indices, offsets = encoded_words(part.column(0))
                 padded, places = token_ids(distinct, indices, offsets, words, numbers)
-                within = np.arange(len(places)) - np.repeat(offsets[:-1], np.diff(offsets))
-                chosen = places[(within + 7 * number) % stride == 0]
+                chosen = places[masked(offsets, number, rounds)]
                 for begin in range(0, len(chosen), BATCH):
                     some = chosen[begin : begin + BATCH]
                     left.append((contexts(padded, some), padded[some]))

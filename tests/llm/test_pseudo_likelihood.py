@@ -116,3 +116,15 @@ def test_gibberish_scores_below_prose(spark):
     prose = np.array([s for d, s in scores.items() if d >= 0])
     gibberish = np.array([scores[d] for d, _ in junk])
     assert gibberish.max() < np.quantile(prose, 0.1)
+
+
+def test_every_token_is_trained_on_once(spark):
+    offsets = np.array([0, 1, 1, 3, 40])
+    for rounds in (1, pl.ROUNDS, 5):
+        assert (sum(pl.masked(offsets, k, rounds).astype(int) for k in range(rounds)) == 1).all()
+    # production rounds: the second word, at a place that a stride of 16 never came to, is learnt
+    text = " ".join(f"{w} {'after' if w == 'one' else 'other'} x y z" for w in ("one", "two")) + " q" * 6
+    docs = spark.createDataFrame([(k, text) for k in range(400)], "doc_id bigint, text string")
+    total = lambda m: pl.score(docs, m).agg({"log_likelihood": "sum"}).first()[0]
+    before, after = total(pl.train(docs, rounds=0)), total(pl.train(docs))
+    assert after > 0.6 * before
