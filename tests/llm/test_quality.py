@@ -131,3 +131,13 @@ def test_result_does_not_depend_on_partitions(docs):
     one = {r.doc_id: r.distance for r in quality.quality_verdicts(docs.repartition(7)).collect()}
     other = {r.doc_id: r.distance for r in quality.quality_verdicts(docs.orderBy(F.desc("doc_id"))).collect()}
     assert one == other
+
+
+def test_most_labelled_junk_goes_on_the_larger_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality.quality_verdicts(docs).join(labels, "doc_id").where("NOT base_failed")
+    got = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert got[(0, False)] >= 0.8 * (got[(0, False)] + got[(0, True)])
+    assert got[(1, True)] >= 0.999 * (got[(1, True)] + got.get((1, False), 0))
