@@ -38,16 +38,17 @@ def seats(df: DataFrame, group: list[str], weight: str, total: str, name: str) -
     gives for some number of seats within half the number of rows of ``total``; the few
     seats between are then given to the highest, or taken from the lowest quotients.
     Ties go to the row first in order of column ``rank``, which must be unique per group.
+    A group without weight, or with a total of 0, gets none.
     """
     of = Window.partitionBy(*group)
-    divisor = F.sum(weight).over(of) / F.col(total)
+    divisor = F.try_divide(F.sum(weight).over(of), F.col(total))
     first = (
         df.withColumn("_d", divisor)
         .withColumn(name, F.when(F.col("_d") > 0, F.floor(F.col(weight) / F.col("_d") + 0.5)).otherwise(0))
         .withColumn("_open", (F.col(total) - F.sum(name).over(of)).cast("bigint"))
     )
     # a row's share of the open seats, and two more, bounds what it can still win or lose
-    share = F.col(weight) / F.sum(weight).over(of)
+    share = F.try_divide(F.col(weight), F.sum(weight).over(of))
     most = F.when(
         F.col(weight) > 0, F.ceil(F.abs(F.col("_open")) * share).cast("bigint") + 2
     ).otherwise(0)
@@ -115,58 +116,80 @@ def _cum(position: Column, quota: Column, blocks: Column, block_words: int) -> C
     return low * block_words + (position - k * block_words) * (high - low)
 
 
-def mix_plan(
-    docs: DataFrame,
-    block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS,
-    seed: int = SEED,
-) -> DataFrame:
-    """Per document: ``doc_id, source, size, source_size, target, taken`` and where it lies:
-    ``start`` (words of its shard before it), ``quota`` of ``blocks`` blocks of its shard.
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with its words counted and its place in the seeded order; columns are ``doc_id, source, text`` and any others."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.select("*", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_twin"), key.alias("_key")).drop("text")
 
-    Shards hold about ``shard_words`` words, whatever the size of their source, and only
-    documents' ids and sizes are shuffled.
+
+def _with_shard(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sized`` with the facts of its source and the shard it lies in."""
+    facts = sources.withColumn("_source", F.struct("source")).drop("source")
+    placed = join_list(sized.withColumn("_source", F.struct("source")), facts, ["_source"]).drop("_source")
+    lead = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint")
+    return placed.withColumn("shard", lead % F.col("shards"))
+
+
+def _shard_quotas(placed: DataFrame, block_words: int) -> DataFrame:
+    """``rank, shard, quota, blocks``: blocks that each shard gives, and has.
+
+    A shard gives no block more than three times.  What its share has above that goes to the
+    source's other shards in the same way, by the blocks they still can give.
     """
-    sized = only(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_twin")
+    by_shard = placed.groupBy(F.col("rank").alias("source_rank"), "shard", "source_blocks").agg(
+        F.sum("size").alias("shard_size")
     )
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = store(sized.withColumn("_key", key), "sizes")
+    shares = seats(
+        by_shard.withColumn("rank", F.col("shard")), ["source_rank"], "shard_size", "source_blocks", "share"
+    )
+    blocks = F.ceil(F.col("shard_size") / block_words).cast("bigint")
+    most = MOST_REPEATS * F.col("blocks")
+    capped = shares.withColumn("blocks", blocks).withColumn("room", F.greatest(most - F.col("share"), F.lit(0)))
+    of = Window.partitionBy("source_rank")
+    over = F.sum(F.greatest(F.col("share") - most, F.lit(0))).over(of)
+    capped = capped.withColumn("over", F.least(over, F.sum("room").over(of)))
+    capped = capped.select("source_rank", "rank", "shard", "share", "blocks", "room", "over")
+    more = seats(store(capped, "shares"), ["source_rank"], "room", "over", "more")
+    quota = F.least("share", most) + F.col("more")
+    return more.select(F.col("source_rank").alias("rank"), "shard", quota.cast("bigint").alias("quota"), "blocks")
+
+
+def _laid(docs: DataFrame, block_words: int, shard_words: int, seed: int, rows: DataFrame | None = None) -> DataFrame:
+    """Each row of ``docs`` (``doc_id, source, text``) with its plan; or of ``rows``, the same with more columns."""
+    sized = store(_sized(docs, seed), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals)
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block_words).cast("bigint")
     sources = seats(targets.withColumn("_one", F.lit(1)).withColumn("_blocks", blocks), ["_one"], "target", "_blocks", "source_blocks")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("bigint")
     sources = store(sources.select("source", "source_size", "rank", "target", "source_blocks", shards.alias("shards")), "sources")
-
-    lead = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint")
-    facts = sources.withColumn("_source", F.struct("source")).drop("source")
-    placed = join_list(sized.withColumn("_source", F.struct("source")), facts, ["_source"]).drop("_source")
-    placed = placed.withColumn("shard", lead % F.col("shards"))
-    by_shard = placed.groupBy(F.col("rank").alias("source_rank"), "shard", "source_blocks").agg(
-        F.sum("size").alias("shard_size")
-    )
-    quotas = seats(
-        by_shard.withColumn("rank", F.col("shard")), ["source_rank"], "shard_size", "source_blocks", "quota"
-    )
-    block_count = F.ceil(F.col("shard_size") / block_words).cast("bigint")
-    # whole blocks only stand for words that exist: no block is taken more often than allowed
-    quotas = quotas.select(
-        F.col("source_rank").alias("rank"), "shard",
-        F.least("quota", MOST_REPEATS * block_count).alias("quota"), block_count.alias("blocks"),
-    )
-    quotas = store(quotas, "quotas")
+    placed = _with_shard(sized, sources)
+    quotas = store(_shard_quotas(placed, block_words), "quotas")
+    laid = placed if rows is None else _with_shard(_sized(rows, seed), sources)
     within = Window.partitionBy("rank", "shard").orderBy("_key", "doc_id", "size", "_twin")
-    running = placed.withColumn("start", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    running = laid.withColumn("start", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     full = join_list(running, quotas, ["rank", "shard"])
     taken = F.when(F.col("size") == 0, 0).otherwise(
         _cum(F.col("start") + F.col("size"), F.col("quota"), F.col("blocks"), block_words)
         - _cum(F.col("start"), F.col("quota"), F.col("blocks"), block_words)
     )
-    return full.select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
-        "start", "quota", "blocks", "_twin",
-    )
+    return full.withColumn("taken", taken.cast("bigint"))
+
+
+def mix_plan(
+    docs: DataFrame,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """Per document: ``doc_id, source, size, source_size, target, taken`` and where it lies:
+    ``start`` (words of its shard before it), ``quota`` of ``blocks`` blocks of its shard.
+
+    Shards hold about ``shard_words`` words, whatever the size of their source, and only
+    documents' ids and sizes are shuffled.
+    """
+    laid = _laid(only(docs, "doc_id", "source", "text"), block_words, shard_words, seed)
+    return laid.select("doc_id", "source", "size", "source_size", "target", "taken", "start", "quota", "blocks")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
@@ -174,17 +197,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
 
     Copy c holds the words of those of the document's blocks that are taken c times or
     more, with the white space that follows them; a copy of all blocks is the text as it
-    is.  Documents of which nothing is taken are left out.
+    is.  Documents of which nothing is taken are left out.  Documents are shuffled once, to
+    their shards, in one column that no name of the plan can meet.
     """
-    plan = mix_plan(docs, block_words, shard_words, seed).where("taken > 0")
-    named = docs.withColumn("_twin", F.xxhash64("text"))
-    plan = plan.select(F.struct("doc_id", "source", "_twin").alias("_at"), "size", "taken", "start", "quota", "blocks")
-    # rows alike in id, source and text are paired by their number among themselves
-    nth = Window.partitionBy("_at").orderBy("start")
-    plan = plan.withColumn("_nth", F.row_number().over(nth))
-    named = named.withColumn("_at", F.struct("doc_id", "source", "_twin"))
-    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy("_at").orderBy(F.lit(1))))
-    joined = named.join(plan, ["_at", "_nth"])
+    slim = only(docs, "doc_id", "source", "text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), whole)
+    joined = _laid(slim, block_words, shard_words, seed, rows).where("taken > 0")
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     times = F.transform(
         F.sequence(first, last),
@@ -193,15 +212,17 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
     joined = joined.withColumn("_first", first).withColumn("_times", times)
     copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("_times"))))
     whole = F.array_min("_times") >= F.col("_copy")
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"{WORD}[{' \\t\\n\\x0B\\f\\r'}]*"), F.lit(0))
+    doc_text = F.col("_doc.text")
+    words = F.regexp_extract_all(doc_text, F.lit(f"{WORD}[{' \\t\\n\\x0B\\f\\r'}]*"), F.lit(0))
     block = lambda i: (F.floor((F.col("start") + i) / block_words) - F.col("_first")).cast("int")
     part = F.filter(words, lambda w, i: F.get("_times", block(i)) >= F.col("_copy"))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(part, ""))
-    mixed = copies.withColumn("text", text)
+    new = {"text": F.when(whole, doc_text).otherwise(F.array_join(part, ""))}
+    mixed = copies.withColumn("_text", new["text"])
+    new["text"] = F.col("_text")
     if "n_chars" in docs.columns:
-        chars = F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-        mixed = mixed.withColumn("n_chars", chars)
-    return mixed.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(whole, F.col("_doc.n_chars")).otherwise(F.length("_text").cast(kind))
+    return mixed.select(*[new.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sql(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> str:
@@ -240,13 +261,24 @@ def mix_sql(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed
     shards AS (
       SELECT rank, shard, source_blocks, sum(size) AS shard_size, ceil(sum(size) / {block_words})::BIGINT AS blocks
       FROM placed GROUP BY ALL),
-    quotas AS (
-      SELECT rank, shard, blocks, least(3 * blocks, coalesce(quota, 0)) AS quota FROM shards LEFT JOIN (
-        SELECT rank, shard, count(*)::BIGINT AS quota FROM (
+    shares AS (
+      SELECT rank, shard, blocks, coalesce(share, 0) AS share FROM shards LEFT JOIN (
+        SELECT rank, shard, count(*)::BIGINT AS share FROM (
           SELECT rank, shard, source_blocks,
             row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * j + 1) DESC, shard) AS k
           FROM (SELECT *, unnest(range(source_blocks)) AS j FROM shards WHERE shard_size > 0))
         WHERE k <= source_blocks GROUP BY rank, shard) USING (rank, shard)),
+    rooms AS (
+      SELECT *, greatest(3 * blocks - share, 0) AS room,
+        sum(greatest(share - 3 * blocks, 0)) OVER (PARTITION BY rank) AS excess FROM shares),
+    handed AS (
+      SELECT rank, shard, count(*)::BIGINT AS more FROM (
+        SELECT rank, shard, excess, row_number() OVER (PARTITION BY rank ORDER BY room / (2 * j + 1) DESC, shard) AS k
+        FROM (SELECT *, unnest(range(excess::BIGINT)) AS j FROM rooms WHERE excess > 0) WHERE j < room)
+      WHERE k <= excess GROUP BY rank, shard),
+    quotas AS (
+      SELECT rank, shard, blocks, least(3 * blocks, share) + coalesce(more, 0) AS quota
+      FROM rooms LEFT JOIN handed USING (rank, shard)),
     laid AS (
       SELECT p.*, q.blocks, q.quota,
         sum(size) OVER (PARTITION BY p.rank, p.shard ORDER BY key, doc_id, size)::BIGINT - size AS start

@@ -95,10 +95,10 @@ def _with_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda a, x: a + x))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source``, ``twin`` (a hash of the text) and the base statistics of each text, all longs."""
-    df = only(docs, "doc_id", "lang", "source", "text").withColumn("twin", F.xxhash64("text"))
-    df = df.withColumn("text", F.coalesce("text", F.lit("")))
+def text_statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``doc_id, lang, source`` and the base statistics of each text, all longs; with ``whole`` the row itself as ``_doc``."""
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if whole else []
+    df = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), *kept)
     df = with_once(df, "_words", word_array(F.col("text")))
     df = _with_repeats(df)
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
@@ -111,7 +111,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "n_repeat_words": F.col("n_repeat_words"),
         "n_lines": F.size("_lines"),
     }
-    return df.select("doc_id", "lang", "source", "twin", *[c.cast("bigint").alias(n) for n, c in longs.items()])
+    named = [c.cast("bigint").alias(n) for n, c in longs.items()]
+    return df.select("doc_id", "lang", "source", *named, *(["_doc"] if whole else []))
 
 
 def base_failed() -> Column:
@@ -222,12 +223,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """``doc_id``, the base statistics, ``base_failed``, ``distance`` and ``kept``.
-
-    ``distance`` is the squared Mahalanobis distance, null where the base rule decided alone.
-    """
-    stats = text_statistics(docs).withColumn("base_failed", base_failed())
+def _judged(docs: DataFrame, tail: float, whole: bool) -> DataFrame:
+    """The rows of :func:`text_statistics` with ``base_failed``, ``distance`` and ``kept``."""
+    stats = text_statistics(docs, whole).withColumn("base_failed", base_failed())
     rows = store(stats.select("*", *features()), "statistics")
     groups = store(_groups(rows), "groups")
     grouped = join_list(rows.withColumn("_of", F.struct("lang", "source")), groups, ["_of"], "left").drop("_of")
@@ -250,16 +248,23 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     params = _moments(near.groupBy("group").agg(*_sums()), 0.975 / chi_square_below(cut, DIMS + 2))
     judged = join_list(grouped, params, ["group"], "left").withColumn("distance", _distance())
     near_enough = F.coalesce(F.col("distance") <= chi_square_quantile(1 - tail, DIMS), F.lit(True))
+    return judged.withColumn("kept", ~F.col("base_failed") & near_enough)
+
+
+def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """``doc_id``, the base statistics, ``base_failed``, ``distance`` and ``kept``.
+
+    ``distance`` is the squared Mahalanobis distance, null where the base rule decided alone.
+    """
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select(
-        "doc_id", *longs, "base_failed", (~F.col("base_failed") & near_enough).alias("kept"), "distance",
-        "twin",
-    )
+    return _judged(docs, tail, False).select("doc_id", *longs, "base_failed", "kept", "distance")
 
 
 def keep_quality(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """Documents that pass, in ``docs``' columns; a verdict holds for equal id and text."""
-    passed = quality_verdicts(docs, tail).where("kept").select("doc_id", "twin").distinct()
-    keyed = docs.withColumn("_of", F.struct("doc_id", F.xxhash64("text").alias("twin")))
-    kept = keyed.join(passed.select(F.struct("doc_id", "twin").alias("_of")), "_of", "left_semi")
-    return kept.select(*docs.columns)
+    """Documents that pass, in ``docs``' columns.
+
+    Rows stay beside their statistics, in one column that no other name can meet, so that
+    no text is shuffled: a verdict takes the row and the parameters of its group.
+    """
+    kept = _judged(docs, tail, True).where("kept")
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -39,7 +39,7 @@ def _op4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _op5(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality_verdicts(table(spark, sf, "documents")).drop("twin")
+    return quality.quality_verdicts(table(spark, sf, "documents"))
 
 
 def _op6(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import decontaminate, licenses, mixing, revisits
+from gleaner.llm import decontaminate, licenses, mixing, quality, revisits
 
 
 # ---- benchmark items ---------------------------------------------------------------
@@ -118,6 +118,43 @@ def test_mixing_odd_rows(odd, odd_rows, none, brute):
     assert mixing.mix_plan(none).collect() == [] and mixing.mix(none).collect() == []
 
 
+def test_mixing_without_words_and_with_a_source_under_half_a_block(spark, brute):
+    wordless = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " ", None)], "doc_id bigint, text string, source string")
+    assert {(r.doc_id, r.size, r.target, r.taken) for r in mixing.mix_plan(wordless).collect()} == {(k, 0, 0.0, 0) for k in (1, 2, 3)}
+    assert mixing.mix(wordless).collect() == []
+    rows = [(k, "w " * 500, "big") for k in range(40)] + [(100, "one two three", "small"), (101, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = {r.doc_id: r for r in mixing.mix_plan(docs).collect()}
+    assert plan[100].taken <= 9 and plan[101].taken == 0
+    assert abs(sum(r.taken for r in plan.values()) - 20_003) <= 128
+
+
+def test_shares_above_three_times_a_shard_go_to_the_others(spark):
+    rows = [(1, 0, 10, 64 * 4), (1, 1, 10, 64), (2, 0, 4, 64)]
+    placed = spark.createDataFrame(rows, "rank bigint, shard bigint, source_blocks bigint, size bigint")
+    got = {(r["rank"], r.shard): r.quota for r in mixing._shard_quotas(placed, 64).collect()}
+    assert got == {(1, 0): 8, (1, 1): 2, (2, 0): 3}
+    rows = [(1, 0, 9, 64 * 2 - 1), (1, 1, 9, 64 * 1), (3, 0, 14, 64 * 4), (3, 1, 14, 1)]
+    placed = spark.createDataFrame(rows, "rank bigint, shard bigint, source_blocks bigint, size bigint")
+    got = {(r["rank"], r.shard): r.quota for r in mixing._shard_quotas(placed, 64).collect()}
+    assert got == {(1, 0): 6, (1, 1): 3, (3, 0): 12, (3, 1): 2}
+
+
+def test_columns_named_like_those_of_the_plan(spark, docs):
+    """Every name that the operators make, taken from the operators."""
+    names = set(mixing._laid(docs, 64, 1000, 1, docs.selectExpr("doc_id", "source", "text", "struct(*) AS _doc")).columns)
+    names |= {"_first", "_times", "_copy", "_text", "_source", "_of", "_bin", "_d2", "twin"}
+    names |= set(quality._judged(docs, 1e-3, True).columns)
+    names -= set(docs.columns)
+    wide = docs.where("doc_id < 60").select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in sorted(names)])
+    for made in (mixing.mix(wide), quality.keep_quality(wide)):
+        assert made.columns == wide.columns
+        rows = made.collect()
+        assert rows
+        for r in rows:
+            assert all(r[n] == n + str(r.doc_id) for n in names)
+
+
 # ---- licenses ----------------------------------------------------------------------
 
 
