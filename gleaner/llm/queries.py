@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import (
     decontaminate,
+    filter_audit,
+    language_mixture,
     licenses,
     mixing,
     neardup,
@@ -18,6 +20,7 @@ from gleaner.llm import (
     repeats,
     revisits,
     token_orc,
+    whitening,
 )
 from gleaner.llm.common import table
 
@@ -64,6 +67,19 @@ def _op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("headers", revisits.header_lines(F.col("headers")))
 
 
+def _op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = language_mixture.identify(table(spark, sf, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+def _op12(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def _op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_masked_pll": _op1,
@@ -76,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperminhash_dedup": _op8,
         "op9_sainte_lague_mix": _op9,
         "op10_revisit_resolution": _op10,
+        "op11_language_mixture": _op11,
+        "op12_filter_potential": _op12,
+        "op13_multiplicity_whitening": _op13,
     }
 
 
@@ -85,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_containment": decontaminate.LEAKS_SQL,
         "op9_sainte_lague_mix": mixing.mix_sql(),
         "op10_revisit_resolution": revisits.CAPTURES_SQL,
+        "op12_filter_potential": filter_audit.audit_sql(),
     }
