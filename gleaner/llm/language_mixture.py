@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import kept_in_worker, only, slices
+from gleaner.llm.common import only, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -50,7 +50,6 @@ HELD_OUT = 2
 #: Shares and scores are rounded, so that they do not tell how the rows lay.
 DIGITS = 6
 PART_BYTES = 4 << 20
-MEMO_WORDS = 200_000
 BLANK = np.uint64(32)
 
 
@@ -62,65 +61,55 @@ def held_out(doc_id: Column) -> Column:
 # ---- words and n-grams -----------------------------------------------------------------
 
 
-def _pieces(token: str) -> list[str]:
-    """Runs of letters, and marks on them, of a token in lower case, cut at ``PIECE``."""
-    runs, run = [], []
-    for c in token.lower():
-        if c.isalpha() or (run and _is_mark(c)):
-            run.append(c)
-        elif run:
-            runs.append("".join(run))
-            run = []
-    if run:
-        runs.append("".join(run))
-    return [r[k : k + PIECE] for r in runs for k in range(0, len(r), PIECE)]
-
-
-def _is_mark(c: str) -> bool:
-    import unicodedata
-
-    return c > "˿" and unicodedata.category(c).startswith("M")
-
-
 class Words(NamedTuple):
-    """Words of a batch: the distinct ones, and for each distinct (document, word) how often it comes."""
+    """Words of a batch: the distinct ones, and for each (document, word) how often it comes."""
 
-    distinct: list[str]
+    distinct: pa.Array
     doc: np.ndarray
     word: np.ndarray
     count: np.ndarray
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts`` and are ``sizes`` long, one run after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def words_of(texts: pa.Array) -> Words:
-    """Documents are in rising order; a token is cut into words once, however often it comes."""
-    memo = kept_in_worker("language_pieces", dict)
-    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    """Words are runs of letters, and marks on them, in lower case, cut at ``PIECE``.  Documents are in rising order;
+    a token between blanks is cut into words once, however often it comes."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     encoded = pc.dictionary_encode(lists.flatten())
-    tokens = encoded.dictionary.to_pylist()
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    if not len(doc):
-        return Words([], doc, doc, doc)
-    pairs, count = np.unique(doc * len(tokens) + encoded.indices.to_numpy(), return_counts=True)
-    doc, token = np.divmod(pairs, len(tokens))
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    numbers: dict[str, int] = {}
-    flat, sizes = [], np.zeros(len(tokens), np.int64)
-    for k, t in enumerate(tokens):
-        found = memo.get(t)
-        if found is None:
-            found = _pieces(t)
-            if len(t) <= PIECE:
-                memo[t] = found
-        sizes[k] = len(found)
-        for p in found:
-            flat.append(numbers.setdefault(p, len(numbers)))
+    n_tokens = max(1, len(encoded.dictionary))
+    pairs, count = np.unique(doc * n_tokens + encoded.indices.to_numpy(), return_counts=True)
+    doc, token = np.divmod(pairs, n_tokens)
+    spaced = pc.replace_substring_regex(pc.utf8_lower(encoded.dictionary), pattern=r"[^\pL\pM]+", replacement=" ")
+    runs = pc.split_pattern(spaced, " ")
+    sizes = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = pc.dictionary_encode(runs.flatten())
     starts = np.cumsum(sizes) - sizes
-    times = sizes[token]
-    within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-    word = np.array(flat, np.int64)[np.repeat(starts[token], times) + within] if flat else np.zeros(0, np.int64)
-    return Words(list(numbers), np.repeat(doc, times), word, np.repeat(count, times))
+    word = found.indices.to_numpy()[_runs(starts[token], sizes[token])]
+    doc, count = np.repeat(doc, sizes[token]), np.repeat(count, sizes[token])
+    return _cut(found.dictionary, doc, word, count)
+
+
+def _cut(distinct: pa.Array, doc: np.ndarray, word: np.ndarray, count: np.ndarray) -> Words:
+    """Drop what holds no letter and cut what is longer than ``PIECE``."""
+    lettered = pc.match_substring_regex(distinct, r"\pL").to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(lettered & (pc.utf8_length(distinct).to_numpy(zero_copy_only=False) > PIECE))
+    sizes, starts = lettered.astype(np.int64), np.arange(len(distinct))
+    cuts = []
+    for k in long:
+        whole = distinct[k].as_py()
+        starts[k] = len(distinct) + len(cuts)
+        cuts += [whole[at : at + PIECE] for at in range(0, len(whole), PIECE)]
+        sizes[k] = len(distinct) + len(cuts) - starts[k]
+    if cuts:
+        distinct = pa.concat_arrays([distinct, pa.array(cuts, distinct.type)])
+    times = sizes[word]
+    return Words(distinct, np.repeat(doc, times), _runs(starts[word], times), np.repeat(count, times))
 
 
 def _place(a: np.ndarray, b: np.ndarray, c: np.ndarray, order: int, buckets: int) -> np.ndarray:
@@ -133,11 +122,14 @@ def _place(a: np.ndarray, b: np.ndarray, c: np.ndarray, order: int, buckets: int
         return ((h * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def ngram_places(words: list[str], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+def ngram_places(words: pa.Array, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Places of the n-grams of orders 3, 2 and 1 and of the contexts of orders 3 and 2, a row each character of
     each word and one for its end; and the word each row belongs to."""
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    text = pa.large_string()
+    ended = pc.binary_join_element_wise(words.cast(text), pa.scalar("", text), pa.scalar(" ", text))
+    together = ended.buffers()[2].to_pybytes().decode() if len(words) else ""
+    codes = np.frombuffer(f" {together}".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     c, b = codes[1:], codes[:-1]
     a = np.concatenate(([BLANK], b[:-1]))
     a = np.where(b == BLANK, BLANK, a)  # a word does not see the one before it
@@ -158,18 +150,20 @@ class Model(NamedTuple):
     totals: np.ndarray  # characters and ends per language
     buckets: int
 
-    def likelihoods(self, words: list[str]) -> np.ndarray:
+    def likelihoods(self, words: pa.Array) -> np.ndarray:
         """Log-likelihood of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
         step = max(1, (1 << 21) // (8 * len(self.languages)))
+        totals, lean = self.totals.astype(np.float32), np.float32(LEAN)
         for at in range(0, len(words), step):
-            part = words[at : at + step]
+            part = words.slice(at, step)
             (three, two, one, of_three, of_two), owner = ngram_places(part, self.buckets)
-            p = (self.counts[one] + 0.5) / (self.totals + 0.5 * self.buckets)
-            p = (self.counts[two] + LEAN * p) / (self.counts[of_two] + LEAN)
-            p = (self.counts[three] + LEAN * p) / (self.counts[of_three] + LEAN)
+            p = (self.counts[one] + np.float32(0.5)) / (totals + np.float32(0.5 * self.buckets))
+            p = (self.counts[two] + lean * p) / (self.counts[of_two] + lean)
+            p = (self.counts[three] + lean * p) / (self.counts[of_three] + lean)
             first = np.flatnonzero(np.diff(owner, prepend=-1))
-            out[at : at + step] = np.add.reduceat(np.log(np.minimum(p, 1.0)), first, axis=0)
+            logs = np.log(np.minimum(p, np.float32(1)))
+            out[at : at + step] = np.add.reduceat(logs, first, axis=0, dtype=np.float64)
         return out
 
 
@@ -190,7 +184,7 @@ def _ngram_counts(labelled: DataFrame, buckets: int) -> DataFrame:
             places, owner = ngram_places(words.distinct, buckets)
             first = np.searchsorted(owner, np.arange(len(words.distinct) + 1))
             sizes = np.diff(first)[word]
-            rows = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[word], sizes)
+            rows = _runs(first[word], sizes)
             weight, of_row = np.repeat(counts, sizes), np.repeat(lang, sizes) * np.int64(buckets)
             for k in range(len(names)):
                 mine = of_row == k * np.int64(buckets)
@@ -238,42 +232,51 @@ def learn(docs: DataFrame, buckets: int = BUCKETS) -> Model:
 # ---- mixtures --------------------------------------------------------------------------
 
 
-def mixtures(logs: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(
+    logs: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int, allowed: np.ndarray, least: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood per document by expectation-maximisation, starting from equal shares.
 
     ``logs`` has a row each word of a document (documents in rising order) and a column each language;
-    ``allowed`` says per document which languages its mixture may have.
+    ``allowed`` says per document which languages its mixture may have.  A document whose
+    likelihood cannot come above ``least`` is given up, its value minus infinity: the likelihood is concave in the
+    proportions, so it lies no more than words times (largest slope - 1) above any point of the way.
     """
     shares = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
     value = np.zeros(n_docs)
-    top = logs.max(axis=1, keepdims=True)
+    if not len(doc):
+        return shares, value
+    top = logs.max(axis=1)
     # relative likelihoods, of which the least are kept above zero
-    likely = np.exp(np.maximum(logs - top, -600.0))
+    likely = np.exp(np.maximum(logs - top[:, None], -600.0))
     first = np.flatnonzero(np.diff(doc, prepend=-1))
-    present = doc[first]
-    active = np.ones(len(first), bool)
-    ends = np.append(first[1:], len(doc))
-    totals = np.add.reduceat(count, first) if len(first) else np.zeros(0)
-    rows, starts = np.arange(len(doc)), first
+    sizes = np.diff(np.append(first, len(doc)))
+    at, totals, tops = doc[first], np.add.reduceat(count, first), np.add.reduceat(top * count, first)
+    part, weights = likely, count  # rows of the documents still at work, their sizes and starts
+    starts, settled = first, np.zeros(len(first), bool)
     for number in range(ROUNDS):
-        d = doc[rows]
-        weighted = shares[d] * likely[rows]
-        sums = weighted.sum(axis=1)
-        new = np.add.reduceat(weighted * (count[rows] / sums)[:, None], starts, axis=0) / totals[active][:, None]
-        at = present[active]
-        moved = np.abs(new - shares[at]).max(axis=1)
+        sums = (np.repeat(shares[at], sizes, axis=0) * part).sum(axis=1)
+        slopes = np.add.reduceat(part * (weights / sums)[:, None], starts, axis=0) / totals[:, None]
+        old = shares[at]
+        new = np.where(settled[:, None], old, old * slopes)  # a document's rounds do not depend on others
         shares[at] = new
-        still = moved > CLOSE
-        if not still.any():
+        settled |= np.abs(new - old).max(axis=1) <= CLOSE
+        if least is not None and number:
+            reached = np.add.reduceat(np.log(sums) * weights, starts) + tops
+            rise = totals * np.maximum((slopes * (old > 0)).max(axis=1) - 1, 0)
+            lost = reached + rise <= least[at]
+            value[at[lost]] = -np.inf
+            settled |= lost
+        if settled.all():
             break
-        if number % 4 == 3:  # documents that have settled are left alone
-            active[np.flatnonzero(active)[~still]] = False
-            sizes = (ends - first)[active]
-            starts = np.cumsum(sizes) - sizes
-            rows = np.arange(int(sizes.sum())) - np.repeat(starts, sizes) + np.repeat(first[active], sizes)
-    mixed = np.log((shares[doc] * likely).sum(axis=1)) + top[:, 0]
-    if len(first):
-        value[present] = np.add.reduceat(mixed * count, first)
+        if settled.mean() > 0.2:  # documents that have settled are left alone
+            rows = np.repeat(~settled, sizes)
+            part, weights = part[rows], weights[rows]
+            at, totals, tops, sizes = at[~settled], totals[~settled], tops[~settled], sizes[~settled]
+            starts, settled = np.cumsum(sizes) - sizes, np.zeros(len(at), bool)
+    judged = np.isfinite(value[doc])
+    mixed = np.log((shares[doc[judged]] * likely[judged]).sum(axis=1)) + top[judged]
+    np.add.at(value, doc[judged], mixed * count[judged])
     return shares, value
 
 
@@ -284,20 +287,21 @@ def choose(logs: np.ndarray, doc: np.ndarray, count: np.ndarray, n_docs: int) ->
     single = np.zeros((n_docs, n_langs))
     np.add.at(single, doc, logs * count[:, None])
     every = np.ones((n_docs, n_langs))
-    full, _ = mixtures(logs, doc, count, n_docs, every)
-    order = np.argsort(-full, axis=1, kind="stable")
     best_set = np.zeros((n_docs, n_langs))
     start = single.argmax(axis=1)  # the best set of one is known exactly
     best_set[np.arange(n_docs), start] = 1
     best_shares, best_value = best_set.copy(), single[np.arange(n_docs), start]
     cost = PENALTY * np.log(np.maximum(words, 2)) + WORD_COST * words
-    growing = words > 0
+    # no set explains a text better than all languages do together
+    full, most = mixtures(logs, doc, count, n_docs, every, best_value + cost)
+    order = np.argsort(-full, axis=1, kind="stable")
+    growing = (words > 0) & (most - cost > best_value)
     for size in range(2, n_langs + 1):
         allowed = np.zeros((n_docs, n_langs))
         np.put_along_axis(allowed, order[:, :size], 1, axis=1)
-        mine = growing[doc]
-        if not mine.any():
+        if not growing.any():
             break
+        mine = growing[doc]
         shares, value = mixtures(logs[mine], doc[mine], count[mine], n_docs, allowed)
         better = growing & (value - cost * (size - 1) > best_value)
         best_set[better], best_shares[better] = allowed[better], shares[better]

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def test_counts_and_likelihoods_against_brute_force(spark):
     for k, l in enumerate(model.languages):
         assert {p: int(model.counts[p, k]) for p in np.flatnonzero(model.counts[:, k])} == dict(summed[l])
         assert model.totals[k] == sum(len(w) + 1 for w in words[l])
-    got = model.likelihoods(["ab", "zz", "d"])
+    got = model.likelihoods(pa.array(["ab", "zz", "d"], pa.large_string()))
     for row, w in zip(got, ["ab", "zz", "d"], strict=True):
         for k, l in enumerate(model.languages):
             total, a, b = 0.0, " ", " "
@@ -152,3 +153,19 @@ def test_more_languages_share_a_bounded_table(spark, monkeypatch):
     monkeypatch.setattr(lm, "MOST_LANGUAGES", 5)
     with pytest.raises(ValueError):
         lm.learn(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_words_against_a_plain_loop(odd_rows):
+    import re
+    import unicodedata
+
+    texts = [r[1] for r in odd_rows] + ["Don't x1y2 É́a " + "z" * 60 + " \u00a0q", "\u0301", "a" * 24 + "b", None, "ªb Ⅷ ½"]
+    words = lm.words_of(pa.array(texts))
+    got = [Counter() for _ in texts]
+    for d, w, c in zip(words.doc, words.word, words.count, strict=True):
+        got[d][words.distinct[int(w)].as_py()] += int(c)
+    assert list(words.doc) == sorted(words.doc)
+    for text, counted in zip(texts, got, strict=True):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split()
+        runs = [r for r in kept if any(c.isalpha() for c in r)]
+        assert counted == Counter(r[k : k + lm.PIECE] for r in runs for k in range(0, len(r), lm.PIECE))
