@@ -6,6 +6,7 @@ by the rules in ``gleaner/fixtures.py``; the SQL states the same rules on its ow
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from gleaner.operators.joins import join_list
 from gleaner.plans import chains
 from gleaner.session import cut_lineage, new_folder
 from gleaner.sinks import writers
+from gleaner.sources import arc_source
 from gleaner.sources import archives as arc
 from gleaner.sources import records as src
 
@@ -77,6 +79,22 @@ def _matches(spark, sf):
     return keywords.keyword_matches(_texts(spark, sf), fx.KEYWORDS)
 
 
+def _benchmark_words(spark, sf):
+    """The words of the benchmark items, as a table of keywords."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    return fx.table(spark, sf, "benchmark").select(words.alias("word")).where("word <> ''").distinct()
+
+
+def _matches_automaton(spark, sf):
+    return keywords.keyword_matches(_texts(spark, sf), _benchmark_words(spark, sf))
+
+
+def _candidates_automaton(spark, sf):
+    long = _benchmark_words(spark, sf).where("length(word) >= 8")
+    found = keywords.vacancy_candidates(_texts(spark, sf), long, min_keywords=3)
+    return found.groupBy("domain_id", "url").agg(F.count(F.lit(1)).alias("n_keywords"), F.sum("freq").alias("n"))
+
+
 def _page_domains(spark, sf):
     return with_domains(_pages(spark, sf)).select("domain_id", "url")
 
@@ -149,6 +167,24 @@ def _scan_arc_files(spark, sf):
     )
 
 
+def _scan_arc_pieces(spark, sf):
+    folder = _archive_folder(spark, sf)
+    records = arc_source.scan_arc_pieces(spark, folder, prefix=folder, piece_bytes=64 << 10)
+    place = Window.partitionBy("arc_path").orderBy("arc_offset")
+    return records.select(
+        "arc_path", "url", "status", F.octet_length("payload").alias("payload_bytes"),
+        F.rank().over(place).cast("bigint").alias("place"),
+    )
+
+
+def _scan_arc_pieces_of_hosts(spark, sf):
+    folder = _archive_folder(spark, sf)
+    path = F.expr(fx.RECORD_PARTS["arc_path"])
+    paths = [r[0] for r in _pages(spark, sf).where("page_id % 4 = 1").select(path).distinct().collect()]
+    records = arc_source.scan_arc_pieces(spark, folder, prefix=folder, piece_bytes=64 << 10, files=paths, hosts=HOSTS)
+    return arc.readable(records).select("arc_path", "url", F.octet_length("payload").alias("payload_bytes"))
+
+
 def _listed(spark, sf):
     """Pages whose id is no multiple of three, by the file they lie in."""
     rows = _pages(spark, sf).where("page_id % 3 > 0")
@@ -304,6 +340,19 @@ def _sample_arc_files(spark, sf):
     return index.sample_arc_files(_indexed(spark, sf), _page_sample(spark, sf), fx.ARCHIVE_BASE)
 
 
+def _sample_arc_files_bucketed(spark, sf):
+    name = f"lookup_{uuid.uuid4().hex}"
+    stored = index.write_bucketed_index(_indexed(spark, sf), name, 8)
+    return index.sample_arc_files_bucketed(spark, stored, _page_sample(spark, sf), fx.ARCHIVE_BASE)
+
+
+def _html_for_long_list(spark, sf):
+    """As if the list were too long to broadcast: a Bloom filter, then a join by shuffle."""
+    records = arc.readable(_records(spark, sf))
+    found = pages.html_for_urls(records, _wanted(spark, sf), max_list_bytes=0)
+    return found.select("url", F.md5("html").alias("html_md5"))
+
+
 def _wanted(spark, sf):
     return cut_lineage(_sample_arc_files(spark, sf).select("arc_path", "url"))
 
@@ -389,6 +438,12 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "host_domain_registries": _host_domain_registries,
         "scan_arc_files": _scan_arc_files,
         "scan_listed_arc": _scan_listed_arc,
+        "scan_arc_pieces": _scan_arc_pieces,
+        "scan_arc_pieces_of_hosts": _scan_arc_pieces_of_hosts,
+        "keyword_matches_automaton": _matches_automaton,
+        "vacancy_candidates_automaton": _candidates_automaton,
+        "sample_arc_files_bucketed": _sample_arc_files_bucketed,
+        "html_for_long_list": _html_for_long_list,
         "scan_listed_offsets": _scan_listed_offsets,
         "html_for_urls_files": _html_for_urls_files,
         "with_source_path": _with_source_path,
@@ -529,6 +584,14 @@ _FOLDED = _found("['the', 'que', 'und', 'zzqx']")
 _AS_GIVEN = _found("['the', 'que', 'und', 'zzqx', 'THE']")
 
 
+_BENCHMARK_WORDS = """listed AS (
+  SELECT DISTINCT kw FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS kw FROM benchmark) AS t WHERE kw <> '')"""
+_BY_BENCHMARK = f"""{_BENCHMARK_WORDS}, {_TEXTS}, found AS (
+  SELECT domain_id, url, kw AS keyword,
+         CAST((length(t) - length(replace(t, kw, ''))) / length(kw) AS INTEGER) AS freq
+  FROM texts CROSS JOIN listed WHERE contains(t, kw))"""
+
+
 def _quota_sql(rows: str) -> str:
     return f"""stat AS (SELECT domain_id, count(*) AS n FROM {rows} GROUP BY domain_id),
 quota AS (
@@ -633,6 +696,25 @@ def core_sql() -> dict[str, str]:
               CASE WHEN sound THEN payload_bytes END AS payload_bytes,
               rank() OVER (PARTITION BY arc_path ORDER BY page_id) AS place
             FROM arc""",
+        "scan_arc_pieces": f"""WITH {_records_sql()}
+            SELECT arc_path, CASE WHEN sound THEN url END AS url, status,
+              CASE WHEN sound THEN payload_bytes END AS payload_bytes,
+              rank() OVER (PARTITION BY arc_path ORDER BY page_id) AS place
+            FROM arc""",
+        "scan_arc_pieces_of_hosts": f"""WITH {_records_sql()}
+            SELECT arc_path, url, payload_bytes FROM arc
+            WHERE sound AND page_id % 4 = 1 AND regexp_matches(url, 'example[.](com|org|net)')""",
+        "keyword_matches_automaton": f"WITH {_BY_BENCHMARK} SELECT domain_id, url, keyword, freq FROM found",
+        "vacancy_candidates_automaton": f"""WITH {_BY_BENCHMARK}
+            SELECT domain_id, url, count(*) AS n_keywords, sum(freq)::BIGINT AS n
+            FROM found WHERE length(keyword) >= 8 GROUP BY domain_id, url HAVING count(*) >= 3""",
+        "sample_arc_files_bucketed": f"""WITH {_PAGE_SAMPLE}
+            SELECT idx.*, sample.domain_id AS sample_domain_id,
+                   '{fx.ARCHIVE_BASE}' || arc_file AS arc_path
+            FROM idx JOIN sample ON idx.url = sample.url""",
+        "html_for_long_list": f"""WITH {_PAGE_SAMPLE}, {_records_sql()}
+            SELECT url, md5(html) AS html_md5 FROM arc
+            WHERE has_html AND url IN (SELECT idx.url FROM idx JOIN sample ON idx.url = sample.url)""",
         "scan_listed_arc": f"""WITH {_records_sql()}
             SELECT arc_path, url, status, payload_bytes FROM arc
             WHERE sound AND page_id % 3 > 0 AND url NOT LIKE '%.org/%'""",
@@ -782,11 +864,14 @@ def core_sql() -> dict[str, str]:
 
 
 def _llm():
+    """The subpackage and its pipeline; nothing if either is not there at all."""
     try:
         import corpus_pipeline
         from gleaner.llm import queries as llm
-    except ImportError:
-        return None, None
+    except ModuleNotFoundError as error:
+        if error.name in ("corpus_pipeline", "gleaner.llm", "gleaner.llm.queries"):
+            return None, None
+        raise
     return llm, corpus_pipeline
 
 

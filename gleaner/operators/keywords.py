@@ -11,20 +11,33 @@ from gleaner.functions.once import with_once
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.text import matches, matches_text
 from gleaner.functions.urls import with_domains
+from gleaner.operators.automaton import with_found
 
 DOCUMENTED, AS_CODED = "documented", "as_coded"
+#: Longer lists are searched for by an automaton: it costs the same for any number of keywords.
+MOST_COLUMNS = 10
+Keywords = Sequence[str] | DataFrame
+
+
+def _listed(pages: DataFrame, keywords: Keywords) -> DataFrame:
+    if isinstance(keywords, DataFrame):
+        return keywords.select(F.col(f"`{keywords.columns[0]}`").cast("string").alias("word"))
+    return pages.sparkSession.createDataFrame([(k,) for k in keywords], "word string")
 
 
 def _with_matches(
-    pages: DataFrame, keywords: Sequence[str], mode: str, rules: SuffixRules, strict: bool
+    pages: DataFrame, keywords: Keywords, mode: str, rules: SuffixRules, strict: bool
 ) -> DataFrame:
     """``domain_id, url, found`` per page of a valid site."""
     if mode not in (DOCUMENTED, AS_CODED):
         raise ValueError(f"unknown mode {mode!r}")
-    if mode == DOCUMENTED:
-        keywords = [k.lower() for k in keywords]
     df = with_domains(pages, rules=rules, strict=strict).where("domain_id IS NOT NULL")
     df = df.select("domain_id", "url", F.lower("text").alias("_text"))
+    if isinstance(keywords, DataFrame) or len(keywords) > MOST_COLUMNS:
+        words = _listed(pages, keywords)
+        return with_found(df, "_text", words.select(F.lower("word")) if mode == DOCUMENTED else words)
+    if mode == DOCUMENTED:
+        keywords = [k.lower() for k in keywords]
     return with_once(df, "found", matches(F.col("_text"), keywords)).drop("_text")
 
 
@@ -34,7 +47,7 @@ def _one_row_each(df: DataFrame) -> DataFrame:
 
 def keyword_matches(
     pages: DataFrame,
-    keywords: Sequence[str],
+    keywords: Keywords,
     mode: str = DOCUMENTED,
     rules: SuffixRules = SHIPPED_RULES,
     strict: bool = False,
@@ -42,13 +55,14 @@ def keyword_matches(
     """``domain_id, url, keyword, freq`` for each keyword a page's lower-cased text holds.
 
     The documented mode folds the keywords as well; ``as_coded`` leaves them as given.
+    ``keywords`` is a list, or a table's first column, of any length.
     """
     return _one_row_each(_with_matches(pages, keywords, mode, rules, strict))
 
 
 def keyword_matches_concat(
     pages: DataFrame,
-    keywords: Sequence[str],
+    keywords: Keywords,
     mode: str = DOCUMENTED,
     rules: SuffixRules = SHIPPED_RULES,
     strict: bool = False,
@@ -63,7 +77,7 @@ def keyword_matches_concat(
 
 def vacancy_candidates(
     pages: DataFrame,
-    keywords: Sequence[str],
+    keywords: Keywords,
     min_keywords: int = 2,
     mode: str = DOCUMENTED,
     rules: SuffixRules = SHIPPED_RULES,
@@ -76,7 +90,7 @@ def vacancy_candidates(
     """
     df = _with_matches(pages, keywords, mode, rules, strict)
     if mode == AS_CODED:
-        if len(set(keywords)) < min_keywords:
+        if _listed(pages, keywords).distinct().limit(min_keywords).count() < min_keywords:
             df = df.where(F.lit(False))
         return _one_row_each(df)
     return _one_row_each(df.where(F.size("found") >= min_keywords))

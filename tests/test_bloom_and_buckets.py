@@ -1,0 +1,114 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.operators import bloom, index, pages
+from gleaner.operators.joins import join_list
+from gleaner.session import new_folder
+
+
+def big_and_keys(spark, n=40_000, listed=2_000):
+    big = spark.range(n).select(F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), "id", F.lit("v").alias("_block"))
+    keys = spark.range(listed).select(F.concat(F.lit("http://x/"), (F.col("id") * 7).cast("string")).alias("url"))
+    return big, keys
+
+
+def test_listed_keys_pass_and_few_others(spark):
+    big, keys = big_and_keys(spark)
+    n = bloom.blocks_for(2_000)
+    passed = bloom.may_hold(big, bloom.bloom_table(keys, ["url"], n), ["url"], n)
+    assert passed.columns == big.columns
+    wanted = big.join(keys, "url", "left_semi")
+    assert wanted.join(passed.select("url"), "url", "left_anti").isEmpty()
+    false = passed.count() - wanted.count()
+    assert false <= 0.02 * 38_000
+
+
+def test_filter_size_is_bounded():
+    assert bloom.blocks_for(0) == 1 and bloom.blocks_for(1_000) == 24
+    assert bloom.blocks_for(30_000_000) == bloom.MOST_BLOCKS
+    assert bloom.blocks_for(60_000_000) == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
+def test_long_lists_join_to_the_same_rows(spark, how):
+    big, keys = big_and_keys(spark, 3_000, 300)
+    big = big.unionByName(spark.createDataFrame([(None, 1, "n"), ("http://x/7", 2, "twice")], "url string, id bigint, _block string"))
+    keys = keys.unionByName(spark.createDataFrame([(None,), ("http://x/7",)], "url string"))
+    want = Counter(join_list(big, keys, ["url"], how).collect())
+    for prune in (True, False):
+        assert Counter(join_list(big, keys, ["url"], how, max_bytes=0, prune=prune).collect()) == want
+
+
+
+
+def test_rows_are_dropped_before_the_shuffle(spark):
+    big, keys = big_and_keys(spark)
+    with_filter = join_list(big, keys, ["url"], "left_semi", max_bytes=0)
+    plan = with_filter._jdf.queryExecution().optimizedPlan().toString()
+    assert "_words" in plan  # the filter is below the join
+    kept = bloom.pruned(big, keys, ["url"], 2_000).count()
+    assert kept < 0.1 * big.count()
+    assert with_filter.count() == big.join(keys, "url", "left_semi").count()
+
+
+def test_keys_of_other_types_are_not_filtered(spark):
+    big = spark.range(10)
+    keys = spark.createDataFrame([(1,), (2,)], "id int")
+    assert bloom.pruned(big, keys, ["id"], 2) is big
+    assert join_list(big, keys, ["id"], "left_semi", max_bytes=0).count() == 2
+
+
+def test_html_for_a_list_too_long_to_broadcast(spark):
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    rows = [(f"/a/{k % 3}.arc.gz", f"http://x.com/{k}", "text/html", 60, bytearray(head + b"<p>%d" % k)) for k in range(300)]
+    records = spark.createDataFrame(rows, "arc_path string, url string, content_type string, content_length int, payload binary")
+    wanted = spark.createDataFrame([(f"/a/{k % 3}.arc.gz", f"http://x.com/{k}") for k in range(0, 300, 11)] + [(None, None)], "arc_path string, url string")
+    for pairwise in (True, False):
+        short = Counter(pages.html_for_urls(records, wanted, pairwise).collect())
+        assert short and Counter(pages.html_for_urls(records, wanted, pairwise, max_list_bytes=0).collect()) == short
+
+
+# ---- bucketed index ------------------------------------------------------------------
+
+
+def lookup_rows(spark):
+    rows = [("com", f"http://a.com/{k}", "m", f"s/{k % 5}.arc.gz", k) for k in range(400)]
+    rows += [("com", "http://hot.com/", "m", "s/9.arc.gz", k) for k in range(300)]  # one URL with many rows
+    rows += [("com", None, "m", "s/0.arc.gz", 1)]
+    return spark.createDataFrame(rows, "domain_id string, url string, meta_file string, arc_file string, arc_offset bigint")
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    return index.write_bucketed_index(lookup_rows(spark), "lookup_test", 6)
+
+
+def test_bucketed_join_gives_the_same_rows(spark, stored):
+    urls = [f"http://a.com/{k}" for k in range(0, 500, 3)] + ["http://hot.com/", "http://hot.com/", None]
+    sample = spark.createDataFrame([("com", u) for u in urls] + [("net", urls[0])], "domain_id string, url string")
+    want = Counter(index.sample_arc_files(lookup_rows(spark), sample, "/base/").collect())
+    got = index.sample_arc_files_bucketed(spark, stored, sample, "/base/")
+    assert Counter(got.collect()) == want and sum(want.values()) > 600
+    assert index.sample_arc_files_bucketed(spark, stored, sample.where("1 = 0")).collect() == []
+
+
+def test_the_index_is_not_shuffled(spark, stored):
+    sample = spark.createDataFrame([("com", "http://a.com/3")], "domain_id string, url string")
+    cold = spark.table(stored.table).join(sample.select("url").hint("merge"), "url")
+    plan = cold._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the sample's
+
+
+def test_frequent_urls_lie_apart(spark, stored):
+    assert {r.url for r in spark.table(stored.hot).select("url").distinct().collect()} == {"http://hot.com/"}
+    assert spark.table(stored.table).where("url = 'http://hot.com/'").isEmpty()
+    assert spark.table(stored.table).where("url = 'http://a.com/3'").count() == 1
+
+
+def test_empty_index(spark):
+    empty = index.write_bucketed_index(lookup_rows(spark).where("1 = 0"), "lookup_empty", 3, new_folder(spark, "e"))
+    sample = spark.createDataFrame([("com", "http://a.com/3")], "domain_id string, url string")
+    assert index.sample_arc_files_bucketed(spark, empty, sample).collect() == []
