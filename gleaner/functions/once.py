@@ -15,3 +15,11 @@ def with_once(df: DataFrame, name: str, column: Column) -> DataFrame:
     generated code.
     """
     return df.drop(name).select("*", F.explode(F.array(column)).alias(name))
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores added until no table has a column of that name, in any letter case."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

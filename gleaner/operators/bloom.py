@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.once import free_name
+
 BLOCK_BITS, WORD_BITS, INDEX_BITS = 512, 64, 9
 PROBES = 6
 BITS_PER_KEY = 12
@@ -29,15 +31,18 @@ def blocks_for(n_keys: int, bits_per_key: int = BITS_PER_KEY, most_blocks: int =
     return min(most_blocks, max(1, -(-n_keys * bits_per_key // BLOCK_BITS)))
 
 
-def _hashed(df: DataFrame, on: Sequence[str], n_blocks: int) -> DataFrame:
-    """``df`` with the block of its key and the key's places in the block."""
-    keys = [F.col(f"`{c}`") for c in on]
-    df = df.withColumn("_hash", F.xxhash64(*keys))
-    return df.withColumn("_block", F.pmod("_hash", F.lit(n_blocks))).withColumn("_bits", F.xxhash64("_hash", F.lit(1)))
+def _hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in on])
+
+
+def _block(hash: Column, n_blocks: int) -> Column:
+    return F.pmod(hash, F.lit(n_blocks))
 
 
-def _probe(number: int) -> Column:
-    return F.shiftrightunsigned("_bits", number * INDEX_BITS).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")
+def _probes(hash: Column) -> list[Column]:
+    """The places in its block that a key sets."""
+    bits = F.xxhash64(hash, F.lit(1))
+    return [F.shiftrightunsigned(bits, p * INDEX_BITS).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for p in range(PROBES)]
 
 
 def _bit(place: Column) -> Column:
@@ -49,29 +54,28 @@ def _word(place: Column) -> Column:
 
 
 def bloom_table(keys: DataFrame, on: Sequence[str], n_blocks: int) -> DataFrame:
-    """``_block, _words`` of the keys: blocks that hold one, as eight words of 64 bits."""
-    known = keys.select(*[F.col(f"`{c}`") for c in on]).dropna()
-    hashed = _hashed(known, on, n_blocks)
+    """``block, words`` of the keys: blocks that hold one, as eight words of 64 bits."""
+    hashed = keys.select(*[F.col(f"`{c}`") for c in on]).dropna().select(_hash(on).alias("hash"))
+    zero, probes = F.lit(0).cast("bigint"), _probes(F.col("hash"))
     words = []
     for w in range(BLOCK_BITS // WORD_BITS):
-        mine = [F.when(_word(_probe(p)) == w, _bit(_probe(p))).otherwise(F.lit(0).cast("bigint")) for p in range(PROBES)]
-        value = mine[0]
-        for other in mine[1:]:
-            value = value.bitwiseOR(other)
+        value = zero
+        for place in probes:
+            value = value.bitwiseOR(F.when(_word(place) == w, _bit(place)).otherwise(zero))
         words.append(F.bit_or(value).alias(f"w{w}"))
-    found = hashed.groupBy("_block").agg(*words)
-    return found.select("_block", F.array(*[f"w{w}" for w in range(len(words))]).alias("_words"))
+    found = hashed.groupBy(_block(F.col("hash"), n_blocks).alias("block")).agg(*words)
+    return found.select("block", F.array(*[f"w{w}" for w in range(len(words))]).alias("words"))
 
 
 def may_hold(big: DataFrame, table: DataFrame, on: Sequence[str], n_blocks: int) -> DataFrame:
     """Rows of ``big`` whose key may be listed: all that are, and few others."""
-    names = big.columns
-    joined = _hashed(big, on, n_blocks).join(F.broadcast(table), "_block")
+    hash, block, words = (free_name(n, big) for n in ("_hash", "_block", "_words"))
+    hashed = big.withColumn(hash, _hash(on)).withColumn(block, _block(F.col(hash), n_blocks))
+    joined = hashed.join(F.broadcast(table.toDF(block, words)), block)
     passed = F.lit(True)
-    for p in range(PROBES):
-        place = _probe(p)
-        passed = passed & (F.get("_words", _word(place)).bitwiseAND(_bit(place)) != 0)
-    return joined.where(passed).select(*[F.col(f"`{c}`") for c in names])
+    for place in _probes(F.col(hash)):
+        passed = passed & (F.get(words, _word(place)).bitwiseAND(_bit(place)) != 0)
+    return joined.where(passed).select(*[F.col(f"`{c}`") for c in big.columns])
 
 
 def pruned(big: DataFrame, keys: DataFrame, on: Sequence[str], n_keys: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.http import is_html_response, with_html, with_http
+from gleaner.functions.once import free_name
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 from gleaner.functions.urls import with_domains
 from gleaner.operators.joins import BROADCAST_BYTES, join_list
@@ -64,8 +65,8 @@ def pages_for_hosts(
     return arc_html(kept.where("url IS NOT NULL")).select("url", "html", *["host_domain"] * with_host)
 
 
-def _by_path(df: DataFrame) -> DataFrame:
-    return df.withColumn("_path", plain_path(F.col("arc_path")))
+def _with_plain_path(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, plain_path(F.col("arc_path")))
 
 
 def archive_prune(
@@ -73,8 +74,9 @@ def archive_prune(
 ) -> DataFrame:
     """Rows from listed archives, whatever form either path has.  To skip the other files
     altogether, scan with ``sources.archives.scan_listed_arc``."""
-    wanted = _by_path(archives.where("arc_path IS NOT NULL"))
-    return join_list(_by_path(records), wanted, ["_path"], "left_semi", max_list_bytes).drop("_path")
+    path = free_name("_path", records, archives)
+    wanted = _with_plain_path(archives.where("arc_path IS NOT NULL"), path)
+    return join_list(_with_plain_path(records, path), wanted, [path], "left_semi", max_list_bytes).drop(path)
 
 
 def html_for_urls(
@@ -88,12 +90,14 @@ def html_for_urls(
 
     Pairwise, a record must match path and URL of one row.  Otherwise its path must be
     in one column and its URL in the other, each on its own.  A list too long to broadcast
-    is joined by a shuffle that moves the records: then take them from ``scan_listed_arc``,
-    which has left other records behind.
+    is joined by a shuffle: a Bloom filter of the list leaves most other records out of it, and
+    ``scan_listed_arc`` does not even unpack them.
     """
     kept = filter_html_size(records, max_bytes)
     if pairwise:
-        kept = join_list(_by_path(kept), _by_path(wanted), ["_path", "url"], "left_semi", max_list_bytes)
+        path = free_name("_path", records, wanted)
+        kept, listed = _with_plain_path(kept, path), _with_plain_path(wanted, path)
+        kept = join_list(kept, listed, [path, "url"], "left_semi", max_list_bytes)
     else:
         kept = archive_prune(kept, wanted, max_list_bytes)
         urls = wanted.where("url IS NOT NULL")

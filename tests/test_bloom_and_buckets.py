@@ -9,7 +9,7 @@ from gleaner.session import new_folder
 
 
 def big_and_keys(spark, n=40_000, listed=2_000):
-    big = spark.range(n).select(F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), "id", F.lit("v").alias("_block"))
+    big = spark.range(n).select(F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), "id", F.lit("v").alias("_block"), F.lit("h").alias("_hash"))
     keys = spark.range(listed).select(F.concat(F.lit("http://x/"), (F.col("id") * 7).cast("string")).alias("url"))
     return big, keys
 
@@ -34,7 +34,7 @@ def test_filter_size_is_bounded():
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
 def test_long_lists_join_to_the_same_rows(spark, how):
     big, keys = big_and_keys(spark, 3_000, 300)
-    big = big.unionByName(spark.createDataFrame([(None, 1, "n"), ("http://x/7", 2, "twice")], "url string, id bigint, _block string"))
+    big = big.unionByName(spark.createDataFrame([(None, 1, "n", "h"), ("http://x/7", 2, "twice", "h")], "url string, id bigint, _block string, _hash string"))
     keys = keys.unionByName(spark.createDataFrame([(None,), ("http://x/7",)], "url string"))
     want = Counter(join_list(big, keys, ["url"], how).collect())
     for prune in (True, False):
@@ -47,7 +47,7 @@ def test_rows_are_dropped_before_the_shuffle(spark):
     big, keys = big_and_keys(spark)
     with_filter = join_list(big, keys, ["url"], "left_semi", max_bytes=0)
     plan = with_filter._jdf.queryExecution().optimizedPlan().toString()
-    assert "_words" in plan  # the filter is below the join
+    assert "words" in plan  # the filter is below the join
     kept = bloom.pruned(big, keys, ["url"], 2_000).count()
     assert kept < 0.1 * big.count()
     assert with_filter.count() == big.join(keys, "url", "left_semi").count()
@@ -112,3 +112,8 @@ def test_empty_index(spark):
     empty = index.write_bucketed_index(lookup_rows(spark).where("1 = 0"), "lookup_empty", 3, new_folder(spark, "e"))
     sample = spark.createDataFrame([("com", "http://a.com/3")], "domain_id string, url string")
     assert index.sample_arc_files_bucketed(spark, empty, sample).collect() == []
+
+
+def test_a_column_named_like_the_path_stays(spark):
+    records = spark.createDataFrame([("/a.arc.gz", "mine")], "arc_path string, _path string")
+    assert [tuple(r) for r in pages.archive_prune(records, records.select("arc_path")).collect()] == [("/a.arc.gz", "mine")]
