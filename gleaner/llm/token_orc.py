@@ -30,18 +30,28 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Texts' bytes a file; about as many bytes of ids.
 FILE_BYTES = 48 << 20
-#: Words whose ids a Python worker remembers; it starts afresh beyond them.
-MEMO_WORDS = 1_000_000
 #: Punctuation that the tokenizer never joins with a letter before it.
 TAIL = ".,!*#%$&|;:?)\"]>"
+#: Code points (Latin, Greek, Cyrillic) among which letters are sought that can be told from what follows them.
+LETTERS = 0x530
+#: Words that go through the library as one text.
+TOGETHER = 2000
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts`` and are ``sizes`` long, one run after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class WordTokenizer:
-    """``tokenizers`` with a memory.
+    """``tokenizers`` on the distinct words of a batch.
 
     The tokenizer drops white space and never joins what it separates, so that a text's ids are its
-    words' ids in a row; and a run of punctuation after a letter is a piece of its own.  Each
-    new piece is encoded by the library, repeated words are looked up.
+    words' ids in a row; and punctuation behind a letter is a piece of its own.  Not so behind
+    letters that it takes apart, such as those whose lower case ends in a mark: which letters are
+    sound is asked of the tokenizer itself, and words with others stay whole.  Distinct words of sound
+    letters go through the library many at once, told apart by the marks of word ends, all other pieces
+    one by one.
     """
 
     def __init__(self, path: str):
@@ -52,64 +62,76 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.values, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    @staticmethod
-    def pieces(word: str) -> tuple[str, ...]:
-        head = word.rstrip(TAIL)
-        # special tokens may hold punctuation: such words stay whole
-        if len(head) == len(word) or "<|" in word or not head or not head[-1].isalpha():
-            return (word,)
-        return (head, word[len(head) :])
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Letters go through the library many at once, told apart by the marks of word ends."""
-        letters, found = [p for p in pieces if p.isalpha()], {}
-        for start in range(0, len(letters), 2000):
-            part = letters[start : start + 2000]
-            ids = self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids
+        sound = "".join(c for c in map(chr, range(LETTERS)) if c.isalpha() and self._is_sound(c))
+        self.ends_sound, self.all_sound = f"[{sound}]$", f"^[{sound}]+$"
+
+    def _is_sound(self, letter: str) -> bool:
+        """Whether letters before and punctuation after this one are told apart from it as from any letter."""
+        for text, cuts in ((f"{letter}.", 2), (f"a{letter}a.", 2), (f"{letter}{letter}{TAIL}", 2)):
+            normal = self.tokenizer.normalizer.normalize_str(text)
+            if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)) != cuts or len(normal) != len(text):
+                return False
+        return True
+
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, and where each piece's begin and how many they are."""
+        plain = pc.match_substring_regex(pieces, self.all_sound).to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(pieces), np.int64)
+        found, order, unsure = [], [], [np.flatnonzero(~plain)]
+        joined = pc.binary_join_element_wise(pieces.filter(pa.array(plain)), pa.scalar("", pieces.type), pa.scalar(" ", pieces.type))
+        places, at = np.flatnonzero(plain), np.asarray(joined.buffers()[1]).view(np.int64) if len(joined) else np.zeros(1, np.int64)
+        data = joined.buffers()[2].to_pybytes() if len(joined) else b""
+        starts = range(0, len(places), TOGETHER)
+        texts = [data[at[k] : at[min(k + TOGETHER, len(places))]].decode() for k in starts]
+        for k, encoded in zip(starts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids, mine = np.array(encoded.ids, np.int32), places[k : k + TOGETHER]
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):  # else a letter's lower case is more than a letter: one by one
-                found.update(zip(part, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        rest = [p for p in pieces if p not in found]
-        for start in range(0, len(rest), 10_000):
-            part = rest[start : start + 10_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            found.update((p, e.ids) for p, e in zip(part, encoded, strict=True))
-        return found
-
-    def learn(self, words: list[str]) -> None:
-        parts = [self.pieces(w) for w in words]
-        ids = self.encode_pieces(list({p for part in parts for p in part}))
-        lists = [ids[part[0]] if len(part) == 1 else ids[part[0]] + ids[part[1]] for part in parts]
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for part in lists for i in part), dtype=np.int32, count=int(sizes.sum()))
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
-        self.values = np.concatenate((self.values, flat))
+            if len(ends) != len(mine):  # not expected of sound letters
+                unsure.append(mine)
+                continue
+            sizes[mine] = np.diff(ends, prepend=0)
+            found.append(ids)
+            order.append(mine)
+        rest = np.concatenate(unsure)
+        encoded = self.tokenizer.encode_batch_fast(pieces.take(pa.array(rest)).to_pylist(), add_special_tokens=False)
+        lists = [e.ids for e in encoded]
+        sizes[rest] = np.fromiter(map(len, lists), np.int64, count=len(lists))
+        found.append(np.array([i for ids in lists for i in ids], np.int32))
+        order = np.concatenate([*order, rest])
+        begins = np.zeros(len(pieces), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(found), begins, sizes
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words: their letters' ids and their tail's, if they can be parted."""
+        heads = pc.utf8_rtrim(words, TAIL)
+        parted = pc.and_(pc.less(pc.binary_length(heads), pc.binary_length(words)), pc.match_substring_regex(heads, self.ends_sound))
+        # special tokens may hold punctuation: such words stay whole
+        parted = pc.and_not(parted, pc.match_substring(words, "<|"))
+        is_parted = parted.to_numpy(zero_copy_only=False)
+        tails = pc.replace_substring_regex(words.filter(parted), pattern=f"^.*[^{TAIL.replace(']', chr(92) + ']')}]", replacement="")
+        pieces = pc.dictionary_encode(pa.concat_arrays([pc.if_else(parted, heads, words), tails]))
+        values, begins, sizes = self._piece_ids(pieces.dictionary)
+        of = pieces.indices.to_numpy()
+        first, second = of[: len(words)], of[len(words) :]
+        # a word's pieces stand one after the other: two places a word, the second may be empty
+        both_begin, both_size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        both_begin[:, 0], both_size[:, 0] = begins[first], sizes[first]
+        both_begin[is_parted, 1], both_size[is_parted, 1] = begins[second], sizes[second]
+        flat = values[_runs(both_begin.ravel(), both_size.ravel())]
+        size = both_size.sum(axis=1)
+        return flat, np.cumsum(size) - size, size
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text."""
-        words = pc.ascii_split_whitespace(texts)
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         flat = pc.dictionary_encode(words.flatten())
-        distinct = flat.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.slot]
-        if new:
-            if len(self.slot) + len(new) > MEMO_WORDS:
-                self.forget()
-                new = distinct
-            self.learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        at = slots[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        known = pa.ListArray.from_arrays(pa.array(self.starts.astype(np.int32)), pa.array(self.values))
-        ids = known.take(pa.array(at)).flatten()
-        ends = np.concatenate(([0], np.cumsum(np.diff(self.starts)[at])))
+        values, begins, sizes = self._word_ids(flat.dictionary)
+        at = flat.indices.to_numpy()
+        ids = values[_runs(begins[at], sizes[at])]
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))
         offsets = ends[np.asarray(words.offsets)]
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
 
 def _with_end(lists: pa.ListArray, end_id: int) -> pa.ListArray:
@@ -131,7 +153,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
         path = public_tokenizers.path(tokenizer)
         encoder = kept_in_worker(f"tokenizer {path}", lambda: WordTokenizer(path))
         for part in slices(batches):
-            texts = pc.fill_null(part.column(1).cast(pa.large_string()).cast(pa.string()), "")
+            texts = pc.fill_null(part.column(1), "")
             ids = _with_end(encoder.encode(texts), end_id)
             yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 

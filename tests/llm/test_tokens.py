@@ -23,16 +23,38 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path(token_orc.TOKENIZER))
 
 
-def test_memory_changes_nothing(library, doc_rows, monkeypatch):
+@pytest.fixture(scope="module")
+def mine():
+    return token_orc.WordTokenizer(public_tokenizers.path(token_orc.TOKENIZER))
+
+
+def test_ids_are_those_of_the_library(library, mine, doc_rows):
     texts = ODD + [t for _, t in doc_rows]
     expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    mine = token_orc.WordTokenizer(public_tokenizers.path(token_orc.TOKENIZER))
     assert mine.encode(pa.array(texts)).to_pylist() == expected
-    monkeypatch.setattr(token_orc, "MEMO_WORDS", 50)
     assert mine.encode(pa.array(texts[::-1])).to_pylist() == expected[::-1]
     assert mine.encode(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_every_letter_before_every_tail(library, mine):
+    """All letters of all scripts, alone, doubled and inside a word, before each mark of punctuation."""
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not 0x3400 <= c < 0x9FF0 and not 0xAC00 <= c < 0xD7A0 and c < 0x10000]
+    texts = [" ".join(f"{c}{t} x{c}{t} {c}{c}y{t}{t}" for t in token_orc.TAIL) for c in letters]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = mine.encode(pa.array(texts)).to_pylist()
+    assert [c for c, a, b in zip(letters, got, expected, strict=True) if a != b] == []
+
+
+def test_random_words(library, mine):
+    import random
+
+    rng = random.Random(11)
+    alphabet = "abzéßİıΣςаяÅ\u0301\u0307\u0958क'’-_0½" + token_orc.TAIL + "<|"
+    texts = [" ".join("".join(rng.choices(alphabet, k=rng.randint(1, 7))) for _ in range(60)) for _ in range(300)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert mine.encode(pa.array(texts)).to_pylist() == expected
+
+
 def reference(library, rows):
     at, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
