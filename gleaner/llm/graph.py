@@ -59,7 +59,8 @@ def _is_done(state: DataFrame) -> bool:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component`` of the nodes of ``edges (a, b)``; the component is its least node.
 
-    A round is two joins on nodes; the minima are found with partial aggregation, and the
+    A round is two joins on nodes, and rounds grow with the logarithm of the nodes; if ``rounds`` are not
+    enough this raises.  The minima are found with partial aggregation, and the
     tasks of a node with very many neighbours are split by adaptive execution.
     """
     state = store(_contracted(edges.select("a", "b").where("a <> b")), "edges")
@@ -68,5 +69,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = store(_star(large, False).distinct(), "edges")
         if _is_done(state):
             break
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

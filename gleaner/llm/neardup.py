@@ -8,12 +8,13 @@ together; the Jaccard similarity estimated from the registers, corrected for cha
 drops most pairs that do not belong together; the rest is verified on full sets.
 
 No bucket's pairs are written out.  First each member is checked against the least one of its
-bucket.  Only buckets whose members are then in several components are looked at again: blocks of
-their registers are compared inside tasks, and only pairs across components whose estimate
-could reach the threshold count.  The likeliest partner of each member is verified first; what is then
-still in question is compared on full sets, block with block, and a block gives no more links than
-tie its components together.  A large bucket of several components is split by a second band
-before.  Nothing is capped: blocks cover every pair across components.
+bucket.  Only buckets whose members are then in several components are looked at again, in rounds with
+a row a member: a pivot is chosen, the member nearest to the usual registers of its bucket (a sample
+of members tells which values are usual), and all members of other components are checked against it.
+Copies of one text are close to that text, so few rounds tie nearly all of a group together.  Buckets that
+still hold several components are cut into blocks, whose registers are compared inside tasks; what may
+reach the threshold across components is compared on full sets, and a block gives no more links than
+tie its components together.  Nothing is capped: blocks cover every pair across components.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing and
 kept; rows with one id are one document; rows without an id are linked with nothing; an empty
@@ -41,9 +42,11 @@ EMPTY = 0xFFFF
 COLLISION = 0.169919487159739
 #: Estimates this many standard errors under the threshold are still verified.
 ERRORS = 4.5
-#: Members of a block that are compared with each other; members of a bucket outside its
-#: largest component beyond which it is split by a second band.
-BLOCK, SPLIT = 128, 2048
+#: Members of a block that are compared with each other by registers; members and shingles of those compared on full sets.
+BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 1024, 128, 1 << 20
+#: Members of a bucket (about) that choose its pivot; a further round follows one that took so large a part of
+#: the members out of buckets with several components.  Blocks see to what rounds leave.
+PIVOT_SAMPLE, PIVOT_GAIN = 64, 0.1
 
 
 def registers(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -157,32 +160,100 @@ def _bands(classes: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, "rep bigint, n bigint, keys array<bigint>")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose estimate may reach the threshold."""
+def _row_estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of each row of ``a`` with the same row of ``b``, and the registers it rests on."""
+    full_a, full_b = a != EMPTY, b != EMPTY
+    both = (full_a & full_b).sum(1)
+    either = np.maximum((full_a | full_b).sum(1), 1)
+    same = (full_a & full_b & (a == b)).sum(1)
+    return (same - COLLISION * both / 2**MANTISSA) / either, either
+
+
+def _reaching(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``a, b, n_a, s_a, n_b, s_b`` whose estimate may reach the threshold."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                a, b = _matrix(part.column(3)), _matrix(part.column(5))
+                estimate, either = _row_estimates(_matrix(part.column(3)), _matrix(part.column(5)))
                 n_a, n_b = part.column(2).to_numpy(), part.column(4).to_numpy()
-                full_a, full_b = a != EMPTY, b != EMPTY
-                both = (full_a & full_b).sum(1)
-                either = (full_a | full_b).sum(1)
-                same = (full_a & full_b & (a == b)).sum(1)
                 goal = percent / 100
-                estimate = (same - COLLISION * both / 2**MANTISSA) / np.maximum(either, 1)
-                error = np.sqrt(goal * (1 - goal) / np.maximum(either, 1))
+                error = np.sqrt(goal * (1 - goal) / either)
                 ok = (estimate >= goal - ERRORS * error - 1e-9) & (
                     100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
+    return rows.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes whose estimate may reach the threshold."""
     side = lambda x: classes.select(
         F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")
     )
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    return full.mapInArrow(run, "a bigint, b bigint")
+    return _reaching(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
+
+
+def _usual(samples: DataFrame) -> DataFrame:
+    """``key, usual``: per bucket the most frequent value of each register in a list ``sketches`` of members."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for sketches in batch.column(1):
+                matrix = np.sort(_matrix(sketches.values), axis=0)
+                # the longest run of equal values in each sorted column; an empty register is a value as well
+                best, length = matrix[0].copy(), np.ones(REGISTERS, np.int64)
+                run_length = np.ones(REGISTERS, np.int64)
+                for k in range(1, len(matrix)):
+                    run_length = np.where(matrix[k] == matrix[k - 1], run_length + 1, 1)
+                    longer = run_length > length
+                    best[longer], length[longer] = matrix[k][longer], run_length[longer]
+                made.append(best.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "usual"])
+
+    return samples.select("key", "sketches").mapInArrow(run, "key bigint, usual binary")
+
+
+def _with_core(members: DataFrame) -> DataFrame:
+    """``key, core, most, size`` of buckets with several components: the label of the largest, its members and all."""
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    core = counts.groupBy("key").agg(
+        F.max_by("label", F.struct("c", "label")).alias("core"), F.max("c").alias("most"), F.sum("c").alias("size")
+    )
+    return core.where("most < size")
+
+
+def _pivot_pairs(members: DataFrame, percent: int, anywhere: bool) -> DataFrame:
+    """Pairs ``a, b`` of a bucket's pivot with its members of other components, if they may reach the threshold.
+
+    ``members (key, rep, label, n_shingles, sketch)``.  The pivot is sought ``anywhere`` in the bucket, or among
+    the members outside its largest component.
+    """
+    core = store(_with_core(members), "cores")
+    rows = members.join(core, "key")
+    able = rows if anywhere else rows.where("label <> core")
+    number = F.col("size") if anywhere else F.col("size") - F.col("most")
+    # a hash picks about as many members of every bucket, and all of a small one
+    samples = able.where(F.pmod(F.xxhash64("rep", "key"), number) < PIVOT_SAMPLE)
+    usual = _usual(samples.groupBy("key").agg(F.collect_list("sketch").alias("sketches")))
+
+    def nearness(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                estimate, _ = _row_estimates(_matrix(part.column(2)), _matrix(part.column(3)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(estimate)], names=["key", "rep", "near"])
+
+    near = able.join(usual, "key").select("key", "rep", "sketch", "usual").mapInArrow(nearness, "key bigint, rep bigint, near double")
+    pivots = near.groupBy("key").agg(F.max_by("rep", F.struct("near", "rep")).alias("a"))
+    facts = members.select("key", F.col("rep").alias("a"), F.col("label").alias("l_a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
+    pivots = store(pivots.join(facts, ["key", "a"]), "pivots")
+    others = rows.select("key", F.col("rep").alias("b"), "label", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
+    found = _reaching(others.join(pivots, "key").where("label <> l_a"), percent)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -234,11 +305,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     cut into blocks, all members too, and each block of the former meets each of the latter:
     every pair across components is seen, and no task gets more than two blocks at once.
     """
-    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    core = counts.groupBy("key").agg(
-        F.max_by("label", F.struct("c", "label")).alias("core"), F.max("c").alias("most"), F.sum("c").alias("size")
-    )
-    core = core.where("most < size").select(
+    core = _with_core(members).select(
         "key", "core", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("outs"),
         F.ceil(F.col("size") / BLOCK).cast("int").alias("ins"),
     )
@@ -254,65 +321,62 @@ def _blocks(members: DataFrame) -> DataFrame:
     return both.groupBy("key", "i", "j").agg(F.collect_list("m").alias("m"))
 
 
-def _compared(row, percent: int, key: int | None = None):
-    """Members of a block on either side, their estimates, and which pairs across components may link.
+def _compared(row, percent: int, key: int):
+    """Members of a block on either side, and which pairs across components may link.
 
-    With the bucket's ``key``, pairs that an earlier band brings together too are left to that.
+    Pairs that an earlier band than the bucket's brings together too are left to that.
     """
     outs, ins = [m for m in row if m["out"]], [m for m in row if not m["out"]]
     if not outs or not ins:
         return None
     (n_a, n_b), (l_a, l_b) = ([np.array([m[k] for m in side]) for side in (outs, ins)] for k in ("n_shingles", "label"))
     a, b = (np.frombuffer(b"".join(m["sketch"] for m in s), np.uint16).reshape(-1, REGISTERS) for s in (outs, ins))
-    estimate, ok = could_link(a, b, n_a, n_b, percent)
+    _, ok = could_link(a, b, n_a, n_b, percent)
     ok &= l_a[:, None] != l_b[None, :]
-    if key is not None and ok.any():
+    if ok.any():
         keys_a, keys_b = band_keys(a).view(np.int64), band_keys(b).view(np.int64)
-        band = np.flatnonzero(keys_a[0] == key)  # none in a bucket split by a second band
-        for k in range(band[0] if len(band) else 0):
+        for k in range(np.flatnonzero(keys_a[0] == key)[0]):
             ok &= keys_a[:, k, None] != keys_b[None, :, k]
-    return outs, ins, estimate, ok
+    return outs, ins, ok
 
 
-def _best(members: DataFrame, percent: int, most: int = 3) -> DataFrame:
-    """``a, b, estimate``: the likeliest few partners, across components, of each member outside the core."""
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for row in batch.column(0).to_pylist():
-                if compared := _compared(row, percent):
-                    outs, ins, estimate, ok = compared
-                    score = np.where(ok, estimate, -1)
-                    for y in np.argsort(-score, axis=1, kind="stable")[:, :most].T:
-                        found += [
-                            (outs[x]["rep"], ins[k]["rep"], float(score[x, k])) for x, k in enumerate(y) if score[x, k] >= 0
-                        ]
-            columns = list(zip(*found, strict=True)) or [[], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "estimate"])
-
-    return _blocks(members).select("m").mapInArrow(run, "a bigint, b bigint, estimate double")
+def _cut(members: list[dict]) -> np.ndarray:
+    """A number of a small block for each member: blocks of so many members and shingles at most, or of one member."""
+    numbers, number, count, shingles = [], 0, 0, 0
+    for m in members:
+        count, shingles = count + 1, shingles + m["n_shingles"]
+        if count > 1 and (count > EXACT_BLOCK or shingles > EXACT_SHINGLES):
+            number, count, shingles = number + 1, 1, m["n_shingles"]
+        numbers.append(number)
+    return np.array(numbers, np.int32)
 
 
 def _members_in_question(members: DataFrame, percent: int) -> DataFrame:
-    """``key, i, j, out, rep, label`` of the members of blocks that have a pair which may link."""
-    schema = "key bigint, i int, j int, out boolean, rep bigint, label bigint"
+    """``block, out, rep, label``: members of small blocks that have a pair which may link."""
 
     def run(batches):
         for batch in batches:
             found = []
             for key, i, j, row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if compared := _compared(row, percent, key):
-                    outs, ins, _, ok = compared
-                    for side, hit in ((outs, ok.any(1)), (ins, ok.any(0))):
-                        found += [(key, i, j, m["out"], m["rep"], m["label"]) for m, h in zip(side, hit, strict=True) if h]
-            columns = list(zip(*found, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-            names = ["key", "i", "j", "out", "rep", "label"]
+                compared = _compared(row, percent, key)
+                if not compared or not compared[2].any():
+                    continue
+                outs, ins, ok = compared
+                outs, ins = ([m for m, h in zip(side, hit, strict=True) if h] for side, hit in ((outs, ok.any(1)), (ins, ok.any(0))))
+                ok = ok[ok.any(1)][:, ok.any(0)]
+                of_out, of_in = _cut(outs), _cut(ins)
+                for x in range(of_out[-1] + 1):
+                    for y in range(of_in[-1] + 1):
+                        part = ok[of_out == x][:, of_in == y]
+                        for side, hit, place in ((outs, part.any(1), of_out == x), (ins, part.any(0), of_in == y)):
+                            mine = [m for m, p in zip(side, place, strict=True) if p]
+                            found += [(f"{key}:{i}:{j}:{x}:{y}", m["out"], m["rep"], m["label"]) for m, h in zip(mine, hit, strict=True) if h]
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            names = ["block", "out", "rep", "label"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return _blocks(members).mapInArrow(run, schema)
+    return _blocks(members).mapInArrow(run, "block string, out boolean, rep bigint, label bigint")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
@@ -342,7 +406,7 @@ def _exact(questions: DataFrame, docs: DataFrame, percent: int, width: int) -> D
     ids = store(questions.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = join_list(only(docs, "doc_id", "text"), ids, ["doc_id"], "left_semi")
     full = store(texts.mapInArrow(sets, "rep bigint, set binary"), "sets")
-    rows = questions.join(full, "rep").groupBy("key", "i", "j")
+    rows = questions.join(full, "rep").groupBy("block")
     blocks = rows.agg(F.collect_list(F.struct("out", "rep", "label", "set")).alias("m")).select("m")
 
     def run(batches):
@@ -411,16 +475,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     # a first look at who belongs together: the least partner
     hub = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     mixed = _mixed(_labelled(crowded.select("key", "rep"), hub, "rep", "label"))
-    mixed = store(_split(mixed, bands).join(classes.select("rep", "n_shingles", "sketch"), "rep"), "mixed")
-    first = _best(mixed, percent).withColumn("_from", F.col("a"))
-    first = first.select("_from", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "estimate")
-    first = first.join(likely, ["a", "b"], "left_anti").groupBy("_from").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p"))
-    first = store(first.select("p.a", "p.b").distinct(), "first")
-    edges = edges.unionByName(store(verified(first, docs, percent, width), "links")).unionByName(twins)
-    labels = store(components(edges), "labels")
-
-    again = _mixed(_labelled(mixed.drop("label"), labels, "rep", "label"))
-    questions = store(_members_in_question(again, percent), "questions")
+    mixed = store(mixed.join(classes.select("rep", "n_shingles", "sketch"), "rep"), "mixed")
+    edges, looked, left, anywhere = edges.unionByName(twins), likely, mixed.count(), True
+    while True:
+        found = store(_pivot_pairs(mixed, percent, anywhere).join(looked, ["a", "b"], "left_anti"), "pairs")
+        edges, looked = edges.unionByName(store(verified(found, docs, percent, width), "links")), looked.unionByName(found)
+        labels = store(components(edges), "labels")
+        mixed = store(_mixed(_labelled(mixed.drop("label"), labels, "rep", "label")), "mixed")
+        before, left, anywhere = left, mixed.count(), False
+        if left >= (1 - PIVOT_GAIN) * before:
+            break
+
+    questions = store(_members_in_question(mixed, percent), "questions")
     if not questions.isEmpty():
         rest = store(_exact(questions, docs, percent, width), "links")
         labels = store(components(edges.unionByName(rest)), "labels")
@@ -438,22 +504,6 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return entries.join(ends.where("lo <> hi").select("key"), "key")
 
 
-def _split(mixed: DataFrame, bands: DataFrame) -> DataFrame:
-    """``key, rep, label``, with large buckets of many components split by a second band."""
-    outside = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-        (F.sum("c") - F.max("c")).alias("out")
-    )
-    large = store(outside.where(F.col("out") > SPLIT).select("key"), "large")
-    if large.isEmpty():
-        return mixed.select("key", "rep", "label")
-    calm = mixed.join(large, "key", "left_anti").select("key", "rep", "label")
-    second = mixed.join(large, "key").join(bands, "rep").select("key", "rep", "label", F.explode("keys").alias("other"))
-    second = second.where("other <> key").withColumn(
-        "key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-    )
-    return calm.unionByName(_mixed(second.select("key", "rep", "label").distinct()))
-
-
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """One document of each group, in ``docs``' columns; of rows with one id that are kept, all."""
     gone = near_duplicates(docs, percent, width).where("NOT kept").select("doc_id").distinct()

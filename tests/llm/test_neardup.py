@@ -63,9 +63,9 @@ def chain_of_copies(n, length=120):
     return out
 
 
-def test_chains_blocks_and_second_bands(spark, brute, monkeypatch):
+def test_chains_and_small_blocks(spark, brute, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
-    monkeypatch.setattr(neardup, "SPLIT", 2)
+    monkeypatch.setattr(neardup, "EXACT_BLOCK", 2)
     rows = chain_of_copies(60)
     shared = " ".join(f"p{k}" for k in range(60))
     rows += [(1000 + k, shared + " " + " ".join(f"y{k}_{j}" for j in range(6 + k % 5))) for k in range(40)]
@@ -119,3 +119,29 @@ def test_shingles_of_sliced_batches(brute):
     texts = ["The Cat sat", None, "", "a b c d e a b c d e f", "x"]
     flat, offsets = shingle_sets(pa.array(texts), 5)
     assert np.diff(offsets).tolist() == [len(brute.shingles(t, 5)) for t in texts]
+
+
+def test_large_groups_around_the_threshold(spark, brute):
+    """Copies of one text with changes: nearly each pair is above or under the threshold by little."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for group, (n, changed) in enumerate(((150, 3), (120, 5), (60, 0))):
+        base = [f"g{group}w{k}" for k in range(150)]
+        for k in range(n):
+            words = list(base)
+            for at in rng.sample(range(150), rng.randint(0, 2 * changed)):
+                words[at] = f"new{group}_{k}_{at}"
+            rows.append((1000 * group + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent, width in ((85, 3), (80, 5)):
+        assert rows_of(neardup.near_duplicates(df, percent, width)) == expected(rows, brute.shingles, percent, width)
+
+
+def test_components_raise_when_rounds_do_not_do(spark):
+    import pytest
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a bigint, b bigint").repartition(8)
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=1)
