@@ -23,6 +23,8 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,7 @@ COLLISION = 0.169919487159739
 #: Estimates this many standard errors under the threshold are still verified.
 ERRORS = 4.5
 #: Members of a block that are compared with each other by registers; members and shingles of those compared on full sets.
-BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 1024, 128, 1 << 20
+BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 512, 128, 1 << 20
 #: Members of a bucket (about) that choose its pivot; a further round follows one that took so large a part of
 #: the members out of buckets with several components.  Blocks see to what rounds leave.
 PIVOT_SAMPLE, PIVOT_GAIN = 64, 0.1
@@ -321,32 +323,48 @@ def _blocks(members: DataFrame) -> DataFrame:
     return both.groupBy("key", "i", "j").agg(F.collect_list("m").alias("m"))
 
 
-def _compared(row, percent: int, key: int):
-    """Members of a block on either side, and which pairs across components may link.
+class _Side(NamedTuple):
+    """Members of one side of a block, as columns."""
+
+    out: bool
+    rep: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    sketches: np.ndarray
+
+    def take(self, rows: np.ndarray) -> _Side:
+        return _Side(self.out, *(column[rows] for column in self[1:]))
+
+
+def _sides(members: pa.StructArray) -> tuple[_Side, _Side]:
+    """Members outside their bucket's largest component, and all members, of a block."""
+    out = members.field("out").to_numpy(zero_copy_only=False)
+    columns = [members.field(c).to_numpy() for c in ("rep", "label", "n_shingles")]
+    every = _Side(True, *columns, _matrix(members.field("sketch")))
+    return every.take(out), every.take(~out)._replace(out=False)
+
+
+def _linkable(outs: _Side, ins: _Side, percent: int, key: int) -> np.ndarray:
+    """Which pairs across components may link.
 
     Pairs that an earlier band than the bucket's brings together too are left to that.
     """
-    outs, ins = [m for m in row if m["out"]], [m for m in row if not m["out"]]
-    if not outs or not ins:
-        return None
-    (n_a, n_b), (l_a, l_b) = ([np.array([m[k] for m in side]) for side in (outs, ins)] for k in ("n_shingles", "label"))
-    a, b = (np.frombuffer(b"".join(m["sketch"] for m in s), np.uint16).reshape(-1, REGISTERS) for s in (outs, ins))
-    _, ok = could_link(a, b, n_a, n_b, percent)
-    ok &= l_a[:, None] != l_b[None, :]
+    _, ok = could_link(outs.sketches, ins.sketches, outs.n, ins.n, percent)
+    ok &= outs.label[:, None] != ins.label[None, :]
     if ok.any():
-        keys_a, keys_b = band_keys(a).view(np.int64), band_keys(b).view(np.int64)
+        keys_a, keys_b = band_keys(outs.sketches).view(np.int64), band_keys(ins.sketches).view(np.int64)
         for k in range(np.flatnonzero(keys_a[0] == key)[0]):
             ok &= keys_a[:, k, None] != keys_b[None, :, k]
-    return outs, ins, ok
+    return ok
 
 
-def _cut(members: list[dict]) -> np.ndarray:
+def _cut(side: _Side) -> np.ndarray:
     """A number of a small block for each member: blocks of so many members and shingles at most, or of one member."""
     numbers, number, count, shingles = [], 0, 0, 0
-    for m in members:
-        count, shingles = count + 1, shingles + m["n_shingles"]
+    for n in side.n.tolist():
+        count, shingles = count + 1, shingles + n
         if count > 1 and (count > EXACT_BLOCK or shingles > EXACT_SHINGLES):
-            number, count, shingles = number + 1, 1, m["n_shingles"]
+            number, count, shingles = number + 1, 1, n
         numbers.append(number)
     return np.array(numbers, np.int32)
 
@@ -354,27 +372,30 @@ def _cut(members: list[dict]) -> np.ndarray:
 def _members_in_question(members: DataFrame, percent: int) -> DataFrame:
     """``block, out, rep, label``: members of small blocks that have a pair which may link."""
 
+    def parts(name, outs, ins, ok):
+        of_out, of_in = _cut(outs), _cut(ins)
+        for x in range(of_out[-1] + 1):
+            for y in range(of_in[-1] + 1):
+                rows, columns = np.flatnonzero(of_out == x), np.flatnonzero(of_in == y)
+                part = ok[np.ix_(rows, columns)]
+                for side, kept in ((outs, rows[part.any(1)]), (ins, columns[part.any(0)])):
+                    if len(kept):
+                        blocks = pa.array([f"{name}:{x}:{y}"] * len(kept))
+                        flags = pa.array([side.out] * len(kept))
+                        made = [blocks, flags, pa.array(side.rep[kept]), pa.array(side.label[kept])]
+                        yield pa.RecordBatch.from_arrays(made, names=["block", "out", "rep", "label"])
+
     def run(batches):
         for batch in batches:
-            found = []
-            for key, i, j, row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                compared = _compared(row, percent, key)
-                if not compared or not compared[2].any():
+            for row in range(batch.num_rows):
+                key, i, j = (batch.column(k)[row].as_py() for k in range(3))
+                outs, ins = _sides(batch.column(3)[row].values)
+                if not len(outs.rep) or not len(ins.rep):
                     continue
-                outs, ins, ok = compared
-                outs, ins = ([m for m, h in zip(side, hit, strict=True) if h] for side, hit in ((outs, ok.any(1)), (ins, ok.any(0))))
-                ok = ok[ok.any(1)][:, ok.any(0)]
-                of_out, of_in = _cut(outs), _cut(ins)
-                for x in range(of_out[-1] + 1):
-                    for y in range(of_in[-1] + 1):
-                        part = ok[of_out == x][:, of_in == y]
-                        for side, hit, place in ((outs, part.any(1), of_out == x), (ins, part.any(0), of_in == y)):
-                            mine = [m for m, p in zip(side, place, strict=True) if p]
-                            found += [(f"{key}:{i}:{j}:{x}:{y}", m["out"], m["rep"], m["label"]) for m, h in zip(mine, hit, strict=True) if h]
-            columns = list(zip(*found, strict=True)) or [[]] * 4
-            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
-            names = ["block", "out", "rep", "label"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                ok = _linkable(outs, ins, percent, key)
+                if ok.any():
+                    a, b = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                    yield from parts(f"{key}:{i}:{j}", outs.take(a), ins.take(b), ok[np.ix_(a, b)])
 
     return _blocks(members).mapInArrow(run, "block string, out boolean, rep bigint, label bigint")
 
@@ -409,31 +430,34 @@ def _exact(questions: DataFrame, docs: DataFrame, percent: int, width: int) -> D
     rows = questions.join(full, "rep").groupBy("block")
     blocks = rows.agg(F.collect_list(F.struct("out", "rep", "label", "set")).alias("m")).select("m")
 
+    def links_of(members: pa.StructArray):
+        out = members.field("out").to_numpy(zero_copy_only=False)
+        reps, labels = members.field("rep").to_numpy(), members.field("label").to_numpy()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in members.field("set")]
+        outs, ins = np.flatnonzero(out), np.flatnonzero(~out)
+        if not len(outs) or not len(ins):
+            return
+        a, b = ([sets[k] for k in side] for side in (outs, ins))
+        shared = shared_counts(a, b)
+        n_a, n_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+        linked = 100 * shared >= percent * (n_a[:, None] + n_b[None, :] - shared)
+        top = {x: x for x in labels.tolist()}
+
+        def root(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for x, y in zip(*np.nonzero(linked & (shared > 0)), strict=True):
+            one, other = root(int(labels[outs[x]])), root(int(labels[ins[y]]))
+            if one != other:
+                top[max(one, other)] = min(one, other)
+                yield reps[outs[x]], reps[ins[y]]
+
     def run(batches):
         for batch in batches:
-            links = []
-            for k in range(batch.num_rows):
-                row = batch.column(0)[k].as_py()
-                outs, ins = [m for m in row if m["out"]], [m for m in row if not m["out"]]
-                if not outs or not ins:
-                    continue
-                a, b = ([np.frombuffer(m["set"], np.uint64) for m in side] for side in (outs, ins))
-                shared = shared_counts(a, b)
-                n_a, n_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-                linked = 100 * shared >= percent * (n_a[:, None] + n_b[None, :] - shared)
-                top = {m["label"]: m["label"] for m in row}
-
-                def root(x, top=top):
-                    while top[x] != x:
-                        top[x] = top[top[x]]
-                        x = top[x]
-                    return x
-
-                for x, y in zip(*np.nonzero(linked & (shared > 0)), strict=True):
-                    one, other = root(outs[x]["label"]), root(ins[y]["label"])
-                    if one != other:
-                        top[max(one, other)] = min(one, other)
-                        links.append((outs[x]["rep"], ins[y]["rep"]))
+            links = [pair for row in range(batch.num_rows) for pair in links_of(batch.column(0)[row].values)]
             columns = list(zip(*links, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
