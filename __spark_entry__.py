@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import fixtures as fx
+from gleaner.functions.css import css_texts
 from gleaner.functions.html import joined, select_text
+from gleaner.functions.html_tree import normalised_html
 from gleaner.functions.http import first_header, with_http
+from gleaner.functions.suffix_table import suffix_table
 from gleaner.functions.text import keyword_count
 from gleaner.functions.urls import url_host, with_domains
-from gleaner.operators import counts, index, keywords, pages, profiles, sampling
+from gleaner.operators import counts, index, keywords, ordered, pages, profiles, sampling
 from gleaner.operators.joins import join_list
 from gleaner.plans import chains
 from gleaner.session import cut_lineage, new_folder
@@ -396,6 +399,78 @@ def _pages_for_hosts(spark, sf):
     return found.select("url", F.md5("html").alias("html_md5"))
 
 
+def _rule_lines(spark, sf):
+    """Every third site of the pages as a registry of its own, with marks, comments and foreign spellings between."""
+    sites = with_domains(_pages(spark, sf)).where("host_domain IS NOT NULL").select("host", "page_id")
+    lines = sites.select(F.explode(F.array(
+        F.when(F.expr("page_id % 3 = 0"), F.col("host")), F.when(F.expr("page_id % 3 = 1"), F.concat(F.lit("*."), "host")),
+        F.concat(F.lit("// "), "host"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".bücher.example  // x")),
+    )).alias("line"))
+    more = spark.createDataFrame([("com",), ("org",), ("*.net",), ("!example.net",)], "line string")
+    return lines.dropna().unionByName(more)
+
+
+def _host_domain_rule_table(spark, sf):
+    rules = suffix_table(_rule_lines(spark, sf))
+    below = _pages(spark, sf).withColumn("url", F.regexp_replace("url", "://", "://a.b."))
+    foreign = _pages(spark, sf).select("page_id", F.expr("concat('http://www.shop.p', page_id, '.xn--bcher-kva.example/')").alias("url"))
+    rows = below.select("page_id", "url").unionByName(foreign)
+    return with_domains(rows, rules=rules).select("page_id", "url", "host_domain")
+
+
+def _arc_html_sniffed(spark, sf):
+    """Pages without a charset in their header: with a mark, with a meta element, with neither."""
+    body = F.expr(r"""CASE page_id % 3
+        WHEN 0 THEN X'EFBBBF' || encode(html, 'UTF-8')
+        WHEN 1 THEN encode(replace(regexp_replace(html, '[^\\x01-\\x7F]', '?'), 'charset="utf-8"', 'charset="windows-1252"'), 'UTF-8') || X'80'
+        ELSE encode(replace(regexp_replace(html, '[^\\x01-\\x7F]', '?'), '<meta charset="utf-8">', ''), 'UTF-8') || X'E9' END""")
+    head = F.encode(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "UTF-8")
+    rows = _pages(spark, sf).select("page_id", "url", F.lit("text/html").alias("content_type"), F.concat(head, body).alias("payload"))
+    return pages.arc_html(rows, sniff=True).select("page_id", F.md5("html").alias("html_md5"))
+
+
+def _http_parse_schemes(spark, sf):
+    """As ``http_parse``, where every third record has an address that is not of the web."""
+    other = F.expr("CASE WHEN length(url) % 3 = 0 THEN regexp_replace(url, '^https?', 'ftp') ELSE url END")
+    return with_http(arc.readable(_records(spark, sf)).withColumn("url", other)).select("url", "http_status", F.octet_length("body").alias("body_bytes"))
+
+
+def _host_page_status(spark, sf):
+    found = pages.host_page_status(_records(spark, sf), HOSTS)
+    return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _listed_page_status(spark, sf):
+    found = pages.listed_page_status(_records(spark, sf), cut_lineage(_listed(spark, sf)))
+    return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _arc_file_prune_by_segment(spark, sf):
+    folder = _folder(spark)
+    records = pages.by_segment(_records(spark, sf))
+    records.write.partitionBy("segment").parquet(folder)
+    stored = spark.read.schema(records.schema).parquet(folder)
+    return pages.archive_prune_by_segment(stored, _archives_of_sample(spark, sf)).select("arc_path", "url", "content_length")
+
+
+def _hosts_from_ordered_files(spark, sf):
+    folder = _folder(spark)
+    ordered.write_by_host(_pages(spark, sf), folder, 12)
+    hosts = with_domains(_pages(spark, sf)).where("host_domain IS NOT NULL AND length(url) % 2 = 0")
+    found = ordered.pages_on_sites(spark, folder, cut_lineage(hosts.select("host_domain").distinct()))
+    return found.select("url", "host_domain")
+
+
+def _html_normalised(spark, sf):
+    return _profiles(spark, sf).select("url", normalised_html(F.col("html")).alias("html"))
+
+
+def _html_css_select(spark, sf):
+    chosen = {"title": "head > title", "ad": "body > .ad", "links": "nav ul li > a[href]", "lang": 'html[lang="fr"] h1, html[lang=de] h1', "none": "article nav, #x"}
+    texts = _pages(spark, sf).select("page_id", css_texts(F.col("html"), chosen).alias("t"))
+    return texts.select("page_id", *[joined(F.col(f"t.{n}")).alias(n) for n in chosen])
+
+
 def _html_select_text(spark, sf):
     return _pages(spark, sf).select(
         "page_id", joined(select_text(F.col("html"), "div", "ad")).alias("ad_text")
@@ -437,6 +512,15 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "host_domain_registries": _host_domain_registries,
         "scan_arc_files": _scan_arc_files,
+        "host_domain_rule_table": _host_domain_rule_table,
+        "arc_html_sniffed": _arc_html_sniffed,
+        "http_parse_schemes": _http_parse_schemes,
+        "host_page_status": _host_page_status,
+        "listed_page_status": _listed_page_status,
+        "arc_file_prune_by_segment": _arc_file_prune_by_segment,
+        "hosts_from_ordered_files": _hosts_from_ordered_files,
+        "html_normalised": _html_normalised,
+        "html_css_select": _html_css_select,
         "scan_listed_arc": _scan_listed_arc,
         "scan_arc_pieces": _scan_arc_pieces,
         "scan_arc_pieces_of_hosts": _scan_arc_pieces_of_hosts,
@@ -525,6 +609,8 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # ---- SQL equivalents ----------------------------------------------------------------
 
+_NUMBER = f"(page_id % 4 + 4 * (page_id // {fx.PAGES_PER_ROUND}))"
+
 _META = """meta AS (
   SELECT page_id, url,
          regexp_extract(url, '://([^/:?#]+)', 1) AS host,
@@ -562,7 +648,7 @@ _CASES = """cases AS (
 
 _INDEX = f"""idx AS (
   SELECT domain_id, url, 'pages.parquet' AS meta_file,
-         (1346823846036 + page_id % 3) || '/1346848925218_' || page_id % 4 || '.arc.gz' AS arc_file,
+         (1346823846036 + page_id % 3) || '/1346848925218_' || {_NUMBER} || '.arc.gz' AS arc_file,
          page_id * 1000 AS arc_offset
   FROM dom WHERE page_id % 11 <> 0)"""
 
@@ -616,7 +702,7 @@ def _records_sql(source: str = "pages") -> str:
     return rf"""rec AS (
   SELECT page_id, url, page_id % 10 AS k,
     '{fx.ARCHIVE_BASE}' || (1346823846036 + page_id % 3) || '/1346848925218_'
-      || page_id % 4 || '.arc.gz' AS arc_path,
+      || {_NUMBER} || '.arc.gz' AS arc_path,
     '10.0.' || page_id % 256 || '.1' AS ip,
     make_timestamp(2012, 9, 1 + page_id % 28, page_id % 24, page_id % 60, 0.0) AS archive_ts,
     CASE WHEN page_id % 10 = 0 THEN 'text/plain' ELSE 'text/html' END AS content_type,
@@ -677,7 +763,7 @@ cand AS (
 {_quota_sql("cand")}, {_sample_sql("cand")},
 chosen AS (
   SELECT cand.domain_id, cand.url, doc_id,
-    '{fx.ARCHIVE_BASE}' || (1346823846036 + doc_id % 3) || '/1346848925218_' || doc_id % 4
+    '{fx.ARCHIVE_BASE}' || (1346823846036 + doc_id % 3) || '/1346848925218_' || {_NUMBER.replace('page_id', 'doc_id')}
       || '.arc.gz' AS arc_path,
     doc_id * 1000 AS arc_offset
   FROM cand JOIN sample USING (url) WHERE doc_id % 11 <> 0)"""
@@ -715,6 +801,60 @@ def core_sql() -> dict[str, str]:
         "html_for_long_list": f"""WITH {_PAGE_SAMPLE}, {_records_sql()}
             SELECT url, md5(html) AS html_md5 FROM arc
             WHERE has_html AND url IN (SELECT idx.url FROM idx JOIN sample ON idx.url = sample.url)""",
+        "host_domain_rule_table": f"""WITH {_META}, registry AS (
+              SELECT DISTINCT host, page_id % 3 AS kind FROM dom WHERE page_id % 3 < 2),
+            rows AS (
+              SELECT page_id, regexp_replace(url, '://', '://a.b.') AS url, 'a.b.' || host AS name, host, site,
+                domain_id, host IN (SELECT host FROM registry WHERE kind = 0) AS is_exact,
+                host IN (SELECT host FROM registry WHERE kind = 1) AS is_wild FROM dom)
+            SELECT page_id, url, CASE WHEN domain_id = 'net' THEN site WHEN is_wild THEN name
+              WHEN is_exact THEN 'b.' || host ELSE site END AS host_domain FROM rows
+            UNION ALL SELECT page_id, 'http://www.shop.p' || page_id || '.xn--bcher-kva.example/',
+              'shop.p' || page_id || '.xn--bcher-kva.example' FROM pages""",
+        "arc_html_sniffed": r"""SELECT page_id, md5(CASE page_id % 3 WHEN 0 THEN html
+              WHEN 1 THEN replace(regexp_replace(html, '[^\x01-\x7F]', '?', 'g'), 'charset="utf-8"', 'charset="windows-1252"') || '€'
+              ELSE replace(regexp_replace(html, '[^\x01-\x7F]', '?', 'g'), '<meta charset="utf-8">', '') || 'é' END) AS html_md5
+            FROM pages""",
+        "http_parse_schemes": f"""WITH {_records_sql()}
+            SELECT CASE WHEN length(url) % 3 = 0 THEN regexp_replace(url, '^https?', 'ftp') ELSE url END AS url,
+              CASE WHEN k = 4 OR length(url) % 3 = 0 THEN -1 ELSE 200 END AS http_status,
+              CASE WHEN k <> 4 AND length(url) % 3 > 0 THEN body_bytes END AS body_bytes
+            FROM arc WHERE sound""",
+        "host_page_status": f"""WITH {_records_sql()}
+            SELECT CASE WHEN NOT sound THEN 'EXCEPTIONS'
+                WHEN NOT regexp_matches(url, '[.]example[.](com|org)([/:?#]|$)') THEN 'NOT_LISTED'
+                WHEN k = 0 THEN 'NOT_HTML' WHEN k = 4 THEN 'NO_HTTP' ELSE 'OK' END AS outcome, count(*) AS n
+            FROM arc GROUP BY outcome""",
+        "listed_page_status": f"""WITH {_records_sql()}
+            SELECT CASE WHEN NOT sound THEN 'EXCEPTIONS' WHEN page_id % 3 = 0 THEN 'NOT_LISTED'
+                WHEN k = 0 THEN 'NOT_HTML' WHEN k = 4 THEN 'NO_HTTP' ELSE 'OK' END AS outcome, count(*) AS n
+            FROM arc GROUP BY outcome""",
+        "arc_file_prune_by_segment": f"""WITH {_PAGE_SAMPLE}, {_records_sql()},
+            wanted AS (SELECT idx.* FROM idx JOIN sample ON idx.url = sample.url)
+            SELECT arc_path, CASE WHEN sound THEN url END AS url,
+              CASE WHEN sound THEN payload_bytes + CASE WHEN k = 3 THEN 100 ELSE 0 END END
+                AS content_length
+            FROM arc
+            WHERE arc_path IN (SELECT '{fx.ARCHIVE_BASE}' || arc_file FROM wanted
+                               WHERE arc_file LIKE '%\\_1.arc.gz' ESCAPE '\\')""",
+        "hosts_from_ordered_files": f"""WITH {_META}
+            SELECT url, site AS host_domain FROM dom
+            WHERE site IN (SELECT site FROM dom WHERE length(url) % 2 = 0)""",
+        "html_normalised": f"""WITH {_PROFILES}
+            SELECT url, replace(replace(html, 'no country</body>', 'no country</p></body>'), '<li>other</ul>', '</li><li>other</li></ul>') AS html
+            FROM prof""",
+        "html_css_select": r"""
+            WITH plain AS (SELECT page_id, html, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+                regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages),
+            texts AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+                regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad,
+                array_to_string(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1), ' ') AS links,
+                CASE WHEN lang IN ('fr', 'de') THEN h1 ELSE '' END AS lang, '' AS none FROM plain),
+            long AS (UNPIVOT texts ON title, ad, links, lang, none INTO NAME n VALUE t)
+            SELECT page_id, max(t) FILTER (n = 'title') AS title, max(t) FILTER (n = 'ad') AS ad, max(t) FILTER (n = 'links') AS links,
+              max(t) FILTER (n = 'lang') AS lang, max(t) FILTER (n = 'none') AS none
+            FROM (SELECT page_id, n, replace(replace(replace(replace(trim(regexp_replace(t, '\s+', ' ', 'g')),
+              '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM long) GROUP BY page_id""",
         "scan_listed_arc": f"""WITH {_records_sql()}
             SELECT arc_path, url, status, payload_bytes FROM arc
             WHERE sound AND page_id % 3 > 0 AND url NOT LIKE '%.org/%'""",

@@ -22,13 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-METADATA_JSON = """
+#: Number of the archive that holds a page, within its segment: four a segment for every so many
+#: pages, so that archives stay near 100 MB and their number grows with the table.
+PAGES_PER_ROUND = 240_000
+ARCHIVE_NUMBER = f"(page_id % 4 + 4 * (page_id div {PAGES_PER_ROUND}))"
+
+METADATA_JSON = f"""
 to_json(named_struct(
   'http_result', CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 404 ELSE 200 END,
   'archiveInfo', CASE WHEN page_id % 11 = 0 THEN NULL ELSE named_struct(
     'arcSourceSegmentId', 1346823846036 + page_id % 3,
     'arcFileDate', 1346848925218,
-    'arcFileParition', page_id % 4,
+    'arcFileParition', {ARCHIVE_NUMBER},
     'arcFileOffset', page_id * 1000) END))
 """
 
@@ -127,7 +132,7 @@ def profiles(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 RECORD_PARTS = {
     "arc_path": f"""concat('{ARCHIVE_BASE}', 1346823846036 + page_id % 3, '/1346848925218_',
-        page_id % 4, '.arc.gz')""",
+        {ARCHIVE_NUMBER}, '.arc.gz')""",
     "ip": "concat('10.0.', page_id % 256, '.1')",
     "stamp": """concat('201209', lpad(1 + page_id % 28, 2, '0'), lpad(page_id % 24, 2, '0'),
         lpad(page_id % 60, 2, '0'), '00')""",

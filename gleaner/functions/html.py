@@ -36,52 +36,15 @@ IMPLIED_ENDS = {
 PLAIN_CLASS = re.compile(r"[a-z0-9-]*")
 
 
-class _Selector(HTMLParser):
-    """Collects the text of every element whose tag and whole class attribute match."""
+class Markup(HTMLParser):
+    """A reader of whole pages that takes any markup as it comes."""
 
-    def __init__(self, wanted: Mapping[str, tuple[str, str]]):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.wanted = wanted
-        self.stack: list[tuple[str, int]] = []  # open tags, each with the texts it opened
-        self.places: dict[str, list[int]] = defaultdict(list)  # stack positions by tag
-        self.open: list[list[str]] = []
-        self.found: dict[str, list[list[str]]] = {name: [] for name in wanted}
 
     def updatepos(self, i, j):
         return j  # line numbers are of no use here
 
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCK_TAGS:
-            self._end_implied({"p"}, {"table", "button", "object"})
-        if tag in IMPLIED_ENDS:
-            self._end_implied(*IMPLIED_ENDS[tag])
-        if tag in BLOCK_TAGS or tag == "br":
-            self._add(" ")
-        value = next((v for k, v in attrs if k == "class"), None)
-        opened = 0
-        if value is not None:
-            value = value.strip().lower()
-            for name, (wanted_tag, wanted_class) in self.wanted.items():
-                if tag == wanted_tag and value == wanted_class:
-                    pieces: list[str] = []
-                    self.found[name].append(pieces)
-                    self.open.append(pieces)
-                    opened += 1
-        if tag not in VOID_TAGS:
-            self.places[tag].append(len(self.stack))
-            self.stack.append((tag, opened))
-        elif opened:
-            del self.open[-opened:]
-
-    def handle_startendtag(self, tag, attrs):
-        # the slash means nothing on HTML elements that have content
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        depth = self._last({tag})
-        if depth >= 0:
-            self._close(depth)
-
     def parse_marked_section(self, i, report=1):
         # CDATA holds text, any other marked section is a comment
         if not self.rawdata.startswith("<![CDATA[", i):
@@ -114,6 +77,54 @@ class _Selector(HTMLParser):
     def _or_all(self, end):
         return end if end >= 0 else len(self.rawdata)
 
+
+class _Selector(Markup):
+    """Collects the text of every element whose tag and whole class attribute match."""
+
+    def __init__(self, wanted: Mapping[str, tuple[str, str]]):
+        super().__init__()
+        self.wanted = wanted
+        self.stack: list[tuple[str, int]] = []  # open tags, each with the texts it opened
+        self.places: dict[str, list[int]] = defaultdict(list)  # stack positions by tag
+        self.open: list[list[str]] = []
+        self.found: dict[str, list[list[str]]] = {name: [] for name in wanted}
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCK_TAGS:
+            self._end_implied({"p"}, {"table", "button", "object"})
+        if tag in IMPLIED_ENDS:
+            self._end_implied(*IMPLIED_ENDS[tag])
+        if tag in BLOCK_TAGS or tag == "br":
+            self._add(" ")
+        opened = 0
+        for name in self._names(tag, attrs):
+            pieces: list[str] = []
+            self.found[name].append(pieces)
+            self.open.append(pieces)
+            opened += 1
+        if tag not in VOID_TAGS:
+            self.places[tag].append(len(self.stack))
+            self.stack.append((tag, opened))
+        elif opened:
+            del self.open[-opened:]
+
+    def _names(self, tag, attrs):
+        """Names of the selectors that the element matches."""
+        value = next((v for k, v in attrs if k == "class"), None)
+        if value is None:
+            return []
+        value = value.strip().lower()
+        return [n for n, (wanted_tag, wanted_class) in self.wanted.items() if tag == wanted_tag and value == wanted_class]
+
+    def handle_startendtag(self, tag, attrs):
+        # the slash means nothing on HTML elements that have content
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        depth = self._last({tag})
+        if depth >= 0:
+            self._close(depth)
+
     def handle_data(self, data):
         if self.open and self.stack[-1][0] not in ("script", "style"):
             self._add(data)

@@ -81,6 +81,31 @@ def charset_name(content_type: Column) -> Column:
     return F.coalesce(F.upper(found), F.lit(""))
 
 
+#: Fixed values of the HTML standard: byte-order marks, and how far a page is searched for its charset.
+MARKS = (("EFBBBF", "UTF-8"), ("FEFF", "UTF-16BE"), ("FFFE", "UTF-16LE"))
+SEARCHED_BYTES = 1024
+META_CHARSET = r"(?is)<meta[^>]{0,200}?[\s\"';/]charset\s*=\s*[\"']?\s*([^\s\"'/>;]+)"
+
+
+def marked_charset(body: Column) -> Column:
+    """Charset that a body's byte-order mark names; null if it has none."""
+    named = F.lit(None).cast("string")
+    for mark, charset in MARKS:
+        here = F.substring(body, 1, len(mark) // 2) == F.unhex(F.lit(mark))
+        named = F.coalesce(named, F.when(here, F.lit(charset)))
+    return named
+
+
+def declared_charset(body: Column) -> Column:
+    """Charset that a ``meta`` element near a body's start names, in upper case; empty if there is none.
+
+    Comments are passed over.  A page that can be searched byte by byte is not UTF-16, whatever it says: UTF-8.
+    """
+    start = F.regexp_replace(_latin(F.substring(body, 1, SEARCHED_BYTES)), r"(?s)<!--.*?(-->|$)", "")
+    found = F.upper(F.regexp_extract(start, META_CHARSET, 1))
+    return F.when(found.startswith("UTF-16"), F.lit("UTF-8")).otherwise(F.coalesce(found, F.lit("")))
+
+
 @F.pandas_udf(StringType())
 def _decode_other(body: pd.Series, charset: pd.Series) -> pd.Series:
     def decoded(data, name):
@@ -102,16 +127,22 @@ def is_html_response() -> Column:
     return F.lower("content_type").contains("html") & F.col("body").isNotNull()
 
 
-def with_html(df: DataFrame) -> DataFrame:
+def with_html(df: DataFrame, sniff: bool = False) -> DataFrame:
     """Add ``html``: the body decoded by the charset its Content-Type header names.
 
-    Without a known charset it is read as ISO-8859-1.  Null unless the record's own
-    content type contains ``html`` in any letter case.
+    With ``sniff`` a byte-order mark comes first, and is left out, and without a charset in the header the
+    page's own ``meta`` element is asked.  Without a known charset a body is read as ISO-8859-1.  Null unless
+    the record's own content type contains ``html`` in any letter case.
     """
     allowed = is_html_response()
-    df = df.withColumn(
-        "_charset", F.when(allowed, charset_name(first_header(F.col("http_headers"), "Content-Type")))
-    )
+    charset = charset_name(first_header(F.col("http_headers"), "Content-Type"))
+    if sniff:
+        df = with_once(df, "_mark", F.when(allowed, marked_charset(F.col("body"))))
+        after = F.when(F.col("_mark") == "UTF-8", 4).when(F.col("_mark").isNotNull(), 3).otherwise(1)
+        df = df.withColumn("body", F.substring(F.col("body"), after, F.octet_length("body")))
+        named = F.when(charset == "", declared_charset(F.col("body"))).otherwise(charset)
+        charset = F.coalesce(F.col("_mark"), named)
+    df = with_once(df, "_charset", F.when(allowed, charset)) if sniff else df.withColumn("_charset", F.when(allowed, charset))
     is_latin, is_utf8 = F.col("_charset").isin(LATIN_NAMES), F.col("_charset").isin(UTF8_NAMES)
     # bodies of the common charsets are nulled here, so Arrow does not carry them to Python
     other = F.when(~is_latin & ~is_utf8, F.col("body"))
@@ -121,4 +152,4 @@ def with_html(df: DataFrame) -> DataFrame:
         .when(is_utf8, F.make_valid_utf8(F.col("body").cast("string")))
         .otherwise(F.col("_other"))
     )
-    return df.withColumn("html", html).drop("_charset", "_other")
+    return df.withColumn("html", html).drop("_charset", "_other", "_mark")

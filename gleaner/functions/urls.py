@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.once import with_once
+from gleaner.functions.suffix_table import SuffixTable, with_site
 from gleaner.functions.suffixes import SHIPPED_RULES, SuffixRules
 
 MAX_NAME_LENGTH = 253
@@ -86,10 +87,17 @@ def with_host(df: DataFrame, url: str = "url") -> DataFrame:
 def with_domains(
     df: DataFrame,
     url: str = "url",
-    rules: SuffixRules = SHIPPED_RULES,
+    rules: SuffixRules | SuffixTable = SHIPPED_RULES,
     strict: bool = False,
 ) -> DataFrame:
-    """Add ``host``, ``host_domain`` (the site) and ``domain_id`` (its last label)."""
+    """Add ``host``, ``host_domain`` (the site) and ``domain_id`` (its last label).
+
+    Rules are a short set, looked up inside the row, or a table of any length, which is joined.
+    """
     df = with_host(df, url).withColumn("_name", dns_name(F.col("host")))
-    df = with_once(df, "host_domain", site_of("_name", rules, strict))
+    if isinstance(rules, SuffixTable):
+        named = df.drop("host_domain").withColumn("_name", F.when(is_site_name(F.col("_name")), F.col("_name")))
+        df = with_once(with_site(named, "_name", "_site", rules, strict), "host_domain", F.col("_site")).drop("_site")
+    else:
+        df = with_once(df, "host_domain", site_of("_name", rules, strict))
     return df.withColumn("domain_id", last_label(F.col("host_domain"))).drop("_name")

@@ -28,9 +28,62 @@ def filter_html_size(records: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> Dat
     return records.where(is_small_html(max_bytes))
 
 
-def arc_html(records: DataFrame) -> DataFrame:
-    """The archive records that hold an HTTP response with HTML, with ``html`` added."""
-    return with_html(with_http(records).where(is_html_response()))
+def arc_html(records: DataFrame, sniff: bool = False) -> DataFrame:
+    """The archive records that hold an HTTP response with HTML, with ``html`` added; ``sniff`` as in ``with_html``."""
+    return with_html(with_http(records).where(is_html_response()), sniff)
+
+
+# What became of a record, from the first test it fails; a readable record has a sound header.
+EXCEPTIONS, INVALID_URIS, NOT_LISTED, NOT_HTML, NO_HTTP, OK = (
+    "EXCEPTIONS", "INVALID_URIS", "NOT_LISTED", "NOT_HTML", "NO_HTTP", "OK"
+)
+
+
+def _outcome(records: DataFrame, refused: Column, max_bytes: int) -> DataFrame:
+    """``records`` with ``outcome``; ``refused`` is null for a record that is wanted."""
+    readable = F.col("status").isin("OK", "TRUNCATED") & F.col("url").isNotNull()
+    with_head = with_http(records).drop("http_status", "http_headers")
+    outcome = (
+        F.when(~readable, EXCEPTIONS)
+        .when(refused.isNotNull(), refused)
+        .when(~F.coalesce(is_small_html(max_bytes), F.lit(False)), NOT_HTML)
+        .when(F.col("body").isNull(), NO_HTTP)
+        .otherwise(OK)
+    )
+    return with_head.withColumn("outcome", outcome).drop("body")
+
+
+def host_page_status(
+    records: DataFrame,
+    hosts: Sequence[str] | DataFrame,
+    max_bytes: int = MAX_HTML_BYTES,
+    rules: SuffixRules = SHIPPED_RULES,
+    strict: bool = False,
+) -> DataFrame:
+    """All ``records``, damaged ones too, with ``outcome``: what :func:`pages_for_hosts` makes of each."""
+    df = with_domains(records, rules=rules, strict=strict)
+    if not isinstance(hosts, DataFrame):
+        hosts = records.sparkSession.createDataFrame([(h,) for h in hosts], "host string")
+    mark = free_name("_listed", df)
+    listed = hosts.select(F.col(f"`{hosts.columns[0]}`").alias("host_domain")).dropna().distinct().withColumn(mark, F.lit(True))
+    df = join_list(df, listed, ["host_domain"], "left")
+    refused = F.when(F.col("host").isNull(), INVALID_URIS).when(F.col(mark).isNull(), NOT_LISTED)
+    return _outcome(df, refused, max_bytes).drop(mark, "host", "host_domain", "domain_id")
+
+
+def listed_page_status(
+    records: DataFrame,
+    wanted: DataFrame,
+    max_bytes: int = MAX_HTML_BYTES,
+    max_list_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """All ``records``, damaged ones too, with ``outcome``: what :func:`html_for_urls` makes of each, matching path and URL."""
+    path, mark = free_name("_path", records, wanted), free_name("_listed", records, wanted)
+    keys = [path, "url"]
+    listed = _with_plain_path(wanted, path).select(*keys).dropna().distinct().withColumn(mark, F.lit(True))
+    df = join_list(_with_plain_path(records, path), listed, keys, "left", max_list_bytes)
+    refused = F.when(F.col(mark).isNull(), NOT_LISTED)
+    return _outcome(df, refused, max_bytes).drop(path, mark)
 
 
 def on_hosts(
@@ -79,6 +132,26 @@ def archive_prune(
     return join_list(_with_plain_path(records, path), wanted, [path], "left_semi", max_list_bytes).drop(path)
 
 
+def by_segment(records: DataFrame) -> DataFrame:
+    """``records`` with ``segment``, the folder that holds a record's archive: the column to lay records out by."""
+    return records.withColumn("segment", F.element_at(F.split(plain_path(F.col("arc_path")), "/"), -2))
+
+
+def archive_prune_by_segment(
+    records: DataFrame, archives: DataFrame, max_list_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """:func:`archive_prune` of records stored in folders by ``segment`` (:func:`by_segment`).
+
+    A list short enough to broadcast also prunes, when the query runs, the folders that are read: those of
+    segments without a listed archive are not opened.
+    """
+    path = free_name("_path", records, archives)
+    wanted = _with_plain_path(by_segment(archives.where("arc_path IS NOT NULL")), path)
+    # the condition holds for every row; without one Spark does not take the list for a filter of folders
+    wanted = wanted.select("segment", path).where("segment >= ''").distinct()
+    return join_list(_with_plain_path(records, path), wanted, ["segment", path], "left_semi", max_list_bytes).drop(path)
+
+
 def html_for_urls(
     records: DataFrame,
     wanted: DataFrame,

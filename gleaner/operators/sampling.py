@@ -65,7 +65,11 @@ def accepted_by_die(url: Column, seed: int) -> Column:
 
 def bucket_digits(stat: DataFrame) -> int:
     """Hex digits by the size of the largest domain."""
-    largest, digits = stat.agg(F.max("n").cast("bigint")).first()[0] or 0, LEAST_DIGITS
+    return _digits_for(stat.agg(F.max("n").cast("bigint")).first()[0])
+
+
+def _digits_for(largest: int | None) -> int:
+    largest, digits = largest or 0, LEAST_DIGITS
     while largest > ROWS_PER_BUCKET * 16**digits:
         digits += 1
     return digits
@@ -116,8 +120,11 @@ def stratified_sample(
     if dice:
         urls = urls.where(accepted_by_die(F.col("url"), seed))
     urls = with_once(urls, "_order", order_key(F.col("url"), seed))
-    urls = urls.withColumn("_bucket", F.substring("_order", 1, bucket_digits(stat)))
-    quotas = sample_quota(stat, sample_size).select("domain_id", "quota")
+    # the statistic is stored once; one look gives its total and its largest domain
+    stat = cut_lineage(checked_statistic(stat))
+    facts = stat.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    urls = urls.withColumn("_bucket", F.substring("_order", 1, _digits_for(facts["largest"])))
+    quotas = stat.select("domain_id", _quota(sample_size, F.lit(facts["total"]).cast("bigint"), F.col("n")).alias("quota"))
     reached = cut_lineage(_open_buckets(urls, quotas))
     on = ["domain_id", "_bucket"]
     if measured_bytes(reached) <= max_bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -67,13 +68,27 @@ def write_pages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_seq(df: DataFrame, path: str) -> None:
+def write_seq(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Two string columns as a SequenceFile of (Text, Text), for readers outside Spark.
 
-    Rows pass a Python worker one by one: this is for handing results over, once, and
-    never a stage inside a chain.
+    ``mode`` is ``errorifexists``, ``overwrite`` or ``ignore``; the format cannot be appended to.  With
+    ``overwrite`` the old files go only after the new ones are written.  Rows pass a Python worker one by one: this is
+    for handing results over, once, and never a stage inside a chain.
     """
+    if mode not in ("error", "errorifexists", "overwrite", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}")
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(target)
+    if there and mode == "ignore":
+        return
     key, value = df.columns
-    df.select(F.col(key).cast("string"), F.col(value).cast("string")).rdd.map(
-        tuple
-    ).saveAsSequenceFile(path)
+    rows = df.select(F.col(f"`{key}`").cast("string"), F.col(f"`{value}`").cast("string")).rdd.map(tuple)
+    if not (there and mode == "overwrite"):
+        rows.saveAsSequenceFile(path)
+        return
+    written = f"{path.rstrip('/')}-{uuid.uuid4()}"
+    rows.saveAsSequenceFile(written)
+    files.delete(target, True)
+    files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written), target)

@@ -32,7 +32,8 @@ def scan_seq(
     """
     target = f"{path.rstrip('/')}/*{name_part}*" if name_part else path
     rows = spark.sparkContext.sequenceFile(target, TEXT_CLASS, TEXT_CLASS)
-    df = spark.createDataFrame(rows, f"url string, {value} string")
+    # both are Text: checking each value in Python once more would double the cost
+    df = spark.createDataFrame(rows, f"url string, {value} string", verifySchema=False)
     if not source_file:
         return df
     # every partition is a part of one file, so the name holds for all its rows
