@@ -350,9 +350,9 @@ def _sample_arc_files_bucketed(spark, sf):
 
 
 def _html_for_long_list(spark, sf):
-    """As if the list were too long to broadcast: a Bloom filter, then a join by shuffle."""
+    """A limit that the list exceeds, but not its Bloom filter: that comes first, then a join by shuffle."""
     records = arc.readable(_records(spark, sf))
-    found = pages.html_for_urls(records, _wanted(spark, sf), max_list_bytes=0)
+    found = pages.html_for_urls(records, _wanted(spark, sf), max_list_bytes=1000)
     return found.select("url", F.md5("html").alias("html_md5"))
 
 

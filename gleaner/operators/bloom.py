@@ -22,6 +22,8 @@ BITS_PER_KEY = 12
 LEAST_BITS_PER_KEY = 5
 #: 32 MB of bits, some 80 MB as a broadcast table: 22 million keys at full, 53 million at least precision.
 MOST_BLOCKS = 1 << 19
+#: A block as a row of a broadcast table.
+BLOCK_BYTES = 160
 
 
 def blocks_for(n_keys: int, bits_per_key: int = BITS_PER_KEY, most_blocks: int = MOST_BLOCKS) -> int:
@@ -78,14 +80,14 @@ def may_hold(big: DataFrame, table: DataFrame, on: Sequence[str], n_blocks: int)
     return joined.where(passed).select(*[F.col(f"`{c}`") for c in big.columns])
 
 
-def pruned(big: DataFrame, keys: DataFrame, on: Sequence[str], n_keys: int) -> DataFrame:
-    """``big`` without rows that an inner or semi join with ``keys`` would drop, as far as a bounded filter can tell.
+def pruned(big: DataFrame, keys: DataFrame, on: Sequence[str], n_keys: int, max_bytes: int = MOST_BLOCKS * BLOCK_BYTES) -> DataFrame:
+    """``big`` without rows that an inner or semi join with ``keys`` would drop, as far as a filter of ``max_bytes`` can tell.
 
     The two sides' key columns must have the same types; else, and for a list that is too long,
     ``big`` comes back as it is.
     """
     kinds = dict(big.dtypes)
-    n_blocks = blocks_for(n_keys)
+    n_blocks = blocks_for(n_keys, most_blocks=min(MOST_BLOCKS, max_bytes // BLOCK_BYTES))
     if not n_blocks or any(kinds[c] != kind for c, kind in keys.select(*on).dtypes):
         return big
     return may_hold(big, bloom_table(keys, on, n_blocks), on, n_blocks)

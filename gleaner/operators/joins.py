@@ -53,6 +53,6 @@ def join_list(
     if size <= max_bytes:
         return big.join(F.broadcast(distinct), keys, how)
     if prune and how in ("inner", "left_semi"):
-        big = bloom.pruned(big, small, keys, rows)
+        big = bloom.pruned(big, small, keys, rows, max_bytes)  # no larger than a list may be
     # not made distinct first: tasks of frequent keys are only split right behind a shuffle
     return big.join(small.hint("merge"), keys, how)

@@ -38,14 +38,18 @@ def test_long_lists_join_to_the_same_rows(spark, how):
     keys = keys.unionByName(spark.createDataFrame([(None,), ("http://x/7",)], "url string"))
     want = Counter(join_list(big, keys, ["url"], how).collect())
     for prune in (True, False):
-        assert Counter(join_list(big, keys, ["url"], how, max_bytes=0, prune=prune).collect()) == want
+        for limit in (0, 5_000):
+            got = join_list(big, keys, ["url"], how, max_bytes=limit, prune=prune)
+            assert Counter(got.collect()) == want
+            filtered = "words" in got._jdf.queryExecution().optimizedPlan().toString()
+            assert filtered == (prune and limit > 0 and how != "left")
 
 
 
 
 def test_rows_are_dropped_before_the_shuffle(spark):
     big, keys = big_and_keys(spark)
-    with_filter = join_list(big, keys, ["url"], "left_semi", max_bytes=0)
+    with_filter = join_list(big, keys, ["url"], "left_semi", max_bytes=50_000)
     plan = with_filter._jdf.queryExecution().optimizedPlan().toString()
     assert "words" in plan  # the filter is below the join
     kept = bloom.pruned(big, keys, ["url"], 2_000).count()
@@ -68,6 +72,7 @@ def test_html_for_a_list_too_long_to_broadcast(spark):
     for pairwise in (True, False):
         short = Counter(pages.html_for_urls(records, wanted, pairwise).collect())
         assert short and Counter(pages.html_for_urls(records, wanted, pairwise, max_list_bytes=0).collect()) == short
+        assert Counter(pages.html_for_urls(records, wanted, pairwise, max_list_bytes=600).collect()) == short
 
 
 # ---- bucketed index ------------------------------------------------------------------
