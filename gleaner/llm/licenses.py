@@ -1,22 +1,25 @@
-"""License scans: TF-IDF cosine of lines to templates, then inheritance along directories.
+"""License scans: TF-IDF cosine of headers and license files to templates, then inheritance along directories.
 
-DataFrame and SQL functions only.  Every line of every file is compared with each template as
-sparse TF-IDF vectors of its words.  Inverse document frequencies come from all lines of the corpus:
-a template's words are counted, any other word weighs as one seen in a single line.  A line can
+DataFrame and SQL functions only.  What is compared with the templates are the units of a file: each of its lines (a
+notice inside other text), its header block (all up to the first empty line) and, if the file's name is that of
+a license file, its whole text.  Units and templates, notices as well as full texts, are sparse TF-IDF vectors of
+their words; document frequencies are those of all words over all lines of the corpus.  A unit can
 reach the threshold only if it holds one of a template's anchor words (the heaviest, without
-which the rest of the template is too light), so other lines are passed over without a vector.
+which the rest of the template is too light), so other units are passed over without a vector, and
+frequencies are only gathered for words that stand in a unit with an anchor.
 
-A file with a matching line has that license.  Files named ``LICENSE`` give theirs to their directory;
-a file with none of its own takes that of its nearest ancestor directory that has one, found by
-joining the distinct directories' ancestors, not the files.
+A file with a matching unit has that license.  Files named ``LICENSE``, ``LICENCE``, ``COPYING`` or ``NOTICE``, with or
+without an ending and in any letter case, give theirs to their directory; a file with none of its own takes that of its
+nearest ancestor directory that has one, found by joining the distinct directories' ancestors, not the files.
 
-Defined cases: null texts and paths have no lines and no directories; ties go to the template first by
+Defined cases: null texts and paths have no units and no directories; ties go to the template first by
 name, of several license files in a directory the best match, then first path; repeated rows
 each have theirs; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -37,8 +40,45 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Full texts and the headers that go into source files.
+TEXTS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+License for more details. You should have received a copy of the GNU General Public License along with this program.
+If not, see https://www.gnu.org/licenses/.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The
+above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+#: Several templates of one license are told apart by what follows a slash.
+ALL_TEMPLATES = TEMPLATES | {f"{name}/text": text for name, text in TEXTS.items()}
 THRESHOLD = 0.75
-NAME = "LICENSE"
+LICENSE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 TERM = "[a-z0-9]+([.-][a-z0-9]+)*"
 
 
@@ -70,8 +110,8 @@ class Weights:
     """Inverse document frequencies, template vectors and anchor words."""
 
     def __init__(self, lines: int, frequencies: dict[str, int], templates: dict[str, str], threshold: float):
+        self.lines = lines
         self.idf = lambda w: math.log(1 + lines / (1 + frequencies.get(w, 0)))
-        self.other = math.log(1 + max(lines, 1) / 2)
         self.vectors, anchors = {}, set()
         for name, text in sorted(templates.items()):
             counts: dict[str, int] = {}
@@ -87,41 +127,51 @@ class Weights:
                 anchors.add(w)
                 left -= v * v
         self.anchors = sorted(anchors)
-        self.words = sorted({w for v in self.vectors.values() for w in v})
-
-
-def _times(word: str) -> Column:
-    return F.size(F.filter("_terms", lambda t: t == F.lit(word))).cast("double")
-
-
-def line_matches(docs: DataFrame, weights: Weights, key: list[str], threshold: float) -> DataFrame:
-    """``key``, ``license``, ``score``: the best template of each line that reaches the threshold."""
-    lines = F.split(_fold(F.coalesce("text", F.lit(""))), "\n")
-    anchor = "|".join(re.escape(w) for w in weights.anchors)
-    near = F.filter(lines, lambda x: x.rlike(f"(^|[^a-z0-9])({anchor})([^a-z0-9]|$)"))
-    df = docs.select(*key, F.explode(near).alias("line"))
-    df = with_once(df, "_terms", F.regexp_extract_all("line", F.lit(f"({TERM})"), F.lit(1)))
-    df = df.withColumns({f"_c{k}": _times(w) for k, w in enumerate(weights.words)})
-    count = {w: F.col(f"_c{k}") for k, w in enumerate(weights.words)}
-    known = sum((F.pow(count[w] * weights.idf(w), 2) for w in weights.words), F.lit(0.0))
-    listed = F.array(*[F.lit(w) for w in weights.words])
-    df = with_once(df, "_rest", F.filter("_terms", lambda t: ~F.array_contains(listed, t)))
-    # words outside the templates: each distinct one once, with its number squared
-    squares = F.aggregate(
-        F.transform(F.array_distinct("_rest"), lambda d: F.pow(F.size(F.filter("_rest", lambda t: t == d)), 2)),
-        F.lit(0.0), lambda a, x: a + x,
-    )
-    norm = F.sqrt(known + squares * weights.other**2)
-    scores = [
-        F.struct(
-            (sum((count[w] * (weights.idf(w) * v) for w, v in vector.items()), F.lit(0.0)) / norm).alias("score"),
-            F.lit(name).alias("license"),
-        )
-        for name, vector in weights.vectors.items()
-    ]
-    best = F.element_at(F.array_sort(F.array(*scores), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0)), 1)
-    df = with_once(df, "_best", best)
-    return df.where(F.col("_best.score") >= threshold).select(*key, "_best.license", F.round("_best.score", 6).alias("score"))
+
+
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(_fold(F.coalesce(text, F.lit(""))), "\n"), lambda x: x != "")
+
+
+def _units(path: Column, text: Column) -> Column:
+    """The lines of a file, its header block, and its whole text if it is a license file; folded."""
+    body = _fold(F.coalesce(text, F.lit("")))
+    is_license = F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE), F.lit(False))
+    whole = F.when(is_license, F.array(body)).otherwise(F.slice(F.array(body), 1, 0))
+    return F.concat(_lines(text), F.array(F.substring_index(body, "\n\n", 1)), whole)
+
+
+def _idf(terms_: DataFrame, docs: DataFrame, lines: int) -> DataFrame:
+    """``term, idf`` of the listed terms, from all lines of the corpus."""
+    listed = store(terms_.select("term").distinct(), "terms")
+    held = docs.select(F.explode(_lines(F.col("text"))).alias("line")).select(F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
+    counted = join_list(held, listed, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    every = join_list(listed, store(counted, "frequencies"), ["term"], "left")
+    return every.select("term", F.log(1 + lines / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
+
+
+def unit_matches(docs: DataFrame, weights: Weights, key: list[str], threshold: float) -> DataFrame:
+    """``key``, ``license``, ``score`` of the units and templates that reach the threshold."""
+    anchors = F.array(*[F.lit(w) for w in weights.anchors]).cast("array<string>")
+    units = docs.select(*key, F.posexplode(_units(F.col("path"), F.col("text"))).alias("unit", "body"))
+    units = with_once(units, "_terms", _terms(F.col("body"))).where(F.arrays_overlap("_terms", anchors))
+    each = units.select(F.struct(*key, "unit").alias("at"), F.explode("_terms").alias("term"))
+    near = store(each.groupBy("at", "term").agg(F.count(F.lit(1)).alias("n")), "units")
+    idf = store(_idf(near, docs, weights.lines), "idf")
+    weighted = join_list(near, idf, ["term"]).select("at", "term", (F.col("n") * F.col("idf")).alias("x"))
+    weighted = store(weighted, "weighted")
+    rows = [{"template": name, "term": w, "w": v} for name, vector in weights.vectors.items() for w, v in vector.items()]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<template: string, term: string, w: double>>")
+    vectors = docs.sparkSession.range(1).select(F.inline(listed))  # as long as the templates are
+    norms = weighted.groupBy("at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighted.join(F.broadcast(vectors), "term").groupBy("at", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, "at").withColumn("score", F.try_divide("dot", "norm")).where(F.col("score") >= threshold)
+    license_ = F.substring_index("template", "/", 1).alias("license")
+    return scored.select(*[F.col("at").getField(k).alias(k) for k in key], license_, F.round("score", 6).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -129,7 +179,7 @@ def directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", ""))
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, name: str = NAME) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, path, own_license, own_score, license, from_dir`` of ``doc_id, path, text``.
 
     ``license`` is the file's own, else that of its nearest ancestor directory ``from_dir``.
@@ -137,13 +187,13 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     files = only(files, "doc_id", "path", "text")
     weights = Weights(*document_frequencies(files, templates), templates, threshold)
     twin = F.xxhash64("path", "text").alias("twin")
-    matches = line_matches(files.select("doc_id", "path", twin, "text"), weights, ["doc_id", "path", "twin"], threshold)
+    matches = unit_matches(files.select("doc_id", "path", twin, "text"), weights, ["doc_id", "path", "twin"], threshold)
     own = matches.groupBy("doc_id", "path", "twin").agg(
         F.max("score").alias("own_score"),
         F.min_by("license", F.struct((-F.col("score")).alias("s"), "license")).alias("own_license"),
     )
     own = store(own, "own")
-    giving = own.where(F.element_at(F.split("path", "/"), -1) == name).withColumn("dir", directory(F.col("path")))
+    giving = own.where(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE)).withColumn("dir", directory(F.col("path")))
     given = giving.where("dir IS NOT NULL").groupBy("dir").agg(
         F.min_by("own_license", F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("given")
     )
@@ -172,7 +222,8 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thres
 PATH = (
     "concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/d', doc_id % 40, '/',"
     " CASE WHEN doc_id % 3 = 0 THEN concat('p', doc_id % 7, '/') ELSE '' END,"
-    " CASE WHEN doc_id % 10 < 4 THEN 'LICENSE' ELSE concat('f', doc_id, '.txt') END)"
+    " CASE doc_id % 10 WHEN 0 THEN 'LICENSE' WHEN 1 THEN 'LICENSE' WHEN 2 THEN 'License.txt' WHEN 3 THEN 'COPYING'"
+    " ELSE concat('f', doc_id, '.txt') END)"
 )
 
 
@@ -180,44 +231,49 @@ def document_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.expr(PATH).alias("path"), "text")
 
 
-def scan_sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The rows of the query in DuckDB: every line with every template, every file with every directory above."""
-    listed = ", ".join(f"('{n}', '{t.lower()}')" for n, t in sorted(templates.items()))
+def scan_sql(templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The rows of the query in DuckDB: every unit with every template, every file with every directory above."""
+    quoted = lambda t: t.lower().replace("'", "''")
+    listed = ", ".join(f"('{n}', '{quoted(t)}')" for n, t in sorted(templates.items()))
     extract = lambda c: f"regexp_extract_all({c}, '{TERM}')"
     fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    is_license = f"regexp_matches(split_part(path, '/', -1), '{LICENSE_FILE}')"
     return f"""
-    WITH templates(license, body) AS (VALUES {listed}),
+    WITH templates(template, body) AS (VALUES {listed}),
     files AS (SELECT doc_id, {PATH} AS path, {fold} AS body FROM documents),
     lines AS (
       SELECT *, row_number() OVER () AS line_id FROM (
         SELECT doc_id, path, unnest(string_split(body, chr(10))) AS line FROM files) WHERE line <> ''),
-    line_terms AS (
-      SELECT line_id, term, count(*) AS n FROM (SELECT line_id, unnest({extract('line')}) AS term FROM lines) GROUP BY ALL),
+    line_terms AS (SELECT DISTINCT line_id, term FROM (SELECT line_id, unnest({extract('line')}) AS term FROM lines)),
     template_terms AS (
-      SELECT license, term, count(*) AS n FROM (SELECT license, unnest({extract('body')}) AS term FROM templates) GROUP BY ALL),
+      SELECT template, term, count(*) AS n FROM (SELECT template, unnest({extract('body')}) AS term FROM templates) GROUP BY ALL),
+    units AS (
+      SELECT *, row_number() OVER () AS unit_id FROM (
+        SELECT doc_id, path, line AS body FROM lines
+        UNION ALL SELECT doc_id, path, split_part(body, chr(10) || chr(10), 1) FROM files
+        UNION ALL SELECT doc_id, path, body FROM files WHERE {is_license})),
+    unit_terms AS (
+      SELECT unit_id, term, count(*) AS n FROM (SELECT unit_id, unnest({extract('body')}) AS term FROM units) GROUP BY ALL),
     total AS (SELECT count(*) AS lines FROM lines),
     idf AS (
       SELECT t.term, ln(1 + (SELECT lines FROM total) / (1 + count(l.line_id))) AS idf
-      FROM (SELECT DISTINCT term FROM template_terms) t LEFT JOIN line_terms l ON l.term = t.term GROUP BY t.term),
+      FROM (SELECT term FROM template_terms UNION SELECT term FROM unit_terms) t LEFT JOIN line_terms l ON l.term = t.term GROUP BY t.term),
     vectors AS (
-      SELECT license, t.term, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY license)) AS w
+      SELECT template, t.term, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY template)) AS w
       FROM template_terms t JOIN idf USING (term)),
-    norms AS (
-      SELECT line_id, sqrt(sum(n * n * coalesce(idf, ln(1 + greatest((SELECT lines FROM total), 1) / 2)) ** 2)) AS norm
-      FROM line_terms LEFT JOIN idf USING (term) GROUP BY line_id),
+    norms AS (SELECT unit_id, sqrt(sum(n * n * idf * idf)) AS norm FROM unit_terms JOIN idf USING (term) GROUP BY unit_id),
     scores AS (
-      SELECT line_id, license, sum(n * idf * w) / any_value(norm) AS score
-      FROM line_terms JOIN idf USING (term) JOIN vectors USING (term) JOIN norms USING (line_id)
-      GROUP BY line_id, license),
+      SELECT unit_id, template, sum(n * idf * w) / any_value(norm) AS score
+      FROM unit_terms JOIN idf USING (term) JOIN vectors USING (term) JOIN norms USING (unit_id)
+      GROUP BY unit_id, template),
     best AS (
-      SELECT doc_id, path, license, round(score, 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, license) AS k FROM scores)
-      JOIN lines USING (line_id) WHERE k = 1 AND score >= {threshold}),
+      SELECT doc_id, path, split_part(template, '/', 1) AS license, round(score, 6) AS score
+      FROM scores JOIN units USING (unit_id) WHERE score >= {threshold}),
     own AS (
       SELECT doc_id, path, max(score) AS own_score, arg_min(license, (-score, license)) AS own_license FROM best GROUP BY ALL),
     given AS (
       SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(own_license, (-own_score, path, own_license)) AS given
-      FROM own WHERE regexp_matches(path, '/{NAME}$') GROUP BY 1),
+      FROM own WHERE {is_license} GROUP BY 1),
     dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files),
     nearest AS (
       SELECT d.dir, arg_max(g.dir, length(g.dir)) AS from_dir, arg_max(given, length(g.dir)) AS given

@@ -175,8 +175,30 @@ def test_licenses_come_from_the_nearest_directory(spark):
     assert licenses.scan_licenses(df.where("1 = 0")).collect() == []
 
 
+def test_headers_and_license_files_as_a_whole(spark):
+    """Texts wrapped over lines, names in use, and other words around."""
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    full = licenses.TEXTS
+    rows = [
+        (1, "a/COPYING", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrap(full["MIT"], 11)),
+        (2, "a/src/x.c", "code\n"), (3, "b/licence.md", wrap(full["BSD-3-Clause"], 7)), (4, "b/y.c", "int x;"),
+        (5, "c/z.c", wrap("/* " + full["Apache-2.0"] + " */", 9) + "\n\nint main() {}\n" * 50),
+        (6, "c/w.c", "int y;\n\n" + wrap(full["GPL-3.0"], 9)),  # neither a header nor a license file
+        (7, "d/NOTICE-3.txt", wrap(full["GPL-3.0"], 8) + "\n\nwritten by many"), (8, "d/e/f/v.c", "x"),
+        (9, "e/relicense.txt", "\n\n" + wrap(full["MIT"], 5)), (10, "e/u.c", "y"),
+    ] + [(100 + k, f"t/f{k}.txt", f"the copy of this file is the {k} th and any of the files to be in use") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r.doc_id: (r.own_license, r.license, r.from_dir) for r in licenses.scan_licenses(df).collect()}
+    assert {k: got[k] for k in range(1, 11)} == {
+        1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("BSD-3-Clause", "BSD-3-Clause", None), 4: (None, "BSD-3-Clause", "b"),
+        5: ("Apache-2.0", "Apache-2.0", None), 6: (None, None, None), 7: ("GPL-3.0", "GPL-3.0", None), 8: (None, "GPL-3.0", "d"),
+        9: (None, None, None), 10: (None, None, None),
+    }
+    assert all(got[100 + k] == (None, None, None) for k in range(300))
+
+
 def test_anchors_lose_no_line():
-    weights = licenses.Weights(1000, {"license": 40, "the": 300, "under": 50}, licenses.TEMPLATES, 0.75)
+    weights = licenses.Weights(1000, {"license": 40, "the": 300, "under": 50}, licenses.ALL_TEMPLATES, 0.75)
     for vector in weights.vectors.values():
         assert sum(v * v for w, v in vector.items() if w not in weights.anchors) < 0.75**2
 
