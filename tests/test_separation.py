@@ -1,0 +1,31 @@
+"""The library without the training-data subpackage, and with a broken one."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+COUNT = "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(k.startswith('op') for k in q))"
+
+
+def copy(to, *left_out):
+    shutil.copytree(ROOT / "gleaner", to / "gleaner", ignore=shutil.ignore_patterns("__pycache__", *left_out))
+    shutil.copy(ROOT / "__spark_entry__.py", to)
+    return to
+
+
+def run(folder):
+    return subprocess.run([sys.executable, "-c", COUNT], cwd=folder, capture_output=True, text=True, timeout=120)
+
+
+def test_core_queries_load_without_the_subpackage(tmp_path):
+    done = run(copy(tmp_path, "llm"))
+    n, sql, has_llm = done.stdout.split()
+    assert int(n) == int(sql) > 70 and has_llm == "False"
+
+
+def test_a_broken_import_is_not_hidden(tmp_path):
+    copy(tmp_path, "llm")
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_at_all\n")
+    assert "no_such_module_at_all" in run(tmp_path).stderr
