@@ -2,13 +2,17 @@
 
 The base kinds (email, ip, card, phone) are patterns with checks.  Further candidates, long keys
 (``secret``), long numbers that are no card or phone (``number``) and addresses without a full domain
-(``handle``), are voted on by labelers: a pattern, a structure test, a gazetteer, the words before,
-and what stands around.  Expectation-maximisation over the counts of vote patterns in the whole corpus
-estimates how far each labeler can be trusted; the posteriors then train the final span classifier, a
-logistic regression on votes and shape, and the spans it is sure of are added.
-
-All features are discrete, so that both fits need only the number of candidates of each
-pattern: a table of bounded size that partial aggregation makes, whatever the corpus.
+(``handle``), are voted on by labelers: a pattern, the layout of its characters, how far its letters
+are from those of the corpus, a gazetteer of the corpus's own frequent words, the words before, and
+what stands around.  Expectation-maximisation over the counts of vote patterns in the whole corpus
+estimates how far each labeler can be trusted.  The posteriors then train the final span classifier, a
+logistic regression that does not see the votes: it sees the span's characters and the words and
+marks around it, by which it can overrule a labeler and learn words that no list names.  Spans it is
+sure of are added.
+
+Pairs of neighbouring bytes and frequent words are counted over all texts, vote patterns over all
+candidates; each is a table of bounded size that partial aggregation makes.  Only the regression
+is fitted on a sample: the ``FIT_ROWS`` candidates of a kind that come first by a hash.
 
 Defined cases: a null or empty text has no spans; repeated rows each have theirs; an empty table
 gives no rows; extra columns are ignored.  Spans are code points, the end exclusive.
@@ -18,6 +22,8 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import only, slices
+from gleaner.llm.words import encoded_words, fingerprints
 from gleaner.session import store
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -47,11 +54,27 @@ OPENINGS = {
     "number": ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65"),
     "secret": ("sk-", "pk-", "ghp_", "gho_", "AKIA", "xox", "eyJ"),
 }
-LABELERS = ("pattern", "structure", "gazetteer", "context", "around")
+LABELERS = ("pattern", "layout", "surprise", "gazetteer", "context", "around")
 SHAPES = 4
+#: Words of the gazetteer, the most frequent of the corpus, and the least letters of one.
+GAZETTEER, LETTERS = 50_000, 3
+#: Bits a character beyond the corpus's own mean that speak for a made-up string, or against it.
+STRANGE, USUAL = 1.5, 0.5
+#: Candidates of a kind on which the final classifier is fitted.
+FIT_ROWS = 20_000
 #: The final classifier must give a span this probability.
 SURE = 0.9
 EM_ROUNDS, FIT_ROUNDS = 50, 30
+#: Places of neighbouring words, each hashed into one of so many values.
+HASHED = 64
+MARKS = (" \t\r\n", "\"'`", "=", ":", "/\\\\", ".,;!?", "()[]{}<>", "@#&%+-_")
+#: Number of values of each feature of a span; every feature takes one.
+SIZES = {
+    "length": 8, "digits": 5, "upper": 4, "lower": 4, "marks": 4, "distinct": 4, "changes": 4, "surprise": 8, "known": 4,
+    "before": len(MARKS) + 2, "after": len(MARKS) + 2, "word": HASHED + 1, "word_before": HASHED + 1, "next_word": HASHED + 1,
+}
+STARTS = dict(zip(SIZES, np.cumsum([0, *SIZES.values()])[:-1].tolist(), strict=True))
+WIDTH = sum(SIZES.values()) + 1  # and a constant
 
 
 def luhn(digits: str) -> bool:
@@ -115,31 +138,154 @@ def _overlaps(spans: list[tuple[int, int]], case: tuple[str, int, int]) -> bool:
     return last >= 0 and spans[last][1] > case[1]
 
 
-def votes(text: str, kind: str, start: int, end: int) -> tuple[list[int], int]:
+class Language(NamedTuple):
+    """What the corpus's words look like: bits of each byte after another, their mean, and
+    sorted fingerprints of the frequent words."""
+
+    bits: np.ndarray
+    mean: float
+    known: np.ndarray
+
+    def surprise(self, value: str) -> float:
+        """Mean bits a character beyond those of the corpus."""
+        raw = np.frombuffer(b" " + value.lower().encode(), np.uint8).astype(np.int64)
+        return float(self.bits[raw[:-1] * 256 + raw[1:]].mean()) - self.mean
+
+    def known_share(self, value: str) -> float:
+        """Share of the value's characters that lie in frequent words."""
+        words = re.findall(f"[a-z]{{{LETTERS},}}", value.lower())
+        if not words or not len(self.known):
+            return 0.0
+        prints = fingerprints(words)
+        at = np.minimum(np.searchsorted(self.known, prints), len(self.known) - 1)
+        return sum(len(w) for w, k in zip(words, self.known[at] == prints, strict=True) if k) / len(value)
+
+
+def _pairs(words: list[str], times: np.ndarray) -> np.ndarray:
+    """Counts of each two bytes in a row in words, a space before each."""
+    raw = b"".join(b" " + w.encode() for w in words)
+    data = np.frombuffer(raw, np.uint8).astype(np.int64)
+    owner = np.cumsum(data == 32) - 1
+    codes = data[:-1] * 256 + data[1:]
+    inside = owner[:-1] == owner[1:]
+    return np.bincount(codes[inside], weights=times[owner[1:][inside]], minlength=1 << 16)
+
+
+def language(docs: DataFrame, gazetteer: int = GAZETTEER) -> Language:
+    """Byte pairs (``pair``) and words of letters (``word``) counted over all texts."""
+
+    def rows(kind: str, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for begin in range(0, len(keys), 100_000):
+            cut = slice(begin, begin + 100_000)
+            part = [pa.array([kind] * len(keys[cut])), pa.array(keys[cut]), pa.array(counts[cut].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(part, names=["kind", "key", "n"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        pairs, counts = np.zeros(1 << 16), {}
+        for part in slices(batches, "text"):
+            words, indices, _ = encoded_words(part.column(0))
+            times = np.bincount(indices, minlength=len(words))
+            for begin in range(0, len(words), 100_000):
+                cut = slice(begin, begin + 100_000)
+                pairs += _pairs(words[cut], times[cut])
+            for word, n in zip(words, times.tolist(), strict=True):
+                plain = word.strip(".,;:!?\"'()")
+                if n and len(plain) >= LETTERS and plain.isascii() and plain.isalpha():
+                    counts[plain] = counts.get(plain, 0) + n
+            if len(counts) > 500_000:  # handed on, so that memory is bounded
+                yield from rows("word", fingerprints(list(counts)).view(np.int64), np.array(list(counts.values())))
+                counts = {}
+        if counts:
+            yield from rows("word", fingerprints(list(counts)).view(np.int64), np.array(list(counts.values())))
+        seen = np.flatnonzero(pairs)
+        yield from rows("pair", seen, pairs[seen])
+
+    counted = only(docs, "text").mapInArrow(run, "kind string, key bigint, n bigint").groupBy("kind", "key")
+    counted = store(counted.agg(F.sum("n").alias("n")), "language")
+    pairs = np.zeros(1 << 16)
+    for r in counted.where("kind = 'pair'").collect():  # 65,536 at most
+        pairs[r["key"]] = r["n"]
+    square = pairs.reshape(256, 256)
+    single = (square.sum(0) + 1) / (pairs.sum() + 256)
+    share = (square + 4 * single) / (square.sum(1, keepdims=True) + 4)
+    bits = -np.log2(share).ravel()
+    top = counted.where("kind = 'word'").orderBy(F.desc("n"), "key").limit(gazetteer).collect()
+    known = np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64))
+    return Language(bits, float(bits @ pairs / max(pairs.sum(), 1)), known)
+
+
+def votes(text: str, kind: str, start: int, end: int, corpus: Language) -> tuple[list[int], int]:
     """Each labeler's vote (0 against, 1 none, 2 for) and the shape of the span."""
     value = text[start:end]
     before = text[max(0, start - 24) : start].lower()
     after = text[end : end + 2]
     digits = sum("0" <= c <= "9" for c in value)
+    surprise, gazetteer = 1, 1
     if kind == "secret":
         hexlike = all(c in "0123456789abcdefABCDEF" for c in value)
         mixed = any(c.islower() for c in value) and any(c.isupper() for c in value)
         pattern = 2 if (hexlike and len(value) >= 32) or (mixed and digits > 2) else 0
-        share = digits / len(value)
-        structure = 2 if 0.2 <= share <= 0.85 else 0
+        layout = 2 if 0.2 <= digits / len(value) <= 0.85 else 0
+        beyond, known = corpus.surprise(value), corpus.known_share(value)
+        surprise = 2 if beyond > STRANGE else 0 if beyond < USUAL else 1
+        gazetteer = 0 if known >= 0.4 else 1
         around = 0 if before.endswith(("/", "=/", "www.")) or after.startswith("/") else 2 if before.endswith(('"', "'", "=", ":")) else 1
     elif kind == "number":
         clean = value.replace(" ", "").replace("-", "")
         pattern = 0 if len(clean) >= 13 else 1
-        structure = 2 if re.fullmatch(r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", value) else 0
+        layout = 2 if re.fullmatch(r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}|[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}", value) else 0
         around = 0 if before.endswith((".", "/", "_", "=")) or after.startswith((".", "/")) else 1
     else:
         pattern = 2 if re.fullmatch(r"[A-Za-z][A-Za-z0-9._-]+@[A-Za-z0-9-]+", value) else 0
-        structure = 0 if value.count("@") > 1 or value.endswith(("-", "%", "+")) else 1
+        layout = 0 if value.count("@") > 1 or value.endswith(("-", "%", "+")) else 1
         around = 0 if before.endswith(("/", "@")) or after.startswith(("(", "@")) else 1
-    opening = 2 if value.startswith(OPENINGS[kind]) else 1
+    if value.startswith(OPENINGS[kind]):
+        gazetteer = 2
     context = 2 if any(cue in before for cue in CUES[kind]) else 1 if kind == "secret" else 0
-    return [pattern, structure, opening, context, around], min(SHAPES - 1, (end - start) // 16)
+    return [pattern, layout, surprise, gazetteer, context, around], min(SHAPES - 1, (end - start) // 16)
+
+
+def _mark(c: str) -> int:
+    """The class of a neighbouring character: none, a mark of ``MARKS``, or another."""
+    if not c:
+        return 0
+    return next((k for k, marks in enumerate(MARKS, 1) if c in marks), len(MARKS) + 1)
+
+
+def _bucket(words: list[str], at: int) -> int:
+    import xxhash
+
+    try:
+        return 1 + xxhash.xxh32_intdigest(words[at]) % HASHED
+    except IndexError:
+        return 0
+
+
+def features(text: str, start: int, end: int, corpus: Language) -> list[int]:
+    """Places of the values that a span's features take in a row of ``WIDTH`` zeros and ones."""
+    value, n = text[start:end], end - start
+    classes = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
+    share = [classes.count(k) / n for k in range(4)]
+    left = re.findall(r"[^\W\d_]{2,}", text[max(0, start - 48) : start].lower())
+    right = re.findall(r"[^\W\d_]{2,}", text[end : end + 24].lower())
+    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n
+    values = {
+        "length": min(7, n // 8),
+        "digits": int(share[0] * 4.999),
+        "upper": int(share[1] * 3.999),
+        "lower": int(share[2] * 3.999),
+        "marks": min(3, int(share[3] * 20)),
+        "distinct": int(len(set(value)) / n * 3.999),
+        "changes": min(3, int(changes * 6)),
+        "surprise": int(np.clip(corpus.surprise(value) + 3, 0, 7)),
+        "known": int(corpus.known_share(value) * 3.999),
+        "before": _mark(text[start - 1 : start] if start else ""),
+        "after": _mark(text[end : end + 1]),
+        "word": _bucket(left, -1),
+        "word_before": _bucket(left, -2),
+        "next_word": _bucket(right, 0),
+    }
+    return [STARTS[name] + v for name, v in values.items()] + [WIDTH - 1]
 
 
 def _code(ballot: list[int], shape: int) -> int:
@@ -179,9 +325,12 @@ def reliabilities(ballots: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUN
     return posterior, table, prior
 
 
-def _features(ballots: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    """One column a labeler (-1, 0, 1), one a shape, and a constant."""
-    return np.column_stack((ballots - 1.0, np.eye(SHAPES)[shapes], np.ones(len(ballots))))
+def _design(listed: list[list[int]]) -> np.ndarray:
+    """A row of zeros and ones for each list of places."""
+    x = np.zeros((len(listed), WIDTH))
+    for row, places in zip(x, listed, strict=True):
+        row[places] = 1
+    return x
 
 
 def fit_classifier(x: np.ndarray, posterior: np.ndarray, counts: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
@@ -196,69 +345,98 @@ def fit_classifier(x: np.ndarray, posterior: np.ndarray, counts: np.ndarray, rou
     return beta
 
 
-def accepted(table: list[tuple[str, int, int]], sure: float = SURE) -> set[tuple[str, int]]:
-    """Kinds and codes the final classifier is sure of; ``table`` has kind, code, count."""
-    out = set()
-    for kind in MORE_KINDS:
-        rows = sorted((c, n) for k, c, n in table if k == kind)
-        if not rows:
-            continue
-        parts = [_ballot(c) for c, _ in rows]
-        ballots, shapes = np.array([b for b, _ in parts]), np.array([s for _, s in parts])
-        counts = np.array([n for _, n in rows], dtype=float)
-        posterior, _, _ = reliabilities(ballots, counts)
-        x = _features(ballots, shapes)
-        score = 1 / (1 + np.exp(-np.clip(x @ fit_classifier(x, posterior, counts), -30, 30)))
-        out |= {(kind, c) for (c, _), s in zip(rows, score, strict=True) if s >= sure}
-    return out
-
-
-def _found(docs: DataFrame) -> DataFrame:
-    """Per row: base spans as text and counts, candidates with their codes."""
+def _found(docs: DataFrame, corpus: Language) -> DataFrame:
+    """Per row: base spans as text and counts, candidates with codes of their votes and features."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(corpus))
 
     def run(batches):
+        words = Language(*shared.value)
         for part in slices(batches):
             rows = []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 spans, more = base_spans(text or "")
                 listed = [f"{k}:{a}:{b}" for k in BASE_KINDS for a, b in spans[k]]
-                cases = [{"kind": k, "start": a, "end": b, "code": _code(*votes(text, k, a, b))} for k, a, b in more]
+                cases = [
+                    {"kind": k, "start": a, "end": b, "code": _code(*votes(text, k, a, b, words)), "features": features(text, a, b, words)}
+                    for k, a, b in more
+                ]
                 rows.append((doc_id, *[len(spans[k]) for k in BASE_KINDS], ",".join(listed), cases))
             columns = list(zip(*rows, strict=True))
-            case = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("code", pa.int32())])
+            case = pa.struct([
+                ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("code", pa.int32()), ("features", pa.list_(pa.int32()))
+            ])
             kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(case)]
             names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "cases"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     counts = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint"
-    case = "struct<kind: string, start: bigint, end: bigint, code: int>"
+    case = "struct<kind: string, start: bigint, end: bigint, code: int, features: array<int>>"
     return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id bigint, {counts}, base string, cases array<{case}>")
 
 
-def personal_data(docs: DataFrame, sure: float = SURE) -> DataFrame:
-    """Per row ``doc_id``, counts of the base kinds, ``base_sha256``, ``spans`` and ``n_added``."""
-    found = store(_found(docs), "spans")
-    cases = found.select(F.explode("cases").alias("c")).groupBy("c.kind", "c.code").agg(F.count(F.lit(1)).alias("n"))
-    chosen = accepted([(r["kind"], r["code"], r["n"]) for r in cases.collect()], sure)
-    codes = {k: [c for kind, c in chosen if kind == k] for k in MORE_KINDS}
-    if any(codes.values()):
-        tests = [lambda c, k=k: (c["kind"] == k) & c["code"].isin(codes[k]) for k in MORE_KINDS if codes[k]]
+class Model(NamedTuple):
+    """The corpus's language and, for each further kind that has candidates, the classifier's weights."""
+
+    corpus: Language
+    weights: dict[str, np.ndarray]
+
+
+def _fitted(found: DataFrame, fit_rows: int) -> dict[str, np.ndarray]:
+    """Weights by kind: reliabilities from all candidates, the regression from ``fit_rows`` of a kind."""
+    cases = found.select("doc_id", F.explode("cases").alias("c"))
+    counted = cases.groupBy("c.kind", "c.code").agg(F.count(F.lit(1)).alias("n")).collect()  # a bounded number of codes
+    weights = {}
+    for kind in MORE_KINDS:
+        table = sorted((r["code"], r["n"]) for r in counted if r["kind"] == kind)
+        if not table:
+            continue
+        ballots = np.array([_ballot(c)[0] for c, _ in table])
+        posterior, _, _ = reliabilities(ballots, np.array([n for _, n in table], dtype=float))
+        of_code = {c: p for (c, _), p in zip(table, posterior, strict=True)}
+        some = cases.where(F.col("c.kind") == kind).orderBy(F.xxhash64("doc_id", "c.start", "c.features"), "doc_id", "c").limit(fit_rows)
+        rows = some.select("c.code", "c.features").collect()
+        soft = np.array([of_code[r["code"]] for r in rows])
+        weights[kind] = fit_classifier(_design([list(r["features"]) for r in rows]), soft, np.ones(len(rows)))
+    return weights
+
+
+def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Everything learnt from ``docs``, to be applied to them or to other documents."""
+    corpus = language(docs)
+    return Model(corpus, _fitted(store(_found(docs, corpus), "candidates"), fit_rows))
+
+
+def personal_data(docs: DataFrame, sure: float = SURE, model: Model | None = None) -> DataFrame:
+    """Per row ``doc_id``, counts of the base kinds, ``base_sha256``, ``spans``, ``n_added`` and ``n_spans``.
+
+    Without a ``model`` it is learnt from ``docs``.
+    """
+    corpus = model.corpus if model else language(docs)
+    found = store(_found(docs, corpus), "spans")
+    weights = model.weights if model else _fitted(found, FIT_ROWS)
+    least = float(np.log(sure / (1 - sure)))
+    added = F.slice("cases", 1, 0)
+    if weights:
+        table = {k: F.array(*[F.lit(float(x)) for x in w]) for k, w in weights.items()}
 
         def good(c):
-            either = tests[0](c)
-            for test in tests[1:]:
-                either = either | test(c)
-            return either
+            of_kind = None
+            for kind, values in table.items():
+                is_kind = c["kind"] == kind
+                of_kind = F.when(is_kind, values) if of_kind is None else of_kind.when(is_kind, values)
+            logit = F.aggregate(c["features"], F.lit(0.0), lambda total, f: total + F.get(of_kind, f))
+            return F.coalesce(logit >= least, F.lit(False))
 
         added = F.filter("cases", good)
-    else:
-        added = F.slice("cases", 1, 0)
     added = F.array_sort(F.transform(added, lambda c: F.struct(c["kind"], c["start"], c["end"])))
-    texts = F.transform(added, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string")))
+    found = found.withColumn("added", added)
+    texts = F.transform("added", lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string")))
     base = F.when(F.col("base") != "", F.array("base")).otherwise(F.slice(F.array("base"), 1, 0))
+    n_added = F.size("added").cast("bigint")
     return found.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2("base", 256).alias("base_sha256"),
         F.array_join(F.concat(base, texts), ",").alias("spans"),
-        F.size(added).cast("bigint").alias("n_added"),
+        n_added.alias("n_added"),
+        (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + n_added).alias("n_spans"),
     )

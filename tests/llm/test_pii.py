@@ -90,6 +90,39 @@ def test_em_recovers_reliabilities():
     guess = posterior[where.ravel()] > 0.5
     majority = (ballots > 0).sum(1) >= 3
     assert (guess == truth).mean() > (majority == truth).mean()
-    x = pii._features(unique.astype(int), np.zeros(len(unique), int))
+    x = np.column_stack((unique - 1.0, np.ones(len(unique))))
     p = 1 / (1 + np.exp(-x @ pii.fit_classifier(x, posterior, counts.astype(float))))
     assert ((p > 0.5)[where.ravel()] == truth).mean() > 0.93
+
+
+def planted(rng, n, first):
+    """Texts, each with a span, and whether it is a secret: cues of no list, and things that look alike."""
+    made = []
+    words = "river stone garden window market letter summer silver bridge forest".split()
+    for k in range(n):
+        key = hashlib.sha1(f"{first}{k}".encode()).hexdigest()
+        mixed = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 36))
+        name = "-".join(rng.choice(words, 4)) + f"-{rng.integers(100)}"
+        prose = " ".join(rng.choice(words, 30))
+        for found, text in ((key, f"kennung: {key} ok"), (mixed, f"set the token = '{mixed}' now"), (None, f"see /wiki/{name}/ there"), (None, f"page {name} here")):
+            made.append((first + len(made), f"{prose} {text} {prose}", found))
+    return made
+
+
+def test_held_out_secrets(spark):
+    rng = np.random.default_rng(7)
+    seen, held = planted(rng, 60, 0), planted(rng, 40, 10_000)
+    frame = lambda rows: spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(held), model=pii.learn(frame(seen))).collect()}
+    want = {d: f"secret:{t.index(v)}:{t.index(v) + len(v)}" if v else "" for d, t, v in held}
+    caught = np.mean([got[d] == s for d, s in want.items() if s])
+    false = np.mean([got[d] != "" for d, s in want.items() if not s])
+    assert caught >= 0.95 and false <= 0.02, (caught, false)
+
+
+def test_language_counts_every_text(spark):
+    rows = [(1, "Stone stone, zebra"), (2, None), (3, "stone"), (4, "")]
+    corpus = pii.language(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert corpus.known_share("stone-zebra") == 10 / 11 and corpus.known_share("9x") == 0
+    assert corpus.surprise("stone") < corpus.surprise("q7x9z")
+    assert pii._pairs(["ab", "b"], np.array([3, 2]))[[32 * 256 + 97, 97 * 256 + 98, 32 * 256 + 98, 98 * 256 + 32]].tolist() == [3, 3, 2, 0]
