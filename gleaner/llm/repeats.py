@@ -1,19 +1,22 @@
-"""Repeated byte strings: prefix-free parsing of texts, then order of the dictionary's suffixes.
+"""Repeated byte strings: prefix-free parsing of texts, and suffix arrays of the dictionary.
 
 Every byte covered by a ``SPAN``-byte string that also starts anywhere else goes.  A rolling hash
 of ``GRAM`` bytes runs over each text.  The least hash among the grams of a ``SPAN``-byte string
 is its trigger; equal strings have equal triggers at equal places.  Triggers cut a text into
 phrases: a phrase is the bytes of all strings that one trigger answers for.  The parse of the
-corpus, trigger hashes and places, is small; triggers that come once drop out by counting it.
-Phrases of the rest form the dictionary, each distinct one once, with its number of occurrences,
-dealt out by trigger.  In a task the suffixes of the dictionary that start a string are put in an
-order that brings equal ones together, equal neighbours are compared byte by byte, and the
-parse carries the result back to all occurrences.
+corpus, which phrase starts where, is small; triggers that come once drop out by counting it.
+Phrases of the rest form the dictionary, each distinct one once, dealt out by trigger.
 
-Only equality of the first ``SPAN`` bytes of suffixes matters, so they are ordered by a 64-bit
-fingerprint of these bytes in place of their letters.  A trigger with very many distinct phrases
-(the edge of a passage that a large part of all documents share) is worked string by string,
-with counts, in place of one task.
+In a task the suffixes of the dictionary are ordered alphabetically by prefix doubling up to
+``SPAN`` bytes: a rank for each place by 8 bytes, from it one by 16, and so on.  Suffixes of one rank
+start equal strings.  The parse, ordered by phrase, gives each phrase its number of occurrences
+and combines both: strings of a phrase that comes twice are repeated, strings of one that comes once
+are if their rank is shared; joining by phrase carries this to every place in the corpus.
+
+A trigger with very many distinct phrases (the edge of a passage that a large part of all
+documents share) gets longer: its phrases are cut into pieces of fewer strings, and the bytes that all
+strings of a piece have in common become the new trigger.  The pieces are then parsed into a
+dictionary of their own, and so on, down to pieces of one string.
 
 Defined cases: a null text is empty; texts shorter than ``SPAN`` bytes keep everything; repeated
 rows are occurrences of their own; an empty table gives no rows; extra columns are ignored.
@@ -40,8 +43,11 @@ PART_BYTES = 1 << 19
 #: Bytes of distinct phrases that a task orders at once, whole triggers at a time; phrases of
 #: which a task remembers that it has handed on the bytes.
 HELD_BYTES, REMEMBERED = 1 << 20, 200_000
-#: Distinct phrases of one trigger beyond which its strings are dealt out one by one.
-HOT = 20_000
+#: Distinct phrases of one trigger beyond which the trigger gets longer, and strings of the
+#: pieces that its phrases are then cut into, one step after another.
+MANY = 4_000
+STRINGS = (64, 8, 1)
+PHRASE = ["trigger", "c1", "c2"]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,155 +169,185 @@ def parse(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     return long_enough.mapInArrow(run, f"t1 bigint, t2 bigint, doc_id bigint, {lists}")
 
 
+def _digest(phrase: bytes, lead: int) -> tuple[int, int]:
+    import xxhash
+
+    digest = xxhash.xxh3_128_intdigest(phrase, seed=lead)
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
+#: A place of a phrase: what holds it, where it starts there, its trigger, digest and length, the
+#: trigger's place in it; and its bytes, once a task and phrase.
+PLACE = "o1 bigint, o2 bigint, o3 bigint, first int, trigger bigint, c1 bigint, c2 bigint, size int, lead int, phrase binary"
+PLACE_KINDS = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+
+
+def _places(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(PLACE_KINDS)
+    names = [c.split()[0] for c in PLACE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PLACE_KINDS, strict=True)], names=names)
+
+
 def _phrases(texts: DataFrame, span: int) -> DataFrame:
-    """Phrases of ``t1, t2, text, marks``: a row per occurrence, its bytes once a task and phrase."""
+    """Places of the phrases of ``t1, t2, text, marks``, held by texts."""
 
     def run(batches):
-        import xxhash
-
         seen: set[tuple] = set()
         for part in slices(batches, "text", 2 << 20):
-            out = [[] for _ in range(8)]
+            rows = []
             for t1, t2, text, marks in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
                 for m in marks:
-                    first, last = m["first"], m["last"]
+                    first, last, lead = m["first"], m["last"], m["at"] - m["first"]
                     phrase = raw[first : last + span]
-                    digest = xxhash.xxh3_128_intdigest(phrase, seed=m["at"] - first)
-                    c1, c2 = (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
-                    known = (m["hash"], c1, c2)
+                    known = (m["hash"], *_digest(phrase, lead))
                     if len(seen) > REMEMBERED:
                         seen.clear()
-                    row = (m["hash"], c1, c2, t1, t2, first, m["at"] - first, None if known in seen else phrase)
+                    rows.append((t1, t2, 0, first, *known, len(phrase), lead, None if known in seen else phrase))
                     seen.add(known)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                names=["hash", "c1", "c2", "t1", "t2", "first", "lead", "phrase"],
-            )
+            yield _places(rows)
 
-    schema = "hash bigint, c1 bigint, c2 bigint, t1 bigint, t2 bigint, first int, lead int, phrase binary"
-    return texts.select("t1", "t2", "text", "marks").mapInArrow(run, schema)
+    return texts.select("t1", "t2", "text", "marks").mapInArrow(run, PLACE)
+
+
+def _pieces(phrases: DataFrame, span: int, strings: int) -> DataFrame:
+    """Places of pieces of at most ``strings`` strings, held by the distinct ``phrases``."""
+
+    def cut(trigger: int, c1: int, c2: int, lead: int, phrase: bytes):
+        import xxhash
+
+        start, count = 0, len(phrase) - span + 1
+        while start < count:
+            block = (lead - start) // strings  # strings lie in it by their distance from the trigger
+            end = min(count, lead - block * strings + 1)
+            piece = phrase[start : end - 1 + span]
+            common = phrase[lead - block * strings : lead - (block + 1) * strings + 1 + span]
+            longer = xxhash.xxh3_64_intdigest(b"%d %d " % (trigger, block) + common) - (1 << 63)
+            yield trigger, c1, c2, start, longer, *_digest(piece, lead - start), len(piece), lead - start, piece
+            start = end
+
+    def run(batches):
+        for part in slices(batches, "phrase", 1 << 20):
+            yield _places([p for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for p in cut(*row)])
+
+    return phrases.select(*PHRASE, "lead", "phrase").mapInArrow(run, PLACE)
+
+
+def suffix_ranks(data: np.ndarray, span: int) -> np.ndarray:
+    """Alphabetical rank of each place of ``data`` by the ``span`` bytes from there; equal strings
+    have equal ranks.  Beyond the end come zeros."""
+    size = len(data)
+
+    def ranked(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
+        ordered = keys[order]
+        ranks = np.empty(size, np.int64)
+        ranks[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+        return ranks
+
+    def with_later(ranks: np.ndarray, step: int) -> np.ndarray:
+        later = np.zeros(size, np.int64)
+        later[: max(size - step, 0)] = ranks[step:] + 1
+        return ranked(ranks * (size + 1) + later)
+
+    if not size:
+        return np.zeros(0, np.int64)
+    width = min(8, span)
+    padded = np.concatenate((data, np.zeros(width, np.uint8))).astype(np.uint64)
+    keys = np.zeros(size, np.uint64)
+    for k in range(width):
+        keys = keys << np.uint64(8) | padded[k : k + size]
+    ranks = ranked(keys)
+    while 2 * width <= span:
+        ranks = with_later(ranks, width)
+        width *= 2
+    return with_later(ranks, span - width) if width < span else ranks
 
 
 class _Dictionary:
-    """Phrases of one or more triggers in a task, with where they occur."""
+    """Distinct phrases of one or more triggers in a task."""
 
     def __init__(self, span: int):
-        self.span, self.rows, self.phrases, self.weight, self.bytes = span, [], {}, {}, 0
+        self.span, self.phrases, self.bytes = span, {}, 0
 
-    def add(self, row) -> None:
-        key, phrase = row[:3], row[7]
-        self.rows.append(row)
-        self.weight[key] = self.weight.get(key, 0) + 1
-        if phrase is not None and key not in self.phrases:
+    def add(self, key: tuple, phrase: bytes) -> None:
+        if key not in self.phrases:
             self.phrases[key] = phrase
             self.bytes += len(phrase)
 
-    def repeats(self, powers):
-        """``t1, t2, start, end`` of the runs of bytes that strings found elsewhere cover."""
-        span, shared, alone = self.span, {}, {}
-        for key in self.phrases:
-            alone.setdefault(key[0], []).append(key)
-        keys = [k for group in alone.values() if len(group) > 1 for k in group]
-        if keys:
-            data = np.frombuffer(b"".join(self.phrases[k] for k in keys), np.uint8)
-            sizes = np.array([len(self.phrases[k]) for k in keys])
-            base = np.cumsum(sizes) - sizes
-            counts = sizes - span + 1
-            owner = np.repeat(np.arange(len(keys)), counts)
-            begin = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + base[owner]
-            if len(data) > len(powers[0]):
-                powers = _powers(len(data))
-            prints = rolling(data, span, powers)[begin]
-            order = np.argsort(prints, kind="stable")
-            same = prints[order[1:]] == prints[order[:-1]]
-            same &= self._equal(data, begin[order[:-1]], begin[order[1:]], same)
-            twice = np.zeros(len(owner), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], np.where(twice, owner + 1, 0), [0]))))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if twice[a]:
-                    k = owner[a]
-                    shared.setdefault(keys[k], []).append((int(begin[a] - base[k]), int(begin[b - 1] - base[k]) + span))
-        for t1, t2, first, key in ((r[3], r[4], r[5], r[:3]) for r in self.rows):
-            if self.weight[key] > 1:
-                yield t1, t2, first, first + len(self.phrases[key])
-            else:
-                for start, end in shared.get(key, ()):
-                    yield t1, t2, first + start, first + end
-
-    def _equal(self, data, x, y, same) -> np.ndarray:
-        """Whether strings at ``x`` and ``y`` are equal, where ``same`` says their fingerprints are."""
-        out = np.zeros(len(x), bool)
-        at = np.flatnonzero(same)
-        for start in range(0, len(at), 20_000):
-            part = at[start : start + 20_000]
-            reach = np.arange(self.span)
-            out[part] = (data[x[part, None] + reach] == data[y[part, None] + reach]).all(1)
-        return out
-
-
-def _resolve(phrases: DataFrame, span: int) -> DataFrame:
-    """Runs of covered bytes, with each trigger's phrases in one task."""
+    def repeats(self):
+        """Phrases and the runs of bytes in them that strings of other phrases cover."""
+        keys = list(self.phrases)
+        if not keys:
+            return
+        data = np.frombuffer(b"".join(self.phrases.values()), np.uint8)
+        sizes = np.array([len(self.phrases[k]) for k in keys])
+        base = np.cumsum(sizes) - sizes
+        counts = sizes - self.span + 1
+        owner = np.repeat(np.arange(len(keys)), counts)
+        begin = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + base[owner]
+        ranks = suffix_ranks(data, self.span)[begin]
+        twice = np.bincount(ranks)[ranks] > 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], np.where(twice, owner + 1, 0), [0]))))
+        found: dict[tuple, list] = {}
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if twice[a]:
+                k = owner[a]
+                run = {"start": int(begin[a] - base[k]), "end": int(begin[b - 1] - base[k]) + self.span}
+                found.setdefault(keys[k], []).append(run)
+        yield from found.items()
+
+
+RUNS = "array<struct<start: int, end: int>>"
+
+
+def _ordered(dictionary: DataFrame, span: int) -> DataFrame:
+    """``trigger, c1, c2, runs`` of phrases that share strings, each trigger's in one task."""
 
     def run(batches):
-        powers = _powers(PART_BYTES + 2 * span)
         held, current = _Dictionary(span), None
 
         def flushed():
-            found = list(held.repeats(powers))
+            found = [(*key, runs) for key, runs in held.repeats()]
             columns = list(zip(*found, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)],
-                names=["t1", "t2", "start", "end"],
-            )
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*PHRASE, "runs"])
 
         for part in slices(batches, "phrase", 2 << 20):
-            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if row[0] != current and held.bytes > HELD_BYTES:
+            for *key, phrase in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if key[0] != current and held.bytes > HELD_BYTES:
                     yield flushed()
                     held = _Dictionary(span)
-                current = row[0]
-                held.add(row)
-        if held.rows:
-            yield flushed()
-
-    dealt = phrases.repartition("hash").sortWithinPartitions("hash")
-    return dealt.mapInArrow(run, "t1 bigint, t2 bigint, start int, end int")
-
-
-def _resolve_hot(phrases: DataFrame, span: int) -> DataFrame:
-    """The same for triggers of very many phrases: strings are counted one by one."""
-
-    def strings(batches):
-        import xxhash
-
-        for part in slices(batches, "phrase"):
-            out = [[] for _ in range(5)]
-            for _, _, _, t1, t2, first, _, phrase in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for k in range(len(phrase) - span + 1):
-                    digest = xxhash.xxh3_128_intdigest(phrase[k : k + span])
-                    row = (t1, t2, first + k, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63))
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["t1", "t2", "start", "w1", "w2"]
-            )
-
-    whole = phrases.where("phrase IS NOT NULL").select("hash", "c1", "c2", F.col("phrase").alias("_p")).dropDuplicates(["hash", "c1", "c2"])
-    filled = phrases.drop("phrase").join(whole, ["hash", "c1", "c2"]).withColumnRenamed("_p", "phrase")
-    filled = filled.select("hash", "c1", "c2", "t1", "t2", "first", "lead", "phrase")
-    rows = store(filled.mapInArrow(strings, "t1 bigint, t2 bigint, start int, w1 bigint, w2 bigint"), "strings")
-    twice = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return rows.join(twice, ["w1", "w2"]).select("t1", "t2", "start", (F.col("start") + span).cast("int").alias("end"))
-
-
-def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+                current = key[0]
+                held.add(tuple(key), phrase)
+        yield flushed()
+
+    dealt = dictionary.select(*PHRASE, "phrase").repartition("trigger").sortWithinPartitions("trigger")
+    return dealt.mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, runs {RUNS}")
+
+
+def _resolve(places: DataFrame, span: int, many: int, strings: tuple[int, ...] = STRINGS) -> DataFrame:
+    """``o1, o2, o3, start, end``: covered runs of bytes in what holds the stored ``places``."""
+    parse = places.drop("phrase", "lead")
+    weights = store(parse.groupBy(*PHRASE).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")), "weights")
+    shared = store(weights.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1"), "shared")
+    dictionary = places.where("phrase IS NOT NULL").select(*PHRASE, "lead", "phrase")
+    longer = shared.where(F.col("phrases") > many) if strings else shared.where("1 = 0")
+    plain = shared.where(F.col("phrases") <= many) if strings else shared
+    runs = _ordered(join_list(dictionary, plain.select("trigger"), ["trigger"], "left_semi"), span)
+    if not longer.isEmpty():
+        hot = join_list(dictionary, longer.select("trigger"), ["trigger"], "left_semi").dropDuplicates(PHRASE)
+        pieces = store(_pieces(hot, span, strings[0]), "pieces")
+        of_pieces = _resolve(pieces, span, many, strings[1:]).groupBy(*[F.col(o).alias(k) for o, k in zip(("o1", "o2", "o3"), PHRASE, strict=True)])
+        runs = runs.unionByName(of_pieces.agg(F.collect_list(F.struct("start", "end")).alias("runs")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end")))
+    known = weights.join(runs, PHRASE, "left").where("n > 1 OR runs IS NOT NULL")
+    known = known.select(*PHRASE, F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    found = parse.join(known, PHRASE).select("o1", "o2", "o3", "first", F.explode("runs").alias("run"))
+    return found.select("o1", "o2", "o3", *[(F.col("first") + F.col(f"run.{c}")).alias(c) for c in ("start", "end")])
+
+
+def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``t1, t2, copies, runs`` of texts of which something is removed; ``runs`` may overlap.
 
     Texts that come more than once go whole; one of them stands for all in the search.
@@ -331,16 +367,8 @@ def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT)
     at = F.struct("t1", "t2", "doc_id").alias("_at")
     listed = listed.select(at, "marks").hint("shuffle_hash")
     candidates = keyed.where(F.octet_length("text") >= span).select(at, "t1", "t2", "text").join(listed, "_at")
-    phrases = _phrases(candidates, span)
-    hot_triggers = often.where(F.col("n") > hot).select("hash")
-    if hot_triggers.isEmpty():
-        runs = _resolve(phrases, span)
-    else:
-        phrases = store(phrases, "phrases")
-        hot_triggers = store(hot_triggers, "hot")
-        runs = _resolve(join_list(phrases, hot_triggers, ["hash"], "left_anti"), span).unionByName(
-            _resolve_hot(join_list(phrases, hot_triggers, ["hash"], "left_semi"), span)
-        )
+    runs = _resolve(store(_phrases(candidates, span), "phrases"), span, many)
+    runs = runs.withColumnsRenamed({"o1": "t1", "o2": "t2"})
     runs = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     every = texts.join(runs, ["t1", "t2"], "left").where("copies > 1 OR runs IS NOT NULL")
     return every.select("t1", "t2", "copies", "runs")
@@ -356,9 +384,9 @@ def _merged(runs) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay)."""
-    found = store(covered(docs, span, gram, hot), "covered")
+    found = store(covered(docs, span, gram, many), "covered")
     at = F.struct("t1", "t2").alias("_at")
     joined = join_list(_keyed(docs).select("doc_id", "text", at), found.select(at, "copies", "runs"), ["_at"], "left")
 

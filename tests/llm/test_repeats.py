@@ -48,7 +48,7 @@ def test_planted_and_hot_triggers(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = expected(rows)
     assert rows_of(repeats.without_repeats(df)) == want
-    assert rows_of(repeats.without_repeats(df, hot=1)) == want
+    assert rows_of(repeats.without_repeats(df, many=1)) == want
 
 
 def test_equals_brute_force(docs, doc_rows):
@@ -81,3 +81,30 @@ def test_sliding_min():
     for width in (1, 7, 273, 1000):
         want = [x[k : k + width].min() for k in range(len(x) - width + 1)]
         assert repeats.sliding_min(x, width).tolist() == want
+
+
+def test_suffix_ranks_are_alphabetical():
+    rng = np.random.default_rng(2)
+    for size, span in ((0, 400), (5, 400), (700, 3), (700, 8), (3000, 20), (3000, 400)):
+        data = rng.integers(97, 99, size, dtype=np.uint8)
+        data[size // 2 :] = data[: size - size // 2]  # long equal strings
+        raw = data.tobytes() + b"\0" * span
+        strings = [raw[k : k + span] for k in range(size)]
+        inside = max(0, size - span + 1)
+        got = repeats.suffix_ranks(data, span)
+        order = {s: r for r, s in enumerate(sorted(set(strings[:inside])))}
+        ranks = np.unique(got[:inside], return_inverse=True)[1].ravel() if inside else np.zeros(0, int)
+        assert ranks.tolist() == [order[s] for s in strings[:inside]]
+
+
+def test_pieces_hold_every_string_once(spark):
+    rng = random.Random(3)
+    rows = [(k, 10 * k, -k, lead, bytes(rng.choices(b"ab", k=400 + extra))) for k, (lead, extra) in enumerate([(272, 272), (10, 0), (130, 100), (70, 7)])]
+    for width in repeats.STRINGS:
+        df = spark.createDataFrame(rows, "trigger bigint, c1 bigint, c2 bigint, lead int, phrase binary")
+        found = repeats._pieces(df, 400, width).collect()
+        for trigger, _, _, lead, phrase in rows:
+            mine = sorted((p for p in found if p.o1 == trigger), key=lambda p: p.first)
+            assert all(bytes(p.phrase) == phrase[p.first : p.first + p.size] and p.lead == lead - p.first for p in mine)
+            assert all(p.size - 399 <= width for p in mine)
+            assert [k for p in mine for k in range(p.first, p.first + p.size - 399)] == list(range(len(phrase) - 399))
