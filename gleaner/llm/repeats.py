@@ -47,6 +47,9 @@ HELD_BYTES, REMEMBERED = 1 << 20, 200_000
 #: pieces that its phrases are then cut into, one step after another.
 MANY = 4_000
 STRINGS = (64, 8, 1)
+#: Places beyond which a phrase is looked up in a list of such phrases, not joined by a shuffle that
+#: would bring all of them to one task.
+FREQUENT = 10_000
 PHRASE = ["trigger", "c1", "c2"]
 
 
@@ -326,7 +329,20 @@ def _ordered(dictionary: DataFrame, span: int) -> DataFrame:
     return dealt.mapInArrow(run, f"trigger bigint, c1 bigint, c2 bigint, runs {RUNS}")
 
 
-def _resolve(places: DataFrame, span: int, many: int, strings: tuple[int, ...] = STRINGS) -> DataFrame:
+def _with_whole(parse: DataFrame, weights: DataFrame, known: DataFrame, frequent: int) -> DataFrame:
+    """Places with the ``runs`` of their phrase; those of frequent phrases are covered whole."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).alias("runs")
+    often = store(weights.where(F.col("n") > frequent).select(*PHRASE), "frequent")
+    if often.isEmpty():
+        return parse.join(known, PHRASE).select("o1", "o2", "o3", "first", "runs")
+    others = join_list(parse, often, PHRASE, "left_anti").join(known.where(F.col("n") <= frequent), PHRASE)
+    always = join_list(parse, often, PHRASE, "left_semi").select("o1", "o2", "o3", "first", whole)
+    return others.select("o1", "o2", "o3", "first", "runs").unionByName(always)
+
+
+def _resolve(
+    places: DataFrame, span: int, many: int, strings: tuple[int, ...] = STRINGS, frequent: int = FREQUENT
+) -> DataFrame:
     """``o1, o2, o3, start, end``: covered runs of bytes in what holds the stored ``places``."""
     parse = places.drop("phrase", "lead")
     weights = store(parse.groupBy(*PHRASE).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")), "weights")
@@ -338,16 +354,16 @@ def _resolve(places: DataFrame, span: int, many: int, strings: tuple[int, ...] =
     if not longer.isEmpty():
         hot = join_list(dictionary, longer.select("trigger"), ["trigger"], "left_semi").dropDuplicates(PHRASE)
         pieces = store(_pieces(hot, span, strings[0]), "pieces")
-        of_pieces = _resolve(pieces, span, many, strings[1:]).groupBy(*[F.col(o).alias(k) for o, k in zip(("o1", "o2", "o3"), PHRASE, strict=True)])
+        of_pieces = _resolve(pieces, span, many, strings[1:], frequent).groupBy(*[F.col(o).alias(k) for o, k in zip(("o1", "o2", "o3"), PHRASE, strict=True)])
         runs = runs.unionByName(of_pieces.agg(F.collect_list(F.struct("start", "end")).alias("runs")))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end")))
     known = weights.join(runs, PHRASE, "left").where("n > 1 OR runs IS NOT NULL")
-    known = known.select(*PHRASE, F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
-    found = parse.join(known, PHRASE).select("o1", "o2", "o3", "first", F.explode("runs").alias("run"))
+    known = known.select(*PHRASE, "n", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs"))
+    found = _with_whole(parse, weights, known, frequent).withColumn("run", F.explode("runs"))
     return found.select("o1", "o2", "o3", *[(F.col("first") + F.col(f"run.{c}")).alias(c) for c in ("start", "end")])
 
 
-def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
+def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY, frequent: int = FREQUENT) -> DataFrame:
     """``t1, t2, copies, runs`` of texts of which something is removed; ``runs`` may overlap.
 
     Texts that come more than once go whole; one of them stands for all in the search.
@@ -367,7 +383,7 @@ def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MAN
     at = F.struct("t1", "t2", "doc_id").alias("_at")
     listed = listed.select(at, "marks").hint("shuffle_hash")
     candidates = keyed.where(F.octet_length("text") >= span).select(at, "t1", "t2", "text").join(listed, "_at")
-    runs = _resolve(store(_phrases(candidates, span), "phrases"), span, many)
+    runs = _resolve(store(_phrases(candidates, span), "phrases"), span, many, frequent=frequent)
     runs = runs.withColumnsRenamed({"o1": "t1", "o2": "t2"})
     runs = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     every = texts.join(runs, ["t1", "t2"], "left").where("copies > 1 OR runs IS NOT NULL")
@@ -384,9 +400,9 @@ def _merged(runs) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: int = MANY, frequent: int = FREQUENT) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay)."""
-    found = store(covered(docs, span, gram, many), "covered")
+    found = store(covered(docs, span, gram, many, frequent), "covered")
     at = F.struct("t1", "t2").alias("_at")
     joined = join_list(_keyed(docs).select("doc_id", "text", at), found.select(at, "copies", "runs"), ["_at"], "left")
 

@@ -49,6 +49,8 @@ def test_planted_and_hot_triggers(spark):
     want = expected(rows)
     assert rows_of(repeats.without_repeats(df)) == want
     assert rows_of(repeats.without_repeats(df, many=1)) == want
+    assert rows_of(repeats.without_repeats(df, frequent=2)) == want
+    assert rows_of(repeats.without_repeats(df, many=1, frequent=1)) == want
 
 
 def test_equals_brute_force(docs, doc_rows):
