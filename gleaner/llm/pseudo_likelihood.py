@@ -1,15 +1,18 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, scores documents.
 
 Each token is predicted from the ``REACH`` tokens on either side: a table per relative
-position, summed and squashed, then a softmax over classes of the vocabulary and one over
-the words of the class.  A word outside the vocabulary is predicted as one id for all of them, then byte
-by byte: ``Spelling`` counts the bytes after each two in all such words of the corpus.  The score of a
-document is the sum of the log-probabilities of its tokens, as whole words.
-
-The vocabulary is counted over the whole corpus.  Training masks every token of every
+position, summed and squashed, then a softmax over classes of ids and one over the ids of the class.
+The ``FREQUENT`` most frequent words of the corpus have an id each; every other word is predicted as one
+of ``GROUPS`` groups by its ending, and then as the word it is by its count within the group.  The
+counts are those of all words of the corpus, so they grow with it.  The score of a document is the sum of
+the log-probabilities of its tokens.  Of the count of each word ``DISCOUNT`` is set aside for words that the corpus
+does not hold; these share it by their length, each byte as likely as any other.
+
+Texts are taken apart once, into stored blocks of about a megabyte: the distinct words of the block, and which of them
+each token is.  All later passes read these.  Training masks every token of every
 document once, a part of them each round: a task runs through its part of the corpus from the round's
 parameters, and the changes are averaged by tokens, in two levels of sums, before the next round.  Only
-parameters, whose number is fixed, reach the driver.
+parameters, whose number is fixed, reach the driver; the counts of words are joined to the words of each block.
 
 Defined cases: a null or empty text has no tokens, a score of 0 and no mean; a token outside
 the text is a mark of its own; repeated rows train and score as often as they come; an empty table
@@ -19,6 +22,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import only, slices
-from gleaner.llm.words import encoded_words, fingerprints, word_fingerprints
+from gleaner.llm.words import encoded_words, fingerprints
 from gleaner.session import store
 
-CLASSES, PER_CLASS = 32, 32
-VOCABULARY = CLASSES * PER_CLASS  # the last id stands for all other words
+CLASSES, PER_CLASS = 32, 64
+VOCABULARY = CLASSES * PER_CLASS
+GROUP_CLASSES = 16  # by the last byte of a word; within one by the last three
+FREQUENT, GROUPS = (CLASSES - GROUP_CLASSES) * PER_CLASS, GROUP_CLASSES * PER_CLASS
+DISCOUNT = 0.5
 WIDTH, REACH = 32, 3
-ROUNDS, BATCH, RATE, SEED = 3, 1024, 0.1, 11
+ROUNDS, BATCH, RATE, SEED = 3, 2048, 0.1, 11
 BLOCKS = 8
-CHUNK = 1 << 15
-SYMBOLS = 257  # bytes, and one mark for the start and end of a word
-BACK_OFF = 4.0  # weight of the shorter context, in occurrences
+BLOCK_BYTES = 1 << 20
+CHUNK = 1 << 12
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 
 
@@ -77,10 +83,25 @@ def unflat(vector: np.ndarray, width: int = WIDTH) -> dict[str, np.ndarray]:
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x -= np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
+
+
+def _minus_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (-1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
+def _hidden(net, context: np.ndarray) -> np.ndarray:
+    hidden = net["tables"][0].take(context[:, 0], axis=0)
+    for k in range(1, len(OFFSETS)):
+        hidden += net["tables"][k].take(context[:, k], axis=0)
+    hidden += net["bias"]
+    return np.tanh(hidden, out=hidden)
+
+
 def _by_class(targets: np.ndarray):
     """Rows ordered by class, with the class and slice of each run."""
     klass = targets // PER_CLASS
@@ -91,28 +112,24 @@ def _by_class(targets: np.ndarray):
 
 def log_probabilities(net, context: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Log-probability of each target; a row of ``context`` holds the ids at ``OFFSETS``."""
-    hidden = np.tile(net["bias"], (len(targets), 1))
-    for k in range(len(OFFSETS)):
-        hidden += net["tables"][k][context[:, k]]
-    np.tanh(hidden, out=hidden)
+    hidden = _hidden(net, context)
     rows = np.arange(len(targets))
     out = _log_softmax(hidden @ net["class_out"] + net["class_bias"])[rows, targets // PER_CLASS].astype(np.float64)
     order, runs = _by_class(targets)
+    sorted_hidden, within = hidden.take(order, axis=0), targets[order] % PER_CLASS
+    words = np.empty((len(targets), PER_CLASS), hidden.dtype)
     for c, run in runs:
-        part = order[run]
-        words = _log_softmax(hidden[part] @ net["word_out"][c] + net["word_bias"][c])
-        out[part] += words[np.arange(len(part)), targets[part] % PER_CLASS]
+        np.matmul(sorted_hidden[run], net["word_out"][c], out=words[run])
+        words[run] += net["word_bias"][c]
+    out[order] += _log_softmax(words)[rows, within]
     return out
 
 
 def gradients(net, context: np.ndarray, targets: np.ndarray):
-    """Gradients of the mean log-probability; those of the tables as (ids, rows) per position."""
+    """Gradients of the mean log-probability; those of the tables as (places, rows) of all tables in a row."""
     n = len(targets)
-    hidden = np.tile(net["bias"], (n, 1))
-    for k in range(len(OFFSETS)):
-        hidden += net["tables"][k][context[:, k]]
-    np.tanh(hidden, out=hidden)
-    d_class = -np.exp(_log_softmax(hidden @ net["class_out"] + net["class_bias"]))
+    hidden = _hidden(net, context)
+    d_class = _minus_softmax(hidden @ net["class_out"] + net["class_bias"])
     d_class[np.arange(n), targets // PER_CLASS] += 1
     d_class /= n
     d_hidden = d_class @ net["class_out"].T
@@ -124,8 +141,8 @@ def gradients(net, context: np.ndarray, targets: np.ndarray):
     words, back = np.empty((n, PER_CLASS), hidden.dtype), np.empty_like(hidden)
     for c, run in runs:
         np.matmul(sorted_hidden[run], net["word_out"][c], out=words[run])
-    words += net["word_bias"][sorted_targets // PER_CLASS]
-    d_word = -np.exp(_log_softmax(words))
+        words[run] += net["word_bias"][c]
+    d_word = _minus_softmax(words)
     d_word[np.arange(n), sorted_targets % PER_CLASS] += 1
     d_word /= n
     for c, run in runs:
@@ -133,15 +150,16 @@ def gradients(net, context: np.ndarray, targets: np.ndarray):
         out["word_out"][c] = sorted_hidden[run].T @ d_word[run]
         out["word_bias"][c] = d_word[run].sum(0)
     d_hidden[order] += back
-    d_hidden *= 1 - hidden * hidden
+    hidden *= hidden
+    d_hidden -= d_hidden * hidden
     out["bias"] = d_hidden.sum(0)
-    tables = []
-    for k in range(len(OFFSETS)):
-        by_id = np.argsort(context[:, k].astype(np.int16), kind="stable")  # 16 bits: a radix sort
-        ids = context[by_id, k]
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        tables.append((ids[first], np.add.reduceat(d_hidden[by_id], first, axis=0)))
-    return out, tables
+    # all positions in one sort; 16 bits: a radix sort
+    keys = (context + np.arange(len(OFFSETS)) * (VOCABULARY + 1)).astype(np.int16).ravel()
+    by_id = np.argsort(keys, kind="stable")
+    ids = keys[by_id]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    rows = np.add.reduceat(d_hidden.take(by_id // len(OFFSETS), axis=0), first, axis=0)
+    return out, (ids[first].astype(np.int64), rows)
 
 
 class Trainer:
@@ -153,146 +171,146 @@ class Trainer:
         self.tokens = 0
 
     def step(self, context: np.ndarray, targets: np.ndarray) -> None:
-        dense, tables = gradients(self.net, context, targets)
-        for name, g in dense.items():
-            self.seen[name] += g * g
-            self.net[name] += self.rate * g / np.sqrt(self.seen[name])
-        for k, (ids, g) in enumerate(tables):
-            self.seen["tables"][k][ids] += g * g
-            self.net["tables"][k][ids] += self.rate * g / np.sqrt(self.seen["tables"][k][ids])
+        dense, (places, g) = gradients(self.net, context, targets)
+        for name, d in dense.items():
+            self.seen[name] += d * d
+            self.net[name] += self.rate * d / np.sqrt(self.seen[name])
+        width = len(self.net["bias"])
+        seen, tables = self.seen["tables"].reshape(-1, width), self.net["tables"].reshape(-1, width)
+        now = seen.take(places, axis=0) + g * g
+        seen[places] = now
+        tables[places] += self.rate * g / np.sqrt(now)
         self.tokens += len(targets)
 
 
-def word_ids(words: list[str], vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.full(len(words), VOCABULARY - 1, np.int64)
-    prints = fingerprints(words)
-    at = np.minimum(np.searchsorted(vocabulary, prints), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == prints, ids[at], VOCABULARY - 1)
-
+def groups(words: list[str]) -> np.ndarray:
+    """The group of each word, by its last bytes."""
+    array = pa.array(words, pa.large_binary()) if not words else pa.array(words, pa.large_string())
+    offsets = np.frombuffer(array.buffers()[1], np.int64, len(words) + 1) if words else np.zeros(1, np.int64)
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8) if words else np.zeros(0, np.uint8)
+    ends, sizes = offsets[1:], np.diff(offsets)
+    last = [np.where(sizes >= k, data[np.maximum(ends - k, 0)] if len(data) else 0, 0).astype(np.int64) for k in (1, 2, 3)]
+    return last[0] * 7 % GROUP_CLASSES * PER_CLASS + (last[0] * 31 + last[1] * 17 + last[2]) % PER_CLASS
 
-def token_ids(words: list[str], indices: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, ids: np.ndarray):
-    """Ids of all texts' tokens with ``REACH`` outside marks around each text; places of the
-    tokens in them."""
-    mine = word_ids(words, vocabulary, ids)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    places = np.arange(len(indices)) + REACH * (2 * text + 1)
-    padded = np.full(len(indices) + 2 * REACH * (len(offsets) - 1), VOCABULARY, np.int64)
-    padded[places] = mine[indices] if len(indices) else 0
-    return padded, places
 
+BLOCK_SCHEMA = (
+    "block bigint, doc_ids array<bigint>, sizes array<int>, tokens binary, "
+    "words array<bigint>, times array<int>, groups array<int>, bytes array<int>"
+)
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each symbol of each word, its end included, with the two before; and its word."""
-    raw = [w.encode() for w in words]
-    lengths = np.array([len(r) for r in raw], np.int64)
-    flat_bytes = np.frombuffer(b"".join(raw), np.uint8)
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
-    padded = np.full(len(flat_bytes) + 3 * len(raw), SYMBOLS - 1, np.int32)
-    padded[np.arange(len(flat_bytes)) + 3 * owner.astype(np.int64) + 2] = flat_bytes
-    starts = np.cumsum(lengths + 3) - (lengths + 3)
-    target = np.ones(len(padded), bool)
-    target[starts] = target[starts + 1] = False
-    at = np.flatnonzero(target)
-    codes = (padded[at - 2] * SYMBOLS + padded[at - 1]) * SYMBOLS + padded[at]
-    return codes, np.repeat(np.arange(len(raw)), lengths + 1)
 
+def _lists(values: np.ndarray, kind) -> pa.Array:
+    """A list array with one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
-def _parts(words: list[str], most: int = 20_000):
-    for begin in range(0, len(words), most):
-        yield begin, words[begin : begin + most]
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """Texts as stored blocks: the size of each document, which of the block's ``words`` (64-bit fingerprints) each token
+    is, and how often each word comes, its group and its length."""
 
-class Spelling:
-    """P(word | outside the vocabulary) byte by byte; each context backs off to the one a byte shorter."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        self.codes, self.counts = codes[order].astype(np.int32), counts[order].astype(np.float64)
-        pairs = np.bincount(self.codes % SYMBOLS**2, self.counts, SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
-        self.contexts = np.bincount(self.codes // SYMBOLS, self.counts, SYMBOLS**2)
-        single = (pairs.sum(0) + 1) / (pairs.sum() + SYMBOLS)
-        self.shorter = ((pairs + BACK_OFF * single) / (pairs.sum(1, keepdims=True) + BACK_OFF)).ravel()
+        number = TaskContext.get().partitionId() << 32
+        for part in slices(batches, "text", BLOCK_BYTES):
+            distinct, indices, offsets = encoded_words(part.column(1))
+            times = np.bincount(indices, minlength=len(distinct))
+            used = np.flatnonzero(times)
+            place = np.cumsum(times > 0) - 1
+            words = [distinct[k] for k in used]
+            kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+            tokens = place[indices].astype(kind) if len(indices) else np.zeros(0, kind)
+            doc_ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0).cast(pa.int64()))
+            lengths = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+            columns = [
+                pa.array([number]), doc_ids, _lists(np.diff(offsets), pa.int32()), pa.array([tokens.tobytes()], pa.binary()),
+                _lists(fingerprints(words).view(np.int64), pa.int64()), _lists(times[used], pa.int32()),
+                _lists(groups(words), pa.int32()), _lists(lengths, pa.int32()),
+            ]
+            names = ["block", "doc_ids", "sizes", "tokens", "words", "times", "groups", "bytes"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            number += 1
+
+    return store(only(docs, "doc_id", "text").mapInArrow(run, BLOCK_SCHEMA), "blocks")
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
+    """Lists of a block as arrays; its tokens by their width."""
+    out = []
+    for name in names:
+        cell = batch.column(batch.schema.get_field_index(name))[row]
+        if name == "tokens":
+            raw, n = cell.as_py(), batch.column(batch.schema.get_field_index("sizes"))[row].values.to_numpy().sum()
+            out.append(np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64))
+        else:
+            out.append(cell.values.to_numpy(zero_copy_only=False))
+    return out
 
-    def symbol_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        counts = np.zeros(len(codes))
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            counts = np.where(self.codes[at] == codes, self.counts[at], 0.0)
-        return (counts + BACK_OFF * self.shorter[codes % SYMBOLS**2]) / (self.contexts[codes // SYMBOLS] + BACK_OFF)
 
-    def log_probabilities(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(words))
-        for begin, part in _parts(words):
-            codes, owner = trigrams(part)
-            out[begin : begin + len(part)] = np.bincount(owner, np.log(self.symbol_probabilities(codes)), len(part))
-        return out
+class Model(NamedTuple):
+    """Sorted fingerprints of the frequent words and their ids; the network; the counts of all words
+    (``word, grp, n``); and how many tokens and different words each group has."""
 
+    vocabulary: np.ndarray
+    ids: np.ndarray
+    net: dict[str, np.ndarray]
+    counts: DataFrame
+    tokens: np.ndarray
+    kinds: np.ndarray
 
-def _added(keys: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray):
-    both, where = np.unique(np.concatenate((keys, new)), return_inverse=True)
-    return both, np.bincount(where, weights=np.concatenate((counts, n)), minlength=len(both)).astype(np.int64)
 
+def word_ids(prints: np.ndarray, grouped: np.ndarray, vocabulary: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ids of words: of its own for a frequent one, else that of the group."""
+    rest = FREQUENT + grouped.astype(np.int64)
+    if not len(vocabulary):
+        return rest
+    at = np.minimum(np.searchsorted(vocabulary, prints), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == prints, ids[at], rest)
 
-def spelling(docs: DataFrame, vocabulary: np.ndarray, ids: np.ndarray) -> Spelling:
-    """Counted over all words of ``docs`` outside the vocabulary, as often as they come."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, ids))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        known, numbers = shared.value
-        keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for part in slices(batches, "text"):
-            words, indices, _ = encoded_words(part.column(0))
-            times = np.bincount(indices, minlength=len(words))
-            rare = np.flatnonzero((word_ids(words, known, numbers) == VOCABULARY - 1) & (times > 0))
-            for begin, some in _parts([words[k] for k in rare]):
-                codes, owner = trigrams(some)
-                new, where = np.unique(codes, return_inverse=True)
-                n = np.bincount(where, weights=times[rare[begin : begin + len(some)]][owner], minlength=len(new))
-                keys, counts = _added(keys, counts, new, n)
-        for begin in range(0, len(keys), 100_000):
-            cut = slice(begin, begin + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[cut].astype(np.int64)), pa.array(counts[cut])], names=["code", "n"])
-
-    counted = only(docs, "text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    rows = counted.toArrow()
-    return Spelling(rows.column("code").to_numpy(), rows.column("n").to_numpy())
+def token_ids(of_word: np.ndarray, tokens: np.ndarray, offsets: np.ndarray):
+    """Ids of all texts' tokens with ``REACH`` outside marks around each text; places of the
+    tokens in them."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    places = np.arange(len(tokens)) + REACH * (2 * text + 1)
+    padded = np.full(len(tokens) + 2 * REACH * (len(offsets) - 1), VOCABULARY, np.int64)
+    if len(tokens):
+        padded[places] = of_word[tokens]
+    return padded, places
 
 
 def contexts(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
     return padded[places[:, None] + np.array(OFFSETS)]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` (a 64-bit fingerprint) and ``n`` over all texts, summed within tasks first."""
+def word_counts(blocked: DataFrame) -> DataFrame:
+    """``word`` (a 64-bit fingerprint), its group and ``n`` over all blocks."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for part in slices(batches, "text"):
-            prints, _ = word_fingerprints(part.column(0))
-            words, counts = _added(words, counts, *np.unique(prints, return_counts=True))
-            if len(words) > 2_000_000:  # hand on what has come together, so that memory is bounded
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
-                words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for begin in range(0, len(words), 100_000):
-            part = slice(begin, begin + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(words[part].view(np.int64)), pa.array(counts[part])], names=["word", "n"])
-
-    counted = only(docs, "text").mapInArrow(run, "word bigint, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _vocabulary(docs: DataFrame):
-    """Sorted fingerprints of the most frequent words, their ids by rank, and counts by id."""
-    counts = store(word_counts(docs), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column(k)[row].values for k in range(3)], names=["word", "grp", "n"])
+
+    pairs = blocked.select("words", "groups", "times").mapInArrow(run, "word bigint, grp int, n int")
+    return pairs.groupBy("word").agg(F.max("grp").alias("grp"), F.sum("n").alias("n"))
+
+
+def _vocabulary(counts: DataFrame):
+    """Sorted fingerprints of the most frequent words, their ids by rank, and counts by id; the
+    tokens and different words of each group outside them."""
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    tokens, kinds = np.zeros(GROUPS), np.zeros(GROUPS)
+    for r in counts.groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        tokens[r["grp"]], kinds[r["grp"]] = r["n"], r["kinds"]
+    for r in top:
+        tokens[r["grp"]] -= r["n"]
+        kinds[r["grp"]] -= 1
     by_id = np.zeros(VOCABULARY)
     by_id[: len(top)] = [r["n"] for r in top]
-    by_id[-1] = total - by_id.sum()
-    words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
+    by_id[FREQUENT:] = tokens
+    words = np.array([r["word"] for r in top], dtype=np.int64)
     order = np.argsort(words)
-    return words[order], order.astype(np.int64), by_id
+    return words[order], order.astype(np.int64), by_id, tokens, kinds
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -325,34 +343,35 @@ def masked(offsets: np.ndarray, number: int, rounds: int) -> np.ndarray:
     return within % rounds == number
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED):
-    """The vocabulary and the trained network."""
-    spark = docs.sparkSession
-    vocabulary, ids, counts = _vocabulary(docs)
-    net = start(counts, seed)
+def train(blocked: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> Model:
+    """Counts all words of the blocks and trains the network on all their tokens."""
+    spark = blocked.sparkSession
+    counts = store(word_counts(blocked), "words")
+    vocabulary, ids, by_id, tokens, kinds = _vocabulary(counts)
+    net = start(by_id, seed)
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, ids, flat(net)))
 
         def learn(batches, shared=shared, number=number):
             from pyspark import TaskContext
 
-            words, numbers, vector = shared.value
+            known, numbers, vector = shared.value
             trainer = Trainer(unflat(vector))
-            left: list[tuple[np.ndarray, np.ndarray]] = []
-            waiting = 0
-            for part in slices(batches, "text"):
-                distinct, indices, offsets = encoded_words(part.column(0))
-                padded, places = token_ids(distinct, indices, offsets, words, numbers)
-                chosen = places[masked(offsets, number, rounds)]
-                for begin in range(0, len(chosen), BATCH):
-                    some = chosen[begin : begin + BATCH]
-                    left.append((contexts(padded, some), padded[some]))
-                    waiting += len(some)
-                    if waiting >= BATCH:
-                        trainer.step(np.concatenate([c for c, _ in left]), np.concatenate([t for _, t in left]))
-                        left, waiting = [], 0
-            if waiting:
-                trainer.step(np.concatenate([c for c, _ in left]), np.concatenate([t for _, t in left]))
+            left = [np.zeros((0, len(OFFSETS)), np.int64)], [np.zeros(0, np.int64)]
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    sizes, mine, prints, grouped = _unpacked(batch, row, "sizes", "tokens", "words", "groups")
+                    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+                    padded, places = token_ids(word_ids(prints, grouped, known, numbers), mine, offsets)
+                    chosen = places[masked(offsets, number, rounds)]
+                    # what is left of a block goes into the next one's first batch
+                    around, targets = np.concatenate((*left[0], contexts(padded, chosen))), np.concatenate((*left[1], padded[chosen]))
+                    whole = len(targets) // BATCH * BATCH
+                    for begin in range(0, whole, BATCH):
+                        trainer.step(around[begin : begin + BATCH], targets[begin : begin + BATCH])
+                    left = [around[whole:].copy()], [targets[whole:].copy()]
+            if len(left[1][0]):
+                trainer.step(left[0][0], left[1][0])
             if trainer.tokens:
                 change = (flat(trainer.net).astype(np.float64) - vector) * trainer.tokens
                 task = TaskContext.get().partitionId()
@@ -363,53 +382,86 @@ def train(docs: DataFrame, rounds: int = ROUNDS, seed: int = SEED):
                     )
 
         schema = "task bigint, part bigint, block bigint, w double, v binary"
-        changes = only(docs, "text").mapInArrow(learn, schema)
+        changes = blocked.select("sizes", "tokens", "words", "groups").mapInArrow(learn, schema)
         first = _summed(changes, ["part", "block"]).withColumn("task", F.col("part")).withColumn("part", F.lit(0).cast("bigint"))
         last = _summed(first, ["block"]).collect()
         if last:
             change = np.concatenate([np.frombuffer(r["v"], np.float64) / r["w"] for r in sorted(last, key=lambda r: r["block"])])
             net = unflat(flat(net) + change)
         shared.unpersist()
-    return vocabulary, ids, net
+    return Model(vocabulary, ids, net, counts, tokens, kinds)
 
 
-def score(docs: DataFrame, model, spelled: Spelling | None = None) -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of each row.
+def within_group(n: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Log-probability of words in their group: ``n`` is the word's count, ``tokens`` and ``kinds`` are the group's."""
+    spare = np.log(DISCOUNT * kinds + 1) - (lengths + 1) * np.log(257.0)
+    return np.where(n > 0, np.log(np.maximum(n - DISCOUNT, DISCOUNT)), spare) - np.log(tokens + 1)
 
-    Without ``spelled`` the score is that of the ids, all words outside the vocabulary being one.
-    """
-    vocabulary, ids, net = model
-    counted = None if spelled is None else (spelled.codes, spelled.counts)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, ids, flat(net), counted))
 
-    def run(batches):
-        words, numbers, vector, counted = shared.value
-        trained, spelled = unflat(vector), None if counted is None else Spelling(*counted)
-        for part in slices(batches):
-            distinct, indices, offsets = encoded_words(part.column(1))
-            padded, places = token_ids(distinct, indices, offsets, words, numbers)
-            logs = np.zeros(len(places) + 1)
-            for begin in range(0, len(places), CHUNK):
-                some = places[begin : begin + CHUNK]
-                logs[begin : begin + len(some)] = log_probabilities(trained, contexts(padded, some), padded[some])
-            if spelled is not None and len(indices):
-                rare = np.flatnonzero(word_ids(distinct, words, numbers) == VOCABULARY - 1)
-                of_word = np.zeros(len(distinct))
-                of_word[rare] = spelled.log_probabilities([distinct[k] for k in rare])
-                logs[:-1] += of_word[indices]
-            sizes = np.diff(offsets)
-            sums = np.where(sizes > 0, np.add.reduceat(logs, offsets[:-1]), 0.0) if len(sizes) else np.zeros(0)
-            mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(sums), pa.array(mean, pa.float64())],
-                names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
-            )
-
-    schema = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double"
-    return only(docs, "doc_id", "text").mapInArrow(run, schema)
+def _rare_words(blocked: DataFrame, shared) -> DataFrame:
+    """``block, word``: the words of each block that have no id of their own."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        known, numbers = shared.value[:2]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                prints, grouped = _unpacked(batch, row, "words", "groups")
+                rare = prints[word_ids(prints, grouped, known, numbers) >= FREQUENT]
+                block = np.full(len(rare), batch.column(0)[row].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(rare)], names=["block", "word"])
+
+    return blocked.select("block", "words", "groups").mapInArrow(run, "block bigint, word bigint")
+
+
+SCORES = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double"
+
+
+def score(blocked: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of each document of the blocks.
+
+    The counts of a block's words are joined to it, as (block, word); a word too frequent for that has an id.
+    """
+    vocabulary, ids, net, counts, tokens, kinds = model
+    shared = blocked.sparkSession.sparkContext.broadcast((vocabulary, ids, flat(net), tokens, kinds))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, numbers, vector, tokens, kinds = shared.value
+        trained = unflat(vector)
+        found, n_found = right.column("word").to_numpy(), right.column("n").to_numpy()
+        order = np.argsort(found)
+        found, n_found = found[order], n_found[order]
+        parts = []
+        for batch in left.to_batches():
+            for row in range(batch.num_rows):
+                sizes, mine, prints, grouped, lengths = _unpacked(batch, row, "sizes", "tokens", "words", "groups", "bytes")
+                offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+                of_word = word_ids(prints, grouped, known, numbers)
+                n = np.zeros(len(prints))
+                if len(found):
+                    at = np.minimum(np.searchsorted(found, prints), len(found) - 1)
+                    n = np.where(found[at] == prints, n_found[at], 0)
+                inside = within_group(n, lengths, tokens[grouped], kinds[grouped])
+                inside = np.where(of_word >= FREQUENT, inside, 0.0)
+                padded, places = token_ids(of_word, mine, offsets)
+                logs = np.zeros(len(places) + 1)
+                for begin in range(0, len(places), CHUNK):
+                    some = places[begin : begin + CHUNK]
+                    logs[begin : begin + len(some)] = log_probabilities(trained, contexts(padded, some), padded[some])
+                logs[:-1] += inside[mine]
+                sums = np.where(sizes > 0, np.add.reduceat(logs, offsets[:-1]), 0.0)
+                mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+                columns = [batch.column(batch.schema.get_field_index("doc_ids"))[row].values, pa.array(sizes.astype(np.int64)), pa.array(sums), mean]
+                parts.append(pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]))
+        return pa.concat_tables(parts)
+
+    counted = _rare_words(blocked, shared).join(counts.select("word", "n"), "word", "left").select(
+        "block", "word", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+    )
+    mine = blocked.select("block", "doc_ids", "sizes", "tokens", "words", "groups", "bytes")
+    return mine.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, SCORES)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on ``docs`` and score them."""
-    model = train(docs)
-    return score(docs, model, spelling(docs, *model[:2]))
+    blocked = blocks(docs)
+    return score(blocked, train(blocked))

@@ -24,7 +24,7 @@ def brute():
     class Brute:
         pass
 
-    Brute.words, Brute.shingles = staticmethod(words), staticmethod(shingles)
+    Brute.words, Brute.shingles, Brute.LOWER = staticmethod(words), staticmethod(shingles), LOWER
     return Brute
 
 

@@ -1,5 +1,4 @@
 import numpy as np
-import pyarrow as pa
 
 from gleaner.llm import pseudo_likelihood as pl
 
@@ -17,8 +16,7 @@ def test_gradients_are_those_of_the_log_probability():
     targets = rng.integers(0, pl.VOCABULARY, 9)
     dense, tables = pl.gradients(net, context, targets)
     full = np.zeros_like(net["tables"])
-    for k, (ids, g) in enumerate(tables):
-        full[k][ids] = g
+    full.reshape(-1, 4)[tables[0]] = tables[1]
     dense["tables"] = full
     mean = lambda: pl.log_probabilities(net, context, targets).mean()
     for name, grad in dense.items():
@@ -41,11 +39,17 @@ def test_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-9
 
 
-def slow_score(model, tokens):
+def lowered(brute, text):
+    return brute.words((text or "").translate(brute.LOWER))
+
+
+def slow_score(model, counts, words):
     """The score of one text, token by token."""
-    vocabulary, ids, net = model
+    vocabulary, ids, net = model[:3]
     known = dict(zip(vocabulary.tolist(), ids.tolist(), strict=True))
-    mine, total = [known.get(t, pl.VOCABULARY - 1) for t in tokens], 0.0
+    prints, grouped = pl.fingerprints(words).view(np.int64).tolist(), pl.groups(words).tolist()
+    mine = [known.get(t, pl.FREQUENT + g) for t, g in zip(prints, grouped, strict=True)]
+    total = 0.0
     for k, target in enumerate(mine):
         h = net["bias"].astype(np.float64).copy()
         for j, off in enumerate(pl.OFFSETS):
@@ -57,22 +61,61 @@ def slow_score(model, tokens):
             (h @ net["word_out"][target // pl.PER_CLASS] + net["word_bias"][target // pl.PER_CLASS], target % pl.PER_CLASS),
         ):
             total += logits[choice] - np.log(np.exp(logits).sum())
+        if prints[k] not in known:
+            same = [n for w, n in counts.items() if w not in known and counts_group[w] == grouped[k]]
+            n = counts.get(prints[k], 0)
+            if n:
+                total += np.log((n - pl.DISCOUNT) / (sum(same) + 1))
+            else:
+                total += np.log((pl.DISCOUNT * len(same) + 1) / (sum(same) + 1)) - (len(words[k].encode()) + 1) * np.log(257)
     return total
 
 
-def test_scores_equal_the_slow_way(docs, doc_rows):
-    model = pl.train(docs, rounds=1)
-    got = {r.doc_id: r for r in pl.score(docs, model).collect()}
-    for doc_id, text in doc_rows[:25]:
-        prints, _ = pl.word_fingerprints(pa.array([text]))
-        assert got[doc_id].n_tokens == len(prints)
-        if len(prints) < 400:
-            assert abs(got[doc_id].log_likelihood - slow_score(model, prints.tolist())) < 1e-2 + 1e-3 * len(prints)
+counts_group = {}
+
+
+def brute_counts(texts, brute):
+    counts = {}
+    for text in texts:
+        words = lowered(brute, text)
+        for w, p, g in zip(words, pl.fingerprints(words).view(np.int64).tolist(), pl.groups(words).tolist(), strict=True):
+            counts[p] = counts.get(p, 0) + 1
+            counts_group[p] = g
+    return counts
+
+
+def test_scores_equal_the_slow_way(spark, docs, doc_rows, brute):
+    model = pl.train(pl.blocks(docs), rounds=1)
+    new = [(10**9, "unheard zqxw the of " * 3), (10**9 + 1, "schön ß"), (10**9 + 2, " "), (10**9 + 3, None)]
+    scored = docs.select("doc_id", "text").union(spark.createDataFrame(new, "doc_id bigint, text string"))
+    got = {r.doc_id: r for r in pl.score(pl.blocks(scored), model).collect()}
+    counts = brute_counts([t for _, t in doc_rows], brute)
+    assert {r.word: r.n for r in model.counts.collect()} == counts
+    for doc_id, text in [*doc_rows[:25], *new]:
+        words = lowered(brute, text)
+        assert got[doc_id].n_tokens == len(words)
+        if len(words) < 400:
+            assert abs(got[doc_id].log_likelihood - slow_score(model, counts, words)) < 1e-2 + 1e-3 * len(words)
+
+
+def test_blocks_hold_every_token(docs, doc_rows, brute, monkeypatch):
+    monkeypatch.setattr(pl, "BLOCK_BYTES", 3000)
+    rows = pl.blocks(docs).collect()
+    assert len(rows) > 10 and len({r.block for r in rows}) == len(rows)
+    texts, got = dict(doc_rows), {}
+    for r in rows:
+        tokens, at = np.frombuffer(r.tokens, np.uint16), 0
+        for doc_id, n in zip(r.doc_ids, r.sizes, strict=True):
+            got[doc_id] = [r.words[k] for k in tokens[at : at + n]]
+            at += n
+        assert np.bincount(tokens, minlength=len(r.words)).tolist() == r.times
+    assert got == {d: pl.fingerprints(lowered(brute, t)).view(np.int64).tolist() for d, t in texts.items()}
 
 
 def test_training_helps_on_documents_it_has_not_seen(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seen, held = docs.where("doc_id % 5 > 0"), docs.where("doc_id % 5 = 0")
+    seen, held = pl.blocks(seen), pl.blocks(held)
     total = lambda m: pl.score(held, m).agg({"log_likelihood": "sum"}).first()[0]
     before, after = total(pl.train(seen, rounds=0)), total(pl.train(seen, rounds=4))
     assert after > 0.98 * before  # log-likelihoods are negative: at least 2 % less
@@ -81,7 +124,7 @@ def test_training_helps_on_documents_it_has_not_seen(spark):
 
 
 def test_counts_cover_every_text(docs, doc_rows, brute):
-    total = pl.word_counts(docs).agg({"n": "sum"}).first()[0]
+    total = pl.word_counts(pl.blocks(docs)).agg({"n": "sum"}).first()[0]
     assert total == sum(len(brute.words(t)) for _, t in doc_rows)
 
 
@@ -94,16 +137,21 @@ def test_odd_rows(odd, odd_rows, none, brute):
     assert pl.pseudo_likelihood(none).collect() == []
 
 
-def test_spelling_is_a_distribution_and_knows_its_words():
-    codes, _ = pl.trigrams(["banana", "bandana", "é"])
-    new, n = np.unique(codes, return_counts=True)
-    spelled = pl.Spelling(new, n)
-    for context in ("", "b", "an", "zq"):
-        before = [pl.SYMBOLS - 1] * 2 + list(context.encode())
-        code = (before[-2] * pl.SYMBOLS + before[-1]) * pl.SYMBOLS
-        assert abs(spelled.symbol_probabilities(code + np.arange(pl.SYMBOLS)).sum() - 1) < 1e-9
-    known, unknown = spelled.log_probabilities(["banana", "xkqjwv"])
-    assert known > unknown
+def test_words_of_a_group_and_the_unseen_share_one():
+    n = np.array([1, 1, 2, 40, 7])
+    kinds, tokens = np.full(5, 5.0), np.full(5, n.sum())
+    seen = np.exp(pl.within_group(n, np.full(5, 4), tokens, kinds)).sum()
+    # 256 bytes and the end of the word: each length has 256^k words of 257^-(k+1)
+    unseen = sum(256.0**k * np.exp(pl.within_group(np.zeros(1), np.array([k]), tokens[:1], kinds[:1])[0]) for k in range(100))
+    whole = sum(256.0**k / 257.0 ** (k + 1) for k in range(100))
+    assert abs(seen + unseen / whole - 1) < 1e-9
+    assert pl.within_group(np.zeros(1), np.array([3]), np.zeros(1), np.zeros(1))[0] < 0  # a group without words
+
+
+def test_groups_are_of_the_ending():
+    got = pl.groups(["walking", "talking", "a", "", "ß", "über"])
+    assert got[0] == got[1] and ((0 <= got) & (got < pl.GROUPS)).all()
+    assert len(pl.groups([])) == 0
 
 
 def test_gibberish_scores_below_prose(spark):
@@ -116,6 +164,10 @@ def test_gibberish_scores_below_prose(spark):
     prose = np.array([s for d, s in scores.items() if d >= 0])
     gibberish = np.array([scores[d] for d, _ in junk])
     assert gibberish.max() < np.quantile(prose, 0.1)
+    # the same, of a model that has not seen the gibberish
+    model = pl.train(pl.blocks(docs))
+    unseen = [r.mean_log_likelihood for r in pl.score(pl.blocks(spark.createDataFrame(junk, "doc_id bigint, text string")), model).collect()]
+    assert max(unseen) < np.quantile(prose, 0.1)
 
 
 def test_every_token_is_trained_on_once(spark):
@@ -125,6 +177,7 @@ def test_every_token_is_trained_on_once(spark):
     # production rounds: the second word, at a place that a stride of 16 never came to, is learnt
     text = " ".join(f"{w} {'after' if w == 'one' else 'other'} x y z" for w in ("one", "two")) + " q" * 6
     docs = spark.createDataFrame([(k, text) for k in range(400)], "doc_id bigint, text string")
+    docs = pl.blocks(docs)
     total = lambda m: pl.score(docs, m).agg({"log_likelihood": "sum"}).first()[0]
     before, after = total(pl.train(docs, rounds=0)), total(pl.train(docs))
     assert after > 0.6 * before
