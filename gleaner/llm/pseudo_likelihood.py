@@ -12,7 +12,8 @@ Texts are taken apart once, into stored blocks of about a megabyte: the distinct
 each token is.  All later passes read these.  Training masks every token of every
 document once, a part of them each round: a task runs through its part of the corpus from the round's
 parameters, and the changes are averaged by tokens, in two levels of sums, before the next round.  Only
-parameters, whose number is fixed, reach the driver; the counts of words are joined to the words of each block.
+parameters, whose number is fixed, reach the driver, and the counts of up to ``COMMON`` words, the most frequent of all,
+which go to every task; the counts of all others are joined to the words of each block by a shuffle.
 
 Defined cases: a null or empty text has no tokens, a score of 0 and no mean; a token outside
 the text is a mark of its own; repeated rows train and score as often as they come; an empty table
@@ -38,6 +39,7 @@ VOCABULARY = CLASSES * PER_CLASS
 GROUP_CLASSES = 16  # by the last byte of a word; within one by the last three
 FREQUENT, GROUPS = (CLASSES - GROUP_CLASSES) * PER_CLASS, GROUP_CLASSES * PER_CLASS
 DISCOUNT = 0.5
+COMMON = 4_000_000  # so many counts at most are broadcast, 12 bytes each; those of rarer words are joined
 WIDTH, REACH = 32, 3
 ROUNDS, BATCH, RATE, SEED = 3, 2048, 0.1, 11
 BLOCKS = 8
@@ -183,14 +185,20 @@ class Trainer:
         self.tokens += len(targets)
 
 
-def groups(words: list[str]) -> np.ndarray:
-    """The group of each word, by its last bytes."""
-    array = pa.array(words, pa.large_binary()) if not words else pa.array(words, pa.large_string())
-    offsets = np.frombuffer(array.buffers()[1], np.int64, len(words) + 1) if words else np.zeros(1, np.int64)
-    data = np.frombuffer(array.buffers()[2] or b"", np.uint8) if words else np.zeros(0, np.uint8)
+def endings(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each word, by its last bytes, and its length in bytes."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    array = pa.array(words, pa.large_string())
+    offsets = np.frombuffer(array.buffers()[1], np.int64, len(words) + 1)
+    data = np.frombuffer(array.buffers()[2] or b"\0", np.uint8)
     ends, sizes = offsets[1:], np.diff(offsets)
-    last = [np.where(sizes >= k, data[np.maximum(ends - k, 0)] if len(data) else 0, 0).astype(np.int64) for k in (1, 2, 3)]
-    return last[0] * 7 % GROUP_CLASSES * PER_CLASS + (last[0] * 31 + last[1] * 17 + last[2]) % PER_CLASS
+    last = [np.where(sizes >= k, data[np.clip(ends - k, 0, len(data) - 1)], 0).astype(np.int64) for k in (1, 2, 3)]
+    return last[0] * 7 % GROUP_CLASSES * PER_CLASS + (last[0] * 31 + last[1] * 17 + last[2]) % PER_CLASS, sizes
+
+
+def groups(words: list[str]) -> np.ndarray:
+    return endings(words)[0]
 
 
 BLOCK_SCHEMA = (
@@ -221,11 +229,11 @@ def blocks(docs: DataFrame) -> DataFrame:
             kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
             tokens = place[indices].astype(kind) if len(indices) else np.zeros(0, kind)
             doc_ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0).cast(pa.int64()))
-            lengths = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+            grouped, lengths = endings(words)
             columns = [
                 pa.array([number]), doc_ids, _lists(np.diff(offsets), pa.int32()), pa.array([tokens.tobytes()], pa.binary()),
                 _lists(fingerprints(words).view(np.int64), pa.int64()), _lists(times[used], pa.int32()),
-                _lists(groups(words), pa.int32()), _lists(lengths, pa.int32()),
+                _lists(grouped, pa.int32()), _lists(lengths, pa.int32()),
             ]
             names = ["block", "doc_ids", "sizes", "tokens", "words", "times", "groups", "bytes"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -325,12 +333,12 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
                         yield _row(current, weight, total)
                     current, weight, total = (group, block), 0.0, 0.0
                 weight += w
-                total = total + np.frombuffer(v, np.float64)
+                total = total + np.frombuffer(v, np.float32).astype(np.float64)
         if current is not None:
             yield _row(current, weight, total)
 
     def _row(at, weight, total):
-        columns = [pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), pa.array([weight]), pa.array([total.tobytes()], pa.binary())]
+        columns = [pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()), pa.array([weight]), pa.array([total.astype(np.float32).tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["part", "block", "w", "v"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions("part", "block", "task")
@@ -373,7 +381,7 @@ def train(blocked: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> Model:
             if len(left[1][0]):
                 trainer.step(left[0][0], left[1][0])
             if trainer.tokens:
-                change = (flat(trainer.net).astype(np.float64) - vector) * trainer.tokens
+                change = ((flat(trainer.net) - vector) * np.float32(trainer.tokens)).astype(np.float32)
                 task = TaskContext.get().partitionId()
                 for block, values in enumerate(np.array_split(change, BLOCKS)):
                     yield pa.RecordBatch.from_arrays(
@@ -386,7 +394,7 @@ def train(blocked: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> Model:
         first = _summed(changes, ["part", "block"]).withColumn("task", F.col("part")).withColumn("part", F.lit(0).cast("bigint"))
         last = _summed(first, ["block"]).collect()
         if last:
-            change = np.concatenate([np.frombuffer(r["v"], np.float64) / r["w"] for r in sorted(last, key=lambda r: r["block"])])
+            change = np.concatenate([np.frombuffer(r["v"], np.float32) / r["w"] for r in sorted(last, key=lambda r: r["block"])])
             net = unflat(flat(net) + change)
         shared.unpersist()
     return Model(vocabulary, ids, net, counts, tokens, kinds)
@@ -398,67 +406,104 @@ def within_group(n: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, kinds:
     return np.where(n > 0, np.log(np.maximum(n - DISCOUNT, DISCOUNT)), spare) - np.log(tokens + 1)
 
 
+def _looked_up(prints: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of words by a sorted list, 0 for those not in it."""
+    if not len(words):
+        return np.zeros(len(prints), np.int64)
+    at = np.minimum(np.searchsorted(words, prints), len(words) - 1)
+    return np.where(words[at] == prints, counts[at], 0).astype(np.int64)
+
+
+def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sorted fingerprints and counts of the words above a count, ``COMMON`` at most; whether these are all."""
+    size = F.floor(F.log2("n") * 8)  # steps of a logarithmic scale: their number is bounded
+    steps = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect()
+    least, total = None, 0
+    for step in steps:
+        if total + step["words"] > COMMON:
+            break
+        least, total = step["size"], total + step["words"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32), not steps
+    rows = counts.where(size >= least).select("word", "n").toArrow()
+    words, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(words)
+    kind = np.uint32 if n.max() < 1 << 32 else np.int64
+    return words[order], n[order].astype(kind), least == steps[-1]["size"]
+
+
 def _rare_words(blocked: DataFrame, shared) -> DataFrame:
-    """``block, word``: the words of each block that have no id of their own."""
+    """``block, word``: the words of each block that are not among the broadcast ones."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known, numbers = shared.value[:2]
+        common, n_common = shared.value[-2:]
         for batch in batches:
             for row in range(batch.num_rows):
-                prints, grouped = _unpacked(batch, row, "words", "groups")
-                rare = prints[word_ids(prints, grouped, known, numbers) >= FREQUENT]
+                (prints,) = _unpacked(batch, row, "words")
+                rare = prints[_looked_up(prints, common, n_common) == 0]
                 block = np.full(len(rare), batch.column(0)[row].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(rare)], names=["block", "word"])
 
-    return blocked.select("block", "words", "groups").mapInArrow(run, "block bigint, word bigint")
+    return blocked.select("block", "words").mapInArrow(run, "block bigint, word bigint")
 
 
 SCORES = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double"
 
 
+def _scores(batch: pa.RecordBatch, row: int, trained, shared, found: np.ndarray, n_found: np.ndarray) -> pa.RecordBatch:
+    """Scores of the documents of a block; ``found`` are its words that are not broadcast."""
+    known, numbers, _, tokens, kinds, common, n_common = shared
+    sizes, mine, prints, grouped, lengths = _unpacked(batch, row, "sizes", "tokens", "words", "groups", "bytes")
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    of_word = word_ids(prints, grouped, known, numbers)
+    n = np.maximum(_looked_up(prints, common, n_common), _looked_up(prints, found, n_found))
+    inside = np.where(of_word >= FREQUENT, within_group(n, lengths, tokens[grouped], kinds[grouped]), 0.0)
+    padded, places = token_ids(of_word, mine, offsets)
+    logs = np.zeros(len(places) + 1)
+    for begin in range(0, len(places), CHUNK):
+        some = places[begin : begin + CHUNK]
+        logs[begin : begin + len(some)] = log_probabilities(trained, contexts(padded, some), padded[some])
+    logs[:-1] += inside[mine]
+    sums = np.where(sizes > 0, np.add.reduceat(logs, offsets[:-1]), 0.0)
+    mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+    doc_ids = batch.column(batch.schema.get_field_index("doc_ids"))[row].values
+    columns = [doc_ids, pa.array(sizes.astype(np.int64)), pa.array(sums), mean]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+
 def score(blocked: DataFrame, model: Model) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of each document of the blocks.
 
-    The counts of a block's words are joined to it, as (block, word); a word too frequent for that has an id.
+    Where the counts of all words fit the broadcast, nothing is shuffled; else those of rarer words are joined to
+    their blocks by (block, word).
     """
     vocabulary, ids, net, counts, tokens, kinds = model
-    shared = blocked.sparkSession.sparkContext.broadcast((vocabulary, ids, flat(net), tokens, kinds))
+    common, n_common, whole = _common(counts)
+    values = (vocabulary, ids, flat(net), tokens, kinds, common, n_common)
+    shared = blocked.sparkSession.sparkContext.broadcast(values)
+    mine = blocked.select("block", "doc_ids", "sizes", "tokens", "words", "groups", "bytes")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, numbers, vector, tokens, kinds = shared.value
-        trained = unflat(vector)
+    def alone(batches) -> Iterator[pa.RecordBatch]:
+        trained, none = unflat(shared.value[2]), np.zeros(0, np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield _scores(batch, row, trained, shared.value, none, none)
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        trained = unflat(shared.value[2])
         found, n_found = right.column("word").to_numpy(), right.column("n").to_numpy()
         order = np.argsort(found)
-        found, n_found = found[order], n_found[order]
-        parts = []
-        for batch in left.to_batches():
-            for row in range(batch.num_rows):
-                sizes, mine, prints, grouped, lengths = _unpacked(batch, row, "sizes", "tokens", "words", "groups", "bytes")
-                offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-                of_word = word_ids(prints, grouped, known, numbers)
-                n = np.zeros(len(prints))
-                if len(found):
-                    at = np.minimum(np.searchsorted(found, prints), len(found) - 1)
-                    n = np.where(found[at] == prints, n_found[at], 0)
-                inside = within_group(n, lengths, tokens[grouped], kinds[grouped])
-                inside = np.where(of_word >= FREQUENT, inside, 0.0)
-                padded, places = token_ids(of_word, mine, offsets)
-                logs = np.zeros(len(places) + 1)
-                for begin in range(0, len(places), CHUNK):
-                    some = places[begin : begin + CHUNK]
-                    logs[begin : begin + len(some)] = log_probabilities(trained, contexts(padded, some), padded[some])
-                logs[:-1] += inside[mine]
-                sums = np.where(sizes > 0, np.add.reduceat(logs, offsets[:-1]), 0.0)
-                mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-                columns = [batch.column(batch.schema.get_field_index("doc_ids"))[row].values, pa.array(sizes.astype(np.int64)), pa.array(sums), mean]
-                parts.append(pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]))
-        return pa.concat_tables(parts)
-
-    counted = _rare_words(blocked, shared).join(counts.select("word", "n"), "word", "left").select(
-        "block", "word", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
-    )
-    mine = blocked.select("block", "doc_ids", "sizes", "tokens", "words", "groups", "bytes")
-    return mine.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, SCORES)
+        parts = [
+            _scores(batch, row, trained, shared.value, found[order], n_found[order])
+            for batch in left.to_batches()
+            for row in range(batch.num_rows)
+        ]
+        return pa.Table.from_batches(parts)
+
+    if whole:
+        return mine.mapInArrow(alone, SCORES)
+    counted = _rare_words(blocked, shared).join(counts.select("word", "n"), "word").select("block", "word", "n")
+    return mine.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(joined, SCORES)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

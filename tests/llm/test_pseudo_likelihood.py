@@ -98,6 +98,19 @@ def test_scores_equal_the_slow_way(spark, docs, doc_rows, brute):
             assert abs(got[doc_id].log_likelihood - slow_score(model, counts, words)) < 1e-2 + 1e-3 * len(words)
 
 
+def test_counts_joined_or_broadcast_score_alike(docs, monkeypatch):
+    monkeypatch.setattr(pl, "BLOCK_BYTES", 50_000)
+    blocked = pl.blocks(docs)
+    model = pl.train(blocked, rounds=1)
+    rows = lambda: sorted(map(tuple, pl.score(blocked, model).collect()))
+    want = rows()
+    assert pl._common(model.counts)[2] and len(want) == docs.count()
+    for most in (500, 0):
+        monkeypatch.setattr(pl, "COMMON", most)
+        assert len(pl._common(model.counts)[0]) <= most and not pl._common(model.counts)[2]
+        assert rows() == want
+
+
 def test_blocks_hold_every_token(docs, doc_rows, brute, monkeypatch):
     monkeypatch.setattr(pl, "BLOCK_BYTES", 3000)
     rows = pl.blocks(docs).collect()
