@@ -144,24 +144,27 @@ def gradients(net, context: np.ndarray, targets: np.ndarray):
     for c, run in runs:
         np.matmul(sorted_hidden[run], net["word_out"][c], out=words[run])
         words[run] += net["word_bias"][c]
-    d_word = _minus_softmax(words)
+    d_word, ones = _minus_softmax(words), np.ones(n, words.dtype)
     d_word[np.arange(n), sorted_targets % PER_CLASS] += 1
     d_word /= n
     for c, run in runs:
         np.matmul(d_word[run], net["word_out"][c].T, out=back[run])
         out["word_out"][c] = sorted_hidden[run].T @ d_word[run]
-        out["word_bias"][c] = d_word[run].sum(0)
+        out["word_bias"][c] = ones[run] @ d_word[run]
     d_hidden[order] += back
     hidden *= hidden
     d_hidden -= d_hidden * hidden
     out["bias"] = d_hidden.sum(0)
-    # all positions in one sort; 16 bits: a radix sort
-    keys = (context + np.arange(len(OFFSETS)) * (VOCABULARY + 1)).astype(np.int16).ravel()
+    # all positions in one sort, 16 bits: a radix sort; sums a column at a time
+    keys = (context.T + np.arange(len(OFFSETS))[:, None] * (VOCABULARY + 1)).astype(np.int16).ravel()
     by_id = np.argsort(keys, kind="stable")
     ids = keys[by_id]
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    rows = np.add.reduceat(d_hidden.take(by_id // len(OFFSETS), axis=0), first, axis=0)
-    return out, (ids[first].astype(np.int64), rows)
+    fresh = np.concatenate(([True], ids[1:] != ids[:-1]))
+    row = np.empty(len(keys), np.int64)
+    row[by_id] = np.cumsum(fresh) - 1
+    columns = np.tile(d_hidden.T.astype(np.float64), (1, len(OFFSETS)))
+    rows = np.stack([np.bincount(row, column) for column in columns], axis=1).astype(d_hidden.dtype)
+    return out, (ids[fresh].astype(np.int64), rows)
 
 
 class Trainer:
