@@ -82,6 +82,17 @@ def test_files_by_name_and_number(spark, pages, tmp_path):
     assert src.first_files(spark, root, 9, "nothing") == []
 
 
+def test_a_folder_of_parts_counts_as_one_file(spark, pages, tmp_path):
+    for name in ("pages.parquet", "pages_b.parquet", "other.parquet"):
+        pages.select(F.lit(name).alias("name"), "url").repartition(3).write.parquet(str(tmp_path / name))
+    root = str(tmp_path)
+    assert [p.rpartition("/")[2] for p in src.first_files(spark, root, 9, "pages")] == ["pages.parquet", "pages_b.parquet"]
+    first = src.scan_first_files(spark, root, 1, "pages")
+    assert [tuple(r) for r in first.groupBy("name").count().collect()] == [("pages.parquet", 20)]
+    assert src.scan_pages(spark, root, "pages").count() == 40
+    assert src.first_files(spark, root, 9, "nothing") == []
+
+
 def test_name_filter_and_source_file(spark, pages, tmp_path):
     pages.coalesce(1).write.parquet(str(tmp_path / "x"))
     df = src.with_source_file(src.scan_pages(spark, str(tmp_path / "x"), "part-"))
