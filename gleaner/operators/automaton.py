@@ -20,6 +20,8 @@ from gleaner.session import cut_lineage
 
 #: Text of the keywords that one automaton holds; it takes some fifty times that in memory.
 AUTOMATON_BYTES = 4 << 20
+#: Rows whose matches a task holds at once.
+SLICE_ROWS = 256
 FOUND = ArrayType(StructType([StructField("keyword", StringType()), StructField("freq", IntegerType())]))
 _FOUND = pa.list_(pa.struct([("keyword", pa.string()), ("freq", pa.int32())]))
 
@@ -76,23 +78,33 @@ def with_found(df: DataFrame, text: str, keywords: DataFrame, max_bytes: int = A
 
 
 def _finder(sent, text: str, columns: list[str]):
-    def found_in(value, before):
-        if value is None:
-            return None
-        counts = {e["keyword"]: e["freq"] for e in before or ()}
-        if sent.value is not None:
-            counts |= occurrences(sent.value, value)
-        return [{"keyword": k, "freq": n} for k, n in sorted(counts.items())]
+    def found_in(texts, before):
+        """The column ``found`` of some rows, without a Python object for each of its entries."""
+        offsets, words, freqs = [], [], []
+        for row, value in enumerate(texts):
+            value = value.as_py()
+            offsets.append(None if value is None else len(words))
+            if value is None:
+                continue
+            counts = {} if before is None else {e["keyword"]: e["freq"] for e in before[row].as_py() or ()}
+            if sent.value is not None:
+                counts |= occurrences(sent.value, value)
+            for word in sorted(counts):
+                words.append(word)
+                freqs.append(counts[word])
+        entries = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(freqs, pa.int32())], names=["keyword", "freq"])
+        return pa.ListArray.from_arrays(pa.array([*offsets, len(words)], pa.int32()), entries, type=_FOUND)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            place = batch.schema.get_field_index("found")
-            before = batch.column(place).to_pylist() if place >= 0 else [None] * batch.num_rows
-            found = [found_in(t.as_py(), b) for t, b in zip(texts, before, strict=True)]
-            made = {"found": pa.array(found, _FOUND)}
-            yield pa.RecordBatch.from_arrays(
-                [made[c] if c in made else batch.column(batch.schema.get_field_index(c)) for c in columns], names=columns
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                place = batch.schema.get_field_index("found")
+                texts = batch.column(batch.schema.get_field_index(text))
+                found = found_in(texts, batch.column(place) if place >= 0 else None)
+                made = {"found": found}
+                yield pa.RecordBatch.from_arrays(
+                    [made[c] if c in made else batch.column(batch.schema.get_field_index(c)) for c in columns], names=columns
+                )
 
     return run

@@ -61,3 +61,18 @@ def test_the_as_coded_length_test_takes_tables(spark):
     one = spark.createDataFrame([("the",), ("the",)], "w string")
     assert keywords.vacancy_candidates(pages, one, mode=keywords.AS_CODED).collect() == []
     assert keywords.vacancy_candidates(pages, one, min_keywords=1, mode=keywords.AS_CODED).count() == 1
+
+
+def test_matches_are_held_for_few_rows_at_a_time():
+    import pyarrow as pa
+
+    class Sent:
+        value = automaton.automaton_of(["a", "b"])
+
+    texts = ["ab" if k % 3 else None for k in range(10 * automaton.SLICE_ROWS)]
+    whole = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    given = list(automaton._finder(Sent, "text", ["id", "found"])(iter([whole])))
+    assert max(b.num_rows for b in given) == automaton.SLICE_ROWS
+    rows = [r for b in given for r in b.to_pylist()]
+    both = [{"keyword": "a", "freq": 1}, {"keyword": "b", "freq": 1}]
+    assert rows == [{"id": k, "found": both if t else None} for k, t in enumerate(texts)]
