@@ -34,3 +34,9 @@ def test_archive_files_are_written_member_by_member(spark, tmp_path, monkeypatch
     for k in range(3):
         lines = [b"http://a%d.com/\n%s" % (i, b"x" * i) for i in range(k, 40, 3)]
         assert gzip.decompress((tmp_path / f"{k}.arc.gz").read_bytes()) == fx.OPENING + b"".join(lines)
+
+
+def test_profiles_of_one_file_are_dealt_over_all_cores(spark, sf_dir):
+    made = fx.profiles(fx.table(spark, sf_dir, "customer"), fx.table(spark, sf_dir, "nation"))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert made.count() == fx.table(spark, sf_dir, "customer").count()
