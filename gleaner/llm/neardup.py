@@ -46,6 +46,8 @@ COLLISION = 0.169919487159739
 ERRORS = 4.5
 #: Members of a block that are compared with each other by registers; members and shingles of those compared on full sets.
 BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 512, 128, 1 << 20
+#: Text that a task takes apart at once; its words and shingles take some fifteen times that in memory.
+TEXT_BYTES = 2 << 20
 #: Members of a bucket (about) that choose its pivot; a further round follows one that took so large a part of
 #: the members out of buckets with several components.  Blocks see to what rounds leave.
 PIVOT_SAMPLE, PIVOT_GAIN = 64, 0.1
@@ -120,7 +122,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, sketch``: ``d1, d2`` tell sets apart."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             shingles, offsets = shingle_sets(part.column(1), width)
             sizes = np.diff(offsets)
             digests = []
@@ -276,7 +278,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Dat
 
     def check(batches):
         hub, sets = None, []
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             shingles, offsets = shingle_sets(part.column(4), width)
             hubs, parts = part.column(0).to_pylist(), part.column(1).to_pylist()
             roles, members = part.column(2).to_pylist(), part.column(3).to_pylist()
@@ -419,7 +421,7 @@ def _exact(questions: DataFrame, docs: DataFrame, percent: int, width: int) -> D
     """Links ``a, b`` of blocks on full sets: as many as tie each block's components together."""
 
     def sets(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             flat, offsets = shingle_sets(part.column(1), width)
             raw = [flat[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["rep", "set"])
