@@ -45,6 +45,8 @@ ROUNDS, BATCH, RATE, SEED = 3, 2048, 0.1, 11
 BLOCKS = 8
 BLOCK_BYTES = 1 << 20
 CHUNK = 1 << 12
+HELD_WORDS = 1 << 20  # words of several blocks whose counts a task sums before it hands them on
+OFTEN = 12  # rows of the tables that come more often in a batch are summed one by one
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 
 
@@ -83,16 +85,28 @@ def unflat(vector: np.ndarray, width: int = WIDTH) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of rows in place, and the sum of each; rows are shifted by their greatest value only where a value
+    could leave the range of numbers."""
+    shift = None
+    if x.size and not -50 < x.min() <= x.max() < 50:
+        shift = x.max(axis=1, keepdims=True)
+        x -= shift
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    return sums, np.zeros(1) if shift is None else shift[:, 0].astype(np.float64)
 
 
-def _minus_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x *= (-1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+def _chosen_log_softmax(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of the chosen value of each row; ``x`` is overwritten."""
+    found = x[np.arange(len(x)), chosen].astype(np.float64)
+    sums, shift = _exp(x)
+    return found - shift - np.log(sums, dtype=np.float64)
+
+
+def _minus_softmax(x: np.ndarray, share: float = 1.0) -> np.ndarray:
+    """Minus the softmax of rows in place, times ``share``."""
+    x *= (-share / _exp(x)[0])[:, None]
     return x
 
 
@@ -106,65 +120,86 @@ def _hidden(net, context: np.ndarray) -> np.ndarray:
 
 def _by_class(targets: np.ndarray):
     """Rows ordered by class, with the class and slice of each run."""
-    klass = targets // PER_CLASS
+    klass = (targets // PER_CLASS).astype(np.int16)  # 16 bits: a radix sort
     order = np.argsort(klass, kind="stable")
     cuts = np.searchsorted(klass[order], np.arange(CLASSES + 1))
     return order, [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
 
 
+def _in_class(net, hidden: np.ndarray, runs) -> np.ndarray:
+    """For rows ordered by class: the logits of the ids of each row's class."""
+    out = np.empty((len(hidden), PER_CLASS), hidden.dtype)
+    for c, run in runs:
+        np.matmul(hidden[run], net["word_out"][c], out=out[run])
+        out[run] += net["word_bias"][c]
+    return out
+
+
 def log_probabilities(net, context: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Log-probability of each target; a row of ``context`` holds the ids at ``OFFSETS``."""
-    hidden = _hidden(net, context)
-    rows = np.arange(len(targets))
-    out = _log_softmax(hidden @ net["class_out"] + net["class_bias"])[rows, targets // PER_CLASS].astype(np.float64)
     order, runs = _by_class(targets)
-    sorted_hidden, within = hidden.take(order, axis=0), targets[order] % PER_CLASS
-    words = np.empty((len(targets), PER_CLASS), hidden.dtype)
-    for c, run in runs:
-        np.matmul(sorted_hidden[run], net["word_out"][c], out=words[run])
-        words[run] += net["word_bias"][c]
-    out[order] += _log_softmax(words)[rows, within]
+    context, targets = context.take(order, axis=0), targets.take(order)
+    hidden = _hidden(net, context)
+    out = np.empty(len(targets))
+    classes = hidden @ net["class_out"]
+    classes += net["class_bias"]
+    out[order] = _chosen_log_softmax(classes, targets // PER_CLASS) + _chosen_log_softmax(_in_class(net, hidden, runs), targets % PER_CLASS)
     return out
 
 
+def _table_gradients(context: np.ndarray, d_hidden: np.ndarray):
+    """Sums of ``d_hidden`` by the rows of all tables in a row that ``context`` names; these rows, frequent ones first."""
+    n = len(context)
+    # all positions in one sort, 16 bits: a radix sort
+    keys = (context.T.astype(np.int16) + np.arange(len(OFFSETS), dtype=np.int16)[:, None] * np.int16(VOCABULARY + 1)).ravel()
+    by_id = np.argsort(keys, kind="stable")
+    ids, source = keys.take(by_id), np.tile(np.arange(n), len(OFFSETS)).take(by_id)
+    starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    times = np.diff(np.append(starts, len(ids)))
+    ranked = np.argsort(-np.minimum(times, OFTEN + 1).astype(np.int8), kind="stable")
+    starts, times = starts[ranked], times[ranked]
+    out = np.empty((len(starts), d_hidden.shape[1]), d_hidden.dtype)
+    # those that come often are summed run by run; of the others the first of all, then the second of all, and so on
+    often, *more = np.searchsorted(-np.minimum(times, OFTEN + 1), -np.arange(OFTEN, 0, -1))
+    if often:
+        ends = np.cumsum(times[:often])
+        begins = ends - times[:often]
+        at = np.repeat(starts[:often] - begins, times[:often]) + np.arange(ends[-1])
+        np.add.reduceat(d_hidden.take(source[at], axis=0), begins, axis=0, out=out[:often])
+    out[often:] = d_hidden.take(source[starts[often:]], axis=0)
+    for k, upto in enumerate(reversed(more), 1):
+        out[often:upto] += d_hidden.take(source[starts[often:upto] + k], axis=0)
+    return ids[starts].astype(np.int64), out
+
+
 def gradients(net, context: np.ndarray, targets: np.ndarray):
     """Gradients of the mean log-probability; those of the tables as (places, rows) of all tables in a row."""
     n = len(targets)
+    order, runs = _by_class(targets)
+    context, targets = context.take(order, axis=0), targets.take(order)
     hidden = _hidden(net, context)
-    d_class = _minus_softmax(hidden @ net["class_out"] + net["class_bias"])
-    d_class[np.arange(n), targets // PER_CLASS] += 1
-    d_class /= n
-    d_hidden = d_class @ net["class_out"].T
-    out = {"class_out": hidden.T @ d_class, "class_bias": d_class.sum(0)}
+    d_class = hidden @ net["class_out"]
+    d_class += net["class_bias"]
+    d_class = _minus_softmax(d_class, 1 / n)
+    rows = np.arange(n)
+    d_class[rows, targets // PER_CLASS] += 1 / n
+    d_word = _minus_softmax(_in_class(net, hidden, runs), 1 / n)
+    d_word[rows, targets % PER_CLASS] += 1 / n
+    ones = np.ones(n, d_word.dtype)
+    out = {"class_out": hidden.T @ d_class, "class_bias": ones @ d_class}
     out["word_out"] = np.zeros_like(net["word_out"])
     out["word_bias"] = np.zeros_like(net["word_bias"])
-    order, runs = _by_class(targets)
-    sorted_hidden, sorted_targets = hidden[order], targets[order]
-    words, back = np.empty((n, PER_CLASS), hidden.dtype), np.empty_like(hidden)
-    for c, run in runs:
-        np.matmul(sorted_hidden[run], net["word_out"][c], out=words[run])
-        words[run] += net["word_bias"][c]
-    d_word, ones = _minus_softmax(words), np.ones(n, words.dtype)
-    d_word[np.arange(n), sorted_targets % PER_CLASS] += 1
-    d_word /= n
+    d_hidden = np.empty_like(hidden)
     for c, run in runs:
-        np.matmul(d_word[run], net["word_out"][c].T, out=back[run])
-        out["word_out"][c] = sorted_hidden[run].T @ d_word[run]
-        out["word_bias"][c] = ones[run] @ d_word[run]
-    d_hidden[order] += back
+        np.matmul(d_word[run], net["word_out"][c].T, out=d_hidden[run])
+        np.matmul(hidden[run].T, d_word[run], out=out["word_out"][c])
+        np.matmul(ones[run], d_word[run], out=out["word_bias"][c])
+    d_hidden += d_class @ net["class_out"].T
     hidden *= hidden
-    d_hidden -= d_hidden * hidden
-    out["bias"] = d_hidden.sum(0)
-    # all positions in one sort, 16 bits: a radix sort; sums a column at a time
-    keys = (context.T + np.arange(len(OFFSETS))[:, None] * (VOCABULARY + 1)).astype(np.int16).ravel()
-    by_id = np.argsort(keys, kind="stable")
-    ids = keys[by_id]
-    fresh = np.concatenate(([True], ids[1:] != ids[:-1]))
-    row = np.empty(len(keys), np.int64)
-    row[by_id] = np.cumsum(fresh) - 1
-    columns = np.tile(d_hidden.T.astype(np.float64), (1, len(OFFSETS)))
-    rows = np.stack([np.bincount(row, column) for column in columns], axis=1).astype(d_hidden.dtype)
-    return out, (ids[fresh].astype(np.int64), rows)
+    hidden *= d_hidden
+    d_hidden -= hidden
+    out["bias"] = ones @ d_hidden
+    return out, _table_gradients(context, d_hidden)
 
 
 class Trainer:
@@ -182,9 +217,14 @@ class Trainer:
             self.net[name] += self.rate * d / np.sqrt(self.seen[name])
         width = len(self.net["bias"])
         seen, tables = self.seen["tables"].reshape(-1, width), self.net["tables"].reshape(-1, width)
-        now = seen.take(places, axis=0) + g * g
+        now = seen.take(places, axis=0)
+        now += g * g
         seen[places] = now
-        tables[places] += self.rate * g / np.sqrt(now)
+        np.sqrt(now, out=now)
+        np.divide(g, now, out=now)
+        now *= self.rate
+        now += tables.take(places, axis=0)
+        tables[places] = now
         self.tokens += len(targets)
 
 
@@ -206,7 +246,7 @@ def groups(words: list[str]) -> np.ndarray:
 
 BLOCK_SCHEMA = (
     "block bigint, doc_ids array<bigint>, sizes array<int>, tokens binary, "
-    "words array<bigint>, times array<int>, groups array<int>, bytes array<int>"
+    "words array<bigint>, times array<int>, groups binary, bytes binary"
 )
 
 
@@ -216,7 +256,7 @@ def _lists(values: np.ndarray, kind) -> pa.Array:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Texts as stored blocks: the size of each document, which of the block's ``words`` (64-bit fingerprints) each token
+    """Texts as stored blocks: the size of each document, which of the block's ``words`` (64-bit fingerprints, sorted) each token
     is, and how often each word comes, its group and its length."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -227,16 +267,19 @@ def blocks(docs: DataFrame) -> DataFrame:
             distinct, indices, offsets = encoded_words(part.column(1))
             times = np.bincount(indices, minlength=len(distinct))
             used = np.flatnonzero(times)
-            place = np.cumsum(times > 0) - 1
-            words = [distinct[k] for k in used]
+            words = [distinct[k] for k in used.tolist()]
+            prints = fingerprints(words).view(np.int64)
+            grouped, lengths = endings(words)
+            order = np.argsort(prints)  # sorted words are looked up in sorted lists several times as fast
             kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
-            tokens = place[indices].astype(kind) if len(indices) else np.zeros(0, kind)
+            place = np.zeros(len(distinct), kind)
+            place[used[order]] = np.arange(len(words))
+            tokens = place[indices] if len(indices) else np.zeros(0, kind)
             doc_ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0).cast(pa.int64()))
-            grouped, lengths = endings(words)
             columns = [
                 pa.array([number]), doc_ids, _lists(np.diff(offsets), pa.int32()), pa.array([tokens.tobytes()], pa.binary()),
-                _lists(fingerprints(words).view(np.int64), pa.int64()), _lists(times[used], pa.int32()),
-                _lists(grouped, pa.int32()), _lists(lengths, pa.int32()),
+                _lists(prints[order], pa.int64()), _lists(times[used[order]], pa.int32()),
+                *[pa.array([x[order].astype(kind).tobytes()], pa.binary()) for x, kind in ((grouped, np.uint16), (lengths, np.int32))],
             ]
             names = ["block", "doc_ids", "sizes", "tokens", "words", "times", "groups", "bytes"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -246,13 +289,15 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def _unpacked(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
-    """Lists of a block as arrays; its tokens by their width."""
+    """Lists of a block as arrays; its tokens by their width, groups and bytes as ``blocks`` packs them."""
     out = []
     for name in names:
         cell = batch.column(batch.schema.get_field_index(name))[row]
         if name == "tokens":
             raw, n = cell.as_py(), batch.column(batch.schema.get_field_index("sizes"))[row].values.to_numpy().sum()
             out.append(np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64))
+        elif name in ("groups", "bytes"):
+            out.append(np.frombuffer(cell.as_py(), np.uint16 if name == "groups" else np.int32))
         else:
             out.append(cell.values.to_numpy(zero_copy_only=False))
     return out
@@ -297,12 +342,25 @@ def contexts(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
 def word_counts(blocked: DataFrame) -> DataFrame:
     """``word`` (a 64-bit fingerprint), its group and ``n`` over all blocks."""
 
+    def summed(held) -> pa.RecordBatch:
+        words, first, place = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+        n = np.bincount(place, np.concatenate([h[2] for h in held]), len(words)).astype(np.int64)
+        grouped = np.concatenate([h[1] for h in held])[first]
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(grouped, pa.int32()), pa.array(n)], names=["word", "grp", "n"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([batch.column(k)[row].values for k in range(3)], names=["word", "grp", "n"])
-
-    pairs = blocked.select("words", "groups", "times").mapInArrow(run, "word bigint, grp int, n int")
+                held.append([x.copy() for x in _unpacked(batch, row, "words", "groups", "times")])
+                size += len(held[-1][0])
+                if size >= HELD_WORDS:
+                    yield summed(held)
+                    held, size = [], 0
+        if size:
+            yield summed(held)
+
+    pairs = blocked.select("words", "groups", "times").mapInArrow(run, "word bigint, grp int, n bigint")
     return pairs.groupBy("word").agg(F.max("grp").alias("grp"), F.sum("n").alias("n"))
 
 
