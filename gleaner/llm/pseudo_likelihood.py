@@ -131,7 +131,7 @@ def _in_class(net, hidden: np.ndarray, runs) -> np.ndarray:
     out = np.empty((len(hidden), PER_CLASS), hidden.dtype)
     for c, run in runs:
         np.matmul(hidden[run], net["word_out"][c], out=out[run])
-        out[run] += net["word_bias"][c]
+    out += net["word_bias"].take([c for c, _ in runs], axis=0).repeat([run.stop - run.start for _, run in runs], axis=0)
     return out
 
 
@@ -213,8 +213,12 @@ class Trainer:
     def step(self, context: np.ndarray, targets: np.ndarray) -> None:
         dense, (places, g) = gradients(self.net, context, targets)
         for name, d in dense.items():
-            self.seen[name] += d * d
-            self.net[name] += self.rate * d / np.sqrt(self.seen[name])
+            now = d * d
+            self.seen[name] += now
+            np.sqrt(self.seen[name], out=now)
+            np.divide(d, now, out=now)
+            now *= self.rate
+            self.net[name] += now
         width = len(self.net["bias"])
         seen, tables = self.seen["tables"].reshape(-1, width), self.net["tables"].reshape(-1, width)
         now = seen.take(places, axis=0)
@@ -267,7 +271,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             distinct, indices, offsets = encoded_words(part.column(1))
             times = np.bincount(indices, minlength=len(distinct))
             used = np.flatnonzero(times)
-            words = [distinct[k] for k in used.tolist()]
+            words = distinct if len(used) == len(distinct) else [distinct[k] for k in used.tolist()]
             prints = fingerprints(words).view(np.int64)
             grouped, lengths = endings(words)
             order = np.argsort(prints)  # sorted words are looked up in sorted lists several times as fast
